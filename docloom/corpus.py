@@ -42,9 +42,10 @@ def render_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
     )
-    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
-        _line_rows(lineitem), F.col("o_orderkey") == F.col("l_orderkey"), "left"
-    )
+    # Both sides grow with the data: meet by hash of the order key, whatever their present size.
+    rows = orders.join(
+        _line_rows(lineitem).hint("shuffle_hash"), F.col("o_orderkey") == F.col("l_orderkey"), "left"
+    ).join(customer, F.col("o_custkey") == F.col("c_custkey"))
     status, family = F.col("o_orderstatus"), F.col("o_orderpriority")
     no_date = family.isin("2-HIGH", "3-MEDIUM")
     no_customer = family == "2-HIGH"

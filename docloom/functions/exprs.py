@@ -42,10 +42,8 @@ def strip_unicode(c: Column) -> Column:
 
 def json_text(c: Column) -> Column:
     """A string column as a JSON string literal (null stays the JSON word null)."""
-    wrapped = F.to_json(F.array(c))
-    return F.when(c.isNull(), F.lit("null")).otherwise(
-        F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
-    )
+    item = F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    return F.when(c.isNull(), F.lit("null")).otherwise(item)
 
 
 def float_text(c: Column) -> Column:

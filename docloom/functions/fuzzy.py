@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,16 +92,3 @@ def row_ratios(texts: pd.Series, needles: pd.Series) -> pd.Series:
         ],
         dtype=object,
     )
-
-
-@F.pandas_udf(T.DoubleType())
-def pair_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Partial ratio (0..100) of two string columns."""
-    return pd.Series(
-        [None if a is None or b is None else partial_ratio(a, b) for a, b in zip(left, right)],
-        dtype="float64",
-    )
-
-
-def pair_ratio_of(left: Column, right: Column) -> Column:
-    return pair_ratio(left, right)

@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig
-from docloom.functions import patterns
-from docloom.schemas import ddl
+from docloom.functions.patterns import ANCHOR, MATCH, SEARCH, date_pattern, prepare_pattern
 
 MATCH_FIELDS = (
     "array<struct<seq:bigint,template_id:string,kw_ids:array<int>,hint_id:int,quorum:double>>"
@@ -32,7 +31,7 @@ PREPARED_RULE = (
 PREPARED_CHECK = (
     "struct<field:string,not_null:boolean,gt:double,lt:double,regex_match:string,java:string,bad_pattern:boolean>"
 )
-PREPARED = ddl(
+PREPARED = (
     f"template_id string, rules array<{PREPARED_RULE}>, checks array<{PREPARED_CHECK}>"
 )
 
@@ -156,23 +155,23 @@ def _prepare_rule(pos: int, rule) -> dict:
     }
     if kind == "table":
         for name, key in (("anchor", "anchor_regex"), ("stop", "stop_regex")):
-            p = patterns.prepare_pattern(rule[key])
+            p = prepare_pattern(rule[key])
             if p.error or p.python_syntax:
                 out["static_error"] = p.error or f"unsupported pattern {rule[key]}"
             elif p.java:
-                out[name] = patterns.ANCHOR + p.java
+                out[name] = ANCHOR + p.java
         # A repeated column name keeps its first place and its last cell.
         last = {c: i for i, c in enumerate(list(rule["columns"] if rule["columns"] is not None else []))}
         out["columns"], out["col_idx"] = list(last), list(last.values())
         return out
-    p = patterns.prepare_pattern(rule["regex"])
+    p = prepare_pattern(rule["regex"])
     out["groups"] = max(p.groups, 0)
     out["static_error"] = p.error
     # A list takes an unset group as "", as the JVM does; a single value fails on it.
     out["python_only"] = p.python_syntax or (p.optional_group and kind != "list")
-    out["regex"] = patterns.SEARCH + p.java if p.java else None
+    out["regex"] = SEARCH + p.java if p.java else None
     if kind == "date" and rule["date_format"]:
-        translated = patterns.date_pattern(rule["date_format"])
+        translated = date_pattern(rule["date_format"])
         if translated:
             out["date_re"], out["date_repl"] = translated
         else:
@@ -182,14 +181,14 @@ def _prepare_rule(pos: int, rule) -> dict:
 
 
 def _prepare_check(check) -> dict:
-    p = patterns.prepare_pattern(check["regex_match"])
+    p = prepare_pattern(check["regex_match"])
     return {
         "field": check["field"],
         "not_null": bool(check["not_null"]),
         "gt": _number(check["gt"]),
         "lt": _number(check["lt"]),
         "regex_match": check["regex_match"],
-        "java": None if p.java is None or p.python_syntax else patterns.MATCH + r"\A(?:" + p.java + ")",
+        "java": None if p.java is None or p.python_syntax else MATCH + r"\A(?:" + p.java + ")",
         "bad_pattern": p.error is not None or p.python_syntax,
     }
 

@@ -189,7 +189,9 @@ def table_from_text(text: Column, r: Column) -> Column:
     return F.transform(parts, lambda p: row_to_map(p, r["columns"], r["col_idx"]))
 
 
-@F.pandas_udf("array<struct<rule_pos:int,s:string,l:array<string>,error:string>>")
+PYTHON_RESULTS = "array<struct<rule_pos:int,s:string,l:array<string>,error:string>>"
+
+
 def _python_rules(texts: pd.Series, rules: pd.Series) -> pd.Series:
     """The regex step of rules whose pattern only Python can run (or whose group may be unset)."""
 
@@ -305,7 +307,7 @@ def apply_rules(docs: DataFrame, dim: Dimension) -> DataFrame:
         flagged = F.filter("_rules", lambda r: r["python_only"] & r["static_error"].isNull())
         docs = docs.withColumn(
             "_python",
-            _python_rules(
+            F.pandas_udf(_python_rules, PYTHON_RESULTS)(
                 F.when(F.size(flagged) > 0, F.col("full_text")),
                 F.transform(
                     flagged,

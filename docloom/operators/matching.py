@@ -317,35 +317,56 @@ def match_by_grams(docs: DataFrame, templates: DataFrame, cfg: EngineConfig) ->
     return decide(scored.drop("_hits", "_ratio"), cfg)
 
 
+FAMILY_PIECE = 1_000
+
+
 def family_match(
     incoming: DataFrame, templates: DataFrame, cfg: EngineConfig = EngineConfig()
 ) -> DataFrame:
     """J10. Closest stored template of the same document type by fuzzy supplier name.
 
-    ``incoming``: (key, doc_type, supplier_hint). Equi-join on doc_type, distinct name pairs rated
-    once in Arrow, best ratio per key (first inserted on a tie); keys without a family keep nulls.
+    ``incoming``: (key, doc_type, supplier_hint). Stored names meet the distinct asked names in
+    bounded lists per document type, rated inside the row: no pair of names becomes a row of its own.
+    Keys without a family keep nulls; the first inserted wins a tie.
     """
-    names = templates.filter(F.coalesce("supplier_hint", F.lit("")) != "").select(
-        "doc_type", F.lower("supplier_hint").alias("_stored"), "seq", F.col("template_id").alias("family_id")
+    names = (
+        templates.filter(F.coalesce("supplier_hint", F.lit("")) != "")
+        .groupBy("doc_type", F.lower("supplier_hint").alias("name"))
+        .agg(F.min(F.struct("seq", "template_id")).alias("first"))
     )
-    asked = incoming.select("key", "doc_type", F.lower("supplier_hint").alias("_asked"))
-    # One rating per distinct (asked, stored) name, however many keys or templates share it.
-    pairs = (
-        asked.select("doc_type", "_asked").distinct()
-        .join(
-            names.groupBy("doc_type", "_stored").agg(F.min(F.struct("seq", "family_id")).alias("_first")),
-            "doc_type",
+    pieces = max(1, -(-names.count() // FAMILY_PIECE))
+    lists = names.groupBy("doc_type", F.pmod(F.xxhash64("name"), F.lit(pieces)).alias("piece")).agg(
+        F.collect_list(F.struct("name", "first")).alias("stored")
+    )
+    asked = incoming.select("key", "doc_type", F.lower("supplier_hint").alias("asked"))
+    rated = (
+        asked.select("doc_type", "asked")
+        .distinct()
+        .join(lists, "doc_type")
+        .withColumn(
+            "ratios",
+            fuzzy.row_ratios(F.col("asked"), F.transform("stored", lambda s: s["name"])),
         )
-        .withColumn("ratio", fuzzy.pair_ratio(F.col("_asked"), F.col("_stored")))
-        .filter(F.col("ratio") >= cfg.family_ratio)
     )
-    best = pairs.groupBy("doc_type", "_asked").agg(
-        F.max(
-            F.struct("ratio", (-F.col("_first.seq")).alias("order"), F.col("_first.family_id").alias("family_id"))
-        ).alias("_best")
+    best = (
+        rated.select(
+            "doc_type",
+            "asked",
+            F.array_max(
+                F.transform(
+                    "stored",
+                    lambda s, i: F.struct(
+                        (F.get(F.col("ratios"), i) * 100).alias("ratio"),
+                        (-s["first"]["seq"]).alias("order"),
+                        s["first"]["template_id"].alias("family_id"),
+                    ),
+                )
+            ).alias("best"),
+        )
+        .groupBy("doc_type", "asked")
+        .agg(F.max("best").alias("best"))
+        .filter(F.col("best.ratio") >= cfg.family_ratio)
     )
-    return asked.join(best, ["doc_type", "_asked"], "left").select(
-        "key",
-        F.col("_best.family_id").alias("family_id"),
-        F.col("_best.ratio").alias("ratio"),
+    return asked.join(best, ["doc_type", "asked"], "left").select(
+        "key", F.col("best.family_id").alias("family_id"), F.col("best.ratio").alias("ratio")
     )

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.exprs import float_text, json_text, let, materialise, python_float
-from docloom.operators.dimension import PREPARED_CHECK
 
 NULL_MARK = "null or empty"
 
@@ -171,5 +170,3 @@ def field_count(data: Column) -> Column:
     """A8. Keys of the payload, error keys included."""
     return (F.size(data) + F.size(F.filter(data, lambda v: v["error"].isNotNull()))).cast("bigint")
 
-
-__all__ = ["PREPARED_CHECK", "critical_count", "data_json", "field_count", "validate", "value_text"]

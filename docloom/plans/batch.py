@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig
 from docloom.functions.exprs import materialise
-from docloom.functions.text import basename, extension
 from docloom.operators.dimension import Dimension, as_dimension
 from docloom.operators.extraction import extract
 from docloom.operators.matching import match
@@ -45,7 +44,7 @@ def extract_documents(
     return checked.withColumn("route", route(cfg)).drop("_rules", "_checks")
 
 
-def route_documents(extracted: DataFrame) -> DataFrame:
+def route_documents(extracted: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """D7 rows of the deterministic part.
 
     Only a passed or tolerated hit carries data; a repair keeps its old errors and, like a miss,
@@ -75,6 +74,7 @@ def route_documents(extracted: DataFrame) -> DataFrame:
         none.alias("llm_model"),
         (F.col("route") == HIT_PASS).alias("validation_passed"),
         F.coalesce("errors", F.array().cast("array<string>")).alias("validation_errors"),
+        *carry,
     )
 
 
@@ -82,7 +82,3 @@ def run_batch(
     docs: DataFrame, store: DataFrame | Dimension, cfg: EngineConfig = EngineConfig()
 ) -> DataFrame:
     return route_documents(extract_documents(docs, store, cfg))
-
-
-def file_columns(path: Column) -> list[Column]:
-    return [basename(path).alias("file"), extension(path).alias("file_type")]

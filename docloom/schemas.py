@@ -1,14 +1,7 @@
-"""Explicit schemas of every table; nothing is inferred."""
+"""Explicit schemas (DDL text) of every table; nothing is inferred."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
 RULE = (
     "struct<field:string,type:string,regex:string,anchor_regex:string,stop_regex:string,"
     "columns:array<string>,strip_chars:string,date_format:string>"
@@ -19,19 +12,19 @@ FINGERPRINT = (
 )
 PAGE = "struct<page_num:int,text:string,tables:array<array<array<string>>>,sheet_name:string>"
 
-PAGE_ROWS = ddl(
+PAGE_ROWS = (
     "doc_id string, path string, page_num int, text string, tables array<array<array<string>>>"
 )
-SHEET_CELLS = ddl(
+SHEET_CELLS = (
     "doc_id string, path string, sheet_idx int, sheet_name string, row_idx int, col_idx int, value string"
 )
-DOCS = ddl(
+DOCS = (
     "doc_id string, path string, file_type string, full_text string, normalised_text string, "
     f"pages array<{PAGE}>, sheet_names array<string>"
 )
 
 # One row per template and snapshot. seq is the insertion order.
-TEMPLATES = ddl(
+TEMPLATES = (
     "seq bigint, snapshot_id bigint, template_id string, required_keywords array<string>, "
     "supplier_hint string, doc_type string, keyword_quorum double, "
     f"rules array<{RULE}>, checks array<{CHECK}>, metadata map<string,string>, version int, "
@@ -51,7 +44,7 @@ VALUE = (
     "l:array<string>,t:array<map<string,string>>,error:string>"
 )
 
-AUDIT = ddl(
+AUDIT = (
     "ts string, file string, file_type string, template_id string, match_score double, "
     "candidate_scores map<string,double>, result string, llm_used boolean, llm_backend string, "
     "llm_model string, validation_passed boolean, validation_errors array<string>, "
@@ -63,6 +56,6 @@ RESPONSE_BODY = (
     f"template_id string, fingerprint {FINGERPRINT}, extraction_rules array<{RULE}>, "
     f"confidence_checks array<{CHECK}>, extracted_data map<string,string>"
 )
-RESPONSES = ddl(
+RESPONSES = (
     "response_seq bigint, doc_id string, existing_template_id string, backend string, model string, raw string"
 )
