@@ -25,7 +25,7 @@ from docloom.operators.dimension import load
 from docloom.operators.validation import validate
 from docloom.plans.batch import extract_documents, route_documents, run_batch
 from docloom.plans.rounds import learn_round, routed_with_text, settle
-from docloom.session import new_path, spread
+from docloom.session import new_path, spread, through_table
 from docloom.sources import assembly, audit, responses, store
 from docloom.sources.files import dispatch
 from docloom.streaming.folder import hit_deltas, run_folder
@@ -158,8 +158,9 @@ def order_responses(spark: SparkSession, sf: str) -> DataFrame:
     Repairs keep the template id they were given, near misses invent one, cold misses found a memo
     template. Delivery notes answer inside a fence, large orders are cut off, small ones empty.
     """
-    o = table(
-        spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"
+    o = spread(
+        table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"),
+        "o_orderkey",
     )
     c = table(spark, sf, "customer", "c_custkey", "c_mktsegment", "c_nationkey")
     priority, status, price = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_totalprice")
@@ -279,12 +280,12 @@ def sheet_documents(spark, sf):
         F.col("l_linestatus"),
         F.when(F.col("l_tax") > 0, F.col("l_suppkey").cast("string")),
     )
-    rows = lines.select(
+    rows = lines.withColumn("row_idx", F.row_number().over(order)).select(
         F.col("l_orderkey").cast("string").alias("doc_id"),
         F.concat(F.lit("order-"), F.col("l_orderkey").cast("string"), F.lit(".xlsx")).alias("path"),
         F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("sheet_idx"),
         F.concat(F.lit("Flag"), "l_returnflag").alias("sheet_name"),
-        F.row_number().over(order).alias("row_idx"),
+        "row_idx",
         F.posexplode(cells).alias("col_idx", "value"),
     )
     return assembly.assemble_sheets(rows)
@@ -582,7 +583,14 @@ def j9_match_by_grams(spark, sf):
         F.concat(F.lit("Delivery Note for "), joined("names", ", "), F.lit(" end")).alias("normalised_text"),
     )
     small = EngineConfig(exact_scores=False)
-    stored = supplier_templates(spark, sf).withColumn("supplier_hint", F.lit(""))
+    stored = supplier_templates(spark, sf).withColumns(
+        {
+            "supplier_hint": F.lit(""),
+            "required_keywords": F.array(
+                F.col("supplier_hint"), F.concat(F.lit("Note for "), "supplier_hint"), F.concat(F.col("supplier_hint"), F.lit(" END"))
+            ),
+        }
+    )
     return matching.match_by_grams(docs, stored, small).select(
         "doc_id",
         "best_template_id",
@@ -780,7 +788,7 @@ def r5_delete(spark, sf):
 
 
 def settled_orders(spark, sf):
-    pending = routed_with_text(extracted_orders(spark, sf))
+    pending = through_table(routed_with_text(extracted_orders(spark, sf)), "routed")
     return settle(
         pending, order_responses(spark, sf), order_store(spark), CFG, 1, F.col("backend") == "remote"
     )

@@ -11,7 +11,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.exprs import materialise
+from docloom.functions.exprs import built_once, materialise
 from docloom.functions.text import normalise_text
 from docloom.schemas import TEMPLATES
 
@@ -33,19 +33,10 @@ def _line_rows(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def render_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D2 rows. Invoices carry their lines as a page table, the other layouts as text columns."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
-    )
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
-    )
-    # Both sides grow with the data: meet by hash of the order key, whatever their present size.
-    rows = orders.join(
-        _line_rows(lineitem).hint("shuffle_hash"), F.col("o_orderkey") == F.col("l_orderkey"), "left"
-    ).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+@built_once
+def _rendered() -> Column:
+    """struct(full_text, _tables) of one order row."""
+    key = F.col("o_orderkey").cast("string")
     status, family = F.col("o_orderstatus"), F.col("o_orderpriority")
     no_date = family.isin("2-HIGH", "3-MEDIUM")
     no_customer = family == "2-HIGH"
@@ -57,7 +48,6 @@ def render_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             "array<struct<l_linenumber:int,l_partkey:bigint,l_suppkey:bigint,l_extendedprice:double,l_quantity:double>>"
         ),
     )
-    key = F.col("o_orderkey").cast("string")
     german_day = F.date_format("o_orderdate", "dd.MM.yyyy")
 
     def line_cells(x: Column, money) -> Column:
@@ -130,18 +120,33 @@ def render_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ),
     ).otherwise(F.array().cast(cells))
+    return F.struct(text.alias("full_text"), page_tables.alias("_tables"))
+
+
+def render_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2 rows. Invoices carry their lines as a page table, the other layouts as text columns."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
+    )
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
+    )
+    # Both sides grow with the data: meet by hash of the order key, whatever their present size.
+    rows = orders.join(
+        _line_rows(lineitem).hint("shuffle_hash"), F.col("o_orderkey") == F.col("l_orderkey"), "left"
+    ).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    key = F.col("o_orderkey").cast("string")
     rendered = rows.select(
         key.alias("doc_id"),
         F.concat(
             F.lit("inbox/"), F.year("o_orderdate").cast("string"), F.lit("/order-"), key, F.lit(".pdf")
         ).alias("path"),
         F.lit("pdf").alias("file_type"),
-        text.alias("full_text"),
-        page_tables.alias("_tables"),
+        F.inline(F.array(_rendered())),
     )
-    base = materialise(rendered, full_text=F.col("full_text"), _tables=F.col("_tables"))
     return materialise(
-        base.select(
+        rendered.select(
             "doc_id",
             "path",
             "file_type",

@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def built_once(builder: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep a large expression for reuse by later queries of the same Spark application.
+
+    Its arguments must be plain values (column names, settings), which become the key.
+    """
+    kept: dict[tuple, Column] = {}
+
+    @functools.wraps(builder)
+    def get(*args) -> Column:
+        context = SparkContext._active_spark_context
+        key = (context.applicationId if context else None, *args)
+        if key not in kept:
+            kept[key] = builder(*args)
+        return kept[key]
+
+    return get
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``.
 

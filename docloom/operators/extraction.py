@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig
-from docloom.functions.exprs import let, materialise, strip_unicode
+from docloom.functions.exprs import built_once, let, materialise, strip_unicode
 from docloom.operators.dimension import Dimension, as_dimension
 from docloom.schemas import VALUE
 
@@ -302,7 +302,6 @@ def attach_rules(docs: DataFrame, dim: Dimension) -> DataFrame:
 
 def apply_rules(docs: DataFrame, dim: Dimension) -> DataFrame:
     """X1. Adds ``values``: one struct per rule, in rule order; needs ``_rules`` from attach_rules."""
-    python = None
     if dim.needs_python:
         flagged = F.filter("_rules", lambda r: r["python_only"] & r["static_error"].isNull())
         docs = docs.withColumn(
@@ -321,22 +320,29 @@ def apply_rules(docs: DataFrame, dim: Dimension) -> DataFrame:
                 ),
             ),
         )
-        python = F.col("_python")
-    text = F.col("full_text")
-    pages = (
-        F.flatten(F.transform("pages", lambda p: F.coalesce(p["tables"], F.array().cast("array<array<array<string>>>"))))
-        if "pages" in docs.columns
-        else F.array().cast("array<array<array<string>>>")
+    values = _values(dim.needs_python, "pages" in docs.columns)
+    return materialise(docs, values=values).drop("_python")
+
+
+@built_once
+def _values(with_python: bool, with_pages: bool) -> Column:
+    no_tables = F.array().cast("array<array<array<string>>>")
+    tables = (
+        F.flatten(F.transform("pages", lambda p: F.coalesce(p["tables"], no_tables)))
+        if with_pages
+        else no_tables
     )
-    values = let(
-        F.coalesce(pages, F.array().cast("array<array<array<string>>>")),
-        lambda tables: F.transform("_rules", lambda r: _evaluate(r, text, tables, python)),
+    python = F.col("_python") if with_python else None
+    return let(
+        F.coalesce(tables, no_tables),
+        lambda ts: F.transform("_rules", lambda r: _evaluate(r, F.col("full_text"), ts, python)),
     ).cast(VALUES)
-    return materialise(docs, values=values).drop("_python")
 
 
-def latest_per_field(values: Column) -> Column:
+@built_once
+def latest_per_field(column: str) -> Column:
     """X1. One value per field in first-appearance order: the last rule's value, the last error."""
+    values = F.col(column)
 
     def pick(name: Column) -> Column:
         return let(
@@ -363,7 +369,7 @@ def extract(
     """Apply each document's matched template: adds ``values`` and ``data`` (latest per field)."""
     dim = as_dimension(store, cfg)
     applied = apply_rules(attach_rules(matched, dim), dim)
-    return materialise(applied, data=latest_per_field(F.col("values")))
+    return materialise(applied, data=latest_per_field("values"))
 
 
 def long_form(extracted: DataFrame, column: str = "values") -> DataFrame:

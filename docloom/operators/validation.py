@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.exprs import float_text, json_text, let, materialise, python_float
+from docloom.functions.exprs import built_once, float_text, json_text, let, materialise, python_float
 
 NULL_MARK = "null or empty"
 
@@ -121,15 +121,16 @@ def validate(extracted: DataFrame) -> DataFrame:
 
     ``errors`` is null where no template was matched, empty where every check passed.
     """
-    checked = materialise(
-        extracted,
-        errors=F.flatten(
-            F.transform(F.col("_checks"), lambda c: _check_errors(c, F.col("data")))
-        ),
-    )
+    checked = materialise(extracted, errors=all_errors("_checks", "data"))
     return checked.withColumn("critical", critical_count(F.col("errors")))
 
 
+@built_once
+def all_errors(checks: str, data: str) -> Column:
+    """V5. Messages of all checks, in check order."""
+    return F.flatten(F.transform(checks, lambda c: _check_errors(c, F.col(data))))
+
+
 def critical_count(errors: Column) -> Column:
     """V6."""
     return F.size(F.filter(errors, lambda e: F.contains(e, F.lit(NULL_MARK))))
@@ -147,10 +148,11 @@ def value_json(v: Column) -> Column:
     )
 
 
-def data_json(data: Column) -> Column:
+@built_once
+def data_json(column: str) -> Column:
     """The extracted payload as one JSON object, error keys included."""
     members = F.transform(
-        data,
+        column,
         lambda v: F.concat(
             json_text(v["field"]),
             F.lit(":"),

@@ -53,7 +53,7 @@ def route_documents(extracted: DataFrame, carry: tuple[str, ...] = ()) -> DataFr
     settled = F.col("route").isin(HIT_PASS, HIT_TOLERATED)
     out = materialise(
         extracted,
-        data_json=F.when(settled, data_json(F.col("data"))).otherwise(F.lit("{}")),
+        data_json=F.when(settled, data_json("data")).otherwise(F.lit("{}")),
         field_count=F.when(settled, field_count(F.col("data"))).otherwise(F.lit(0).cast("bigint")),
     )
     none = F.lit(None).cast("string")
