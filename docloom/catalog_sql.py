@@ -298,7 +298,7 @@ ORACLES: dict[str, str] = {
         FROM decided d JOIN ranked r USING (doc_id) WHERE r.near_place = 1"""),
     "j9_match_orders": on_orders("SELECT doc_id, CASE WHEN half OR cold THEN '-' ELSE kind END AS template_id, CAST(score AS DOUBLE) AS match_score, CASE WHEN half THEN kind ELSE '-' END AS near_miss_id FROM routed"),
     "j9_match_by_grams": "WITH " + SUPPLIERS + """,
-        docs AS (SELECT l_orderkey, 'delivery note for ' || string_agg(DISTINCT lower(s_name), ', ') || ' end' AS tl FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_orderkey),
+        docs AS (SELECT l_orderkey, 'delivery note for ' || string_agg(lower(s_name), ', ' ORDER BY s_name) || ' end' AS tl FROM (SELECT DISTINCT l_orderkey, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) GROUP BY l_orderkey),
         hits AS (SELECT l_orderkey, seq, template_id, (CAST(contains(tl, lower(s_name)) AS INT) + CAST(contains(tl, 'note for ' || lower(s_name)) AS INT)
           + CAST(contains(tl, lower(s_name) || ' end') AS INT)) / 3.0 AS score FROM docs, suppliers),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, seq) AS place, count(*) FILTER (score > 0) OVER (PARTITION BY l_orderkey) AS n FROM hits)

@@ -24,6 +24,11 @@ class EngineConfig:
     inline_max_keywords: int = 10_000
     inline_max_bytes: int = 8 * 1024 * 1024
 
+    # Below these, matching spells the store out as ordinary column expressions, which Spark compiles
+    # into the stage (measured twice as fast); above them it is data for higher-order functions.
+    compiled_max_templates: int = 64
+    compiled_max_keywords: int = 512
+
     # True: every template gets its exact score in the candidate map (fuzzy supplier ratio
     # included). False: only templates with at least one keyword hit are scored.
     exact_scores: bool = True

@@ -11,7 +11,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.exprs import built_once, materialise
+from docloom.functions.exprs import built_once
 from docloom.functions.text import normalise_text
 from docloom.schemas import TEMPLATES
 
@@ -145,7 +145,7 @@ def render_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("pdf").alias("file_type"),
         F.inline(F.array(_rendered())),
     )
-    return materialise(
+    return (
         rendered.select(
             "doc_id",
             "path",
@@ -160,9 +160,8 @@ def render_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
                 )
             ).alias("pages"),
             F.array().cast("array<string>").alias("sheet_names"),
-        ),
-        normalised_text=normalise_text(F.col("full_text")),
-    )
+        )
+    ).withColumn("normalised_text", normalise_text(F.col("full_text")))
 
 
 def _rule(field, type="string", regex=None, anchor=None, stop=None, columns=None, strip=None, fmt=None):

@@ -38,13 +38,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def materialise(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are computed once per row, whatever later lambdas refer to them.
+    """Add columns that are computed once per row, whatever later lambdas or filters refer to them.
 
-    The one-element ``inline`` is a Generate node, which projections are not merged across.
+    The expressions sit in a projection of their own, so they are compiled; the one-element
+    ``inline`` above it is a Generate node, which neither projections nor predicates cross.
     """
-    struct = F.struct(*[c.alias(name) for name, c in columns.items()])
     kept = [c for c in df.columns if c not in columns]
-    return df.select(*kept, F.inline(F.array(struct)))
+    staged = df.select(*kept, *[c.alias(name) for name, c in columns.items()])
+    return staged.select(*kept, F.inline(F.array(F.struct(*columns))))
 
 
 def blank_to_null(c: Column) -> Column:

@@ -52,6 +52,8 @@ class Dimension:
     rows: list[Row] | None
     prepared: DataFrame
     needs_python: bool
+    # Small enough to be matched as plain column expressions.
+    compiled: bool = False
     cfg: EngineConfig = field(default_factory=EngineConfig)
 
     @property
@@ -91,13 +93,14 @@ def load(templates: DataFrame, cfg: EngineConfig = EngineConfig()) -> Dimension:
         prepared = templates.select("template_id", "rules", "checks").mapInPandas(
             _prepare_batches, PREPARED
         )
-        return Dimension(templates, None, prepared, True, cfg)
+        return Dimension(templates, None, prepared, True, False, cfg)
     rows = wanted.collect()
     ready = [_prepare_template(r["template_id"], r["rules"], r["checks"]) for r in rows]
     _keep_jvm_patterns(templates.sparkSession, ready)
     prepared = F.broadcast(templates.sparkSession.createDataFrame(ready, PREPARED))
     needs_python = any(rule["python_only"] for t in ready for rule in t["rules"])
-    return Dimension(templates, rows, prepared, needs_python, cfg)
+    compiled = n <= cfg.compiled_max_templates and n_kw <= cfg.compiled_max_keywords
+    return Dimension(templates, rows, prepared, needs_python, compiled, cfg)
 
 
 def as_dimension(store: DataFrame | Dimension, cfg: EngineConfig) -> Dimension:

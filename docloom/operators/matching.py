@@ -129,20 +129,26 @@ def decide(docs: DataFrame, cfg: EngineConfig) -> DataFrame:
             candidate_map(cands).alias("scores"),
         ),
     ).drop("_cands")
-    best, near = F.col("_m.best"), F.col("_m.near")
+    kept = [c for c in picked.columns if c != "_m"]
+    return decision(picked, kept, F.col("_m.best"), F.col("_m.near"), F.col("_m.scores"), cfg)
+
+
+def decision(
+    picked: DataFrame, kept: list[str], best: Column, near: Column, scores: Column, cfg: EngineConfig
+) -> DataFrame:
+    """J6, J8. The quorum is tested on the best template only, without its supplier boost."""
     score = F.coalesce(best["score"], F.lit(0.0))
-    # The quorum is tested on the best template only, without its supplier boost.
-    hit = (score >= cfg.match_threshold) & (best["hit_rate"] >= best["quorum"])
+    hit = F.coalesce(
+        (score >= cfg.match_threshold) & (best["hit_rate"] >= best["quorum"]), F.lit(False)
+    )
     return picked.select(
-        *[c for c in picked.columns if c != "_m"],
+        *kept,
         F.when(hit, best["template_id"]).alias("template_id"),
         score.alias("match_score"),
         F.coalesce(best["hit_rate"], F.lit(0.0)).alias("hit_rate"),
         best["template_id"].alias("best_template_id"),
-        F.when(
-            ~F.coalesce(hit, F.lit(False)) & (score >= cfg.near_miss_min_score), near["template_id"]
-        ).alias("near_miss_id"),
-        F.col("_m.scores").alias("candidate_scores"),
+        F.when(~hit & (score >= cfg.near_miss_min_score), near["template_id"]).alias("near_miss_id"),
+        scores.alias("candidate_scores"),
     )
 
 
@@ -154,6 +160,8 @@ def match(
     An empty store leaves every document with score 0, no template and an empty map.
     """
     dim = as_dimension(store, cfg)
+    if dim.compiled and dim.rows:
+        return match_compiled(docs, dim, cfg)
     if dim.inline is not None:
         return decide(score_candidates(docs, dim.inline, cfg), cfg)
     if cfg.exact_scores:
@@ -161,6 +169,80 @@ def match(
     return match_by_grams(docs, dim.templates, cfg)
 
 
+def match_compiled(docs: DataFrame, dim: Dimension, cfg: EngineConfig) -> DataFrame:
+    """J1-J9 for a small store, one column expression per keyword and template.
+
+    Each step is a projection of plain expressions that its successor reads more than once, so Spark
+    keeps the steps apart and compiles each of them.
+    """
+    rows = sorted(dim.rows, key=lambda r: r["seq"])
+    words = list(dict.fromkeys(k for r in rows for k in r["kws"]))
+    hints = list(dict.fromkeys(r["hint"] for r in rows if r["kws"] and r["hint"]))
+    kept = docs.columns
+    step = docs.withColumn("_tl", fold(F.col("normalised_text")))
+    step = step.select(
+        *kept,
+        "_tl",
+        *[F.contains("_tl", F.lit(w)).cast("int").alias(f"_k{i}") for i, w in enumerate(words)],
+        *[F.contains("_tl", F.lit(h)).alias(f"_s{i}") for i, h in enumerate(hints)],
+    )
+    if hints:
+        resolved = reduce(lambda a, b: a & b, [F.col(f"_s{i}") for i in range(len(hints))])
+        step = step.withColumn(
+            "_ratio", fuzzy.ratios_against(hints)(F.when(~resolved, F.col("_tl")))
+        )
+
+    def boost(hint: str) -> Column:
+        i = hints.index(hint)
+        ratio = F.coalesce(F.get(F.col("_ratio"), F.lit(i)), F.lit(0.0))
+        return F.when(F.col(f"_s{i}"), F.lit(cfg.supplier_weight)).otherwise(
+            F.lit(cfg.supplier_weight) * ratio
+        )
+
+    rates, scores = [], []
+    for t, r in enumerate(rows):
+        if r["kws"]:
+            hits = reduce(Column.__add__, [F.col(f"_k{words.index(k)}") for k in r["kws"]])
+            rates.append((hits / F.lit(len(r["kws"]))).alias(f"_r{t}"))
+            score = F.col(f"_r{t}") + (boost(r["hint"]) if r["hint"] else F.lit(0.0))
+            scores.append(F.least(F.lit(1.0), score).alias(f"_c{t}"))
+        else:
+            rates.append(F.lit(0.0).alias(f"_r{t}"))
+            scores.append(F.lit(0.0).alias(f"_c{t}"))
+    side = [f"_s{i}" for i in range(len(hints))] + (["_ratio"] if hints else [])
+    step = step.select(*kept, *side, *rates)
+    step = step.select(*kept, *[f"_r{t}" for t in range(len(rows))], *scores)
+    best = [
+        F.when(
+            F.col(f"_c{t}") > 0,
+            F.struct(
+                F.col(f"_c{t}").alias("score"),
+                F.lit(-r["seq"]).cast("bigint").alias("order"),
+                F.lit(r["template_id"]).alias("template_id"),
+                F.col(f"_r{t}").alias("hit_rate"),
+                F.lit(r["quorum"]).alias("quorum"),
+            ),
+        )
+        for t, r in enumerate(rows)
+    ]
+    near = [
+        F.struct(
+            F.round(f"_c{t}", 4).alias("score"),
+            F.lit(-r["seq"]).cast("bigint").alias("order"),
+            F.lit(r["template_id"]).alias("template_id"),
+        )
+        for t, r in enumerate(rows)
+    ]
+    pairs = [x for t, r in enumerate(rows) for x in (F.lit(r["template_id"]), F.round(f"_c{t}", 4))]
+    picked = materialise(
+        step,
+        _best=F.array_max(F.array(*best)),
+        _near=F.array_max(F.array(*near)),
+        _map=F.create_map(*pairs),
+    )
+    return decision(picked, kept, F.col("_best"), F.col("_near"), F.col("_map"), cfg)
+
+
 def keyword_hits(
     docs: DataFrame, store: DataFrame | Dimension, cfg: EngineConfig = EngineConfig()
 ) -> DataFrame:
