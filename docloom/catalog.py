@@ -303,9 +303,8 @@ def s4_assemble_sheets(spark, sf):
 
 def s5_s6_store_roundtrip(spark, sf):
     path = new_path(spark, "store")
-    lines = supplier_templates(spark, sf).select("seq", "template_id", store.template_json().alias("entry"))
-    store.store_object(lines).write.text(path)
-    back = store.load_store_json(spark, path)
+    one_object = store.export_store_json(supplier_templates(spark, sf), path)
+    back = (store.load_store_json if one_object else store.load_store_lines)(spark, path)
     return back.select(
         "seq",
         "template_id",

@@ -207,8 +207,6 @@ collided AS (
 )
 """
 
-FIXED2 = "format('{{:.{p}f}}', CAST({x} AS DOUBLE))"
-
 ORACLES: dict[str, str] = {
     "s2_dispatch": "WITH " + FILES + """
         SELECT doc_id, CASE WHEN suffix = '.pdf' THEN 'pdf' WHEN suffix IN ('.XLSX', '.xls') THEN 'xlsx' ELSE '-' END AS file_type,
@@ -253,7 +251,7 @@ ORACLES: dict[str, str] = {
     "s13_folder_stream": on_orders("""
         SELECT CASE WHEN half OR cold THEN '-' ELSE kind END AS template_id, route, count(*) AS documents,
           CAST(CASE WHEN half OR cold THEN 0 ELSE sum(count(*) FILTER (route = 'HIT_PASS')) OVER (PARTITION BY CASE WHEN half OR cold THEN '-' ELSE kind END) END AS BIGINT) AS hits
-        FROM routed GROUP BY CASE WHEN half OR cold THEN '-' ELSE kind END, route, half OR cold""").replace("CASE WHEN half OR cold THEN 0 ELSE sum", "CASE WHEN half OR cold THEN 0 ELSE sum"),
+        FROM routed GROUP BY CASE WHEN half OR cold THEN '-' ELSE kind END, route, half OR cold"""),
     "p1_normalise": "WITH n AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, " + NORMAL.format(t="text") + " AS t FROM documents) SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM n",
     "p2_sheet_markers": "WITH " + SHEETS + r"SELECT doc_id, md5(regexp_replace(full_text, '\[Sheet:[^\]]*\]\s*', ' ', 'g')) AS digest FROM books",
     "p3_p4_fold_preview": """
@@ -286,7 +284,7 @@ ORACLES: dict[str, str] = {
         SELECT response_seq, 'raw' AS kind, f.field, CASE f.field WHEN 'order_number' THEN doc_id WHEN 'segment' THEN segment ELSE '<null>' END AS s
         FROM usable, (VALUES ('order_number'), ('segment'), ('customer')) f(field) WHERE NOT blank""", ANSWERS),
     "j1_keyword_hits": on_texts("SELECT doc_id, template_id, hits, round(score, 6) AS keyword_score FROM scored"),
-    "j3_supplier_contained": on_orders("SELECT doc_id, candidate AS template_id, CASE WHEN candidate = kind AND NOT cold THEN least(1.0, CASE WHEN half THEN 0.4 ELSE 1.0 END + 0.1) ELSE 0.1 END AS score FROM scores").replace("CAST", "CAST"),
+    "j3_supplier_contained": on_orders("SELECT doc_id, candidate AS template_id, CASE WHEN candidate = kind AND NOT cold THEN least(1.0, CASE WHEN half THEN 0.4 ELSE 1.0 END + 0.1) ELSE 0.1 END AS score FROM scores"),
     "j3_supplier_fuzzy": on_orders("""
         SELECT doc_id, candidate AS template_id, CAST(round(least(1.0, CASE WHEN candidate <> kind OR cold THEN 0.0 WHEN half THEN 0.4 ELSE 1.0 END
           + 0.1 * CASE WHEN o_orderstatus = 'F' THEN 0.9 ELSE 0.85 END), 6) AS DOUBLE) AS score FROM scores"""),
@@ -432,4 +430,20 @@ ORACLES: dict[str, str] = {
           CASE WHEN half OR cold OR no_date THEN '-' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS order_date,
           CASE WHEN half OR cold THEN -1.0 ELSE o_totalprice END AS total, CASE WHEN half OR cold THEN -1 ELSE n_lines END AS n_lines,
           COALESCE(len(errors), 0) AS n_errors FROM routed"""),
+    "k14_sanitise": on_orders("""
+        SELECT response_seq, CASE WHEN NOT blank THEN 'Absender:' WHEN o_orderstatus = 'P' AND is_repair THEN 'Invoice' ELSE 'Absender' END AS first_keyword,
+          CAST(CASE WHEN o_orderstatus = 'F' AND is_near THEN CASE WHEN blank THEN 3 ELSE 4 END ELSE 5 END AS BIGINT) AS n_keywords,
+          CASE WHEN blank THEN '' ELSE 'order_number' END AS rules, CASE WHEN blank THEN '' ELSE 'order_number' END AS checks,
+          CASE WHEN blank THEN '' ELSE 'invalid pattern | expected 1 capture group, got 2' END AS dropped FROM usable""", ANSWERS),
+    "full_run_texts": on_texts(r"""
+        , v AS (SELECT d.*, text, CASE WHEN hit = 'apache_v1' THEN nullif(rtrim(regexp_extract(text, '(?i)Apache License, Version ([\d.]+)', 1), '.'), '')
+            WHEN hit = 'cc_v1' THEN nullif(regexp_extract(text, '(?i)BY-NC ([\d.]+)', 1), '') END AS version,
+            regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Pc}.]+@[\p{L}\p{M}\p{Nd}\p{Pc}.]+\.[\p{L}\p{M}\p{Nd}\p{Pc}]+') AS mails,
+            nullif(regexp_extract(text, '(?i)the (MIT) License', 1), '') AS licence
+          FROM decided d JOIN texts USING (doc_id))
+        SELECT doc_id, COALESCE(hit, '-') AS template_id,
+          CASE WHEN hit = 'apache_v1' AND version IS NULL THEN 'HIT_TOLERATED' WHEN hit IS NOT NULL THEN 'HIT_PASS' WHEN score >= 0.3 THEN 'NEAR_MISS' ELSE 'COLD_MISS' END AS route,
+          CASE hit WHEN 'apache_v1' THEN '{"version":' || COALESCE('"' || version || '"', 'null') || ',"mails":[' || array_to_string(list_transform(mails, lambda m: '"' || m || '"'), ',') || ']}'
+            WHEN 'mit_v1' THEN '{"licence":' || COALESCE('"' || licence || '"', 'null') || '}' WHEN 'cc_v1' THEN '{"version":' || COALESCE('"' || version || '"', 'null') || '}' ELSE '{}' END AS data_json
+        FROM v"""),
 }

@@ -64,7 +64,7 @@ def keyword_owners(templates: DataFrame) -> DataFrame:
     """Distinct (template_id, folded keyword)."""
     return templates.select(
         "template_id", F.explode(F.array_distinct(F.transform("required_keywords", F.lower))).alias("low")
-    ).distinct()
+    )
 
 
 def with_collisions(freq: DataFrame, templates: DataFrame) -> DataFrame:

@@ -127,17 +127,37 @@ def load_snapshot(spark: SparkSession, folder: str, snapshot_id: int) -> DataFra
 
 
 def export_store_lines(templates: DataFrame, path: str) -> None:
-    """S6 for a store of any size: one JSON entry per line."""
-    templates.select(template_json().alias("value")).write.text(path)
+    """S6 for a store of any size: one JSON entry per line, its ``seq`` in front."""
+    line = F.concat(F.lit('{"seq":'), F.col("seq").cast("string"), F.lit(","), F.substring(template_json(), 2, 2**31 - 1))
+    templates.select(line.alias("value")).write.text(path)
 
 
-def export_store_json(templates: DataFrame, path: str, cfg: EngineConfig = EngineConfig()) -> None:
-    """S6. The whole store as one JSON object, in insertion order; refused beyond the inline bound."""
+def load_store_lines(spark: SparkSession, path: str, snapshot_id: int = 0) -> DataFrame:
+    """S5 on the line form; every task parses its own lines."""
+    entry = f"struct<seq:bigint,{STORE_ENTRY[len('struct<') :]}"
+    rows = spark.read.text(path).select(F.from_json("value", entry).alias("e"))
+    return rows.select(
+        F.col("e.seq").alias("seq"),
+        F.lit(snapshot_id).cast("bigint").alias("snapshot_id"),
+        *entry_columns(F.col("e"), F.localtimestamp()),
+    )
+
+
+def export_store_json(
+    templates: DataFrame, path: str, cfg: EngineConfig = EngineConfig()
+) -> bool:
+    """S6. The whole store as one JSON object in insertion order.
+
+    One object means one task, so the size is measured first; beyond the inline bound the line form
+    is written instead. Returns True for one object, False for lines.
+    """
     lines = templates.select("seq", "template_id", template_json().alias("entry"))
     size = lines.agg(F.sum(F.octet_length("entry"))).first()[0] or 0
     if size > cfg.inline_max_bytes:
-        raise ValueError(f"store of {size} bytes: use export_store_lines")
+        export_store_lines(templates, path)
+        return False
     store_object(lines).write.text(path)
+    return True
 
 
 def store_object(lines: DataFrame) -> DataFrame:

@@ -77,6 +77,18 @@ def test_store_json(spark, tmp_path):
     assert list(exported) == ["z_v1", "a_v1"] and exported["z_v1"]["fingerprint"]["required_keywords"] == ["Ä", "b"]
 
 
+def test_large_store_is_exported_as_lines(spark, sf, tmp_path):
+    from docloom.catalog import supplier_templates
+    from docloom.config import EngineConfig
+
+    suppliers = supplier_templates(spark, sf)
+    path = str(tmp_path / "lines")
+    assert store.export_store_json(suppliers, path, EngineConfig(inline_max_bytes=100)) is False
+    back = store.load_store_lines(spark, path)
+    same = ["seq", "template_id", "required_keywords", "rules", "checks", "keyword_quorum", "created_at"]
+    assert back.select(same).orderBy("seq").collect() == suppliers.select(same).orderBy("seq").collect()
+
+
 def test_audit_lines(spark):
     lines = ['{"ts": "t", "file": "a.pdf", "match_score": 0.5, "candidate_scores": {"x": 0.5}, "more": 1}', "", "  ", "{broken", "[]", '  {"file": "b"}  ']
     good, bad = audit.parse_audit_lines(spark.createDataFrame([(v,) for v in lines], "value string"))
