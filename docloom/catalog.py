@@ -788,9 +788,8 @@ def r5_delete(spark, sf):
 
 def settled_orders(spark, sf):
     pending = through_table(routed_with_text(extracted_orders(spark, sf)), "routed")
-    return settle(
-        pending, order_responses(spark, sf), order_store(spark), CFG, 1, F.col("backend") == "remote"
-    )
+    answers = through_table(order_responses(spark, sf), "responses")
+    return settle(pending, answers, order_store(spark), CFG, 1, F.col("backend") == "remote")
 
 
 def r6_learn_results(spark, sf):

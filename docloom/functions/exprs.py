@@ -52,13 +52,15 @@ def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-# Python's str.strip set: Unicode white space plus the four ASCII separators.
-_SPACE = r"[\s\x1c-\x1f]"
+# Fixed value: the white space Python's str.strip removes.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip_unicode(c: Column) -> Column:
-    lead = F.regexp_replace(c, rf"(?U)\A{_SPACE}+", "")
-    return F.regexp_replace(lead, rf"(?U){_SPACE}+\z", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def json_text(c: Column) -> Column:
