@@ -17,6 +17,7 @@ from docloom.functions import fuzzy
 from docloom.functions.exprs import let, materialise
 from docloom.functions.text import fold
 from docloom.operators.dimension import Dimension, InlineStore, as_dimension, inline_store, match_columns
+from docloom.session import through_table
 
 CANDIDATE = "struct<seq:bigint,template_id:string,score:double,hit_rate:double,quorum:double,hits:int>"
 
@@ -280,10 +281,14 @@ def _chunks(templates: DataFrame, cfg: EngineConfig):
 
 
 def _scored_by_chunks(slim: DataFrame, templates: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """One map-only pass per piece, each written before the next piece is fetched: the driver and the
+    plan never hold more than one bounded piece of the store."""
     return reduce(
         DataFrame.unionByName,
         [
-            score_candidates(slim, inline_store(piece), cfg).select("doc_id", "_cands")
+            through_table(
+                score_candidates(slim, inline_store(piece), cfg).select("doc_id", "_cands"), "scores"
+            )
             for piece in _chunks(templates, cfg)
         ],
     )
@@ -291,7 +296,7 @@ def _scored_by_chunks(slim: DataFrame, templates: DataFrame, cfg: EngineConfig)
 
 def match_by_chunks(docs: DataFrame, templates: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Exact scores against a store of any size: one map-only pass per bounded piece, then one
-    shuffle of scores (no text) by document."""
+    shuffle of scores (no text) by document. The passes run when this is called."""
     slim = docs.select("doc_id", "normalised_text")
     gathered = (
         _scored_by_chunks(slim, templates, cfg)
