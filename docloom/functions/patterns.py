@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import warnings
 from dataclasses import dataclass
-from functools import lru_cache
 
 try:
     from re import _constants as _codes
@@ -144,7 +143,6 @@ def _translate(pattern: str, names: dict[str, int]) -> tuple[str, bool]:
     return "".join(out), python_syntax
 
 
-@lru_cache(maxsize=4096)
 def prepare_pattern(pattern: str | None) -> Prepared:
     if not pattern:
         return Prepared(None, 0, False, False, None)

@@ -15,12 +15,15 @@ from docloom.operators.mining import fill_keywords
 
 
 def _group_counts(lists: pd.Series) -> pd.Series:
+    known: dict[str | None, int | None] = {None: None}  # responses of one kind repeat their patterns
+
+    def groups(pattern: str | None) -> int | None:
+        if pattern not in known:
+            known[pattern] = prepare_pattern(pattern).groups
+        return known[pattern]
+
     return pd.Series(
-        [
-            None if ps is None else [None if p is None else prepare_pattern(p).groups for p in ps]
-            for ps in lists
-        ],
-        dtype=object,
+        [None if ps is None else [groups(p) for p in ps] for ps in lists], dtype=object
     )
 
 
