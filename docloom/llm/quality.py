@@ -179,7 +179,7 @@ def score(spark, text: Column, model: Model) -> Column:
             ]
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return F.pandas_udf(each, "double", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(each, "double")(text)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
