@@ -5,16 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import byte_bpe, exact_dedup, html_text, packing, quality, secrets, sharding, simhash
+from docloom.llm import (
+    byte_bpe,
+    exact_dedup,
+    html_text,
+    licences,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    topk,
+)
 from docloom.llm.common import documents
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file is installed."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, F.pmod(F.col("vec_id"), F.lit(50)) == 0)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir)).select(
         "doc_id",
@@ -28,7 +45,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.digests(documents(spark, sf_dir), _vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.digests(documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +55,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.packed(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +66,18 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_ids(simhash.near_groups(documents(spark, sf_dir)))
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches = F.col("matches")
+    return licences.scan(documents(spark, sf_dir)).select(
+        "doc_id",
+        F.size(matches).cast("bigint").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(matches["licence"])), ",").alias("licences"),
+        F.array_join(
+            F.transform(matches, lambda m: F.concat_ws(":", m["licence"], m["start"], m["end"])), ","
+        ).alias("spans"),
+    )
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(documents(spark, sf_dir))
 
@@ -61,17 +90,33 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
+    op1_exact_top_k,
     op2_sharding,
     op3_byte_bpe,
     op4_quality_classifier,
     op5_packing,
     op6_html_extraction,
     op7_simhash_near_dedup,
+    op8_licence_scan,
     op9_secret_scan,
     op10_exact_dedup,
 ]
 
 ORACLES: dict[str, str] = {
+    "op1_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), p AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+    """,
     "op10_exact_dedup": """
         WITH t AS (
             SELECT doc_id,
