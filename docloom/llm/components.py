@@ -1,7 +1,8 @@
 """Connected components of a graph given as an edge table, by contraction.
 
-Each round points every vertex at its smallest neighbour (or itself), writes that map, and replaces the
-edges by the edges between images; maps compose to the final label. Nothing is gathered: all steps are
+Each round ranks the vertices by a fresh hash, points every vertex at its lowest-ranked neighbour (or itself),
+writes that map, and replaces the edges by the edges between images; maps compose to the final label. Fresh
+ranks shrink any graph by a constant factor a round, long paths too. Nothing is gathered: all steps are
 aggregations and joins of narrow tables in the shared folder.
 """
 
@@ -16,11 +17,14 @@ from docloom.session import through_table
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every vertex of ``edges`` (a, b bigint); root is one vertex of its component."""
     live = through_table(_proper(edges), "cc-edges")
-    labels = None
+    labels, turn = None, 0
     while not live.isEmpty():
+        turn += 1
+        ranked = lambda v: F.struct(F.xxhash64(v, F.lit(turn)).alias("rank"), F.col(v).alias("v"))  # noqa: B023, E731
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("to"))
-        step = through_table(step.select("v", F.least("v", "to").alias("to")), "cc-step")
+        step = both.groupBy("a").agg(F.min(ranked("b")).alias("best"))
+        step = step.select(F.col("a").alias("v"), F.least("best", ranked("a"))["v"].alias("to"))
+        step = through_table(step, "cc-step")
         # two jumps at once: where to, and where that points
         jump = step.select(F.col("v").alias("to"), F.col("to").alias("next"))
         step = through_table(
