@@ -27,7 +27,7 @@ from docloom.plans.batch import extract_documents, route_documents, run_batch
 from docloom.plans.rounds import learn_round, routed_with_text, settle
 from docloom.session import new_path, spread, through_table
 from docloom.sources import assembly, audit, responses, store
-from docloom.sources.files import dispatch
+from docloom.sources.files import discover, dispatch
 from docloom.streaming.folder import hit_deltas, run_folder
 
 CFG = EngineConfig()
@@ -142,12 +142,12 @@ def supplier_templates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def benchmark_templates(spark: SparkSession, sf: str) -> DataFrame:
-    """One template per benchmark item: its first eight tokens."""
+    """One template per benchmark item: all its distinct tokens."""
     b = table(spark, sf, "benchmark", "item_id", "text")
     return b.select(
         F.concat(F.lit("bench_"), F.col("item_id").cast("string")).alias("template_id"),
-        F.slice(
-            F.regexp_extract_all("text", F.lit(mining.token_pattern(CFG.min_token_len)), F.lit(0)), 1, 8
+        F.array_distinct(
+            F.regexp_extract_all("text", F.lit(mining.token_pattern(CFG.min_token_len)), F.lit(0))
         ).alias("required_keywords"),
     )
 
@@ -190,7 +190,7 @@ def order_responses(spark: SparkSession, sf: str) -> DataFrame:
         key,
         F.lit('", "segment": "'),
         F.col("c_mktsegment"),
-        F.lit('", "customer": null}}'),
+        F.lit('", "customer": null, "urgent": true, "share": 0.25, "items": [{"a": 1}, []]}}'),
     )
     raw = (
         F.when(price > 400000, F.substring(body, 1, 120))
@@ -301,10 +301,7 @@ def s4_assemble_sheets(spark, sf):
     )
 
 
-def s5_s6_store_roundtrip(spark, sf):
-    path = new_path(spark, "store")
-    one_object = store.export_store_json(supplier_templates(spark, sf), path)
-    back = (store.load_store_json if one_object else store.load_store_lines)(spark, path)
+def _store_rows(back: DataFrame) -> DataFrame:
     return back.select(
         "seq",
         "template_id",
@@ -320,6 +317,20 @@ def s5_s6_store_roundtrip(spark, sf):
     )
 
 
+def s5_s6_store_roundtrip(spark, sf):
+    """The store as one JSON object, written and read back."""
+    path = new_path(spark, "store")
+    store.export_store_json(supplier_templates(spark, sf), path)
+    return _store_rows(store.load_store_json(spark, path))
+
+
+def s5_s6_store_lines(spark, sf):
+    """The store in the line form, written and read back."""
+    path = new_path(spark, "store")
+    store.export_store_lines(supplier_templates(spark, sf), path)
+    return _store_rows(store.load_store_lines(spark, path))
+
+
 def s6_snapshot(spark, sf):
     folder = new_path(spark, "snapshots")
     store.save_snapshot(supplier_templates(spark, sf), folder, 3)
@@ -363,6 +374,26 @@ def s7_s8_audit(spark, sf):
     )
 
 
+def s8_extra(spark, sf):
+    """What a writer added to its records comes back."""
+    good, _ = audit_roundtrip(spark, sf)
+    return good.select("file", F.col("extra")["run"].alias("run"), long(F.size("extra")).alias("n_extra"))
+
+
+def s10_export(spark, sf):
+    """Audit records as exported JSON lines, read as plain text."""
+    path = new_path(spark, "export")
+    audit.append_audit(order_audit(spark, sf), path)
+    line = lambda key: F.get_json_object("value", f"$.{key}").alias(key)
+    return spark.read.text(path).select(line("file"), line("ts"), line("result"), line("run"))
+
+
+def s1_discover(spark, sf):
+    """The table files of the input folder, without reading them."""
+    found = discover(spark, sf, ("*.parquet",))
+    return found.select(basename(F.col("path")).alias("file"), (F.col("length") > 0).alias("filled"))
+
+
 def s8_bad_lines(spark, sf):
     _, bad = audit_roundtrip(spark, sf)
     return bad.groupBy("line").agg(F.count("*").alias("n"))
@@ -370,11 +401,24 @@ def s8_bad_lines(spark, sf):
 
 def s9_results(spark, sf):
     path = new_path(spark, "results")
-    audit.write_results(order_results(spark, sf), path)
-    back = spark.read.schema(
-        "doc_id string, document_path string, template_id string, match_score double, route string, data_json string"
-    ).json(path)
-    return back.select("doc_id", "document_path", F.coalesce("template_id", F.lit("-")).alias("template_id"), "match_score", "data_json")
+    written = order_results(spark, sf)
+    audit.write_results(written, path)
+    back = spark.read.schema(written.schema).json(path)
+    return back.select(
+        "doc_id",
+        "document_path",
+        F.coalesce("template_id", F.lit("-")).alias("template_id"),
+        "match_score",
+        "data_json",
+        "route",
+        F.coalesce("existing_template_id", F.lit("-")).alias("existing_template_id"),
+        "field_count",
+        "llm_used",
+        F.coalesce("llm_backend", "llm_model", F.lit("-")).alias("responder"),
+        "validation_passed",
+        joined("validation_errors").alias("errors"),
+        long(F.size("candidate_scores")).alias("n_candidates"),
+    )
 
 
 def s11_decode(spark, sf):
@@ -398,7 +442,7 @@ def s12_requests(spark, sf):
 
 
 def s13_folder_stream(spark, sf):
-    """Rendered orders arrive as files; the stream settles them and stops."""
+    """Rendered orders arrive as files; the stream settles them and stops; its hits make a snapshot."""
     source, out = new_path(spark, "inbox"), new_path(spark, "stream")
     docs = orders(spark, sf)
     docs.write.parquet(source)
@@ -407,8 +451,11 @@ def s13_folder_stream(spark, sf):
     counts = results.groupBy(F.coalesce("template_id", F.lit("-")).alias("template_id"), "route").agg(
         F.count("*").alias("documents")
     )
-    return counts.join(hit_deltas(spark, out), "template_id", "left").select(
-        "template_id", "route", "documents", F.coalesce("hits", F.lit(0)).alias("hits")
+    stored = lifecycle.add_hits(order_store(spark), hit_deltas(spark, out))
+    store.save_snapshot(stored, f"{out}/snapshots", 1)
+    after = store.load_snapshot(spark, f"{out}/snapshots", 1).select("template_id", "hit_count")
+    return counts.join(after, "template_id", "left").select(
+        "template_id", "route", "documents", F.coalesce("hit_count", F.lit(0)).alias("hits")
     )
 
 
@@ -571,6 +618,25 @@ def j9_match_orders(spark, sf):
     )
 
 
+def _decisions(matched: DataFrame) -> DataFrame:
+    return matched.select(
+        "doc_id",
+        F.coalesce("template_id", F.lit("-")).alias("template_id"),
+        F.round("match_score", 6).alias("match_score"),
+        F.coalesce("near_miss_id", F.lit("-")).alias("near_miss_id"),
+    )
+
+
+def j9_plan_inline(spark, sf):
+    """The same question with the store as data of higher-order functions."""
+    return _decisions(matching.match(orders(spark, sf), order_store(spark), EngineConfig(compiled_max_templates=0)))
+
+
+def j9_plan_chunks(spark, sf):
+    """The same question with the store in pieces of one template each."""
+    return _decisions(matching.match(orders(spark, sf), order_store(spark), EngineConfig(inline_max_templates=1)))
+
+
 def j9_match_by_grams(spark, sf):
     """A store that grows with the suppliers, matched by equi-join on keyword grams."""
     names = table(spark, sf, "supplier", "s_suppkey", "s_name")
@@ -581,7 +647,6 @@ def j9_match_by_grams(spark, sf):
         F.col("l_orderkey").cast("string").alias("doc_id"),
         F.concat(F.lit("Delivery Note for "), joined("names", ", "), F.lit(" end")).alias("normalised_text"),
     )
-    small = EngineConfig(exact_scores=False)
     stored = supplier_templates(spark, sf).withColumns(
         {
             "supplier_hint": F.lit(""),
@@ -590,7 +655,7 @@ def j9_match_by_grams(spark, sf):
             ),
         }
     )
-    return matching.match_by_grams(docs, stored, small).select(
+    return matching.match_by_grams(docs, stored, CFG).select(
         "doc_id",
         "best_template_id",
         F.round("match_score", 6).alias("match_score"),
@@ -670,7 +735,7 @@ def x6_mails(spark, sf):
 
 
 def x6_links(spark, sf):
-    pattern = F.lit(SEARCH + r'<li><a href="([^"]*)">([^<"\\]*)</a></li>')
+    pattern = F.lit(SEARCH + r'<li><a href="([^"]*)">([^<]*)</a></li>')
     pages = spread(table(spark, sf, "pages", "page_id", "html"), "page_id")
     found = materialise(pages, links=extraction.all_matches(F.col("html"), pattern, F.lit(2)))
     return found.select("page_id", long(F.size("links")).alias("n_links"), F.md5(joined("links", "\n")).alias("digest"))
@@ -802,6 +867,7 @@ def r6_learn_results(spark, sf):
         "validation_passed",
         joined("validation_errors").alias("errors"),
         "field_count",
+        F.when(F.col("llm_used"), F.col("data_json")).otherwise("-").alias("answer"),
     )
 
 
@@ -974,10 +1040,10 @@ def a8_field_counts(spark, sf):
 
 
 def a9_batch_duration(spark, sf):
-    """Batch wall time spread over its documents; only its shape can be compared."""
-    results = order_results(spark, sf)
+    """The wall time of the run that made the results, spread over them; only its shape can be compared."""
     with report.BatchClock() as clock:
-        n = results.groupBy("route").agg(F.count("*").alias("n")).agg(F.sum("n")).first()[0]
+        results = through_table(order_results(spark, sf), "timed")
+    n = results.count()
     return audit.audit_records(results, clock.per_document(n)).groupBy("result").agg(
         F.count("*").alias("documents"), F.min(F.col("duration_ms") >= 0).alias("timed")
     )
@@ -1006,12 +1072,12 @@ def full_run_texts(spark, sf):
 
 
 QUERIES = [
-    s2_dispatch, s3_assemble_pages, s4_assemble_sheets, s5_s6_store_roundtrip, s6_snapshot,
-    s7_s8_audit, s8_bad_lines, s9_results, s11_decode, s12_requests, s13_folder_stream,
+    s1_discover, s2_dispatch, s3_assemble_pages, s4_assemble_sheets, s5_s6_store_roundtrip, s5_s6_store_lines,
+    s6_snapshot, s7_s8_audit, s8_bad_lines, s8_extra, s9_results, s10_export, s11_decode, s12_requests, s13_folder_stream,
     p1_normalise, p2_sheet_markers, p3_p4_fold_preview, p5_paths, p6_build, p7_listing, p8_lookup,
     p9_in_order, p10_import, p11_questions, p12_response_fields,
     j1_keyword_hits, j3_supplier_contained, j3_supplier_fuzzy, j5_best, j6_decision, j7_candidates,
-    j8_near_miss, j9_match_orders, j9_match_by_grams, j10_family, j11_rules_of_document,
+    j8_near_miss, j9_match_orders, j9_plan_inline, j9_plan_chunks, j9_match_by_grams, j10_family, j11_rules_of_document,
     x1_values, x2_string, x3_date, x4_decimal, x5_integer, x6_list, x6_mails, x6_links,
     x7_x9_table_pages, x8_x9_table_text, x10_type_dispatch,
     v1_v5_validate, v4_pattern_check, v6_critical,

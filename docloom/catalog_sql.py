@@ -199,7 +199,7 @@ freq AS (
   FROM words GROUP BY doc_id, low
 ),
 owned AS (
-  SELECT DISTINCT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ0-9]{4,}')[1:8])) AS low FROM benchmark
+  SELECT DISTINCT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ0-9]{4,}'))) AS low FROM benchmark
 ),
 collided AS (
   SELECT f.*, COALESCE(u.users, 0) AS collisions
@@ -237,8 +237,18 @@ ORACLES: dict[str, str] = {
             CASE WHEN no_date THEN 'null' ELSE '"' || strftime(o_orderdate, '%Y-%m-%d') || '"' END || ',"customer":' ||
             CASE WHEN no_customer THEN 'null' ELSE '"' || c_name || '"' END || ',"total":' || CAST(o_totalprice AS VARCHAR) ||
             CASE WHEN kind = 'confirmation_v1' THEN ',"articles":' || COALESCE(articles, '[]') ELSE ',"line_count":' || n_lines END ||
-            ',"lines":' || COALESCE(lines, '[]') || '}' END AS data_json
+            ',"lines":' || COALESCE(lines, '[]') || '}' END AS data_json,
+          route, CASE WHEN route IN ('HIT_REPAIR', 'NEAR_MISS') THEN kind ELSE '-' END AS existing_template_id,
+          CAST(CASE WHEN route IN ('HIT_PASS', 'HIT_TOLERATED') THEN 6 ELSE 0 END AS BIGINT) AS field_count, false AS llm_used, '-' AS responder,
+          route = 'HIT_PASS' AS validation_passed, COALESCE(array_to_string(errors, ' | '), '') AS errors, CAST(3 AS BIGINT) AS n_candidates
         FROM routed LEFT JOIN arts USING (doc_id)""", LINES),
+    "s8_extra": on_orders("SELECT 'order-' || doc_id || '.pdf' AS file, 'nightly' AS run, CAST(1 AS BIGINT) AS n_extra FROM routed"),
+    "s10_export": on_orders("""
+        SELECT 'order-' || doc_id || '.pdf' AS file, '2024-05-06T07:08:09.123456+00:00' AS ts,
+          CASE WHEN half OR cold THEN 'MISS' ELSE 'HIT' END AS result, 'nightly' AS run FROM routed"""),
+    "s1_discover": """
+        SELECT name || '.parquet' AS file, true AS filled FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'),
+          ('orders'), ('lineitem'), ('events'), ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')) t(name)""",
     "s11_decode": on_orders("""
         SELECT response_seq, reject, CASE WHEN reject <> '-' THEN '-' WHEN blank THEN 'none' ELSE answered_id END AS answered_id,
           CASE WHEN reject <> '-' THEN '-' WHEN blank THEN 'none' ELSE segment END AS segment FROM answers""", ANSWERS),
@@ -281,8 +291,9 @@ ORACLES: dict[str, str] = {
           md5('Extracted fields:' || chr(10) || '{"lang":"' || lang || '"}' || chr(10) || chr(10) || 'Document text:' || chr(10) || substr(d.text, 1, 8000) || chr(10) || chr(10) || 'Question: ' || c.text) AS prompt
         FROM conversations c JOIN documents d ON d.doc_id = c.conv_id WHERE role = 'user'""",
     "p12_response_fields": on_orders("""
-        SELECT response_seq, 'raw' AS kind, f.field, CASE f.field WHEN 'order_number' THEN doc_id WHEN 'segment' THEN segment ELSE '<null>' END AS s
-        FROM usable, (VALUES ('order_number'), ('segment'), ('customer')) f(field) WHERE NOT blank""", ANSWERS),
+        SELECT response_seq, 'raw' AS kind, f.field, CASE f.field WHEN 'order_number' THEN doc_id WHEN 'segment' THEN segment WHEN 'urgent' THEN 'true'
+          WHEN 'share' THEN '0.25' WHEN 'items' THEN '[{"a":1},[]]' ELSE '<null>' END AS s
+        FROM usable, (VALUES ('order_number'), ('segment'), ('customer'), ('urgent'), ('share'), ('items')) f(field) WHERE NOT blank""", ANSWERS),
     "j1_keyword_hits": on_texts("SELECT doc_id, template_id, hits, round(score, 6) AS keyword_score FROM scored"),
     "j3_supplier_contained": on_orders("SELECT doc_id, candidate AS template_id, CASE WHEN candidate = kind AND NOT cold THEN least(1.0, CASE WHEN half THEN 0.4 ELSE 1.0 END + 0.1) ELSE 0.1 END AS score FROM scores"),
     "j3_supplier_fuzzy": on_orders("""
@@ -319,8 +330,8 @@ ORACLES: dict[str, str] = {
     "x6_list": on_orders("SELECT doc_id, CASE WHEN kind <> 'confirmation_v1' THEN '-' ELSE COALESCE((SELECT string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY line) FROM line_rows l WHERE l.doc_id = hit.doc_id), '') END AS articles FROM hit", LINES),
     "x6_mails": r"SELECT CAST(doc_id AS VARCHAR) AS doc_id, array_to_string(regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Pc}.]+@[\p{L}\p{M}\p{Nd}\p{Pc}.]+\.[\p{L}\p{M}\p{Nd}\p{Pc}]+'), ' | ') AS mails FROM documents",
     "x6_links": r"""
-        WITH f AS (SELECT page_id, regexp_extract_all(html, '(?i)<li><a href="([^"]*)">([^<"\\]*)</a></li>', 1) AS a, regexp_extract_all(html, '(?i)<li><a href="([^"]*)">([^<"\\]*)</a></li>', 2) AS b FROM pages)
-        SELECT page_id, len(a) AS n_links, md5(array_to_string(list_transform(range(1, len(a) + 1), lambda i: '["' || a[i] || '","' || b[i] || '"]'), chr(10))) AS digest FROM f""",
+        WITH f AS (SELECT page_id, regexp_extract_all(html, '(?i)<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS a, regexp_extract_all(html, '(?i)<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS b FROM pages)
+        SELECT page_id, len(a) AS n_links, md5(array_to_string(list_transform(range(1, len(a) + 1), lambda i: '["' || replace(replace(a[i], '\', '\\'), '"', '\"') || '","' || replace(replace(b[i], '\', '\\'), '"', '\"') || '"]'), chr(10))) AS digest FROM f""",
     "x7_x9_table_pages": on_orders("SELECT l.doc_id, line, pos, article, quantity, amount FROM line_rows l JOIN hit USING (doc_id) WHERE kind = 'invoice_v1'", LINES),
     "x8_x9_table_text": on_orders("SELECT l.doc_id, line, pos, article, quantity, amount FROM line_rows l JOIN hit USING (doc_id) WHERE kind <> 'invoice_v1'", LINES),
     "x10_type_dispatch": on_orders("""
@@ -373,7 +384,9 @@ ORACLES: dict[str, str] = {
         SELECT r.doc_id, CASE WHEN t.doc_id IS NOT NULL THEN t.target_id WHEN r.half OR r.cold THEN '-' ELSE r.kind END AS template_id,
           t.doc_id IS NOT NULL AS llm_used, CASE WHEN t.doc_id IS NULL THEN '-' WHEN t.o_orderstatus = 'O' THEN 'local' ELSE 'remote' END AS llm_backend,
           r.route = 'HIT_PASS' OR t.doc_id IS NOT NULL AS validation_passed, COALESCE(array_to_string(r.errors, ' | '), '') AS errors,
-          CAST(CASE WHEN t.doc_id IS NOT NULL THEN CASE WHEN t.blank THEN 0 ELSE 3 END WHEN r.route IN ('HIT_PASS', 'HIT_TOLERATED') THEN 6 ELSE 0 END AS BIGINT) AS field_count
+          CAST(CASE WHEN t.doc_id IS NOT NULL THEN CASE WHEN t.blank THEN 0 ELSE 6 END WHEN r.route IN ('HIT_PASS', 'HIT_TOLERATED') THEN 6 ELSE 0 END AS BIGINT) AS field_count,
+          CASE WHEN t.doc_id IS NULL THEN '-' WHEN t.blank THEN '{}' ELSE '{"order_number":"' || t.response_seq || '","segment":"' || t.segment ||
+            '","customer":null,"urgent":true,"share":0.25,"items":[{"a":1},[]]}' END AS answer
         FROM routed r LEFT JOIN targeted t USING (doc_id)""", ANSWERS),
     "r7_responder_round": on_orders("""
         SELECT CASE WHEN cold THEN 'memo_v1' ELSE kind END AS template_id, route IN ('HIT_REPAIR', 'NEAR_MISS', 'COLD_MISS') AS llm_used, count(*) AS documents,
@@ -420,7 +433,7 @@ ORACLES: dict[str, str] = {
     "a6_validator_metrics": on_orders("SELECT kind AS template_id, count(*) AS documents, count(*) FILTER (len(errors) = 0) AS passed, CAST(sum(len(errors)) AS BIGINT) AS error_count, CAST(CASE WHEN kind = 'confirmation_v1' THEN 4 ELSE 5 END AS BIGINT) AS check_count FROM judged GROUP BY kind"),
     "a7_responder_metrics": on_orders("""
         SELECT CASE WHEN o_orderstatus = 'O' THEN 'local' ELSE 'remote' END AS backend, 'fixture' AS model, count(*) AS calls, count(*) FILTER (is_repair OR is_near) AS updates,
-          count(*) FILTER (reject <> '-') AS rejected, CAST(sum(CASE WHEN reject = '-' AND NOT blank THEN 3 ELSE 0 END) AS BIGINT) AS field_count
+          count(*) FILTER (reject <> '-') AS rejected, CAST(sum(CASE WHEN reject = '-' AND NOT blank THEN 6 ELSE 0 END) AS BIGINT) AS field_count
         FROM answers GROUP BY 1""", ANSWERS),
     "a8_field_counts": on_orders("SELECT doc_id, kind AS template_id, CAST(6 AS BIGINT) AS field_count FROM hit"),
     "a9_batch_duration": on_orders("SELECT CASE WHEN half OR cold THEN 'MISS' ELSE 'HIT' END AS result, count(*) AS documents, true AS timed FROM routed GROUP BY 1"),
@@ -447,3 +460,7 @@ ORACLES: dict[str, str] = {
             WHEN 'mit_v1' THEN '{"licence":' || COALESCE('"' || licence || '"', 'null') || '}' WHEN 'cc_v1' THEN '{"version":' || COALESCE('"' || version || '"', 'null') || '}' ELSE '{}' END AS data_json
         FROM v"""),
 }
+
+# The same questions on other plans.
+ORACLES["s5_s6_store_lines"] = ORACLES["s5_s6_store_roundtrip"]
+ORACLES["j9_plan_inline"] = ORACLES["j9_plan_chunks"] = ORACLES["j9_match_orders"]

@@ -28,7 +28,5 @@ class EngineConfig:
     # into the stage (measured twice as fast); above them it is data for higher-order functions.
     compiled_max_templates: int = 64
     compiled_max_keywords: int = 512
-
-    # True: every template gets its exact score in the candidate map (fuzzy supplier ratio
-    # included). False: only templates with at least one keyword hit are scored.
-    exact_scores: bool = True
+    # Rules and checks whose patterns become literals of the plan, compiled once per task.
+    compiled_max_rules: int = 128

@@ -155,7 +155,37 @@ def prepare_pattern(pattern: str | None) -> Prepared:
         return Prepared(None, -1, False, False, str(exc))
     java, python_syntax = _translate(pattern, compiled.groupindex)
     optional = compiled.groups > 0 and _group_one_may_be_absent(tree)
-    return Prepared(java, compiled.groups, python_syntax or _has_conditional(tree), optional, None)
+    python_only = python_syntax or _has_conditional(tree) or _jvm_may_refuse(tree)
+    return Prepared(java, compiled.groups, python_only, optional, None)
+
+
+_INT_MAX = 2**31 - 1
+
+
+def _jvm_may_refuse(tree, behind: bool = False) -> bool:
+    """Constructs both dialects can spell but the JVM may not compile: a reference to a group inside a
+    look-behind, and counts beyond 32 bits. Told from the pattern alone, so that a store of any size
+    gets the same answer and a refused pattern never reaches the JVM."""
+    for op, arg in tree:
+        if op is _codes.GROUPREF:
+            refused = behind
+        elif op in (_codes.MAX_REPEAT, _codes.MIN_REPEAT, _codes.POSSESSIVE_REPEAT):
+            low, high, body = arg
+            beyond = low > _INT_MAX or (high is not _codes.MAXREPEAT and high > _INT_MAX)
+            refused = beyond or _jvm_may_refuse(body, behind)
+        elif op is _codes.SUBPATTERN:
+            refused = _jvm_may_refuse(arg[-1], behind)
+        elif op is _codes.BRANCH:
+            refused = any(_jvm_may_refuse(branch, behind) for branch in arg[1])
+        elif op is _codes.ATOMIC_GROUP:
+            refused = _jvm_may_refuse(arg, behind)
+        elif op in (_codes.ASSERT, _codes.ASSERT_NOT):
+            refused = _jvm_may_refuse(arg[1], behind or arg[0] < 0)
+        else:
+            refused = False
+        if refused:
+            return True
+    return False
 
 
 def _has_conditional(tree) -> bool:
@@ -172,7 +202,6 @@ DATE_CODES = {
     "M": r"([0-5][0-9]|[0-9])",
     "S": r"([0-5][0-9]|[0-9])",
 }
-DEFAULT_DATE_FORMATS = ["%d.%m.%Y", "%d.%m.%y", "%Y-%m-%d", "%d/%m/%Y"]
 
 
 def date_pattern(fmt: str) -> tuple[str, str] | None:

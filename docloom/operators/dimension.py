@@ -54,6 +54,8 @@ class Dimension:
     needs_python: bool
     # Small enough to be matched as plain column expressions.
     compiled: bool = False
+    # Prepared templates (as JSON text) whose patterns become literals of the plan; None: too many.
+    literal: str | None = None
     cfg: EngineConfig = field(default_factory=EngineConfig)
 
     @property
@@ -80,11 +82,14 @@ def _match_columns() -> list[Column]:
 
 def load(templates: DataFrame, cfg: EngineConfig = EngineConfig()) -> Dimension:
     wanted = templates.select(*_match_columns(), "rules", "checks")
-    n, n_kw, n_bytes = wanted.agg(
+    n, n_ids, n_kw, n_bytes = wanted.agg(
         F.count("*"),
+        F.count_distinct("template_id"),
         F.coalesce(F.sum(F.size("kws")), F.lit(0)),
         F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)),
     ).first()
+    if n_ids != n:
+        raise ValueError("template ids of a store must be unique and not null")
     if (
         n > cfg.inline_max_templates
         or n_kw > cfg.inline_max_keywords
@@ -93,14 +98,27 @@ def load(templates: DataFrame, cfg: EngineConfig = EngineConfig()) -> Dimension:
         prepared = templates.select("template_id", "rules", "checks").mapInPandas(
             _prepare_batches, PREPARED
         )
-        return Dimension(templates, None, prepared, True, False, cfg)
+        return Dimension(templates, None, prepared, True, cfg=cfg)
     rows = wanted.collect()
     ready = [_prepare_template(r["template_id"], r["rules"], r["checks"]) for r in rows]
     _keep_jvm_patterns(templates.sparkSession, ready)
     prepared = F.broadcast(templates.sparkSession.createDataFrame(ready, PREPARED))
     needs_python = any(rule["python_only"] for t in ready for rule in t["rules"])
     compiled = n <= cfg.compiled_max_templates and n_kw <= cfg.compiled_max_keywords
-    return Dimension(templates, rows, prepared, needs_python, compiled, cfg)
+    few = compiled and sum(len(t["rules"]) + len(t["checks"]) for t in ready) <= cfg.compiled_max_rules
+    return Dimension(templates, rows, prepared, needs_python, compiled, json.dumps(ready) if few else None, cfg)
+
+
+def literals(values: dict, ddl: str) -> dict[str, Column]:
+    """A prepared rule or check as one literal column per field of its struct type."""
+
+    def one(value, kind: str) -> Column:
+        if isinstance(value, list):
+            return F.array(*[F.lit(v) for v in value]).cast(kind)
+        return F.lit(value).cast(kind)
+
+    fields = [f.split(":") for f in ddl[len("struct<") : -1].split(",")]
+    return {name: one(values[name], kind) for name, kind in fields}
 
 
 def as_dimension(store: DataFrame | Dimension, cfg: EngineConfig) -> Dimension:

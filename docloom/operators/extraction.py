@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig
 from docloom.functions.exprs import built_once, let, materialise, strip_unicode
-from docloom.operators.dimension import Dimension, as_dimension
+from docloom.operators.dimension import PREPARED_RULE, Dimension, as_dimension, literals
 from docloom.schemas import VALUE
 
 VALUES = f"array<{VALUE}>"
@@ -320,7 +320,10 @@ def apply_rules(docs: DataFrame, dim: Dimension) -> DataFrame:
                 ),
             ),
         )
-    values = _values(dim.needs_python, "pages" in docs.columns)
+    if dim.literal:
+        values = _literal_values(dim.literal, dim.needs_python, "pages" in docs.columns)
+    else:
+        values = _values(dim.needs_python, "pages" in docs.columns)
     return materialise(docs, values=values).drop("_python")
 
 
@@ -339,6 +342,29 @@ def _values(with_python: bool, with_pages: bool) -> Column:
     ).cast(VALUES)
 
 
+@built_once
+def _literal_values(prepared: str, with_python: bool, with_pages: bool) -> Column:
+    """The same values with every pattern a literal: one branch per template, one expression per rule.
+
+    Patterns are then compiled once per task; as columns they would be compiled per row.
+    """
+    python = F.col("_python") if with_python else None
+    none = F.array().cast("array<array<array<string>>>")
+    tables = F.col("pages") if with_pages else None
+    if tables is not None:
+        tables = F.coalesce(F.flatten(F.transform(tables, lambda p: F.coalesce(p["tables"], none))), none)
+    branch = None
+    for t in json.loads(prepared):
+        values = [
+            _evaluate(literals(r, PREPARED_RULE), F.col("full_text"), none if tables is None else tables, python)
+            for r in t["rules"]
+        ]
+        chosen = F.array(*values).cast(VALUES)
+        asked = F.col("template_id") == t["template_id"]
+        branch = F.when(asked, chosen) if branch is None else branch.when(asked, chosen)
+    return F.lit(None).cast(VALUES) if branch is None else branch
+
+
 @built_once
 def latest_per_field(column: str) -> Column:
     """X1. One value per field in first-appearance order: the last rule's value, the last error."""

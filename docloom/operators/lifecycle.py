@@ -20,8 +20,14 @@ def count_hits(templates: DataFrame, results: DataFrame, now: Column | None = No
         .groupBy("template_id")
         .agg(F.count("*").alias("_hits"))
     )
+    return add_hits(templates, hits.withColumnRenamed("_hits", "hits"), now)
+
+
+def add_hits(templates: DataFrame, deltas: DataFrame, now: Column | None = None) -> DataFrame:
+    """R2. Hit counts of a run or a stream (template_id, hits) laid on the store: the next snapshot."""
     now = F.localtimestamp() if now is None else now
-    out = templates.join(hits, "template_id", "left")
+    deltas = deltas.groupBy("template_id").agg(F.sum("hits").cast("bigint").alias("_hits"))
+    out = templates.join(deltas, "template_id", "left")
     return out.withColumn(
         "hit_count", F.col("hit_count") + F.coalesce("_hits", F.lit(0))
     ).withColumn(
@@ -29,13 +35,6 @@ def count_hits(templates: DataFrame, results: DataFrame, now: Column | None = No
     ).select(*templates.columns)
 
 
-def union_keywords(old: Column, new: Column) -> Column:
-    """R3. Old keywords, then the new ones not among them (case-insensitive); the new list is not
-    de-duplicated against itself."""
-    known = F.transform(old, F.lower)
-    return F.concat(old, F.filter(new, lambda k: ~F.array_contains(known, F.lower(k))))
-
-
 def delete_templates(templates: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """R5. (remaining templates, requested ids with ``found``)."""
     wanted = ids.select("template_id").distinct()
@@ -147,17 +146,22 @@ def fold_updates(templates: DataFrame, incoming: DataFrame, snapshot_id: int | N
 
 def overlay_responses(results: DataFrame, decoded: DataFrame, targets: DataFrame) -> DataFrame:
     """R6. Results of documents that got a usable response: its data, responder named, validation
-    forced to passed; score and old errors stay. ``targets``: (doc_id, target_id)."""
+    forced to passed; score and old errors stay. ``targets``: (response_seq, target_id). The data is taken
+    as given, JSON types included. Of several answers for a document the last stands."""
     answers = (
         decoded.filter(F.col("reject").isNull())
         .select(
             "doc_id",
-            F.coalesce(F.to_json("body.extracted_data", {"ignoreNullFields": "false"}), F.lit("{}")).alias("_json"),
+            "response_seq",
+            F.coalesce("data_json", F.lit("{}")).alias("_json"),
             F.coalesce(F.size(F.map_keys("body.extracted_data")), F.lit(0)).cast("bigint").alias("_fields"),
             F.col("backend").alias("_backend"),
             F.col("model").alias("_model"),
         )
-        .join(targets.select("doc_id", "target_id"), "doc_id")
+        .join(targets.select("response_seq", "target_id"), "response_seq")
+        .groupBy("doc_id")
+        .agg(F.max_by(F.struct("_json", "_fields", "_backend", "_model", "target_id"), "response_seq").alias("_last"))
+        .select("doc_id", "_last.*")
     )
     joined = results.join(answers, "doc_id", "left")
     answered = F.col("target_id").isNotNull()

@@ -158,16 +158,16 @@ def match(
 ) -> DataFrame:
     """J9. Score every document against every template and decide.
 
-    An empty store leaves every document with score 0, no template and an empty map.
+    An empty store leaves every document with score 0, no template and an empty map. The plan depends on
+    the store's size, the result doesn't: every plan scores every template exactly. (``match_by_grams``,
+    which lists only templates with a keyword hit, is a different question and only asked by name.)
     """
     dim = as_dimension(store, cfg)
     if dim.compiled and dim.rows:
         return match_compiled(docs, dim, cfg)
     if dim.inline is not None:
         return decide(score_candidates(docs, dim.inline, cfg), cfg)
-    if cfg.exact_scores:
-        return match_by_chunks(docs, dim.templates, cfg)
-    return match_by_grams(docs, dim.templates, cfg)
+    return match_by_chunks(docs, dim.templates, cfg)
 
 
 def match_compiled(docs: DataFrame, dim: Dimension, cfg: EngineConfig) -> DataFrame:
@@ -295,15 +295,20 @@ def _scored_by_chunks(slim: DataFrame, templates: DataFrame, cfg: EngineConfig)
 
 
 def match_by_chunks(docs: DataFrame, templates: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Exact scores against a store of any size: one map-only pass per bounded piece, then one
-    shuffle of scores (no text) by document. The passes run when this is called."""
-    slim = docs.select("doc_id", "normalised_text")
+    """Exact scores against a store of any size: one map-only pass per bounded piece.
+
+    Documents are numbered first, so repeated doc_ids keep apart. Scores are gathered and decided by that
+    number without any text; the decision then meets its document once. The passes run when this is called.
+    """
+    numbered = through_table(docs.withColumn("_row", F.monotonically_increasing_id()), "chunk-docs")
+    slim = numbered.select(F.col("_row").alias("doc_id"), "normalised_text")
     gathered = (
         _scored_by_chunks(slim, templates, cfg)
         .groupBy("doc_id")
         .agg(F.array_sort(F.flatten(F.collect_list("_cands"))).alias("_cands"))
     )
-    return decide(docs.join(gathered, "doc_id", "left"), cfg)
+    decided = decide(gathered, cfg).withColumnRenamed("doc_id", "_row")
+    return numbered.join(decided, "_row", "left").drop("_row")
 
 
 GRAM = 4
@@ -405,6 +410,7 @@ def match_by_grams(docs: DataFrame, templates: DataFrame, cfg: EngineConfig) ->
 
 
 FAMILY_PIECE = 1_000
+FAMILY_SALTS = 16
 
 
 def family_match(
@@ -414,7 +420,7 @@ def family_match(
 
     ``incoming``: (key, doc_type, supplier_hint). Stored names meet the distinct asked names in
     bounded lists per document type, rated inside the row: no pair of names becomes a row of its own.
-    Keys without a family keep nulls; the first inserted wins a tie.
+    Asked names of a type are dealt to FAMILY_SALTS parts, so a hot type is split. Keys without a family keep nulls; the first inserted wins a tie.
     """
     names = (
         templates.filter(F.coalesce("supplier_hint", F.lit("")) != "")
@@ -429,7 +435,8 @@ def family_match(
     rated = (
         asked.select("doc_type", "asked")
         .distinct()
-        .join(lists, "doc_type")
+        .withColumn("salt", F.pmod(F.xxhash64("asked"), F.lit(FAMILY_SALTS)).cast("int"))
+        .join(lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(FAMILY_SALTS - 1)))), ["doc_type", "salt"])
         .withColumn(
             "ratios",
             fuzzy.row_ratios(F.col("asked"), F.transform("stored", lambda s: s["name"])),

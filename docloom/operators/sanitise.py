@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from docloom.config import EngineConfig
 from docloom.functions.exprs import materialise
 from docloom.functions.patterns import prepare_pattern
-from docloom.operators.dimension import Dimension, as_dimension
+from docloom.operators.dimension import PREPARED_RULE, Dimension, as_dimension, literals
 from docloom.operators.extraction import attach_rules
 from docloom.operators.mining import fill_keywords
 
@@ -97,50 +100,95 @@ def sanitise_templates(
     templates: DataFrame | None,
     cfg: EngineConfig = EngineConfig(),
 ) -> DataFrame:
-    """K14. Candidate templates (one per doc_id) cleaned against their source texts.
+    """K14. Candidate templates (one per response_seq) cleaned against their source texts.
 
-    ``sources``: (doc_id, full_text). The keyword step runs only when a store is given; collisions
+    ``sources``: (doc_id, full_text); only those of candidates are looked at. Several candidates of one
+    document keep apart. The keyword step runs only when a store is given; collisions
     are counted against it without the candidate's own id.
     """
     clean = sanitise_rules(candidates)
     if templates is None:
         return clean
-    proposals = candidates.select(
-        "doc_id",
-        F.col("required_keywords").alias("proposed"),
-        F.col("template_id").alias("own_template_id"),
-    ).join(sources.select("doc_id", "full_text"), "doc_id")
-    keywords = fill_keywords(proposals, templates, cfg).select("doc_id", "keywords")
+    proposals = (
+        candidates.select(
+            F.col("doc_id").alias("_source"),
+            F.col("response_seq").alias("doc_id"),
+            F.col("required_keywords").alias("proposed"),
+            F.col("template_id").alias("own_template_id"),
+        )
+        .join(sources.select(F.col("doc_id").alias("_source"), "full_text"), "_source")
+        .drop("_source")
+    )
+    keywords = fill_keywords(proposals, templates, cfg).select(F.col("doc_id").alias("response_seq"), "keywords")
     return (
-        clean.join(keywords, "doc_id", "left")
+        clean.join(keywords, "response_seq", "left")
         .withColumn("required_keywords", F.coalesce("keywords", "required_keywords"))
         .drop("keywords")
     )
 
 
+def _found_in_python(texts: pd.Series, patterns: pd.Series) -> pd.Series:
+    known: dict[str, re.Pattern] = {}
+
+    def found(text: str | None, pattern: str | None) -> bool | None:
+        if text is None or pattern is None:
+            return None
+        if pattern not in known:
+            known[pattern] = re.compile(pattern, re.IGNORECASE | re.MULTILINE)
+        return known[pattern].search(text) is not None
+
+    return pd.Series([found(t, p) for t, p in zip(texts, patterns)], dtype=object)
+
+
 def rule_coverage(
     docs: DataFrame, store: DataFrame | Dimension, cfg: EngineConfig = EngineConfig()
 ) -> DataFrame:
     """K12. How often each pattern rule finds something in its template's documents.
 
     ``docs``: doc_id, template_id, full_text. One flag per rule leaves the text behind; the shuffle
-    carries one partial row per rule and task.
+    carries one partial row per rule and task. Patterns only Python can run are searched there.
     """
     dim = as_dimension(store, cfg)
-    attached = attach_rules(docs.select("template_id", "full_text"), dim)
-    flags = attached.select(
-        "template_id",
-        F.inline(
+    kinds = "array<struct<rule_pos:int,field:string,found:boolean>>"
+    if dim.literal:
+        branch = None
+        for t in json.loads(dim.literal):
+            found = [
+                F.struct(
+                    F.lit(r["rule_pos"]).alias("rule_pos"),
+                    F.lit(r["field"]).alias("field"),
+                    F.rlike("full_text", literals(r, PREPARED_RULE)["regex"]).alias("found"),
+                )
+                for r in t["rules"]
+                if r["kind"] != "table" and r["regex"] and not r["static_error"]
+            ]
+            asked = F.col("template_id") == t["template_id"]
+            chosen = F.array(*found).cast(kinds)
+            branch = F.when(asked, chosen) if branch is None else branch.when(asked, chosen)
+        flagged = docs.select("template_id", (F.lit(None).cast(kinds) if branch is None else branch).alias("_f"))
+    else:
+        attached = attach_rules(docs.select("template_id", "full_text"), dim)
+        usable = F.filter(
+            "_rules", lambda r: (r["kind"] != "table") & r["regex"].isNotNull() & r["static_error"].isNull()
+        )
+        flagged = attached.select(
+            "template_id",
             F.transform(
-                F.filter("_rules", lambda r: r["regex"].isNotNull()),
+                usable,
                 lambda r: F.struct(
-                    r["rule_pos"].alias("rule_pos"),
-                    r["field"].alias("field"),
-                    F.rlike(F.col("full_text"), r["regex"]).alias("found"),
+                    r["rule_pos"].alias("rule_pos"), r["field"].alias("field"), F.rlike("full_text", r["regex"]).alias("found")
                 ),
-            )
-        ),
-    )
+            ).alias("_f"),
+        )
+    flags = flagged.select("template_id", F.inline("_f"))
+    if dim.needs_python:
+        lone = lambda r: (r["kind"] != "table") & r["regex"].isNull() & r["source_regex"].isNotNull() & r["static_error"].isNull()
+        rest = attach_rules(docs.select("template_id", "full_text"), dim).select(
+            "template_id", "full_text", F.explode(F.filter("_rules", lone)).alias("r")
+        )
+        flags = flags.unionByName(
+            rest.select("template_id", "r.rule_pos", "r.field", F.pandas_udf(_found_in_python, "boolean")("full_text", "r.source_regex").alias("found"))
+        )
     return flags.groupBy("template_id", "rule_pos", "field").agg(
         F.count("*").alias("documents"),
         F.count_if("found").alias("matched"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.exprs import materialise
-from docloom.schemas import STORE_ENTRY
+from docloom.schemas import STORE_ENTRY_TEXT
 from docloom.sources.store import entry_columns
 
 
@@ -34,10 +34,10 @@ def build_templates(decoded: DataFrame, now: Column | None = None) -> DataFrame:
         ).alias("extraction_rules"),
         body["confidence_checks"].alias("confidence_checks"),
         F.create_map(F.lit("llm_generated"), F.lit("true")).alias("metadata"),
-        F.lit(1).alias("version"),
+        F.lit("1").alias("version"),
         F.lit(None).cast("string").alias("created_at"),
         F.lit(None).cast("string").alias("updated_at"),
-        F.lit(0).cast("bigint").alias("hit_count"),
+        F.lit("0").alias("hit_count"),
     )
     usable = materialise(decoded.filter(F.col("reject").isNull()), _e=entry)
     return usable.select(
@@ -87,7 +87,7 @@ def import_templates(lines: DataFrame, now: Column | None = None) -> tuple[DataF
     """P10. One template JSON per ``value``: (accepted template rows with ``line_id``, rejected lines
     with a reason). ``lines`` needs (line_id, value)."""
     now = F.localtimestamp() if now is None else now
-    schema = STORE_ENTRY[len("struct<") : -1]
+    schema = STORE_ENTRY_TEXT[len("struct<") : -1]
     parsed = materialise(
         lines,
         _e=F.from_json(
@@ -97,7 +97,7 @@ def import_templates(lines: DataFrame, now: Column | None = None) -> tuple[DataF
         ),
     )
     e = F.col("_e")
-    quorum = e["fingerprint"]["keyword_quorum"]
+    quorum = e["fingerprint"]["keyword_quorum"].try_cast("double")
     reason = (
         F.when(F.trim("value") == "", F.lit("nothing to import"))
         .when(

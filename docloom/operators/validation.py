@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.exprs import built_once, float_text, json_text, let, materialise, python_float
+from docloom.operators.dimension import PREPARED_CHECK, Dimension, literals
 
 NULL_MARK = "null or empty"
 
@@ -116,12 +119,17 @@ def _check_errors(check: Column, data: Column) -> Column:
     return let(F.get(F.filter(data, lambda d: d["field"] == field), F.lit(0)), on_value)
 
 
-def validate(extracted: DataFrame) -> DataFrame:
-    """V5, V6. Adds ``errors`` (check order) and ``critical``; needs ``data`` and ``_checks``.
+def validate(extracted: DataFrame, dim: Dimension | None = None) -> DataFrame:
+    """V5, V6. Adds ``errors`` (check order) and ``critical``; needs ``data``, and ``_checks`` unless
+    ``dim`` holds the checks as literals.
 
     ``errors`` is null where no template was matched, empty where every check passed.
     """
-    checked = materialise(extracted, errors=all_errors("_checks", "data"))
+    if dim is not None and dim.literal:
+        errors = _literal_errors(dim.literal, "data")
+    else:
+        errors = all_errors("_checks", "data")
+    checked = materialise(extracted, errors=errors)
     return checked.withColumn("critical", critical_count(F.col("errors")))
 
 
@@ -131,6 +139,18 @@ def all_errors(checks: str, data: str) -> Column:
     return F.flatten(F.transform(checks, lambda c: _check_errors(c, F.col(data))))
 
 
+@built_once
+def _literal_errors(prepared: str, data: str) -> Column:
+    """The same messages with every pattern a literal of the plan: one branch per template."""
+    branch, text = None, "array<string>"
+    for t in json.loads(prepared):
+        found = [_check_errors(literals(c, PREPARED_CHECK), F.col(data)) for c in t["checks"]]
+        chosen = F.concat(F.array().cast(text), *found)
+        asked = F.col("template_id") == t["template_id"]
+        branch = F.when(asked, chosen) if branch is None else branch.when(asked, chosen)
+    return F.lit(None).cast(text) if branch is None else branch
+
+
 def critical_count(errors: Column) -> Column:
     """V6."""
     return F.size(F.filter(errors, lambda e: F.contains(e, F.lit(NULL_MARK))))

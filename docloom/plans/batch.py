@@ -40,7 +40,7 @@ def extract_documents(
 ) -> DataFrame:
     """docs + match columns + values + data + errors + critical + route."""
     dim = as_dimension(store, cfg)
-    checked = validate(extract(match(docs, dim, cfg), dim, cfg))
+    checked = validate(extract(match(docs, dim, cfg), dim, cfg), dim)
     return checked.withColumn("route", route(cfg)).drop("_rules", "_checks")
 
 

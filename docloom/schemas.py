@@ -38,6 +38,17 @@ STORE_ENTRY = (
     "created_at:string,updated_at:string,hit_count:bigint>"
 )
 
+
+
+def _as_text(ddl: str) -> str:
+    """The same layout with numbers and booleans as text, so that "0.5" reads like 0.5."""
+    for kind in ("double", "boolean", "bigint", "int"):
+        ddl = ddl.replace(f":{kind}", ":string")
+    return ddl
+
+
+FINGERPRINT_TEXT, CHECK_TEXT, STORE_ENTRY_TEXT = map(_as_text, (FINGERPRINT, CHECK, STORE_ENTRY))
+
 # One extracted value; exactly one of s/d/i/l/t is set, chosen by kind.
 VALUE = (
     "struct<rule_pos:int,field:string,kind:string,s:string,d:double,i:bigint,"
@@ -48,13 +59,13 @@ AUDIT = (
     "ts string, file string, file_type string, template_id string, match_score double, "
     "candidate_scores map<string,double>, result string, llm_used boolean, llm_backend string, "
     "llm_model string, validation_passed boolean, validation_errors array<string>, "
-    "field_count bigint, duration_ms double"
+    "field_count bigint, duration_ms double, extra map<string,string>"
 )
 
 # The responder's JSON answer; extracted_data stays text per key because its keys are free.
 RESPONSE_BODY = (
-    f"template_id string, fingerprint {FINGERPRINT}, extraction_rules array<{RULE}>, "
-    f"confidence_checks array<{CHECK}>, extracted_data map<string,string>"
+    f"template_id string, fingerprint {FINGERPRINT_TEXT}, extraction_rules array<{RULE}>, "
+    f"confidence_checks array<{CHECK_TEXT}>, extracted_data map<string,string>"
 )
 RESPONSES = (
     "response_seq bigint, doc_id string, existing_template_id string, backend string, model string, raw string"

@@ -7,19 +7,32 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_folders: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, as its session names it; a local one only where none is set."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``.
+
+    Only a session in one process (master ``local``) may go without: it gets a temporary folder of
+    its own. On a cluster every executor would write to its own disk, so a missing setting is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="docloom-")
+    return _local_folders[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def through_table(df: DataFrame, name: str) -> DataFrame:
@@ -29,6 +42,20 @@ def through_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard_tables(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application wrote; results read from them must be done.
+
+    Returns how many paths were given up.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = hadoop.Path(p)
+        path.getFileSystem(settings).delete(path, True)
+    return len(paths)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give a small input that arrives in fewer splits than there are cores some parallelism.
 

@@ -60,16 +60,16 @@ def assemble_sheets(cells: DataFrame) -> DataFrame:
     """S4. One document per doc_id from (sheet, row, column, value) cells; indexes start at 0.
 
     Rows are built first, then sheets, then documents, so a large workbook is put together by many
-    tasks and only its finished sheets meet in one row.
+    tasks and only its finished sheets meet in one row. Of a cell given twice the smallest value stays.
     """
     rows = cells.groupBy("doc_id", "sheet_idx", "row_idx").agg(
         F.first("path").alias("path"),
         F.first("sheet_name").alias("sheet_name"),
         F.max("col_idx").alias("last_col"),
-        F.map_from_entries(
-            F.collect_list(F.struct("col_idx", F.coalesce("value", F.lit(""))))
-        ).alias("cells"),
+        F.array_sort(F.collect_set(F.struct("col_idx", F.coalesce("value", F.lit("")).alias("value")))).alias("_cells"),
     )
+    first_of_cell = lambda c, i: (i == 0) | (F.get("_cells", i - 1)["col_idx"] != c["col_idx"])
+    rows = materialise(rows, cells=F.map_from_entries(F.filter("_cells", first_of_cell))).drop("_cells")
     # Every row of a sheet is as wide as its widest row, blanks included.
     sheets = rows.groupBy("doc_id", "sheet_idx").agg(
         F.first("path").alias("path"),

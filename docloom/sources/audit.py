@@ -54,8 +54,20 @@ def append_audit(records: DataFrame, path: str) -> None:
     records.write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
+_KNOWN = [f.split()[0] for f in AUDIT.split(", ")]
+
+
+def _extra(line: Column) -> Column:
+    """Keys of an audit line beyond the known ones, values as JSON text; null where there are none."""
+    others = F.map_filter(F.from_json(line, "map<string,string>"), lambda k, v: ~k.isin(_KNOWN))
+    return F.when(F.size(others) > 0, others)
+
+
 def parse_audit_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """S8 on a ``value`` column of lines: (records, malformed lines); blank lines vanish."""
+    """S8 on a ``value`` column of lines: (records, malformed lines); blank lines vanish.
+
+    Keys a writer added (``extra`` of audit_records) come back in the map ``extra``.
+    """
     stripped = lines.select(blank_to_null(F.trim("value")).alias("line")).filter("line is not null")
     parsed = stripped.select(
         "line",
@@ -66,7 +78,8 @@ def parse_audit_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         ).alias("r"),
     )
     broken = F.col("r").isNull() | F.col("r._corrupt").isNotNull() | ~F.col("line").startswith("{")
-    good = parsed.filter(~broken).select("r.*").drop("_corrupt")
+    good = parsed.filter(~broken).select("r.*", _extra(F.col("line")).alias("_extra")).drop("_corrupt")
+    good = good.withColumn("extra", F.coalesce("_extra", "extra")).drop("_extra")
     return good, parsed.filter(broken).select("line")
 
 

@@ -94,7 +94,8 @@ def unfence(raw: Column) -> Column:
 
 
 def decode_responses(responses: DataFrame, empty_is_object: Column | None = None) -> DataFrame:
-    """S11. Adds ``body`` (decoded struct) and ``reject`` (why a response is unusable, else null).
+    """S11. Adds ``body`` (decoded struct), ``data_json`` (extracted_data as given, with its JSON types) and
+    ``reject`` (why a response is unusable, else null). Numbers may be given as text.
 
     ``empty_is_object``: where true, a missing or empty answer counts as ``{}``.
     """
@@ -111,7 +112,10 @@ def decode_responses(responses: DataFrame, empty_is_object: Column | None = None
         ),
     )
     body = F.col("body")
-    quorum = body["fingerprint"]["keyword_quorum"]
+    quorum = body["fingerprint"]["keyword_quorum"].try_cast("double")
+    numbers = lambda k: (k["gt"].isNotNull() & k["gt"].try_cast("double").isNull()) | (
+        k["lt"].isNotNull() & k["lt"].try_cast("double").isNull()
+    )
     reject = (
         F.when(
             body.isNull() | body["_corrupt"].isNotNull() | ~F.coalesce(F.ltrim("_text"), F.lit("")).startswith("{"),
@@ -120,5 +124,12 @@ def decode_responses(responses: DataFrame, empty_is_object: Column | None = None
         .when(F.exists(body["extraction_rules"], lambda r: r["field"].isNull()), F.lit("rule without field"))
         .when(F.exists(body["confidence_checks"], lambda c: c["field"].isNull()), F.lit("check without field"))
         .when((quorum < 0) | (quorum > 1), F.lit("keyword_quorum outside [0, 1]"))
+        .when(
+            (body["fingerprint"]["keyword_quorum"].isNotNull() & quorum.isNull())
+            | F.exists(body["confidence_checks"], numbers),
+            F.lit("a number is expected"),
+        )
     )
-    return parsed.withColumn("reject", reject).drop("_text")
+    return parsed.withColumns(
+        {"reject": reject, "data_json": F.get_json_object("_text", "$.extracted_data")}
+    ).drop("_text")

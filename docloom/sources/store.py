@@ -6,9 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.config import EngineConfig
-from docloom.functions.exprs import json_text
-from docloom.schemas import CHECK, RULE, STORE_ENTRY, TEMPLATES
+from docloom.functions.exprs import json_text, materialise
+from docloom.schemas import CHECK, RULE, STORE_ENTRY_TEXT, TEMPLATES
 
 _STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -37,8 +36,9 @@ def _checks(c: Column) -> Column:
             c,
             lambda k: F.struct(
                 k["field"].alias("field"),
-                F.coalesce(k["not_null"], F.lit(False)).alias("not_null"),
-                *[k[n].alias(n) for n in ("gt", "lt", "regex_match")],
+                F.coalesce(k["not_null"].try_cast("boolean"), F.lit(False)).alias("not_null"),
+                *[k[n].try_cast("double").alias(n) for n in ("gt", "lt")],
+                k["regex_match"].alias("regex_match"),
             ),
         ),
         F.array(),
@@ -53,17 +53,45 @@ def entry_columns(e: Column, now: Column) -> list[Column]:
         F.coalesce(fp["required_keywords"], F.array().cast("array<string>")).alias("required_keywords"),
         F.coalesce(fp["supplier_hint"], F.lit("")).alias("supplier_hint"),
         F.coalesce(fp["doc_type"], F.lit("unknown")).alias("doc_type"),
-        F.coalesce(fp["keyword_quorum"], F.lit(0.6)).alias("keyword_quorum"),
+        F.coalesce(fp["keyword_quorum"].try_cast("double"), F.lit(0.6)).alias("keyword_quorum"),
         _rules(e["extraction_rules"]).alias("rules"),
         _checks(e["confidence_checks"]).alias("checks"),
         F.coalesce(e["metadata"], F.create_map().cast("map<string,string>")).alias("metadata"),
-        F.coalesce(e["version"], F.lit(1)).alias("version"),
+        F.coalesce(e["version"].try_cast("int"), F.lit(1)).alias("version"),
         F.coalesce(e["created_at"].try_cast("timestamp_ntz"), now).alias("created_at"),
         F.coalesce(e["updated_at"].try_cast("timestamp_ntz"), now).alias("updated_at"),
-        F.coalesce(e["hit_count"], F.lit(0).cast("bigint")).alias("hit_count"),
+        F.coalesce(e["hit_count"].try_cast("bigint"), F.lit(0).cast("bigint")).alias("hit_count"),
     ]
 
 
+def _store_fault(e: Column) -> Column:
+    """Why a parsed store entry is no template, or null. Numbers may be given as text."""
+    bad = lambda c, kind: c.isNotNull() & c.try_cast(kind).isNull()
+    quorum = e["fingerprint"]["keyword_quorum"]
+    return (
+        F.when(e.isNull() | e["template_id"].isNull(), F.lit("template_id is required"))
+        .when(e["fingerprint"].isNull(), F.lit("fingerprint is required"))
+        .when(
+            bad(quorum, "double")
+            | bad(e["version"], "int")
+            | bad(e["hit_count"], "bigint")
+            | F.coalesce(F.exists(e["confidence_checks"], lambda k: bad(k["gt"], "double") | bad(k["lt"], "double")), F.lit(False)),
+            F.lit("a number is expected"),
+        )
+        .when(~quorum.try_cast("double").between(0, 1), F.lit("keyword_quorum outside [0, 1]"))
+        .when(F.exists(e["extraction_rules"], lambda r: r["field"].isNull()), F.lit("rule without field"))
+        .when(F.exists(e["confidence_checks"], lambda c: c["field"].isNull()), F.lit("check without field"))
+    )
+
+
+def _checked(e: Column, name: Column) -> Column:
+    """The entry, or an error that ends the job: a store is never read in part."""
+    fault = _store_fault(e)
+    return F.when(
+        fault.isNotNull(), F.raise_error(F.concat(F.lit("invalid template store, entry "), name, F.lit(": "), fault))
+    ).otherwise(e)
+
+
 def empty_store(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], TEMPLATES)
 
@@ -71,7 +99,7 @@ def empty_store(spark: SparkSession) -> DataFrame:
 def load_store_json(spark: SparkSession, path: str, snapshot_id: int = 0) -> DataFrame:
     """S5. A JSON object id -> template; its key order becomes ``seq``. No file, no templates.
 
-    The format is one JSON document, so one task parses it: meant for hand-kept stores. Large stores
+    A malformed file, or an entry that is no template, is an error. The format is one JSON document, so one task parses it: meant for hand-kept stores. Large stores
     live as parquet snapshots.
     """
     try:
@@ -80,13 +108,19 @@ def load_store_json(spark: SparkSession, path: str, snapshot_id: int = 0) -> Dat
         if exc.getCondition() == "PATH_NOT_FOUND":
             return empty_store(spark)
         raise
-    parsed = raw.select(F.from_json("value", f"map<string,{STORE_ENTRY}>").alias("m"))
-    entries = parsed.select(F.posexplode(F.map_entries("m")).alias("pos", "kv"))
-    now = F.localtimestamp()
-    return entries.select(
+    if raw.isEmpty():
+        raise ValueError(f"malformed template store: {path} is empty")
+    m = F.from_json("value", f"map<string,{STORE_ENTRY_TEXT}>", {"mode": "FAILFAST"})
+    whole = F.when(
+        F.ltrim("value").startswith("{"), F.coalesce(m, F.raise_error(F.lit("malformed template store")))
+    ).otherwise(F.raise_error(F.lit("malformed template store: no JSON object")))
+    parsed = materialise(raw, m=F.map_entries(whole))
+    entries = parsed.select(F.posexplode("m").alias("pos", "kv"))
+    checked = materialise(entries.select("pos", "kv"), e=_checked(F.col("kv.value"), F.col("kv.key")))
+    return checked.select(
         F.col("pos").cast("bigint").alias("seq"),
         F.lit(snapshot_id).cast("bigint").alias("snapshot_id"),
-        *entry_columns(F.col("kv.value"), now),
+        *entry_columns(F.col("e"), F.localtimestamp()),
     )
 
 
@@ -133,9 +167,11 @@ def export_store_lines(templates: DataFrame, path: str) -> None:
 
 
 def load_store_lines(spark: SparkSession, path: str, snapshot_id: int = 0) -> DataFrame:
-    """S5 on the line form; every task parses its own lines."""
-    entry = f"struct<seq:bigint,{STORE_ENTRY[len('struct<') :]}"
-    rows = spark.read.text(path).select(F.from_json("value", entry).alias("e"))
+    """S5 on the line form; every task parses its own lines. Malformed lines and entries are errors."""
+    entry = f"struct<seq:bigint,{STORE_ENTRY_TEXT[len('struct<') :]}"
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = materialise(lines, raw=F.from_json("value", entry, {"mode": "FAILFAST"}))
+    rows = materialise(parsed, e=_checked(F.col("raw"), F.coalesce(F.col("raw.template_id"), F.lit("?"))))
     return rows.select(
         F.col("e.seq").alias("seq"),
         F.lit(snapshot_id).cast("bigint").alias("snapshot_id"),
@@ -143,21 +179,13 @@ def load_store_lines(spark: SparkSession, path: str, snapshot_id: int = 0) -> Da
     )
 
 
-def export_store_json(
-    templates: DataFrame, path: str, cfg: EngineConfig = EngineConfig()
-) -> bool:
-    """S6. The whole store as one JSON object in insertion order.
+def export_store_json(templates: DataFrame, path: str) -> None:
+    """S6. The whole store as one JSON object in insertion order, whatever its size.
 
-    One object means one task, so the size is measured first; beyond the inline bound the line form
-    is written instead. Returns True for one object, False for lines.
+    One object means one task writes it: for hand-kept stores. ``export_store_lines`` and snapshots
+    take a store of any size; which form is written is the caller's choice alone.
     """
-    lines = templates.select("seq", "template_id", template_json().alias("entry"))
-    size = lines.agg(F.sum(F.octet_length("entry"))).first()[0] or 0
-    if size > cfg.inline_max_bytes:
-        export_store_lines(templates, path)
-        return False
-    store_object(lines).write.text(path)
-    return True
+    store_object(templates.select("seq", "template_id", template_json().alias("entry"))).write.text(path)
 
 
 def store_object(lines: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Rules and checks: texts, rules and the values they must give."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from docloom import corpus
+from docloom.config import EngineConfig
 from docloom.functions.text import normalise_text
 from docloom.operators import dimension
 from docloom.operators.extraction import extract
@@ -246,3 +248,35 @@ def test_normalised_text_is_for_matching_only(spark):
     out, _ = run(spark, [rule("kw", regex=r"(KW12)")], [], ["KW12"])
     assert as_python(out[0]["data"][0]) == "KW12"
     assert spark.range(1).select(normalise_text(F.lit("KW12"))).first()[0] == "KW 12"
+
+
+def literal_patterns_only(plan):
+    """No RLIKE or regexp_extract whose pattern is a column or a lambda's variable."""
+    calls = re.findall(r"(?:RLIKE|regexp_extract(?:_all)?)\W{0,3}[^\n]{0,200}", plan)
+    return calls and not re.search(r"RLIKE\(?[^,]*, lambda|\.regex\b|\.anchor\b|\.stop\b|\.java\b", plan)
+
+
+@pytest.mark.parametrize("rules", [128, 0])
+def test_patterns_of_a_bounded_store_are_literals(spark, rules):
+    store = corpus.as_store(spark, corpus.order_templates())
+    dim = dimension.load(store, EngineConfig(compiled_max_rules=rules))
+    docs = spark.createDataFrame([("1", "confirmation_v1", "Bestellung: 7\nSumme 1,00 EUR")], "doc_id string, template_id string, full_text string")
+    checked = validate(extract(docs, dim), dim)
+    plan = checked.select("doc_id", "values", "errors")._jdf.queryExecution().optimizedPlan().toString()
+    assert bool(literal_patterns_only(plan)) == (rules > 0)
+    row = checked.first()
+    assert {v["field"]: as_python(v) for v in row["values"]}["order_number"] == "7"
+    assert row["errors"] == ["Required field 'order_date' is null or empty", "Required field 'customer' is null or empty"]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_patterns_the_jvm_refuses_are_run_in_python_for_any_store(spark, small):
+    rules = [rule("back", regex=r"(a)(?<=\1)b"), rule("count", regex=r"zz (\d+)x{0,3000000000}"), rule("plain", regex=r"zz (\d+)")]
+    store = corpus.as_store(
+        spark,
+        [{"template_id": "t", "required_keywords": [], "supplier_hint": "", "doc_type": "x", "keyword_quorum": 0.6, "rules": rules, "checks": []}],
+    )
+    cfg = EngineConfig() if small else EngineConfig(inline_max_templates=0)
+    docs = spark.createDataFrame([("1", "t", "ab zz 12xxx")], "doc_id string, template_id string, full_text string")
+    row = extract(docs, dimension.load(store, cfg)).first()
+    assert {v["field"]: Error(v["error"]) if v["error"] else as_python(v) for v in row["data"]} == {"back": "a", "count": "12", "plain": "12"}

@@ -55,6 +55,13 @@ CASES = [
 TEXTS = [c[0] for c in CASES]
 
 
+def matched(spark, texts, store, cfg):
+    """By one of the plans; None asks for the gram join, which lists templates with a keyword hit only."""
+    if cfg is None:
+        return matching.match_by_grams(docs_of(spark, texts), store, EngineConfig())
+    return matching.match(docs_of(spark, texts), store, cfg)
+
+
 def docs_of(spark, texts):
     return spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, normalised_text string")
 
@@ -63,13 +70,13 @@ PLANS = {
     "compiled": EngineConfig(),
     "inline": EngineConfig(compiled_max_templates=0),
     "chunks": EngineConfig(inline_max_templates=3),
-    "grams": EngineConfig(inline_max_templates=3, exact_scores=False),
+    "grams": None,
 }
 
 
 @pytest.mark.parametrize("plan", PLANS)
 def test_every_plan_decides_alike(spark, plan):
-    rows = matching.match(docs_of(spark, TEXTS), corpus.as_store(spark, STORE), PLANS[plan]).collect()
+    rows = matched(spark, TEXTS, corpus.as_store(spark, STORE), PLANS[plan]).collect()
     assert len(rows) == len(CASES)
     for r in rows:
         text, hit, near, score, hits, hints = CASES[int(r["doc_id"])]
@@ -88,7 +95,7 @@ def test_plans_agree_on_random_texts(spark):
     store = corpus.as_store(spark, STORE)
     found = {}
     for plan, cfg in PLANS.items():
-        rows = matching.match(docs_of(spark, texts), store, cfg).collect()
+        rows = matched(spark, texts, store, cfg).collect()
         found[plan] = sorted((int(r["doc_id"]), r["template_id"] or "", r["near_miss_id"] or "") for r in rows)
     assert found["compiled"] == found["inline"] == found["chunks"] == found["grams"]
 
@@ -134,3 +141,18 @@ def test_hint_ratio_boost(spark):
     scores = [r[0] for r in matching.keyword_hits(docs, corpus.as_store(spark, store)).orderBy("doc_id").select(F.round("score", 6)).collect()]
     # Window "nordwind handel gmb " shares 19 of 20 characters.
     assert scores == [pytest.approx(0.5 + 0.1 * 0.95), pytest.approx(0.6)]
+
+
+@pytest.mark.parametrize("plan", ["compiled", "inline", "chunks"])
+def test_repeated_documents_keep_apart(spark, plan):
+    docs = spark.createDataFrame([("1", "alpha beta"), ("1", "gross"), ("1", "gross")], "doc_id string, normalised_text string")
+    store = corpus.as_store(spark, STORE)
+    rows = matching.match(docs, store, PLANS[plan]).collect()
+    assert sorted((r["normalised_text"], r["best_template_id"]) for r in rows) == [
+        ("alpha beta", "tie1_v1"), ("gross", "twice_v1"), ("gross", "twice_v1"),
+    ]
+
+
+def test_repeated_template_ids_are_an_error(spark):
+    with pytest.raises(ValueError, match="unique"):
+        matching.match(docs_of(spark, ["x"]), corpus.as_store(spark, [STORE[0], STORE[0]]))

@@ -77,22 +77,72 @@ def test_store_json(spark, tmp_path):
     assert list(exported) == ["z_v1", "a_v1"] and exported["z_v1"]["fingerprint"]["required_keywords"] == ["Ä", "b"]
 
 
-def test_large_store_is_exported_as_lines(spark, sf, tmp_path):
+def test_store_as_lines(spark, sf, tmp_path):
     from docloom.catalog import supplier_templates
-    from docloom.config import EngineConfig
 
     suppliers = supplier_templates(spark, sf)
     path = str(tmp_path / "lines")
-    assert store.export_store_json(suppliers, path, EngineConfig(inline_max_bytes=100)) is False
+    store.export_store_lines(suppliers, path)
     back = store.load_store_lines(spark, path)
     same = ["seq", "template_id", "required_keywords", "rules", "checks", "keyword_quorum", "created_at"]
     assert back.select(same).orderBy("seq").collect() == suppliers.select(same).orderBy("seq").collect()
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "{",
+        "[]",
+        "",
+        '{"a": {"template_id": "a"}}',
+        '{"a": {"fingerprint": {}}}',
+        '{"a": {"template_id": "a", "fingerprint": {"keyword_quorum": 2}}}',
+        '{"a": {"template_id": "a", "fingerprint": {"keyword_quorum": "high"}}}',
+        '{"a": {"template_id": "a", "fingerprint": {}, "extraction_rules": [{"regex": "x"}]}}',
+    ],
+)
+def test_a_bad_store_is_an_error(spark, tmp_path, text):
+    path = tmp_path / "store.json"
+    path.write_text(text)
+    with pytest.raises(Exception, match="(?i)store|malformed"):
+        store.load_store_json(spark, str(path)).collect()
+
+
+def test_numbers_given_as_text(spark, tmp_path):
+    path = tmp_path / "store.json"
+    path.write_text('{"a": {"template_id": "a", "fingerprint": {"keyword_quorum": "0.5"}, "hit_count": "7", "confidence_checks": [{"field": "f", "gt": "1.5"}]}}')
+    row = store.load_store_json(spark, str(path)).first()
+    assert (row["keyword_quorum"], row["hit_count"], row["checks"][0]["gt"]) == (0.5, 7, 1.5)
+
+
+def test_a_cell_given_twice(spark):
+    cells = [("d", "p", 0, "S", 0, 0, "b"), ("d", "p", 0, "S", 0, 0, "a"), ("d", "p", 0, "S", 0, 0, "a"), ("d", "p", 0, "S", 1, 1, "c")]
+    row = assembly.assemble_sheets(spark.createDataFrame(cells, SHEET_CELLS)).first()
+    assert row["pages"][0]["tables"] == [[["a", ""], ["", "c"]]]
+
+
+def test_intermediates_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from docloom import session
+
+    def stub(master, folder=None):
+        conf = SimpleNamespace(get=lambda key, default: folder)
+        context = SimpleNamespace(master=master, applicationId=f"app-{master}", getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=conf, sparkContext=context)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(stub("spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(stub("local-cluster[2,1,1024]"))
+    assert session.shared_folder(stub("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    assert session.shared_folder(stub("local[2]")) == session.shared_folder(stub("local[2]"))
+
+
 def test_audit_lines(spark):
     lines = ['{"ts": "t", "file": "a.pdf", "match_score": 0.5, "candidate_scores": {"x": 0.5}, "more": 1}', "", "  ", "{broken", "[]", '  {"file": "b"}  ']
     good, bad = audit.parse_audit_lines(spark.createDataFrame([(v,) for v in lines], "value string"))
-    assert [(r["file"], r["match_score"]) for r in good.collect()] == [("a.pdf", 0.5), ("b", None)]
+    assert [(r["file"], r["match_score"], r["extra"]) for r in good.collect()] == [("a.pdf", 0.5, {"more": "1"}), ("b", None, None)]
     assert sorted(r["line"] for r in bad.collect()) == ["[]", "{broken"]
 
 
