@@ -132,7 +132,7 @@ suppliers AS (
     ['Delivery Note', s_name, 'Nation ' || s_nationkey, 'Überweisung'] AS kws,
     CASE WHEN s_acctbal > 5000 THEN 0.8 ELSE 0.6 END AS quorum,
     CASE WHEN s_nationkey < 5 THEN 'Day (\\d+' WHEN s_nationkey < 10 THEN '(Day) (\\d+)' WHEN s_nationkey < 15 THEN NULL ELSE 'Day (\\S+)' END AS day_pattern,
-    CASE WHEN s_nationkey < 5 THEN 'invalid pattern' WHEN s_nationkey < 10 THEN 'expected 1 capture group, got 2'
+    CASE WHEN s_nationkey < 5 THEN 'invalid pattern' WHEN s_nationkey < 10 THEN 'capture groups must be 1, not 2'
       WHEN s_nationkey < 15 THEN 'no pattern' ELSE 'kept' END AS day_verdict,
     CASE WHEN s_nationkey < 8 THEN 'table rule lacks anchor or stop' WHEN s_nationkey < 12 THEN 'invalid stop pattern' ELSE 'kept' END AS lines_verdict
   FROM supplier
@@ -183,6 +183,7 @@ targeted AS (
 )
 """
 
+# Fixed values inside: the token pattern and the stop words of the mining contract.
 TOKENS = r"""
 toks AS (
   SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(found) AS token, unnest(range(len(found))) AS pos
@@ -447,7 +448,7 @@ ORACLES: dict[str, str] = {
         SELECT response_seq, CASE WHEN NOT blank THEN 'Absender:' WHEN o_orderstatus = 'P' AND is_repair THEN 'Invoice' ELSE 'Absender' END AS first_keyword,
           CAST(CASE WHEN o_orderstatus = 'F' AND is_near THEN CASE WHEN blank THEN 3 ELSE 4 END ELSE 5 END AS BIGINT) AS n_keywords,
           CASE WHEN blank THEN '' ELSE 'order_number' END AS rules, CASE WHEN blank THEN '' ELSE 'order_number' END AS checks,
-          CASE WHEN blank THEN '' ELSE 'invalid pattern | expected 1 capture group, got 2' END AS dropped FROM usable""", ANSWERS),
+          CASE WHEN blank THEN '' ELSE 'invalid pattern | capture groups must be 1, not 2' END AS dropped FROM usable""", ANSWERS),
     "full_run_texts": on_texts(r"""
         , v AS (SELECT d.*, text, CASE WHEN hit = 'apache_v1' THEN nullif(rtrim(regexp_extract(text, '(?i)Apache License, Version ([\d.]+)', 1), '.'), '')
             WHEN hit = 'cc_v1' THEN nullif(regexp_extract(text, '(?i)BY-NC ([\d.]+)', 1), '') END AS version,

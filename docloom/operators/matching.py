@@ -7,6 +7,8 @@ gives the same whole candidate map, ``match_by_grams`` scores only templates wit
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -312,11 +314,31 @@ def match_by_chunks(docs: DataFrame, templates: DataFrame, cfg: EngineConfig) ->
 
 
 GRAM = 4
+# Bits of the set by which a document's grams are sifted in its own row: a fixed size, whatever the store.
+GRAM_BITS = 65_536
+
+
+def _sieve(anchors: DataFrame) -> Callable[[Column], Column]:
+    """Whether a gram may be an anchor: false only where it certainly is none."""
+    place = lambda g: F.pmod(F.xxhash64(g), F.lit(GRAM_BITS)).cast("int")
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), h % 64)
+    rows = (
+        anchors.select(place(F.col("gram")).alias("h"))
+        .groupBy(F.shiftright("h", 6).alias("word"))
+        .agg(F.bit_or(bit(F.col("h"))).alias("bits"))
+        .collect()
+    )
+    words = [0] * (GRAM_BITS // 64)
+    for r in rows:
+        words[r["word"]] = r["bits"]
+    held = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+    return lambda g: F.get(held, F.shiftright(place(g), 6)).bitwiseAND(bit(place(g))) != 0
 
 
 def match_by_grams(docs: DataFrame, templates: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Keyword hits by equi-join: each keyword is filed under its least shared 4-gram, each document
-    under its distinct grams. Candidate pairs are then tested for real containment.
+    """Keyword hits by equi-join: each keyword is filed under its least shared 4-gram; of a document's
+    grams only those that may be such anchors leave its row. Candidate keywords come back to the document
+    in one join, the only time its text moves, and are tested for real containment there.
 
     The candidate map lists the templates with at least one keyword hit; a template without any is
     not scored (it could reach at most the supplier weight).
@@ -348,47 +370,39 @@ def match_by_grams(docs: DataFrame, templates: DataFrame, cfg: EngineConfig) ->
         .groupBy("kw")
         .agg(F.min(F.struct("users", "gram"))["gram"].alias("gram"))
     )
+    anchors = through_table(anchors, "gram-anchors")
+    may_be_anchor = _sieve(anchors)
     folded = docs.select("doc_id", fold(F.col("normalised_text")).alias("_tl"))
-    doc_grams = folded.select(
-        "doc_id",
-        F.explode(
-            F.array_distinct(
-                F.concat(
-                    F.array(F.lit("")),
-                    *[
-                        F.regexp_extract_all("_tl", F.lit("(?s)(?=(.{%d}))" % n), F.lit(1))
-                        for n in range(1, GRAM + 1)
-                    ],
-                )
-            )
-        ).alias("gram"),
-    )
-    proposed = doc_grams.join(anchors, "gram").groupBy("doc_id").agg(F.collect_set("kw").alias("_kws"))
-    found = (
-        materialise(folded.join(proposed, "doc_id"), _tl=F.col("_tl"))
-        .select("doc_id", F.explode(F.filter("_kws", lambda k: F.contains(F.col("_tl"), k))).alias("kw"))
-    )
-    hits = (
-        found.join(keywords, "kw")
-        .groupBy("doc_id", "template_id")
-        .agg(
-            F.sum("times").alias("hits"),
-            F.first("seq").alias("seq"),
-            F.first("quorum").alias("quorum"),
-            F.first("hint").alias("hint"),
-            F.first("n").alias("n"),
-        )
+    lengths = sorted(r[0] for r in anchors.select(F.length("gram")).distinct().collect())  # at most GRAM + 1
+    grams = F.concat(
+        F.array().cast("array<string>"),
+        *[
+            F.regexp_extract_all("_tl", F.lit("(?s)(?=(.{%d}))" % n), F.lit(1)) if n else F.array(F.lit(""))
+            for n in lengths
+        ],
     )
-    per_doc = hits.groupBy("doc_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct("seq", "template_id", "hits", "n", "hint", "quorum"))
-        ).alias("_hits")
+    doc_grams = folded.select("doc_id", F.explode(F.array_distinct(F.filter(grams, may_be_anchor))).alias("gram"))
+    proposed = (
+        doc_grams.join(anchors, "gram")
+        .join(keywords, "kw")
+        .groupBy("doc_id")
+        .agg(F.collect_set(F.struct("seq", "template_id", "kw", "times", "n", "hint", "quorum")).alias("_kws"))
     )
-    joined = docs.join(per_doc, "doc_id", "left")
-    rated = joined.withColumn(
+    joined = materialise(docs.join(proposed, "doc_id", "left"), _tl=fold(F.col("normalised_text")))
+    found = materialise(joined, _found=F.filter("_kws", lambda k: F.contains(F.col("_tl"), k["kw"])))
+    about = ("seq", "template_id", "n", "hint", "quorum")
+    owners = F.array_sort(F.array_distinct(F.transform("_found", lambda k: F.struct(*[k[c].alias(c) for c in about]))))
+
+    def with_hits(t: Column) -> Column:
+        own = F.filter("_found", lambda k: k["template_id"] == t["template_id"])
+        hits = F.aggregate(own, F.lit(0).cast("bigint"), lambda n, k: n + k["times"])
+        return F.struct(*[t[c].alias(c) for c in about], hits.alias("hits"))
+
+    counted = materialise(found, _hits=F.transform(owners, with_hits))
+    rated = counted.withColumn(
         "_ratio",
         fuzzy.row_ratios(
-            F.when(F.exists("_hits", lambda h: h["hint"] != ""), fold(F.col("normalised_text"))),
+            F.when(F.exists("_hits", lambda h: h["hint"] != ""), F.col("_tl")),
             F.transform("_hits", lambda h: h["hint"]),
         ),
     )
@@ -406,7 +420,7 @@ def match_by_grams(docs: DataFrame, templates: DataFrame, cfg: EngineConfig) ->
         )
 
     scored = rated.withColumn("_cands", F.transform("_hits", candidate).cast(f"array<{CANDIDATE}>"))
-    return decide(scored.drop("_hits", "_ratio"), cfg)
+    return decide(scored.drop("_hits", "_ratio", "_kws", "_found", "_tl"), cfg)
 
 
 FAMILY_PIECE = 1_000

@@ -61,7 +61,7 @@ def judge_rules(candidates: DataFrame) -> DataFrame:
         other = (
             F.when(regex.isNull(), F.lit("no pattern"))  # K8
             .when(regex < 0, F.lit("invalid pattern"))  # K9
-            .when(regex != 1, F.concat(F.lit("expected 1 capture group, got "), regex.cast("string")))  # K10
+            .when(regex != 1, F.concat(F.lit("capture groups must be 1, not "), regex.cast("string")))  # K10
         )
         return F.when(r["type"] == "table", table).otherwise(other)
 

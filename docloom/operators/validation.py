@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions.exprs import built_once, float_text, json_text, let, materialise, python_float
 from docloom.operators.dimension import PREPARED_CHECK, Dimension, literals
 
+# This mark, and the message texts below, are those of the validation contract.
 NULL_MARK = "null or empty"
 
 

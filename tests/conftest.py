@@ -17,6 +17,9 @@ def spark():
 
     s = session()
     yield s
+    from docloom.session import discard_tables
+
+    discard_tables(s)
     s.stop()
 
 

@@ -145,8 +145,8 @@ def test_rule_cleaning(spark):
     assert [c["field"] for c in clean["checks"]] == ["ok", "t_ok"]
     assert [(d["rule_pos"], d["reason"]) for d in clean["dropped"]] == [
         (1, "no pattern"),
-        (2, "expected 1 capture group, got 2"),
-        (3, "expected 1 capture group, got 0"),
+        (2, "capture groups must be 1, not 2"),
+        (3, "capture groups must be 1, not 0"),
         (4, "invalid pattern"),
         (6, "table rule lacks anchor or stop"),
         (7, "invalid anchor pattern"),
