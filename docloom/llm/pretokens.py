@@ -20,7 +20,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 LETTER, NUMBER, OTHER, SPACE, UNSURE = range(5)
 # Unicode's White_Space characters.
 WHITE_SPACE = (
@@ -145,7 +145,7 @@ def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[list[s
 class PieceCache:
     """Ids of pre-tokens seen before in this task; it starts afresh when ``limit`` are held."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 150_000):
         self.encode, self.limit, self.known = encode, limit, {}
 
     def ids(self, pieces: list[str]) -> list[list[int]]:
