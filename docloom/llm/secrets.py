@@ -4,7 +4,8 @@ Base spans, each kind leftmost and non-overlapping: ``assign`` (a secret's name
 (access identifiers with a known prefix), ``hex`` (long hexadecimal runs). They are reported as they are.
 
 Weak parts say little alone: an ``identifier`` (user, client or key id with its value), a ``secret`` (a
-mixed run of letters and digits of a key's length), an ``endpoint`` (URL or host). Parts are joined as
+mixed run of letters and digits of at least a key's length, also right after ``NAME=``, or a secret's name
+with a value of any length), an ``endpoint`` (URL or host). Parts are joined as
 intervals: each reaches ``reach`` code points to both sides, within its scope (the text between blank
 lines). A weak secret is reported when an identifier (weak or access) is in reach, a weak identifier when a
 secret (weak, assign or hex) is, an endpoint when both are. Weak parts that overlap a base span or a
@@ -39,12 +40,17 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_VALUE, ACCESS_WHOLE = 12, 18
 
 IDENTIFIER = re.compile(
-    r"""(?<![a-z])(?:user(?:name)?|login|account|client_?id|access_?key_?id|key_?id|tenant)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{3,})""",
+    r"""(?<![a-z])(?:user(?:_?name)?|login|account(?:_?name)?|client_?id|access_?key_?id|key_?id|tenant)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{3,})""",
+    re.I | re.A,
+)
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
+LABELLED = re.compile(
+    r"""(?:password|passwd|secret|token|api_?key|(?<![a-z])(?:pwd|pass(?:phrase)?))["']?\x20*[:=]\x20*"""
+    r"""(?:"(?:[^"\\\n]|\\.)++"|'(?:[^'\\\n]|\\.)++'|["']?[^\s"'<>;&,]*[^\s"'<>;&,)\]}])""",
     re.I | re.A,
 )
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(
-    r"""(?:https?|amqps?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|s3|sftp)://[^\s"'<>]+|\b(?:host|server|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::\d+)?""",
+    r"""(?:https?|amqps?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|s3|sftp)://[^\s"'<>]+|(?<![a-z])(?:host(?:_?name)?|server|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::\d+)?""",
     re.I | re.A,
 )
 BLANK_LINES = re.compile(r"\n[\x20\t\r]*\n")
@@ -93,13 +99,16 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     endpoints = [m.span() for m in ENDPOINT.finditer(text)]
     if not identifiers and not any(kind == "access" for _, _, kind in base):
         return []  # every link needs an identifier
-    secrets = [m.span() for m in WEAK_SECRET.finditer(text) if _mixed(m[0])]
+    labelled = [m.span() for m in LABELLED.finditer(text)]
+    runs = [m.span() for m in WEAK_SECRET.finditer(text) if _mixed(m[0])]
     taken = _Intervals([(s, e) for s, e, _ in base])
     free = lambda spans, used: [x for x in spans if not used.meet(*x)]
     endpoints = free(endpoints, taken)
     identifiers = free(identifiers, _Intervals([(s, e) for s, e, k in base if k != "assign"]))
     identifiers = free(identifiers, _Intervals(endpoints))
-    secrets = free(free(free(secrets, taken), _Intervals(endpoints)), _Intervals(identifiers))
+    taken = _Intervals([*((s, e) for s, e, _ in base), *endpoints, *identifiers])
+    secrets = free(labelled, taken)
+    secrets += free(free(runs, taken), _Intervals(secrets))
     known = _Intervals([(s, e) for s, e, k in base if k == "access"] + identifiers)
     hidden = _Intervals([(s, e) for s, e, k in base if k != "access"] + secrets)
     edges = [0, *(m.end() for m in BLANK_LINES.finditer(text)), len(text) + 1]
