@@ -2,7 +2,10 @@
 
 A page is cut into blocks at block-level tags. Each block knows its text, how much of it is link text, its
 share of stop words, and whether its markup excludes it (navigation, header, footer, aside, form, or a
-class, id or role that names such a part).
+class, id or role that names such a part as a whole token: "comments" and "ad-box" do, "no-comments" and
+"has-sidebar" don't). Names never exclude html, body, main, article or h1. Named parts, and forms not in an
+article element, that hold most of the page's good blocks are no such parts, unless good blocks of an article
+element stand outside only.
 
 Pass 1 decides each block on its own: excluded or link-dense blocks are boilerplate; long blocks rich in
 stop words are content, poor ones boilerplate; short blocks, and poor ones that are not long or stand in
@@ -66,6 +69,15 @@ EXCLUDING_WORDS = frozenset(
     sponsored subscribe toolbar widget complementary contentinfo
     """.split()
 )
+# Words that may stand beside those in a token.
+NEUTRAL_WORDS = frozenset(
+    """
+    area articles banners bar block body bottom box btn button buttons col column container content desktop frame
+    global group holder icons inner item items left links list main mobile outer panel posts primary right
+    secondary section signup site slot stories sub top unit wrap wrapper
+    """.split()
+)
+UNNAMED_TAGS = frozenset("html body main article h1".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\"'>])*)(?:>|\Z)",
@@ -83,6 +95,7 @@ class Block:
     text: str
     linked: int  # characters of link text
     excluded: bool
+    part: int  # innermost named part or form it is in, 0 for none
     article: int  # number of the article element it is in, 0 for none
 
 
@@ -90,18 +103,25 @@ def _names_exclude(attrs: str) -> bool:
     if not attrs or "=" not in attrs:
         return False
     return any(
-        w in EXCLUDING_WORDS
+        _excluding(CAMEL.sub(" ", token).lower())
         for m in NAMES.finditer(attrs)
-        for w in NAME_WORDS.findall(CAMEL.sub(" ", m[1] or m[2] or m[3] or "").lower())
+        for token in (m[1] or m[2] or m[3] or "").split()
+    )
+
+
+def _excluding(token: str) -> bool:
+    words = NAME_WORDS.findall(token)
+    return any(w in EXCLUDING_WORDS for w in words) and all(
+        w in EXCLUDING_WORDS or w in NEUTRAL_WORDS or len(w) == 1 for w in words
     )
 
 
-def blocks(page: str) -> Iterator[Block]:
-    """The blocks of a page in order, empty ones left out."""
+def blocks(page: str, parents: list[int]) -> Iterator[Block]:
+    """The blocks of a page in order, empty ones left out; ``parents`` gets the part around each part."""
     parts: list[str] = []
     link_parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, excludes, opens an article
-    excluded = links = articles = 0
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, excludes, opens an article, part around it
+    excluded = links = articles = part = 0
     inside: list[int] = []
 
     def close() -> Block | None:
@@ -109,7 +129,7 @@ def blocks(page: str) -> Iterator[Block]:
         linked = len(" ".join(html.unescape("".join(link_parts)).split())) if link_parts else 0
         parts.clear()
         link_parts.clear()
-        return Block(text, linked, excluded > 0, inside[-1] if inside else 0) if text else None
+        return Block(text, linked, excluded > 0, part, inside[-1] if inside else 0) if text else None
 
     def add(text: str) -> None:
         parts.append(text)
@@ -136,10 +156,11 @@ def blocks(page: str) -> Iterator[Block]:
             if tag == "a":
                 links = max(0, links - 1)
             elif opened is not None:
-                for _, excludes, article in stack[opened:]:
+                for _, excludes, article, _ in stack[opened:]:
                     excluded -= excludes
                     if article:
                         inside.pop()
+                part = stack[opened][3]
                 del stack[opened:]
         elif tag in RAW_END:
             end = RAW_END[tag].search(page, at)
@@ -148,13 +169,18 @@ def blocks(page: str) -> Iterator[Block]:
             links += 1
         elif tag not in VOID_TAGS and not m["attrs"].endswith("/"):
             article = tag in ("article", "main") and not excluded
-            excludes = (tag in EXCLUDING_TAGS and not (tag == "header" and inside)) or _names_exclude(m["attrs"])
-            if article and not excludes:
+            form = tag == "form" and not any(t == "article" for t, *_ in stack)
+            excludes = tag in EXCLUDING_TAGS and not form and not (tag == "header" and inside)
+            named = not excludes and (form or tag not in UNNAMED_TAGS and _names_exclude(m["attrs"]))
+            if article:
                 articles += 1
                 inside.append(articles)
-            if excludes or article or tag in BLOCK_TAGS:
-                stack.append((tag, excludes, article and not excludes))
+            if excludes or named or tag in BLOCK_TAGS:
+                stack.append((tag, excludes, article, part))
                 excluded += excludes
+            if named:
+                parents.append(part)
+                part = len(parents) - 1
     if block := close():
         yield block
 
@@ -175,6 +201,25 @@ def first_pass(b: Block) -> int:
     return OPEN if b.article or len(b.text) < LONG_CHARS else BAD
 
 
+def exclude_parts(found: list[Block], labels: list[int], parents: list[int]) -> None:
+    """Mark the blocks of named parts and forms as excluded, but for those that hold the page's text."""
+    body = GOOD if GOOD in labels else OPEN
+    held, in_article = [0] * len(parents), [0] * len(parents)
+    for b, label in zip(found, labels):
+        held[b.part] += label == body
+        in_article[b.part] += label == body and b.article > 0
+    for n in range(len(parents) - 1, 0, -1):
+        held[parents[n]] += held[n]
+        in_article[parents[n]] += in_article[n]
+    drops = [False] * len(parents)
+    for n in range(1, len(parents)):
+        whole = 2 * held[n] > held[0] and (in_article[n] or not in_article[0])
+        drops[n] = drops[parents[n]] or not whole
+    for i, b in enumerate(found):
+        if drops[b.part]:
+            b.excluded, labels[i] = True, BAD
+
+
 def second_pass(found: list[Block], labels: list[int]) -> list[int]:
     """Open blocks take the label of the nearest decided blocks in their stretch of the page."""
     bare = GOOD not in labels
@@ -208,8 +253,11 @@ def _inherited(lone: bool, before: tuple[int, int] | None, after: tuple[int, int
 
 
 def main_text(page: str | None) -> str:
-    found = list(blocks(page or ""))
-    labels = second_pass(found, [first_pass(b) for b in found])
+    parents = [0]
+    found = list(blocks(page or "", parents))
+    labels = [first_pass(b) for b in found]
+    exclude_parts(found, labels, parents)
+    labels = second_pass(found, labels)
     return " ".join(b.text for b, label in zip(found, labels) if label == GOOD)
 
 

@@ -45,6 +45,25 @@ def test_main_text(name):
     assert html_text.main_text(html) == want
 
 
+TEXT = LONG.strip()
+WHOLE = {
+    "body named": (f"<html class='no-comments'><body class='has-sidebar'><p>{LONG}</p></body></html>", TEXT),
+    "layout named": (page(f"<div class='layout-with-sidebar'><div class='sidebar'>{LONG}</div><p>{LONG}</p><p>{LONG}</p></div>"), f"{TEXT} {TEXT}"),
+    "article named": (page(f"<article class='post comments'><p>{LONG}</p></article>"), TEXT),
+    "wrapper named": (page(f"<div id='widget'><p>{LONG}</p><p>{LONG}</p></div><div class='ad'>{LONG}</div>"), f"{TEXT} {TEXT}"),
+    "title named": (page(f"<article><h1 class='entry-header'>Head</h1><h1 class='header'>Two</h1><p>{LONG}</p></article>"), f"Head Two {TEXT}"),
+    "form around": (f"<body><form id='aspnetForm'>{NAV}<div><p>{LONG}</p><p>Short.</p></div>{FOOT}</form></body>", f"{TEXT} Short."),
+    "form around an article": (f"<body><form>{NAV}<article><p>Be.</p></article>{FOOT}</form></body>", "Be."),
+    "long comments": (page(f"<article><p>{LONG}</p></article><div class='comments-area'>{f'<p>{LONG}</p>' * 5}</div>"), TEXT),
+    "long form beside": (page(f"<p>{LONG}</p><p>{LONG}</p><form><p>{LONG}</p></form>"), f"{TEXT} {TEXT}"),
+}
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_names_and_forms_leave_the_page_whole(name):
+    html, want = WHOLE[name]
+    assert html_text.main_text(html) == want
+
+
 def test_query_gives_the_articles_of_the_table(spark, sf):
     import html
     import re
