@@ -7,6 +7,9 @@ class, id or role that names such a part as a whole token: "comments" and "ad-bo
 article element, that hold most of the page's good blocks are no such parts, unless good blocks of an article
 element stand outside only.
 
+Link text is the text of links with href. A link ends at its end tag, at the next link, at the end of the
+element it stands in, or, where no end tag follows before the next link, at the edge of its block.
+
 Pass 1 decides each block on its own: excluded or link-dense blocks are boilerplate; long blocks rich in
 stop words are content, poor ones boilerplate; short blocks, and poor ones that are not long or stand in
 an article element, stay open. Pass 2: an open block takes the label of the nearest decided block before or after it (content
@@ -84,6 +87,8 @@ TOKEN = re.compile(
     re.S,
 )
 RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW_TAGS}
+LINK_TAG = re.compile(r"<(/?)a(?=[\s/>])", re.I)
+HREF = re.compile(r"""(?:^|[\s"'/])href\s*=""", re.I)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME_WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -121,19 +126,21 @@ def blocks(page: str, parents: list[int]) -> Iterator[Block]:
     parts: list[str] = []
     link_parts: list[str] = []
     stack: list[tuple[str, bool, bool, int]] = []  # tag, excludes, opens an article, part around it
-    excluded = links = articles = part = 0
+    excluded = articles = part = 0
     inside: list[int] = []
+    linked, link_end, link_depth = False, -1, 0  # where the link's end tag is, how deep the link stands
+    unended: set[str] = set()  # tags of raw content that no end tag follows
 
     def close() -> Block | None:
         text = " ".join(html.unescape("".join(parts)).split())
-        linked = len(" ".join(html.unescape("".join(link_parts)).split())) if link_parts else 0
+        size = len(" ".join(html.unescape("".join(link_parts)).split())) if link_parts else 0
         parts.clear()
         link_parts.clear()
-        return Block(text, linked, excluded > 0, part, inside[-1] if inside else 0) if text else None
+        return Block(text, size, excluded > 0, part, inside[-1] if inside else 0) if text else None
 
     def add(text: str) -> None:
         parts.append(text)
-        if links:
+        if linked:
             link_parts.append(text)
 
     at = 0
@@ -151,11 +158,13 @@ def blocks(page: str, parents: list[int]) -> Iterator[Block]:
         if tag in BLOCK_TAGS or tag in RAW_END:
             if block := close():
                 yield block
+            linked = linked and link_end >= m.start()
         if m["end"]:
             opened = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if tag == "a":
-                links = max(0, links - 1)
+                linked = False
             elif opened is not None:
+                linked = linked and opened >= link_depth
                 for _, excludes, article, _ in stack[opened:]:
                     excluded -= excludes
                     if article:
@@ -163,10 +172,17 @@ def blocks(page: str, parents: list[int]) -> Iterator[Block]:
                 part = stack[opened][3]
                 del stack[opened:]
         elif tag in RAW_END:
-            end = RAW_END[tag].search(page, at)
-            at = end.end() if end else len(page)
+            if tag in ("script", "style") or not (m["attrs"].endswith("/") or tag in unended):
+                if end := RAW_END[tag].search(page, at):
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:
+                    unended.add(tag)
         elif tag == "a":
-            links += 1
+            linked, link_depth = bool(HREF.search(m["attrs"])) and not m["attrs"].endswith(" /"), len(stack)
+            other = LINK_TAG.search(page, at) if linked else None
+            link_end = other.start() if other and other[1] else -1
         elif tag not in VOID_TAGS and not m["attrs"].endswith("/"):
             article = tag in ("article", "main") and not excluded
             form = tag == "form" and not any(t == "article" for t, *_ in stack)

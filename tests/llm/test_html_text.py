@@ -57,6 +57,16 @@ WHOLE = {
     "long comments": (page(f"<article><p>{LONG}</p></article><div class='comments-area'>{f'<p>{LONG}</p>' * 5}</div>"), TEXT),
     "long form beside": (page(f"<p>{LONG}</p><p>{LONG}</p><form><p>{LONG}</p></form>"), f"{TEXT} {TEXT}"),
 }
+LINKS = {
+    "unclosed name": (page(f"<a name='top'><p>{LONG}</p><p>{LONG}</p>"), f"{TEXT} {TEXT}"),
+    "unclosed link": (page(f"<article><p><a href='#'>Top</p><p>{LONG}</p><p>end</p></article>"), f"{TEXT} end"),
+    "nested link": (page(f"<article><p>{LONG}<a href='x'>one <a href='y'>two</a></p><p>{LONG}</p></article>"), f"{LONG}one two {TEXT}"),
+    "link around blocks": (page(f"<p>{LONG}</p><a href='x'><div>{LONG}</div></a>"), TEXT),
+    "link ends outside": (page(f"<article><p><a href='#'>Top</p><p>{LONG}</p><p>end</a></p></article>"), f"{TEXT} end"),
+    "self-closed svg": (page(f"<article><svg width='1'/><p>{LONG}</p><svg><text>no</text></svg><iframe src='x'/><p>two</p></article>"), f"{TEXT} two"),
+    "object without end": (page(f"<article><object data='x'><iframe><p>{LONG}</p></article>"), TEXT),
+}
+
 
 @pytest.mark.parametrize("name", WHOLE)
 def test_names_and_forms_leave_the_page_whole(name):
@@ -64,6 +74,12 @@ def test_names_and_forms_leave_the_page_whole(name):
     assert html_text.main_text(html) == want
 
 
+@pytest.mark.parametrize("name", LINKS)
+def test_links_and_raw_content_end(name):
+    html, want = LINKS[name]
+    assert html_text.main_text(html) == want
+
+
 def test_query_gives_the_articles_of_the_table(spark, sf):
     import html
     import re
