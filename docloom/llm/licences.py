@@ -10,7 +10,9 @@ any template have similarity 0 with all of them; they are told by one lookup and
 nothing.
 
 A match is reported as (licence, start, end, containment), start and end in code points of the whole text;
-overlapping matches of a licence are merged. Null text counts as empty. Templates are broadcast and may hold
+overlapping matches of a licence are merged; of several licences that match one stretch, the one with the
+highest containment is reported (then the longest template). Windows that share too few shingles with all
+templates to hold any are not signed. Null text counts as empty. Templates are broadcast and may hold
 MAX_TEMPLATE_WORDS words together (more is an error). Documents are independent: one map, no shuffle.
 """
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +75,83 @@ NOTICES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 
+_GNU = (
+    "{0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by "
+    "the Free Software Foundation; either version {2} of the License, or (at your option) any later version. {0} is "
+    "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details."
+)
+_TWO_CLAUSES = (
+    NOTICES["BSD"] + ": 1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+    "notice, this list of conditions and the following disclaimer in the documentation and/or other materials "
+    "provided with the distribution."
+)
+_THIRD_CLAUSE = (
+    " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission."
+)
+_AS_IS = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+    "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+    "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+    "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+    "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_CC = "This work is licensed under a Creative Commons {} 4.0 International License."
+_AFFERO_13 = """13. Remote Network Interaction; Use with the GNU General Public License.
+Notwithstanding any other provision of this License, if you modify the Program, your modified version must
+prominently offer all users interacting with it remotely through a computer network (if your version supports such
+interaction) an opportunity to receive the Corresponding Source of your version by providing access to the
+Corresponding Source from a network server at no charge, through some standard or customary means of facilitating
+copying of software. This Corresponding Source shall include the Corresponding Source for any work covered by version
+3 of the GNU General Public License that is incorporated pursuant to the following paragraph.
+Notwithstanding any other provision of this License, you have permission to link or combine any covered work with a
+work licensed under version 3 of the GNU General Public License into a single combined work, and to convey the
+resulting work. The terms of this License will continue to apply to the part which is the covered work, but the work
+with which it is combined will remain governed by version 3 of the GNU General Public License.
+"""
+# Further notices, headers and short texts.
+OTHERS = {
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "GPL-2.0-header": _GNU.format("This program", "General Public License", "2"),
+    "LGPL-2.0-header": _GNU.format("This library", "Library General Public License", "2"),
+    "LGPL-2.1-header": _GNU.format("This library", "Lesser General Public License", "2.1"),
+    "LGPL-3.0-header": _GNU.format("This program", "Lesser General Public License", "3"),
+    "AGPL-3.0-header": _GNU.format("This program", "Affero General Public License", "3"),
+    "GPL-3.0-long-header": _GNU.format("This program", "General Public License", "3"),
+    "CC-BY-SA-4.0": _CC.format("Attribution-ShareAlike"),
+    "CC-BY-NC-4.0-notice": _CC.format("Attribution-NonCommercial"),
+    "CC-BY-ND-4.0": _CC.format("Attribution-NoDerivatives"),
+    "CC-BY-NC-SA-4.0": _CC.format("Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-NC-ND-4.0": _CC.format("Attribution-NonCommercial-NoDerivatives"),
+    "CC0-1.0-notice": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
+        "this work"
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "BSD-2-Clause": _TWO_CLAUSES + _AS_IS,
+    "BSD-3-Clause": _TWO_CLAUSES + _THIRD_CLAUSE + _AS_IS,
+    "MIT-full": (
+        NOTICES["MIT-text"] + ", subject to the following conditions: The above copyright notice and this permission "
+        "notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "
+        "\"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT "
+        "OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE "
+        "SOFTWARE."
+    ),
+}
+TEXTS = Path(__file__).parent / "licence_texts"
 WORD = re.compile(r"[^\W_]+")
 # ASCII bytes that end a word.
 BREAKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -100,6 +180,20 @@ def least_similarity(length: int, containment: float = CONTAINMENT, words: int =
     return float(shared / max(own, own + inside - shared))
 
 
+def registered() -> dict[str, str]:
+    """All templates: notices, headers, short texts and whole licences (``-text``)."""
+    whole = {f"{p.stem}-text": p.read_text(encoding="utf-8") for p in sorted(TEXTS.glob("*.txt"))}
+    return NOTICES | OTHERS | whole | {"AGPL-3.0-text": _affero_terms(whole["GPL-3.0-text"])}
+
+
+def _affero_terms(gpl: str) -> str:
+    """The terms of AGPL-3.0: those of GPL-3.0 with another section 13."""
+    terms = gpl[gpl.index("0. Definitions.") : gpl.index("END OF TERMS AND CONDITIONS")]
+    a, b = terms.index("13. Use with the GNU Affero"), terms.index("14. Revised Versions")
+    other = lambda t: t.replace("GNU General Public", "GNU Affero General Public")
+    return other(terms[:a]) + _AFFERO_13 + other(terms[b:])
+
+
 def words_of(text: str | None) -> list[str]:
     return [m[0].lower() for m in WORD.finditer(text or "")]
 
@@ -141,9 +235,12 @@ class Templates:
         self.terms = draw.integers(0, 1 << 63, HASHES, dtype=np.uint64)
         self.settings: dict[int, tuple[int, int]] = {}
         self.bands: dict[int, dict[tuple, list[str]]] = {}
+        self.least: dict[int, int] = {}  # shingles that a window must share with some template
         for name, own in hashes.items():
             length = len(words[name])
             self.settings[length] = band_settings(least_similarity(length, containment, size))
+            least = int(np.ceil(containment * len(self.shingles[name]) - 1e-9))
+            self.least[length] = min(least, self.least.get(length, least))
             index = self.bands.setdefault(length, {})
             for key in self._keys(own, length):
                 index.setdefault(key, []).append(name)
@@ -168,6 +265,8 @@ class Templates:
             return []
         found: dict[str, list[tuple[int, int, float]]] = {}
         for length, index in self.bands.items():
+            if len(hits) < self.least[length]:
+                continue
             window, stride = window_of(length)
             # windows [j * stride, j * stride + window) that hold the whole of a hit shingle
             first = np.maximum(0, -(-(hits + self.size - window) // stride))
@@ -175,7 +274,10 @@ class Templates:
             reached = {j for a, b in zip(first.tolist(), last.tolist()) for j in range(a, b + 1)}
             for j in sorted(reached):
                 lo = j * stride
-                inside = numbers[lo : max(lo + 1, lo + window - self.size + 1)]
+                end = max(lo + 1, lo + window - self.size + 1)
+                if np.subtract(*np.searchsorted(hits, (end, lo))) < self.least[length]:
+                    continue
+                inside = numbers[lo:end]
                 for name in {n for key in self._keys(inside, length) for n in index.get(key, ())}:
                     if match := self._verified(words[lo : lo + window], name):
                         found.setdefault(name, []).append((lo + match[0], lo + match[1], match[2]))
@@ -184,10 +286,20 @@ class Templates:
         spans = [m.span() for m in WORD.finditer(text or "")]
         return [
             (name, spans[a][0], spans[z - 1][1], share)
-            for name, some in sorted(found.items())
-            for a, z, share in _merged(some)
+            for name, a, z, share in self._best({n: _merged(some) for n, some in found.items()})
         ]
 
+    def _best(self, found: dict[str, list[tuple[int, int, float]]]) -> list[tuple[str, int, int, float]]:
+        """Of matches of one stretch (they share over half of the longer one) the one of highest containment."""
+        some = [(name, *x) for name, spans in found.items() for x in spans]
+        some.sort(key=lambda m: (-m[3], -len(self.shingles[m[0]]), m[0], m[1]))
+        kept: list[tuple[str, int, int, float]] = []
+        for m in some:
+            rivals = (k for k in kept if k[0] != m[0])
+            if not any(2 * (min(m[2], k[2]) - max(m[1], k[1])) > max(m[2] - m[1], k[2] - k[1]) for k in rivals):
+                kept.append(m)
+        return sorted(kept)
+
     def _verified(self, words: list[str], name: str) -> tuple[int, int, float] | None:
         wanted = self.shingles[name]
         held = [(i, s) for i, s in enumerate(_shingles(words, self.size)) if s in wanted]
@@ -209,7 +321,7 @@ def _merged(spans: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, matches (array of licence, start, end, containment) of every document."""
-    texts = NOTICES if templates is None else templates
+    texts = registered() if templates is None else templates
     if sum(len(words_of(t)) for t in texts.values()) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates hold more than {MAX_TEMPLATE_WORDS} words; scan with parts of them in turn")
     kind = pa.list_(

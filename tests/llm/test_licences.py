@@ -78,3 +78,18 @@ def test_repeated_notice_and_own_templates(index):
     assert [m[0] for m in index.matches(two)] == ["MIT", "MIT"]
     short = licences.Templates({"own": "do as you like", "none": ""})
     assert [(m[0], m[3]) for m in short.matches("Do as you like!")] == [("own", 1.0)]
+
+
+def test_registered_licences_keep_their_names():
+    texts = licences.registered()
+    assert sum(len(licences.words_of(t)) for t in texts.values()) <= licences.MAX_TEMPLATE_WORDS
+    every = licences.Templates(texts)
+    for name, text in texts.items():
+        found = {m[0]: m for m in every.matches("some words before it " + text + " and after it")}
+        assert found[name][3] == 1.0, name
+        length = found[name][2] - found[name][1]
+        assert [n for n, m in found.items() if m[2] - m[1] > length / 2] == [name]
+    families = {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC0-1.0", "MPL-2.0"}
+    assert {f"{f}-text" for f in families} <= texts.keys()
+    assert {"BSD-2-Clause", "BSD-3-Clause", "Unlicense", "CC-BY-SA-4.0"} <= texts.keys()
+    assert [m[0] for m in every.matches(licences.OTHERS["GPL-2.0"])] == ["GPL-2.0"]
