@@ -4,8 +4,8 @@ A page is cut into blocks at block-level tags. Each block knows its text, how mu
 share of stop words, and whether its markup excludes it (navigation, header, footer, aside, form, or a
 class, id or role that names such a part as a whole token: "comments" and "ad-box" do, "no-comments" and
 "has-sidebar" don't). Names never exclude html, body, main, article or h1. Named parts, and forms not in an
-article element, that hold most of the page's good blocks are no such parts, unless good blocks of an article
-element stand outside only.
+article element, that hold most of the page's good blocks are no such parts, unless the text of article
+elements stands outside only.
 
 Link text is the text of links with href. A link ends at its end tag, at the next link, at the end of the
 element it stands in, or, where no end tag follows before the next link, at the edge of its block.
@@ -223,7 +223,7 @@ def exclude_parts(found: list[Block], labels: list[int], parents: list[int]) ->
     held, in_article = [0] * len(parents), [0] * len(parents)
     for b, label in zip(found, labels):
         held[b.part] += label == body
-        in_article[b.part] += label == body and b.article > 0
+        in_article[b.part] += label != BAD and b.article > 0
     for n in range(len(parents) - 1, 0, -1):
         held[parents[n]] += held[n]
         in_article[parents[n]] += in_article[n]

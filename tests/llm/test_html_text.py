@@ -55,6 +55,7 @@ WHOLE = {
     "form around": (f"<body><form id='aspnetForm'>{NAV}<div><p>{LONG}</p><p>Short.</p></div>{FOOT}</form></body>", f"{TEXT} Short."),
     "form around an article": (f"<body><form>{NAV}<article><p>Be.</p></article>{FOOT}</form></body>", "Be."),
     "long comments": (page(f"<article><p>{LONG}</p></article><div class='comments-area'>{f'<p>{LONG}</p>' * 5}</div>"), TEXT),
+    "poor article": (page(f"<div class='ad'>{LONG}</div><article><p>{'XKCD ' * 50}</p></article>"), ("XKCD " * 50).strip()),
     "long form beside": (page(f"<p>{LONG}</p><p>{LONG}</p><form><p>{LONG}</p></form>"), f"{TEXT} {TEXT}"),
 }
 LINKS = {
