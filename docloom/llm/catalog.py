@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import (
+    ball_search,
     byte_bpe,
+    divergence,
     exact_dedup,
+    host_trust,
     html_text,
     licences,
     packing,
@@ -89,6 +92,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.membership(rows).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_trust.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = [
     op1_exact_top_k,
     op2_sharding,
@@ -100,6 +115,9 @@ QUERIES = [
     op8_licence_scan,
     op9_secret_scan,
     op10_exact_dedup,
+    op11_source_divergence,
+    op12_url_filter,
+    op13_lexical_search,
 ]
 
 ORACLES: dict[str, str] = {
@@ -128,6 +146,88 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
         FROM t JOIN g USING (text_sha256)
     """,
+    "op11_source_divergence": """
+        WITH d AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+            FROM documents
+        ), t AS MATERIALIZED (
+            SELECT row, lang, source, unnest(terms) AS term FROM d
+        ), k AS MATERIALIZED (
+            SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 30
+        ), v AS (
+            SELECT lang, count(*) AS v FROM k GROUP BY lang
+        ), g AS MATERIALIZED (
+            SELECT DISTINCT lang, source FROM d
+        ), c AS (
+            SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term
+        ), f AS MATERIALIZED (
+            SELECT lang, source, term, coalesce(n, 0) AS n
+            FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)
+        ), p AS MATERIALIZED (
+            SELECT lang, source, term, n,
+                   1 + (1000000000 * CAST(n + 5 AS HUGEINT)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p
+            FROM f JOIN v USING (lang)
+        ), l AS (
+            SELECT lang, term, sum(n) AS n FROM f GROUP BY lang, term
+        ), q AS (
+            SELECT lang, term, 1 + (1000000000 * CAST(n + 5 AS HUGEINT)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+            FROM l JOIN v USING (lang)
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        ), far AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+            GROUP BY a.lang, a.source, b.source
+        ), rows AS (
+            SELECT lang, source, 'pair' AS part, item, CAST(coalesce(value, 0) AS BIGINT) AS value
+            FROM pairs LEFT JOIN far USING (lang, source, item)
+            UNION ALL
+            SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows
+        )
+        SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+        FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
+    "op12_url_filter": host_trust.judge_sql(),
+    "op13_lexical_search": """
+        WITH i AS MATERIALIZED (
+            SELECT row_number() OVER () AS row, item_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+            FROM benchmark
+        ), q AS MATERIALIZED (
+            SELECT row, item_id, term, count(*) AS times
+            FROM (SELECT row, item_id, unnest(terms) AS term FROM i) GROUP BY row, item_id, term
+        ), d AS MATERIALIZED (
+            SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+            FROM documents
+        ), s AS (
+            SELECT count(*) AS total, CAST(sum(len(terms)) AS BIGINT) AS all_terms FROM d WHERE len(terms) > 0
+        ), f AS MATERIALIZED (
+            SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM d)
+            WHERE term IN (SELECT term FROM q) GROUP BY doc, term
+        ), w AS MATERIALIZED (
+            SELECT term, CAST(floor(1000 * ln((2 * total + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM f GROUP BY term), s
+        ), x AS (
+            SELECT doc, doc_id, f.term,
+                   w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * CAST(len(terms) AS BIGINT) * total) // all_terms))) AS x
+            FROM f JOIN d USING (doc) JOIN w USING (term), s
+        ), r AS (
+            SELECT row, item_id, doc, doc_id, CAST(sum(times * x) AS BIGINT) AS score
+            FROM q JOIN x USING (term) GROUP BY row, item_id, doc, doc_id
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id NULLS FIRST, doc) AS rank
+            FROM r WHERE score > 0
+        )
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+    """,
 }
 
 
