@@ -25,6 +25,7 @@ from docloom.operators.dimension import load
 from docloom.operators.validation import validate
 from docloom.plans.batch import extract_documents, route_documents, run_batch
 from docloom.plans.rounds import learn_round, routed_with_text, settle
+from docloom.schemas import CHECK, RULE
 from docloom.session import new_path, spread, through_table
 from docloom.sources import assembly, audit, responses, store
 from docloom.sources.files import discover, dispatch
@@ -633,8 +634,38 @@ def j9_plan_inline(spark, sf):
 
 
 def j9_plan_chunks(spark, sf):
-    """The same question with the store in pieces of one template each."""
-    return _decisions(matching.match(orders(spark, sf), order_store(spark), EngineConfig(inline_max_templates=1)))
+    """The same question with the store in pieces of a template or two, each an automaton."""
+    cfg = EngineConfig(inline_max_templates=1, automaton_max_templates=1)
+    return _decisions(matching.match(orders(spark, sf), order_store(spark), cfg))
+
+
+def j9_plan_automaton(spark, sf):
+    """Delivery notes against a store that grows with the parts, five templates each (10,000 at sf0.01)."""
+    parts = table(spark, sf, "part", "p_partkey")
+    last = F.lit(parts.agg(F.max("p_partkey").cast("bigint")).first()[0])
+    key, v = F.col("p_partkey").cast("bigint"), F.col("v")
+    word = lambda k: F.concat(F.lit("TEIL "), k.cast("string"), F.lit(";"))
+    stored = (
+        parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("v"))
+        .select(
+            (key * 5 + v).alias("seq"),
+            F.concat_ws("_", F.lit("part"), key, v).alias("template_id"),
+            F.array(word(key), word((key * 7 + v * 13) % last + 1), word((key * 11 + v * 29) % last + 1)).alias(
+                "required_keywords"
+            ),
+            F.when(v == 2, "Lieferschein").otherwise("").alias("supplier_hint"),
+            F.when(v % 2 == 0, 0.6).otherwise(0.8).alias("keyword_quorum"),
+            F.array().cast(f"array<{RULE}>").alias("rules"),
+            F.array().cast(f"array<{CHECK}>").alias("checks"),
+        )
+    )
+    named = F.array_sort(F.collect_set(F.concat(F.lit("Teil "), F.col("l_partkey").cast("string"), F.lit(";"))))
+    notes = table(spark, sf, "lineitem", "l_orderkey", "l_partkey").groupBy("l_orderkey").agg(named.alias("parts"))
+    docs = notes.select(
+        F.col("l_orderkey").cast("string").alias("doc_id"),
+        F.concat(F.lit("Lieferschein "), joined("parts", " "), F.lit(" Ende")).alias("normalised_text"),
+    )
+    return _decisions(matching.match(docs, stored, EngineConfig(inline_max_templates=100), candidates=False))
 
 
 def j9_match_by_grams(spark, sf):
@@ -1077,7 +1108,8 @@ QUERIES = [
     p1_normalise, p2_sheet_markers, p3_p4_fold_preview, p5_paths, p6_build, p7_listing, p8_lookup,
     p9_in_order, p10_import, p11_questions, p12_response_fields,
     j1_keyword_hits, j3_supplier_contained, j3_supplier_fuzzy, j5_best, j6_decision, j7_candidates,
-    j8_near_miss, j9_match_orders, j9_plan_inline, j9_plan_chunks, j9_match_by_grams, j10_family, j11_rules_of_document,
+    j8_near_miss, j9_match_orders, j9_plan_inline, j9_plan_chunks, j9_plan_automaton,
+    j9_match_by_grams, j10_family, j11_rules_of_document,
     x1_values, x2_string, x3_date, x4_decimal, x5_integer, x6_list, x6_mails, x6_links,
     x7_x9_table_pages, x8_x9_table_text, x10_type_dispatch,
     v1_v5_validate, v4_pattern_check, v6_critical,

@@ -313,6 +313,17 @@ ORACLES: dict[str, str] = {
           + CAST(contains(tl, lower(s_name) || ' end') AS INT)) / 3.0 AS score FROM docs, suppliers),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, seq) AS place, count(*) FILTER (score > 0) OVER (PARTITION BY l_orderkey) AS n FROM hits)
         SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, template_id AS best_template_id, round(CAST(score AS DOUBLE), 6) AS match_score, n AS n_candidates FROM ranked WHERE place = 1""",
+    "j9_plan_automaton": """
+        WITH docs AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+        last AS (SELECT max(p_partkey) AS n FROM part),
+        words AS (SELECT p_partkey * 5 + v AS seq, 'part_' || p_partkey || '_' || v AS template_id, v,
+            unnest([p_partkey, (p_partkey * 7 + v * 13) % n + 1, (p_partkey * 11 + v * 29) % n + 1]) AS k FROM part, last, range(5) r(v)),
+        hits AS (SELECT l_orderkey, seq, template_id, v, CAST(count(*) AS DOUBLE) / 3 AS rate FROM docs JOIN words ON l_partkey = k GROUP BY ALL),
+        scored AS (SELECT *, least(1.0::DOUBLE, rate + CASE WHEN v = 2 THEN 0.1::DOUBLE ELSE 0 END) AS score FROM hits),
+        best AS (SELECT *, score >= 0.75 AND rate >= CASE WHEN v % 2 = 0 THEN 0.6 ELSE 0.8 END AS hit FROM scored
+            QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, seq) = 1)
+        SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CASE WHEN hit THEN template_id ELSE '-' END AS template_id, round(score, 6) AS match_score,
+            CASE WHEN hit THEN '-' ELSE template_id END AS near_miss_id FROM best""",
     "j10_family": "SELECT s_suppkey AS key, 'supplier_' || s_suppkey || '_v1' AS family_id, 100.0 AS ratio FROM supplier",
     "j11_rules_of_document": on_orders("SELECT doc_id, CAST(CASE WHEN half OR cold THEN 0 ELSE 6 END AS BIGINT) AS n_rules, CAST(CASE WHEN half OR cold THEN 0 WHEN kind = 'confirmation_v1' THEN 4 ELSE 5 END AS BIGINT) AS n_checks FROM routed"),
     "x1_values": on_orders("""

@@ -28,5 +28,9 @@ class EngineConfig:
     # into the stage (measured twice as fast); above them it is data for higher-order functions.
     compiled_max_templates: int = 64
     compiled_max_keywords: int = 512
+    # What one keyword automaton may hold: each text is read once per such piece of a large store. A character
+    # takes about 40 bytes of every Python worker.
+    automaton_max_templates: int = 50_000
+    automaton_max_chars: int = 2_000_000
     # Rules and checks whose patterns become literals of the plan, compiled once per task.
     compiled_max_rules: int = 128

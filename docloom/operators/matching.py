@@ -1,8 +1,8 @@
 """Template matching.
 
 Default plan: the store travels as literals (after a size check), every document is scored where it
-lies, and nothing is shuffled. Beyond the bound there are two join-based plans: ``match_by_chunks``
-gives the same whole candidate map, ``match_by_grams`` scores only templates with a keyword hit.
+lies, and nothing is shuffled. Beyond the bound a keyword automaton reads each text once
+(``match_by_automaton``, the same results); ``match_by_grams`` scores only templates with a keyword hit.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from docloom.config import EngineConfig
 from docloom.functions import fuzzy
 from docloom.functions.exprs import let, materialise
 from docloom.functions.text import fold
-from docloom.operators.dimension import Dimension, InlineStore, as_dimension, inline_store, match_columns
+from docloom.operators import automaton
+from docloom.operators.dimension import Dimension, InlineStore, as_dimension, match_columns
 from docloom.session import through_table
 
 CANDIDATE = "struct<seq:bigint,template_id:string,score:double,hit_rate:double,quorum:double,hits:int>"
@@ -156,10 +157,13 @@ def decision(
 
 
 def match(
-    docs: DataFrame, store: DataFrame | Dimension, cfg: EngineConfig = EngineConfig()
+    docs: DataFrame, store: DataFrame | Dimension, cfg: EngineConfig = EngineConfig(), candidates: bool = True
 ) -> DataFrame:
     """J9. Score every document against every template and decide.
 
+    Without ``candidates`` a store beyond the inline bound gives the decisions alone (``candidate_scores`` is
+    null): the map has as many entries per document as the store has templates.
+
     An empty store leaves every document with score 0, no template and an empty map. The plan depends on
     the store's size, the result doesn't: every plan scores every template exactly. (``match_by_grams``,
     which lists only templates with a keyword hit, is a different question and only asked by name.)
@@ -169,7 +173,7 @@ def match(
         return match_compiled(docs, dim, cfg)
     if dim.inline is not None:
         return decide(score_candidates(docs, dim.inline, cfg), cfg)
-    return match_by_chunks(docs, dim.templates, cfg)
+    return match_by_automaton(docs, dim.templates, cfg, candidates)
 
 
 def match_compiled(docs: DataFrame, dim: Dimension, cfg: EngineConfig) -> DataFrame:
@@ -255,7 +259,7 @@ def keyword_hits(
     if dim.inline is not None:
         scored = score_candidates(slim, dim.inline, cfg)
     else:
-        scored = _scored_by_chunks(slim, dim.templates, cfg)
+        scored = reduce(DataFrame.unionByName, [_with_candidates(slim, p, cfg) for p in automaton.pieces(dim.templates, cfg)])
     return scored.select("doc_id", F.inline("_cands")).select(
         "doc_id", "template_id", "hits", F.col("hit_rate").alias("keyword_score"), "score"
     )
@@ -264,55 +268,43 @@ def keyword_hits(
 # --- stores beyond the inline bound -----------------------------------------------------------
 
 
-def _chunks(templates: DataFrame, cfg: EngineConfig):
-    """Bounded pieces of the store, streamed one after the other."""
-    piece, n_kw, n_bytes = [], 0, 0
-    for row in match_columns(templates).toLocalIterator():
-        kws, size = len(row["kws"]), sum(len(k) for k in row["kws"]) * 4 + len(row["hint"]) * 4 + 64
-        if piece and (
-            len(piece) >= cfg.inline_max_templates
-            or n_kw + kws > cfg.inline_max_keywords
-            or n_bytes + size > cfg.inline_max_bytes
-        ):
-            yield piece
-            piece, n_kw, n_bytes = [], 0, 0
-        piece.append(row)
-        n_kw, n_bytes = n_kw + kws, n_bytes + size
-    if piece:
-        yield piece
-
-
-def _scored_by_chunks(slim: DataFrame, templates: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """One map-only pass per piece, each written before the next piece is fetched: the driver and the
-    plan never hold more than one bounded piece of the store."""
-    return reduce(
-        DataFrame.unionByName,
-        [
-            through_table(
-                score_candidates(slim, inline_store(piece), cfg).select("doc_id", "_cands"), "scores"
-            )
-            for piece in _chunks(templates, cfg)
-        ],
-    )
+def _with_candidates(docs: DataFrame, piece: DataFrame, cfg: EngineConfig) -> DataFrame:
+    return materialise(docs, _cands=automaton.candidates(piece, cfg)(fold(F.col("normalised_text"))))
 
 
-def match_by_chunks(docs: DataFrame, templates: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Exact scores against a store of any size: one map-only pass per bounded piece.
+def match_by_automaton(docs: DataFrame, templates: DataFrame, cfg: EngineConfig, candidates: bool = True) -> DataFrame:
+    """Exact decisions against a store of any size, each text read once per piece of the store.
 
-    Documents are numbered first, so repeated doc_ids keep apart. Scores are gathered and decided by that
-    number without any text; the decision then meets its document once. The passes run when this is called.
+    With one piece nothing is shuffled. With several, documents are numbered (repeated doc_ids keep apart), each
+    piece reports what it found by that number, without text, and the decision meets its document once.
     """
-    numbered = through_table(docs.withColumn("_row", F.monotonically_increasing_id()), "chunk-docs")
-    slim = numbered.select(F.col("_row").alias("doc_id"), "normalised_text")
-    gathered = (
-        _scored_by_chunks(slim, templates, cfg)
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.flatten(F.collect_list("_cands"))).alias("_cands"))
-    )
-    decided = decide(gathered, cfg).withColumnRenamed("doc_id", "_row")
+    parts = automaton.pieces(templates, cfg)
+    none = F.lit(None).cast("map<string,double>")
+    asked = fold(F.col("normalised_text"))
+    if len(parts) == 1:
+        if candidates:
+            return decide(_with_candidates(docs, parts[0], cfg), cfg)
+        picked = materialise(docs, _m=automaton.best_and_near(asked, parts[0], cfg))
+        return decision(picked, docs.columns, F.col("_m.best"), F.col("_m.near"), none, cfg)
+    numbered = through_table(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-docs")
+    slim = numbered.select("_row", "normalised_text")
+    if candidates:
+        found = [_with_candidates(slim, p, cfg).select("_row", "_cands") for p in parts]
+        # the candidates of a document are as many as the store has templates, as its map has entries
+        gathered = _written(found).groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("_cands"))).alias("_cands"))
+        decided = decide(gathered, cfg)
+    else:
+        found = [slim.select("_row", automaton.best_and_near(asked, p, cfg).alias("_m")) for p in parts]
+        picked = _written(found).groupBy("_row").agg(F.max("_m.best").alias("best"), F.max("_m.near").alias("near"))
+        decided = decision(picked, ["_row"], F.col("best"), F.col("near"), none, cfg)
     return numbered.join(decided, "_row", "left").drop("_row")
 
 
+def _written(parts: list[DataFrame]) -> DataFrame:
+    """Each piece's findings are written before the next piece is built: the driver holds one at a time."""
+    return reduce(DataFrame.unionByName, [through_table(p, "piece-scores") for p in parts])
+
+
 GRAM = 4
 # Bits of the set by which a document's grams are sifted in its own row: a fixed size, whatever the store.
 GRAM_BITS = 65_536

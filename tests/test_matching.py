@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom import corpus
 from docloom.config import EngineConfig
 from docloom.functions.fuzzy import partial_ratio
-from docloom.operators import matching
+from docloom.operators import automaton, matching
 from docloom.sources.store import empty_store
 
 
@@ -69,7 +69,8 @@ def docs_of(spark, texts):
 PLANS = {
     "compiled": EngineConfig(),
     "inline": EngineConfig(compiled_max_templates=0),
-    "chunks": EngineConfig(inline_max_templates=3),
+    "automaton": EngineConfig(inline_max_templates=3),
+    "chunks": EngineConfig(inline_max_templates=3, automaton_max_templates=3),
     "grams": None,
 }
 
@@ -97,7 +98,48 @@ def test_plans_agree_on_random_texts(spark):
     for plan, cfg in PLANS.items():
         rows = matched(spark, texts, store, cfg).collect()
         found[plan] = sorted((int(r["doc_id"]), r["template_id"] or "", r["near_miss_id"] or "") for r in rows)
-    assert found["compiled"] == found["inline"] == found["chunks"] == found["grams"]
+    assert found["compiled"] == found["inline"] == found["automaton"] == found["chunks"] == found["grams"]
+
+
+ODD = [
+    template("empty_v1", ["", "alpha"]), template("emoji_v1", ["😀 x", "a😀"], "😀 Handel"), template("null_v1", [], "Hint"),
+    template("over_v1", ["aaa", "aa", "a"], "aaaa"), template("case_v1", ["ÄÖ", "Straße", "İ"]), template("hint_v1", ["zz"], "aaa"),
+]
+
+
+@pytest.mark.parametrize("plan", ["automaton", "chunks"])
+def test_automaton_equals_inline_to_the_last_digit(spark, plan):
+    rng = random.Random(8)
+    store = corpus.as_store(spark, STORE + ODD)
+    words = [k for t in STORE + ODD for k in t["required_keywords"]] + ["Hint Co", "aaaa", "handel", "İstanbul", "x"]
+    texts = ["", None, "a" * 5000] + ["".join(rng.choice([*words, " "]) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    want = matched(spark, texts, store, PLANS["inline"])
+    got = matched(spark, texts, store, PLANS[plan])
+    key = lambda r: (int(r["doc_id"]), r["template_id"], r["match_score"], r["hit_rate"], r["near_miss_id"], r["best_template_id"])
+    order = lambda rows: sorted(rows, key=lambda x: x[0])
+    assert order(map(key, got.collect())) == order(map(key, want.collect()))
+    maps = lambda df: {r["doc_id"]: list(r["candidate_scores"].items()) for r in df.collect()}
+    assert maps(got) == maps(want)
+    alone = matching.match(docs_of(spark, texts), store, PLANS[plan], candidates=False).collect()
+    assert order(map(key, alone)) == order(map(key, want.collect()))
+    assert all(r["candidate_scores"] is None for r in alone)
+    hits = lambda cfg: sorted(map(tuple, matching.keyword_hits(docs_of(spark, texts), store, cfg).collect()), key=str)
+    assert hits(PLANS[plan]) == hits(PLANS["inline"])
+
+
+def test_one_automaton_moves_nothing_and_reads_the_text_once(spark, tmp_path):
+    docs_of(spark, TEXTS).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for candidates in (True, False):
+        plan = matching.match(docs, corpus.as_store(spark, STORE), PLANS["automaton"], candidates)
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in text and "Join" not in text and text.count("FileScan") == 1 and text.count("ArrowEvalPython") == 1
+
+
+def test_rounding_as_spark_rounds(spark):
+    values = [0.70005, 0.12345, 1 / 3, 0.00005, 0.99995, 2 / 3 + 0.1, 0.1 * 0.28571, 0.0] + [random.Random(1).random() for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", F.round("v", 4).alias("r"))
+    assert all(automaton.rounded_score(r["v"]) == r["r"] for r in df.collect())
 
 
 def test_quorum_failure_never_tries_the_second_best(spark):
@@ -143,7 +185,7 @@ def test_hint_ratio_boost(spark):
     assert scores == [pytest.approx(0.5 + 0.1 * 0.95), pytest.approx(0.6)]
 
 
-@pytest.mark.parametrize("plan", ["compiled", "inline", "chunks"])
+@pytest.mark.parametrize("plan", ["compiled", "inline", "automaton", "chunks"])
 def test_repeated_documents_keep_apart(spark, plan):
     docs = spark.createDataFrame([("1", "alpha beta"), ("1", "gross"), ("1", "gross")], "doc_id string, normalised_text string")
     store = corpus.as_store(spark, STORE)
