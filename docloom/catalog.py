@@ -789,6 +789,47 @@ def x8_x9_table_text(spark, sf):
     return _table_rows(spark, sf, ["confirmation_v1", "delivery_v1"])
 
 
+def _in_python(pattern: str | None) -> str | None:
+    """The same pattern spelt so that only Python can run it."""
+    return pattern and f"(?a:{pattern})"
+
+
+EVEN_CUSTOMER = r"(C)?(?(1)ustomer.?\d*[02468]$|x)"
+OTHER_END = r"(\d)\d*$(?<!\1)"
+
+
+def python_order_store(spark: SparkSession) -> DataFrame:
+    """The order templates with anchors, stops and checks that the JVM can't run: flags, a conditional, a
+    reference inside a look-behind."""
+    stored = corpus.order_templates()
+    for t in stored:
+        for rule in t["rules"]:
+            for side in ("anchor_regex", "stop_regex"):
+                rule[side] = _in_python(rule[side])
+        for check in t["checks"]:
+            check["regex_match"] = _in_python(check["regex_match"])
+        for field, pattern in (("customer", EVEN_CUSTOMER), ("order_number", OTHER_END)):
+            t["checks"].append({"field": field, "not_null": False, "gt": None, "lt": None, "regex_match": pattern})
+    return corpus.as_store(spark, stored)
+
+
+def x7_x8_python_tables(spark, sf):
+    """All tables, found in pages or text by patterns that only Python can run."""
+    dim = load(python_order_store(spark))
+    hits = matching.match(orders(spark, sf), dim).filter(F.col("template_id").isNotNull())
+    found = extraction.extract(hits, dim).select("doc_id", F.posexplode(_field("lines", "t")).alias("line", "row"))
+    return found.select("doc_id", long("line").alias("line"), *[F.col("row")[c].alias(c) for c in corpus.LINE_COLUMNS])
+
+
+def v4_python_checks(spark, sf):
+    """Checks that only Python can run: even customers, order numbers that end unlike they begin."""
+    dim = load(python_order_store(spark))
+    hits = matching.match(orders(spark, sf), dim).filter(F.col("template_id").isNotNull())
+    checked = validate(extraction.extract(hits, dim), dim)
+    about = F.filter("errors", lambda e: F.contains(e, F.lit("does not match")))
+    return checked.select("doc_id", joined(about).alias("errors"))
+
+
 def x10_type_dispatch(spark, sf):
     values = extraction.long_form(_hits(spark, sf))
     filled = [F.count(c).alias(f"n_{c}") for c in ("s", "d", "i", "l", "t", "error")]
@@ -1111,8 +1152,8 @@ QUERIES = [
     j8_near_miss, j9_match_orders, j9_plan_inline, j9_plan_chunks, j9_plan_automaton,
     j9_match_by_grams, j10_family, j11_rules_of_document,
     x1_values, x2_string, x3_date, x4_decimal, x5_integer, x6_list, x6_mails, x6_links,
-    x7_x9_table_pages, x8_x9_table_text, x10_type_dispatch,
-    v1_v5_validate, v4_pattern_check, v6_critical,
+    x7_x9_table_pages, x8_x9_table_text, x7_x8_python_tables, x10_type_dispatch,
+    v1_v5_validate, v4_pattern_check, v4_python_checks, v6_critical,
     r1_route, r2_hits, r3_r4_fold, r4_upsert, r5_delete, r6_learn_results, r7_responder_round,
     k1_k7_fill_keywords, k2_tokens, k3_k4_frequency, k5_collisions, k6_ranked_tokens,
     k8_k11_rule_verdicts, k12_rule_coverage, k13_orphan_checks, k14_sanitise,

@@ -346,6 +346,13 @@ ORACLES: dict[str, str] = {
         SELECT page_id, len(a) AS n_links, md5(array_to_string(list_transform(range(1, len(a) + 1), lambda i: '["' || replace(replace(a[i], '\', '\\'), '"', '\"') || '","' || replace(replace(b[i], '\', '\\'), '"', '\"') || '"]'), chr(10))) AS digest FROM f""",
     "x7_x9_table_pages": on_orders("SELECT l.doc_id, line, pos, article, quantity, amount FROM line_rows l JOIN hit USING (doc_id) WHERE kind = 'invoice_v1'", LINES),
     "x8_x9_table_text": on_orders("SELECT l.doc_id, line, pos, article, quantity, amount FROM line_rows l JOIN hit USING (doc_id) WHERE kind <> 'invoice_v1'", LINES),
+    "x7_x8_python_tables": on_orders("SELECT l.doc_id, line, pos, article, quantity, amount FROM line_rows l JOIN hit USING (doc_id)", LINES),
+    "v4_python_checks": on_orders(r"""
+        , shown AS (SELECT *, CASE WHEN kind = 'delivery_v1' THEN rtrim(c_name, '#') ELSE c_name END AS name FROM hit)
+        SELECT doc_id, concat_ws(' | ',
+            CASE WHEN NOT no_customer AND CAST(right(c_name, 1) AS INT) % 2 = 1 THEN 'Field ''customer'' value ''' || name || ''' does not match pattern ''(C)?(?(1)ustomer.?\d*[02468]$|x)''' END,
+            CASE WHEN left(doc_id, 1) = right(doc_id, 1) THEN 'Field ''order_number'' value ''' || doc_id || ''' does not match pattern ''(\d)\d*$(?<!\1)''' END) AS errors
+        FROM shown"""),
     "x10_type_dispatch": on_orders("""
         , f AS (SELECT hit.kind AS template_id, f.kind, CASE f.field WHEN 'order_date' THEN NOT no_date WHEN 'customer' THEN NOT no_customer ELSE true END AS filled
           FROM hit, (VALUES ('order_number', 'string', ''), ('order_date', 'date', ''), ('customer', 'string', ''), ('total', 'decimal', ''),

@@ -63,6 +63,7 @@ def _group_one_may_be_absent(tree) -> bool:
     return walk(tree, False)
 
 
+_OCTAL = re.compile(r"\\[0-3][0-7]{2}")
 _QUANTIFIER = re.compile(r"\{(\d*)(,?)(\d*)\}")
 _INLINE_FLAGS = re.compile(r"\(\?([a-zA-Z]*)(-[a-zA-Z]+)?[:)]")
 
@@ -83,9 +84,11 @@ def _translate(pattern: str, names: dict[str, int]) -> tuple[str, bool]:
                 out.append(r"\x{%s}" % pattern[i + 2 : i + 10].lstrip("0").rjust(1, "0"))
                 i += 10
                 continue
-            elif e == "N" or e == "0":
-                python_syntax = True
+            elif e in "N0" or (in_class and e in "b123456789") or _OCTAL.match(pattern, i):
+                python_syntax = True  # names, octal codes, a backspace: spelt otherwise or refused by the JVM
                 out.append(c + e)
+            elif e == "v":
+                out.append(r"\x0B")
             else:
                 out.append(c + e)
             i += 2

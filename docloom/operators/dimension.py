@@ -10,12 +10,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig
+from docloom.functions.exprs import let
 from docloom.functions.patterns import ANCHOR, MATCH, SEARCH, date_pattern, prepare_pattern
 
 MATCH_FIELDS = (
@@ -26,10 +28,11 @@ PREPARED_RULE = (
     "struct<rule_pos:int,field:string,kind:string,regex:string,groups:int,source_regex:string,"
     "anchor:string,stop:string,columns:array<string>,col_idx:array<int>,strip_chars:string,"
     "date_re:string,date_repl:string,source_format:string,python_only:boolean,"
-    "static_error:string>"
+    "static_error:string,source_anchor:string,source_stop:string>"
 )
 PREPARED_CHECK = (
-    "struct<field:string,not_null:boolean,gt:double,lt:double,regex_match:string,java:string,bad_pattern:boolean>"
+    "struct<field:string,not_null:boolean,gt:double,lt:double,regex_match:string,java:string,"
+    "bad_pattern:boolean,python_only:boolean>"
 )
 PREPARED = (
     f"template_id string, rules array<{PREPARED_RULE}>, checks array<{PREPARED_CHECK}>"
@@ -51,7 +54,10 @@ class Dimension:
     templates: DataFrame
     rows: list[Row] | None
     prepared: DataFrame
+    # Which patterns only Python can run: of single values and lists, of tables, of checks.
     needs_python: bool
+    python_tables: bool
+    python_checks: bool
     # Small enough to be matched as plain column expressions.
     compiled: bool = False
     # Prepared templates (as JSON text) whose patterns become literals of the plan; None: too many.
@@ -98,15 +104,17 @@ def load(templates: DataFrame, cfg: EngineConfig = EngineConfig()) -> Dimension:
         prepared = templates.select("template_id", "rules", "checks").mapInPandas(
             _prepare_batches, PREPARED
         )
-        return Dimension(templates, None, prepared, True, cfg=cfg)
+        return Dimension(templates, None, _kept_jvm_patterns(prepared), True, True, True, cfg=cfg)
     rows = wanted.collect()
     ready = [_prepare_template(r["template_id"], r["rules"], r["checks"]) for r in rows]
     _keep_jvm_patterns(templates.sparkSession, ready)
     prepared = F.broadcast(templates.sparkSession.createDataFrame(ready, PREPARED))
-    needs_python = any(rule["python_only"] for t in ready for rule in t["rules"])
+    in_python = {rule["kind"] == "table" for t in ready for rule in t["rules"] if rule["python_only"]}
+    checks_in_python = any(check["python_only"] for t in ready for check in t["checks"])
     compiled = n <= cfg.compiled_max_templates and n_kw <= cfg.compiled_max_keywords
     few = compiled and sum(len(t["rules"]) + len(t["checks"]) for t in ready) <= cfg.compiled_max_rules
-    return Dimension(templates, rows, prepared, needs_python, compiled, json.dumps(ready) if few else None, cfg)
+    literal = json.dumps(ready) if few else None
+    return Dimension(templates, rows, prepared, False in in_python, True in in_python, checks_in_python, compiled, literal, cfg)
 
 
 def literals(values: dict, ddl: str) -> dict[str, Column]:
@@ -173,14 +181,18 @@ def _prepare_rule(pos: int, rule) -> dict:
         "source_format": None,
         "python_only": False,
         "static_error": None,
+        "source_anchor": None,
+        "source_stop": None,
     }
     if kind == "table":
         for name, key in (("anchor", "anchor_regex"), ("stop", "stop_regex")):
             p = prepare_pattern(rule[key])
-            if p.error or p.python_syntax:
-                out["static_error"] = p.error or f"unsupported pattern {rule[key]}"
-            elif p.java:
-                out[name] = ANCHOR + p.java
+            out["source_" + name] = rule[key] or None
+            out["static_error"] = out["static_error"] or p.error
+            out["python_only"] = out["python_only"] or p.python_syntax
+            out[name] = ANCHOR + p.java if p.java else None
+        if out["python_only"]:
+            out["anchor"] = out["stop"] = None
         # A repeated column name keeps its first place and its last cell.
         last = {c: i for i, c in enumerate(list(rule["columns"] if rule["columns"] is not None else []))}
         out["columns"], out["col_idx"] = list(last), list(last.values())
@@ -210,7 +222,8 @@ def _prepare_check(check) -> dict:
         "lt": _number(check["lt"]),
         "regex_match": check["regex_match"],
         "java": None if p.java is None or p.python_syntax else MATCH + r"\A(?:" + p.java + ")",
-        "bad_pattern": p.error is not None or p.python_syntax,
+        "bad_pattern": p.error is not None,
+        "python_only": p.python_syntax,
     }
 
 
@@ -240,28 +253,46 @@ def _prepare_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _keep_jvm_patterns(spark, ready: list[dict]) -> None:
-    """A pattern the JVM refuses would end the whole job: such rules run in Python instead."""
-    jvm = getattr(spark, "_jvm", None)
-    if jvm is None:
-        return
+    """A pattern the JVM refuses would end the whole job: such rules and checks run in Python instead."""
 
-    def compiles(pattern: str | None) -> bool:
+    def refused(pattern: str | None) -> bool:
         if pattern is None:
-            return True
+            return False
         try:
-            jvm.java.util.regex.Pattern.compile(pattern)
-            return True
-        except Exception:
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
             return False
+        except Exception:
+            return True
 
     for template in ready:
         for rule in template["rules"]:
-            if not compiles(rule["regex"]):
-                rule["regex"], rule["python_only"] = None, True
-            for side in ("anchor", "stop"):
-                if not compiles(rule[side]):
-                    rule["static_error"] = f"unsupported pattern {rule[side]}"
-                    rule[side] = None
+            if any(refused(rule[p]) for p in ("regex", "anchor", "stop")):
+                rule["regex"], rule["anchor"], rule["stop"], rule["python_only"] = None, None, None, True
         for check in template["checks"]:
-            if not compiles(check["java"]):
-                check["java"], check["bad_pattern"] = None, True
+            if refused(check["java"]):
+                check["java"], check["python_only"] = None, True
+
+
+def _kept_jvm_patterns(prepared: DataFrame) -> DataFrame:
+    """The same for a store of any size, where its rows lie."""
+
+    def refused(pattern: Column) -> Column:
+        compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern)
+        return pattern.isNotNull() & compiled.isNull()
+
+    def without(row: Column, ddl: str, patterns: tuple[str, ...]) -> Column:
+        names = [f.split(":")[0] for f in ddl[len("struct<") : -1].split(",")]
+        bad = reduce(Column.__or__, [refused(row[p]) for p in patterns])
+
+        def kept(name: str, bad: Column) -> Column:
+            if name in patterns:
+                return F.when(~bad, row[name])
+            return row[name] | bad if name == "python_only" else row[name]
+
+        return let(bad, lambda b: F.struct(*[kept(n, b).alias(n) for n in names]))
+
+    return prepared.select(
+        "template_id",
+        F.transform("rules", lambda r: without(r, PREPARED_RULE, ("regex", "anchor", "stop"))).alias("rules"),
+        F.transform("checks", lambda c: without(c, PREPARED_CHECK, ("java",))).alias("checks"),
+    )

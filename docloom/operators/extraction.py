@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime
 import json
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from docloom.config import EngineConfig
 from docloom.functions.exprs import built_once, let, materialise, strip_unicode
 from docloom.operators.dimension import PREPARED_RULE, Dimension, as_dimension, literals
 from docloom.schemas import VALUE
+from docloom.session import through_table
 
 VALUES = f"array<{VALUE}>"
 # The default date formats %d.%m.%Y, %d.%m.%y, %Y-%m-%d and %d/%m/%Y, tried in this
@@ -115,6 +117,22 @@ def row_to_map(row: Column, columns: Column, col_idx: Column) -> Column:
 _ROWS = "array<map<string,string>>"
 
 
+def _with_cells(rows: Column) -> Column:
+    return F.filter(rows, lambda row: F.coalesce(F.exists(row, lambda c: c != ""), F.lit(False)))
+
+
+def _as_maps(rows: Column, r: Column) -> Column:
+    return F.transform(rows, lambda row: row_to_map(row, r["columns"], r["col_idx"]))
+
+
+def _line_cells(lines: Column) -> Column:
+    """Lines cut at two or more spaces, those whose first part is empty left out."""
+    return F.filter(
+        F.transform(lines, lambda line: F.split(strip_unicode(line), r"(?U)[\s\x1c-\x1f]{2,}", -1)),
+        lambda p: F.get(p, F.lit(0)) != "",
+    )
+
+
 def table_from_pages(tables: Column, r: Column) -> Column:
     """X7. First table that carries the anchor in its header and has at least one body row."""
     anchored = F.filter(
@@ -145,9 +163,8 @@ def table_from_pages(tables: Column, r: Column) -> Column:
                         F.lit(True),
                     ),
                 ).otherwise(F.lit(0)),
-                lambda stop: F.filter(
-                    F.when(stop > 0, F.slice(rows, F.lit(1), F.greatest(stop - 1, F.lit(0)).cast("int"))).otherwise(rows),
-                    lambda row: F.coalesce(F.exists(row, lambda c: c != ""), F.lit(False)),
+                lambda stop: _with_cells(
+                    F.when(stop > 0, F.slice(rows, F.lit(1), F.greatest(stop - 1, F.lit(0)).cast("int"))).otherwise(rows)
                 ),
             ),
         )
@@ -155,7 +172,7 @@ def table_from_pages(tables: Column, r: Column) -> Column:
     found = F.get(
         F.filter(F.transform(anchored, body), lambda rows: F.size(rows) > 0), F.lit(0)
     )
-    return F.transform(found, lambda row: row_to_map(row, r["columns"], r["col_idx"]))
+    return _as_maps(found, r)
 
 
 def table_from_text(text: Column, r: Column) -> Column:
@@ -179,14 +196,59 @@ def table_from_text(text: Column, r: Column) -> Column:
             ).otherwise(F.array().cast("array<string>")),
         )
 
-    parts = F.filter(
-        F.transform(
-            let(F.split(text, "\n", -1), between),
-            lambda line: F.split(strip_unicode(line), r"(?U)[\s\x1c-\x1f]{2,}", -1),
-        ),
-        lambda p: F.get(p, F.lit(0)) != "",
+    return _as_maps(_line_cells(let(F.split(text, "\n", -1), between)), r)
+
+
+def table_at(tables: Column, text: Column, r: Column, place: Column) -> Column:
+    """X7, X8. The table that Python's patterns found: body rows of a page table, or lines of the text."""
+    rows = _with_cells(F.slice(F.get(tables, place["at"]), F.lit(2), place["length"]))
+    lines = _line_cells(F.slice(F.split(text, "\n", -1), place["first"] + 1, place["length"]))
+    return F.when(place["at"].isNotNull(), _as_maps(rows, r)).when(place["first"].isNotNull(), _as_maps(lines, r))
+
+
+TABLE_PLACES = "array<struct<rule_pos:int,at:int,first:int,length:int,error:string>>"
+
+
+def _python_tables(texts: pd.Series, tables: pd.Series, rules: pd.Series) -> pd.Series:
+    """Where the tables of rules lie whose anchor or stop only Python can run: in table ``at`` its first
+    ``length`` body rows, or ``length`` lines of the text from line ``first``."""
+    known: dict[str, re.Pattern] = {}
+
+    def compiled(pattern: str | None) -> re.Pattern | None:
+        if pattern and pattern not in known:
+            known[pattern] = re.compile(pattern, re.IGNORECASE)
+        return known[pattern] if pattern else None
+
+    def place(text: str | None, found, rule: dict) -> dict:
+        anchor, stop = compiled(rule["source_anchor"]), compiled(rule["source_stop"])
+        for at, table in enumerate(found if found is not None else ()):
+            if table is None or not len(table):
+                continue
+            header = " ".join("None" if c is None else c for c in (table[0] if table[0] is not None else ()))
+            if anchor and not anchor.search(header):
+                continue
+            body = [row if row is not None else () for row in table[1:]]
+            stops = (i for i, row in enumerate(body) if stop and any(c is not None and stop.search(c) for c in row))
+            length = next(stops, len(body))
+            if any(c for row in body[:length] for c in row):
+                return {"at": at, "first": None, "length": length}
+        if anchor and stop and text is not None:
+            lines = text.split("\n")
+            first = next((i + 1 for i, line in enumerate(lines) if anchor.search(line)), None)
+            if first is not None:
+                last = next((i for i in range(first, len(lines)) if stop.search(lines[i])), len(lines))
+                return {"at": None, "first": first, "length": last - first}
+        return {"at": None, "first": None, "length": None}
+
+    def one(text, found, rule) -> dict:
+        try:
+            return {"rule_pos": rule["rule_pos"], **place(text, found, rule), "error": None}
+        except Exception as exc:
+            return {"rule_pos": rule["rule_pos"], "at": None, "first": None, "length": None, "error": str(exc)}
+
+    return pd.Series(
+        [None if rs is None else [one(t, f, r) for r in rs] for t, f, rs in zip(texts, tables, rules)], dtype=object
     )
-    return F.transform(parts, lambda p: row_to_map(p, r["columns"], r["col_idx"]))
 
 
 PYTHON_RESULTS = "array<struct<rule_pos:int,s:string,l:array<string>,error:string>>"
@@ -227,7 +289,11 @@ def _python_rules(texts: pd.Series, rules: pd.Series) -> pd.Series:
     )
 
 
-def _evaluate(r: Column, text: Column, tables: Column, python: Column | None) -> Column:
+def _of_rule(found: Column, r: Column) -> Column:
+    return F.get(F.filter(found, lambda p: p["rule_pos"] == r["rule_pos"]), F.lit(0))
+
+
+def _evaluate(r: Column, text: Column, tables: Column, python: Column | None, places: Column | None) -> Column:
     """X1, X10. One prepared rule on one document."""
     kind = r["kind"]
     scalar = ~kind.isin("table", "list")
@@ -235,10 +301,12 @@ def _evaluate(r: Column, text: Column, tables: Column, python: Column | None) ->
     raw, listed = native, F.coalesce(all_matches(text, r["regex"], r["groups"]), F.array().cast("array<string>"))
     own_error = F.lit(None).cast("string")
     if python is not None:
-        mine = F.get(F.filter(python, lambda p: p["rule_pos"] == r["rule_pos"]), F.lit(0))
+        mine = _of_rule(python, r)
         raw = F.when(r["python_only"], mine["s"]).otherwise(native)
         listed = F.when(r["python_only"], F.coalesce(mine["l"], F.array().cast("array<string>"))).otherwise(listed)
         own_error = mine["error"]
+    if places is not None:
+        own_error = F.coalesce(own_error, _of_rule(places, r)["error"])
     ok = r["static_error"].isNull()
 
     def build(v: Column) -> Column:
@@ -252,6 +320,9 @@ def _evaluate(r: Column, text: Column, tables: Column, python: Column | None) ->
             F.when(r["anchor"].isNotNull() & r["stop"].isNotNull(), table_from_text(text, r)),
             F.array().cast(_ROWS),
         )
+        if places is not None:
+            found = let(_of_rule(places, r), lambda place: table_at(tables, text, r, place))
+            table = F.when(r["python_only"], F.coalesce(found, F.array().cast(_ROWS))).otherwise(table)
         return F.struct(
             r["rule_pos"].alias("rule_pos"),
             r["field"].alias("field"),
@@ -288,75 +359,117 @@ def _evaluate(r: Column, text: Column, tables: Column, python: Column | None) ->
     )
 
 
+# A template is heavy if it has more than one part in so many of all rows: fewer than so many are heavy.
+HEAVY_PARTS = 256
+
+
 def attach_rules(docs: DataFrame, dim: Dimension) -> DataFrame:
     """J11. Adds the matched template's prepared ``_rules`` and ``_checks`` (null on a miss).
 
-    A bounded store arrives broadcast (its size was checked); a larger one is an ordinary join that
-    adaptive execution splits where a template is hot.
+    A bounded store arrives broadcast (its size was checked). Beyond, the matched documents are written once
+    and split by the templates' measured counts: misses need no join, the documents of heavy templates meet
+    their rules broadcast (as many as the byte bound allows), and only the rest is shuffled.
     """
     side = dim.prepared.select(
         "template_id", F.col("rules").alias("_rules"), F.col("checks").alias("_checks")
     )
-    return docs.join(side, "template_id", "left")
+    if dim.rows is not None:
+        return docs.join(side, "template_id", "left")
+    columns = ["template_id", *[c for c in docs.columns if c != "template_id"], "_rules", "_checks"]
+    docs, side = through_table(docs, "matched-docs"), through_table(side, "prepared-rules")
+    heavy = heavy_templates(docs, side, dim.cfg)
+    known, hot = F.col("template_id").isNotNull(), F.col("template_id").isin(heavy)
+    none = [F.lit(None).cast(side.schema[c].dataType).alias(c) for c in ("_rules", "_checks")]
+    parts = [
+        docs.filter(~known).select("*", *none).select(columns),
+        docs.filter(known & ~hot).join(side.hint("merge"), "template_id", "left").select(columns),
+    ]
+    if heavy:
+        few = F.broadcast(side.filter(hot))  # within inline_max_bytes
+        parts.append(docs.filter(hot).join(few, "template_id", "left").select(columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def heavy_templates(docs: DataFrame, side: DataFrame, cfg: EngineConfig) -> list[str]:
+    """Ids of the heavy templates, most documents first, whose prepared rules fit the byte bound together."""
+    counts = docs.filter(F.col("template_id").isNotNull()).groupBy("template_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = through_table(counts, "template-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    sized = counts.filter(F.col("n") * HEAVY_PARTS > total).join(side, "template_id")
+    size = F.octet_length(F.to_json(F.struct("_rules", "_checks")))
+    found, held = [], 0
+    for r in sized.select("template_id", "n", size.alias("size")).orderBy(F.desc("n"), "template_id").collect():
+        if held + r["size"] <= cfg.inline_max_bytes:
+            found.append(r["template_id"])
+            held += r["size"]
+    return found
 
 
 def apply_rules(docs: DataFrame, dim: Dimension) -> DataFrame:
     """X1. Adds ``values``: one struct per rule, in rule order; needs ``_rules`` from attach_rules."""
+    with_pages = "pages" in docs.columns
+    flagged = lambda tables: F.filter(
+        "_rules", lambda r: r["python_only"] & r["static_error"].isNull() & ((r["kind"] == "table") == F.lit(tables))
+    )
+    picked = lambda r, *names: F.struct(*[r[n].alias(n) for n in names])
     if dim.needs_python:
-        flagged = F.filter("_rules", lambda r: r["python_only"] & r["static_error"].isNull())
-        docs = docs.withColumn(
-            "_python",
-            F.pandas_udf(_python_rules, PYTHON_RESULTS)(
-                F.when(F.size(flagged) > 0, F.col("full_text")),
+        docs = materialise(
+            docs,
+            _python=F.pandas_udf(_python_rules, PYTHON_RESULTS)(
+                F.when(F.size(flagged(False)) > 0, F.col("full_text")),
                 F.transform(
-                    flagged,
-                    lambda r: F.struct(
-                        r["rule_pos"].alias("rule_pos"),
-                        r["kind"].alias("kind"),
-                        r["source_regex"].alias("source_regex"),
-                        r["strip_chars"].alias("strip_chars"),
-                        r["source_format"].alias("source_format"),
-                    ),
+                    flagged(False), lambda r: picked(r, "rule_pos", "kind", "source_regex", "strip_chars", "source_format")
                 ),
             ),
         )
+    if dim.python_tables:
+        asked = F.size(flagged(True)) > 0
+        docs = materialise(
+            docs,
+            _places=F.pandas_udf(_python_tables, TABLE_PLACES)(
+                F.when(asked, F.col("full_text")),
+                F.when(asked, _tables(with_pages)),
+                F.when(asked, F.transform(flagged(True), lambda r: picked(r, "rule_pos", "source_anchor", "source_stop"))),
+            ),
+        )
     if dim.literal:
-        values = _literal_values(dim.literal, dim.needs_python, "pages" in docs.columns)
+        values = _literal_values(dim.literal, dim.needs_python, dim.python_tables, with_pages)
     else:
-        values = _values(dim.needs_python, "pages" in docs.columns)
-    return materialise(docs, values=values).drop("_python")
+        values = _values(dim.needs_python, dim.python_tables, with_pages)
+    return materialise(docs, values=values).drop("_python", "_places")
+
+
+def _tables(with_pages: bool) -> Column:
+    """All page tables of a document, in order."""
+    none = F.array().cast("array<array<array<string>>>")
+    if not with_pages:
+        return none
+    return F.coalesce(F.flatten(F.transform("pages", lambda p: F.coalesce(p["tables"], none))), none)
 
 
 @built_once
-def _values(with_python: bool, with_pages: bool) -> Column:
-    no_tables = F.array().cast("array<array<array<string>>>")
-    tables = (
-        F.flatten(F.transform("pages", lambda p: F.coalesce(p["tables"], no_tables)))
-        if with_pages
-        else no_tables
-    )
+def _values(with_python: bool, with_places: bool, with_pages: bool) -> Column:
     python = F.col("_python") if with_python else None
+    places = F.col("_places") if with_places else None
     return let(
-        F.coalesce(tables, no_tables),
-        lambda ts: F.transform("_rules", lambda r: _evaluate(r, F.col("full_text"), ts, python)),
+        _tables(with_pages),
+        lambda ts: F.transform("_rules", lambda r: _evaluate(r, F.col("full_text"), ts, python, places)),
     ).cast(VALUES)
 
 
 @built_once
-def _literal_values(prepared: str, with_python: bool, with_pages: bool) -> Column:
+def _literal_values(prepared: str, with_python: bool, with_places: bool, with_pages: bool) -> Column:
     """The same values with every pattern a literal: one branch per template, one expression per rule.
 
     Patterns are then compiled once per task; as columns they would be compiled per row.
     """
     python = F.col("_python") if with_python else None
-    none = F.array().cast("array<array<array<string>>>")
-    tables = F.col("pages") if with_pages else None
-    if tables is not None:
-        tables = F.coalesce(F.flatten(F.transform(tables, lambda p: F.coalesce(p["tables"], none))), none)
+    places = F.col("_places") if with_places else None
+    tables = _tables(with_pages)
     branch = None
     for t in json.loads(prepared):
         values = [
-            _evaluate(literals(r, PREPARED_RULE), F.col("full_text"), none if tables is None else tables, python)
+            _evaluate(literals(r, PREPARED_RULE), F.col("full_text"), tables, python, places if r["python_only"] else None)
             for r in t["rules"]
         ]
         chosen = F.array(*values).cast(VALUES)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,11 +69,16 @@ def _bound_error(field: Column, text: Column, number: Column, bound: Column, nam
     )
 
 
-def _check_errors(check: Column, data: Column) -> Column:
-    """V1-V4 for one check: its messages in the order null, gt, lt, pattern."""
+def _check_errors(check: Column, data: Column, matched: Column | None) -> Column:
+    """V1-V4 for one check: its messages in the order null, gt, lt, pattern. ``matched``: what Python says."""
     field = check["field"]
     none = F.array().cast("array<string>")
 
+    def fits(text: Column) -> Column:
+        """V4."""
+        native = F.rlike(text, check["java"])
+        return native if matched is None else F.when(check["python_only"], F.coalesce(matched, F.lit(True))).otherwise(native)
+
     def on_value(v: Column) -> Column:
         # A field without a value looks like an absent one.
         missing = v.isNull() | is_absent(v)
@@ -83,7 +90,7 @@ def _check_errors(check: Column, data: Column) -> Column:
             let(
                 value_text(v),
                 lambda text: F.when(
-                    ~F.rlike(text, check["java"]),
+                    ~fits(text),
                     F.concat(
                         F.lit("Field '"), field, F.lit("' value '"), text,
                         F.lit("' does not match pattern '"), check["regex_match"], F.lit("'"),
@@ -120,32 +127,89 @@ def _check_errors(check: Column, data: Column) -> Column:
     return let(F.get(F.filter(data, lambda d: d["field"] == field), F.lit(0)), on_value)
 
 
+def _field_value(data: str, check: Column) -> Column:
+    """J12."""
+    return F.get(F.filter(data, lambda d: d["field"] == check["field"]), F.lit(0))
+
+
+def _python_matches(asked: pd.Series) -> pd.Series:
+    """V4 where only Python can run the pattern: null where nothing is asked."""
+    known: dict[str, re.Pattern] = {}
+
+    def fits(question: dict | None) -> bool | None:
+        if question is None or question["text"] is None:
+            return None
+        pattern = question["pattern"]
+        if pattern not in known:
+            known[pattern] = re.compile(pattern)
+        return known[pattern].match(question["text"]) is not None
+
+    return pd.Series([None if qs is None else [fits(q) for q in qs] for qs in asked], dtype=object)
+
+
 def validate(extracted: DataFrame, dim: Dimension | None = None) -> DataFrame:
     """V5, V6. Adds ``errors`` (check order) and ``critical``; needs ``data``, and ``_checks`` unless
     ``dim`` holds the checks as literals.
 
-    ``errors`` is null where no template was matched, empty where every check passed.
+    ``errors`` is null where no template was matched, empty where every check passed. Without ``dim`` any check
+    may need Python.
     """
-    if dim is not None and dim.literal:
-        errors = _literal_errors(dim.literal, "data")
-    else:
-        errors = all_errors("_checks", "data")
-    checked = materialise(extracted, errors=errors)
+    literal, in_python = (dim.literal, dim.python_checks) if dim is not None else (None, True)
+    if in_python:
+        asked = _literal_questions(literal, "data") if literal else _questions("_checks", "data")
+        # a step of its own: Spark doesn't find a Python function whose argument nests lambdas like these
+        extracted = materialise(extracted, _asked=asked)
+        extracted = materialise(extracted, _matched=F.pandas_udf(_python_matches, "array<boolean>")("_asked")).drop("_asked")
+    matched = "_matched" if in_python else ""
+    errors = _literal_errors(literal, "data", matched) if literal else all_errors("_checks", "data", matched)
+    checked = materialise(extracted, errors=errors).drop("_matched")
     return checked.withColumn("critical", critical_count(F.col("errors")))
 
 
+QUESTION = "struct<pattern:string,text:string>"
+
+
+def _question(check: Column, data: str) -> Column:
+    text = let(_field_value(data, check), value_text)
+    return F.when(check["python_only"], F.struct(check["regex_match"].alias("pattern"), text.alias("text"))).cast(QUESTION)
+
+
+@built_once
+def _questions(checks: str, data: str) -> Column:
+    """One entry per check, null for those that the JVM answers; null if it answers all."""
+    asked = F.transform(checks, lambda c: _question(c, data))
+    return F.when(F.exists(checks, lambda c: c["python_only"]), asked)
+
+
 @built_once
-def all_errors(checks: str, data: str) -> Column:
+def _literal_questions(prepared: str, data: str) -> Column:
+    kind = f"array<{QUESTION}>"
+    branch = F.when(F.lit(False), F.lit(None).cast(kind))
+    for t in json.loads(prepared):
+        if any(c["python_only"] for c in t["checks"]):
+            asked = F.array(*[_question(literals(c, PREPARED_CHECK), data) for c in t["checks"]]).cast(kind)
+            branch = branch.when(F.col("template_id") == t["template_id"], asked)
+    return branch
+
+
+@built_once
+def all_errors(checks: str, data: str, matched: str = "") -> Column:
     """V5. Messages of all checks, in check order."""
-    return F.flatten(F.transform(checks, lambda c: _check_errors(c, F.col(data))))
+    answer = lambda i: F.get(F.col(matched), i) if matched else None
+    return F.flatten(F.transform(checks, lambda c, i: _check_errors(c, F.col(data), answer(i))))
 
 
 @built_once
-def _literal_errors(prepared: str, data: str) -> Column:
+def _literal_errors(prepared: str, data: str, matched: str) -> Column:
     """The same messages with every pattern a literal of the plan: one branch per template."""
     branch, text = None, "array<string>"
     for t in json.loads(prepared):
-        found = [_check_errors(literals(c, PREPARED_CHECK), F.col(data)) for c in t["checks"]]
+        found = [
+            _check_errors(
+                literals(c, PREPARED_CHECK), F.col(data), F.get(F.col(matched), F.lit(i)) if c["python_only"] else None
+            )
+            for i, c in enumerate(t["checks"])
+        ]
         chosen = F.concat(F.array().cast(text), *found)
         asked = F.col("template_id") == t["template_id"]
         branch = F.when(asked, chosen) if branch is None else branch.when(asked, chosen)

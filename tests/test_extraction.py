@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docloom import corpus
 from docloom.config import EngineConfig
 from docloom.functions.text import normalise_text
-from docloom.operators import dimension
+from docloom.operators import dimension, extraction
 from docloom.operators.extraction import extract
 from docloom.operators.validation import data_json, validate
 
@@ -35,7 +35,10 @@ def as_python(v):
     return v["s"]
 
 
-def run(spark, rules, checks, texts, pages=None):
+LARGE = EngineConfig(inline_max_templates=0)
+
+
+def run(spark, rules, checks, texts, pages=None, cfg=EngineConfig()):
     store = corpus.as_store(
         spark,
         [{"template_id": "t", "required_keywords": [], "supplier_hint": "", "doc_type": "x", "keyword_quorum": 0.6, "rules": rules, "checks": checks}],
@@ -49,7 +52,7 @@ def run(spark, rules, checks, texts, pages=None):
         rows,
         "doc_id string, template_id string, full_text string, pages array<struct<page_num:int,text:string,tables:array<array<array<string>>>,sheet_name:string>>",
     )
-    dim = dimension.load(store)
+    dim = dimension.load(store, cfg)
     out = validate(extract(docs, dim)).withColumn("json", data_json("data")).orderBy(F.col("doc_id").cast("int")).collect()
     return out, dim
 
@@ -280,3 +283,96 @@ def test_patterns_the_jvm_refuses_are_run_in_python_for_any_store(spark, small):
     docs = spark.createDataFrame([("1", "t", "ab zz 12xxx")], "doc_id string, template_id string, full_text string")
     row = extract(docs, dimension.load(store, cfg)).first()
     assert {v["field"]: Error(v["error"]) if v["error"] else as_python(v) for v in row["data"]} == {"back": "a", "count": "12", "plain": "12"}
+
+
+TABLE_TEXTS = [
+    "head\nPos  Item\n1  pen  2,00\n\n 2  ink\nTotal  2\n3  x",
+    "POS   item\n7  nib\nno end",
+    "nothing",
+    "Pos Item\nTotal",
+    "",
+    None,
+]
+TABLE_PAGES = [
+    [[[["Pos", "Item"], ["9", "cap"], ["", ""], [None, "lid"], ["Total", "1"], ["8", "x"]]]],
+    [[[], [["Other"], ["1"]], [["Pos", None], ["total"]]], [[["pos", "ITEM"], ["4"]]]],
+    [[[["Pos Item"], ["", None]]]],
+    [],
+    [[[[None, "Pos Item"], ["5", "e", "extra"]]]],
+    [[[["Pos", "Item"], ["6", "f"]]]],
+]
+
+
+@pytest.mark.parametrize("cfg", [EngineConfig(), EngineConfig(compiled_max_rules=0), LARGE], ids=["literal", "column", "large"])
+def test_tables_by_python_patterns_equal_those_of_the_jvm(spark, cfg):
+    def rules(spell):
+        sides = [(r"pos\s+item", "^total"), (r"pos\s+item", None), (None, "^total"), (None, None), ("item$", "total")]
+        return [rule(f"t{i}", "table", anchor=spell(a), stop=spell(b), columns=["a", "b", "a"] if i else ["a", "b"]) for i, (a, b) in enumerate(sides)]
+
+    plain, _ = run(spark, rules(lambda p: p), [], TABLE_TEXTS * 2, TABLE_PAGES + [[]] * len(TABLE_TEXTS), cfg)
+    odd, dim = run(spark, rules(lambda p: p and f"(?a:{p})"), [], TABLE_TEXTS * 2, TABLE_PAGES + [[]] * len(TABLE_TEXTS), cfg)
+    assert dim.python_tables
+    tables = lambda out: [[as_python(v) for v in r["data"]] for r in out]
+    assert tables(odd) == tables(plain)
+    assert tables(plain)[0][0] == [{"a": "9", "b": "cap"}, {"a": None, "b": "lid"}] or tables(plain)[0][0] == [{"a": "9", "b": "cap"}, {"a": "", "b": "lid"}]
+    assert tables(plain)[6][0] == [{"a": "1", "b": "pen"}, {"a": "2", "b": "ink"}]
+    assert all(v["error"] is None for r in odd for v in r["data"])
+
+
+@pytest.mark.parametrize("cfg", [EngineConfig(), EngineConfig(compiled_max_rules=0), LARGE], ids=["literal", "column", "large"])
+def test_python_patterns_everywhere(spark, cfg):
+    """Conditionals, flags, references in look-behinds, octal codes and backspaces give values, not errors."""
+    rules = [
+        rule("code", regex=r"(\141b\d)"), rule("tab", regex=r"x([\x08\b]y)"), rule("feed", regex=r"a(\v)b"),
+        rule("lines", "table", anchor=r"(P)?(?(1)os|zz)", stop=r"(T)(?<=\1)otal", columns=["a"]),
+        rule("plain", "table", anchor="Pos", stop="(", columns=["a"]), rule("n", "decimal", r"n=([\d,]+)"),
+    ]
+    checks = [
+        check("code", regex_match=r"(a)?(?(1)b1|x)"), check("code", regex_match=r"(?a:AB)"), check("gone", not_null=True, regex_match=r"(?a:x)"),
+        check("n", gt=2.0, regex_match=r"(1)\.5(?<!\1)$"), check("n", regex_match=r"(?a:\d)\.7"), check("code", regex_match="("), check("feed", regex_match=r"\v"),
+    ]
+    text = "ab1 x\x08y a\x0bb n=1,5\nPos\n1  2\nTotal"
+    out, _ = run(spark, rules, checks, [text, "none"], cfg=cfg)
+    got = {v["field"]: Error(v["error"]) if v["error"] else as_python(v) for v in out[0]["data"]}
+    broken = got.pop("plain")
+    assert isinstance(broken, Error)
+    assert got == {"code": "ab1", "tab": "\x08y", "feed": "", "lines": [{"a": "1"}], "n": 1.5}
+    assert out[0]["errors"] == [
+        "Field 'code' value 'ab1' does not match pattern '(?a:AB)'",
+        "Required field 'gone' is null or empty",
+        "Field 'n' value 1.5 is not > 2.0",
+        "Field 'n' value '1.5' does not match pattern '(?a:\\d)\\.7'",
+        "Field 'code' check pattern is invalid: (",
+        "Field 'feed' value '' does not match pattern '\\v'",
+    ]
+    assert out[1]["errors"] == ["Required field 'gone' is null or empty"]
+
+
+def test_rules_of_a_large_store_meet_hot_and_missing_templates_without_a_hot_shuffle(spark, tmp_path):
+    names = [f"t{i}" for i in range(40)]
+    rules = [rule("n", regex=r"n=(\d+)")]
+    store = corpus.as_store(
+        spark,
+        [{"template_id": t, "required_keywords": [], "supplier_hint": "", "doc_type": "x", "keyword_quorum": 0.6, "rules": rules, "checks": [check("n", not_null=True)]} for t in names],
+    )
+    spark.range(3000).select(
+        F.col("id").cast("string").alias("doc_id"),
+        F.when(F.col("id") % 10 < 6, None).when(F.col("id") % 10 < 8, "t0").otherwise(F.concat(F.lit("t"), F.col("id") % 38 + 1)).alias("template_id"),
+        F.concat(F.lit("n="), "id").alias("full_text"),
+    ).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    small, large = dimension.load(store), dimension.load(store, LARGE)
+    side = large.prepared.select("template_id", F.col("rules").alias("_rules"), F.col("checks").alias("_checks"))
+    assert extraction.heavy_templates(docs, side, LARGE)[0] == "t0"
+    assert extraction.heavy_templates(docs, side, EngineConfig(inline_max_bytes=10)) == []
+    attached = extraction.attach_rules(docs, large)
+    shuffled = attached.filter("template_id = 't0' OR template_id IS NULL")._jdf.queryExecution().optimizedPlan().toString()
+    plan = attached._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 1 and "isnull(template_id" in shuffled
+    key = lambda r: (r["doc_id"], r["template_id"], str(r["data"]), r["errors"])
+    results = [sorted(map(key, validate(extract(docs, dim), dim).collect())) for dim in (small, large)]
+    assert len(results[0]) == 3000 and results[0] == results[1]
+    assert extraction.attach_rules(docs.limit(0), large).collect() == []
+    monkey = EngineConfig(inline_max_templates=0, inline_max_bytes=10)  # nothing fits a broadcast
+    cold = sorted(map(key, validate(extract(docs, dimension.load(store, monkey)), large).collect()))
+    assert cold == results[0]
