@@ -58,7 +58,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
+    docs, tokenizer = documents(spark, sf_dir), vocabulary("byte_bpe_50k.json")
+    return packing.packed(docs, vocabulary("byte_bpe_50k.tiktoken"), tokenizer_path=tokenizer)
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,19 @@ Columns an operator adds for itself start with ``_llm_``, so that input columns
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Words of 64 bits in a hash filter: a fixed size (at most 65,536 rows of two numbers), whatever the input.
-FILTER_WORDS = 65_536
+from docloom.session import through_table
+
+# A hash filter has a word of 64 bits for every four keys (16 bits a key, four of them set in one word: about
+# two keys in a hundred pass by mistake), up to this many words: 32 MB as rows of two numbers.
+MOST_FILTER_WORDS = 1 << 21
+LEAST_FILTER_WORDS = 1 << 10
+KEYS_PER_WORD = 4
 # Parts that the rows of one hot key are dealt to.
 SALTS = 16
 
@@ -25,36 +32,52 @@ def row_number_source() -> Column:
     return F.monotonically_increasing_id()
 
 
-def hash_filter(keys: DataFrame, key: Column) -> DataFrame:
-    """A one-hash Bloom filter of ``key`` as a table of at most FILTER_WORDS rows.
+@dataclass(frozen=True)
+class HashFilter:
+    """A Bloom filter as a table (_llm_word, _llm_bits) of at most ``words`` rows."""
+
+    members: DataFrame
+    words: int
+
+
+def hash_filter(keys: DataFrame, key: Column) -> HashFilter:
+    """A filter of the distinct values of ``key``, sized by their count; ``keys`` should be a written table.
 
-    It is built by partial aggregation. A full filter only lets more rows through to the exact
-    check that follows every use; it never loses one.
+    It is built by partial aggregation and never loses a key. Beyond 8 million keys its size stays and it
+    lets more rows through to the exact check that follows every use.
     """
+    count = keys.agg(F.count(F.lit(1))).first()[0]
+    words = min(MOST_FILTER_WORDS, max(LEAST_FILTER_WORDS, -(-count // KEYS_PER_WORD)))
     h = F.xxhash64(key)
-    return keys.groupBy(F.pmod(h, F.lit(FILTER_WORDS)).alias("_llm_word")).agg(
-        F.bit_or(_bit(h)).alias("_llm_bits")
-    )
+    members = keys.groupBy(_word(h, words).alias("_llm_word")).agg(F.bit_or(_mask(h)).alias("_llm_bits"))
+    return HashFilter(members, words)
+
+
+def _word(h: Column, words: int) -> Column:
+    return F.pmod(F.xxhash64(h), F.lit(words))
 
 
-def _bit(h: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int"))
+def _mask(h: Column) -> Column:
+    """Four bits of a word, from six bits of the hash each."""
+    one = F.lit(1).cast("bigint")
+    bits = [F.call_function("shiftleft", one, F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(4)]
+    return reduce(Column.bitwiseOR, bits)
 
 
-def flag(df: DataFrame, members: DataFrame, key: Column, name: str) -> DataFrame:
-    """Add ``name``: false only where ``key`` is certainly not in the hash filter ``members``.
+def flag(df: DataFrame, found: HashFilter, key: Column, name: str) -> DataFrame:
+    """Add ``name``: false only where ``key`` is certainly not in the filter.
 
-    The filter's size is fixed, so broadcasting it is safe; no row of ``df`` moves.
+    The filter has at most MOST_FILTER_WORDS rows, so broadcasting it is safe; no row of ``df`` moves.
     """
     h = F.xxhash64(key)
     kept = df.columns
     return (
-        df.withColumn("_llm_word", F.pmod(h, F.lit(FILTER_WORDS)))
-        .withColumn("_llm_bit", _bit(h))
-        .join(F.broadcast(members), "_llm_word", "left")
+        df.withColumn("_llm_word", _word(h, found.words))
+        .withColumn("_llm_mask", _mask(h))
+        .join(F.broadcast(found.members), "_llm_word", "left")
         .select(
             *[F.col(_quoted(c)) for c in kept],
-            F.coalesce(F.col("_llm_bits").bitwiseAND(F.col("_llm_bit")) != 0, F.lit(False)).alias(name),
+            F.coalesce(F.col("_llm_bits").bitwiseAND(F.col("_llm_mask")) == F.col("_llm_mask"), F.lit(False)).alias(name),
         )
     )
 
@@ -93,6 +116,7 @@ def keep_one(
     where they are; only the others (and the hash filter's few false hits) are shuffled. Of repeated
     rows (same id, same text key) one stays.
     """
+    contested = through_table(contested, "contested")
     asked = docs.select(*columns_of(docs), F.col(doc_key).alias("_llm_id"))
     flagged = flag(asked, hash_filter(contested, F.col("_llm_id")), F.col("_llm_id"), "_llm_flag")
     free = flagged.filter(~F.col("_llm_flag")).select(*columns_of(docs))

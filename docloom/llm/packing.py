@@ -1,19 +1,22 @@
 """Packing documents into sequences of at most 2,048 tokens: first-fit decreasing in random groups.
 
-A document's ids (the byte-level vocabulary without special tokens, then the end id 1) are cut into full
-pieces, which fill a sequence each, and one shorter rest. Rests are packed group by group: documents are
+A document's ids (the byte-level vocabulary with the tokenizer file's added tokens, then the end id 1) are
+cut into full pieces, which fill a sequence each, and one shorter rest. Rests are packed group by group: documents are
 dealt to groups by a hash of their row number, so a group's size doesn't depend on their content; in a
 group, rests go largest first into the first sequence with room, found in a tournament tree of the
 sequences' free capacities. Groups hold about ``group_docs`` documents whatever the input, so they
 pack in parallel and in bounded memory.
 
 Cuts don't depend on the packing: tokenising is one map over the documents, and only a narrow row each
-(length and checksums) goes through the grouping. Null text counts as empty (one id). The strings of
-special tokens are ordinary text. Empty input gives no rows.
+(length and checksums) goes through the grouping. Null text counts as empty (one id). Where a tokenizer file is
+given, the strings of its added tokens in a text become their ids, as the tokenizers library has it by
+default; without one they are ordinary text. Empty input gives no rows.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -79,22 +82,58 @@ def _encoder(ranks: dict[bytes, int]) -> PieceCache:
     return PieceCache(lambda pieces: [encoding.encode_ordinary(p) for p in pieces])
 
 
-def tokenised(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE) -> DataFrame:
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file, matched as they stand before anything else."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    for token in added:
+        if token["single_word"] or token["lstrip"] or token["rstrip"] or token["normalized"]:
+            raise ValueError(f"added token {token['content']!r} isn't matched as it stands")
+    return {token["content"]: token["id"] for token in added}
+
+
+class Stretches:
+    """Texts cut at added tokens: the stretches between them, and the ids that stand after each."""
+
+    def __init__(self, texts: list[str], added: dict[str, int]):
+        longest_first = sorted(map(re.escape, added), key=len, reverse=True)
+        pattern = re.compile(f"({'|'.join(longest_first)})") if added else None
+        self.texts: list[str] = []
+        self.after: dict[int, int] = {}
+        self.first = [0]
+        for text in texts:
+            parts = pattern.split(text) if pattern and any(a in text for a in added) else [text]
+            for i in range(1, len(parts), 2):
+                self.after[len(self.texts) + i // 2] = added[parts[i]]
+            self.texts += parts[::2]
+            self.first.append(len(self.texts))
+
+    def ids(self, flat: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of each text, from those of all stretches."""
+        for low, high in zip(self.first, self.first[1:]):
+            own = flat[bounds[low] : bounds[high]]
+            cuts = [i for i in range(low, high - 1)]
+            at = [int(bounds[i + 1] - bounds[low]) for i in cuts]
+            yield np.insert(own, at, [self.after[i] for i in cuts]) if cuts else own
+
+
+def tokenised(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, doc_tokens (end id included) and the checksum of each piece of every document.
 
     ``ranks_path`` holds the vocabulary of the tokenizer file as ranks: the same ids, made faster.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    added = added_tokens(tokenizer_path) if tokenizer_path else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _encoder(ranks.value)
         for b in batches:
             sizes, sums = [], []
             for some in chunks(b.column("text").to_pylist()):
-                ids, bounds = flat_ids(split(some), cache)
-                ids = ids.astype("<u4")
-                for lo, hi in zip(bounds.tolist(), bounds[1:].tolist()):
-                    own = np.append(ids[lo:hi], np.array([END_ID], dtype="<u4"))
+                cut = Stretches(some, added)
+                ids, bounds = flat_ids(split(cut.texts), cache)
+                for found in cut.ids(ids.astype("<u4"), bounds):
+                    own = np.append(found, np.array([END_ID], dtype="<u4"))
                     sizes.append(len(own))
                     sums.append([zlib.crc32(own[k : k + sequence]) for k in range(0, len(own), sequence)])
             yield pa.RecordBatch.from_arrays(
@@ -106,9 +145,15 @@ def tokenised(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE) -> Dat
     return narrow.mapInArrow(run, "doc_id bigint, doc_tokens bigint, sums array<bigint>")
 
 
-def packed(docs: DataFrame, ranks_path: str, sequence: int = SEQUENCE, group_docs: int = GROUP_DOCS) -> DataFrame:
+def packed(
+    docs: DataFrame,
+    ranks_path: str,
+    sequence: int = SEQUENCE,
+    group_docs: int = GROUP_DOCS,
+    tokenizer_path: str | None = None,
+) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    rows = tokenised(docs, ranks_path, sequence).withColumn("row", row_number_source())
+    rows = tokenised(docs, ranks_path, sequence, tokenizer_path).withColumn("row", row_number_source())
     rows = through_table(rows, "packing-rows")
     groups = max(1, -(-rows.count() // group_docs))
     dealt = rows.withColumn("grp", F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(groups)))

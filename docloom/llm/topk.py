@@ -11,14 +11,19 @@ hash of their row number, queries to blocks of about ``query_rows``; each (block
   kth score could have the smaller id).
 
 Cells report k rows per query, which a window with a limit merges. Ties go to the smaller vec_id, then to
-the earlier row. Vectors that are null or hold null, NaN or infinite components, or components of 2^18 and
-more in size (whose score might not fit 64 bits), take no part, nor do rows without vec_id. Shorter vectors
-count as padded with zeros. Of repeated vec_ids every row is a candidate of the others. Empty input gives
-no rows.
+the earlier row. Vectors that are null or hold null, NaN or infinite components take no part, nor do rows
+without vec_id. Shorter vectors count as padded with zeros. Of repeated vec_ids every row is a candidate of
+the others. Empty input gives no rows.
+
+Scores are exact for components of any size: in doubles where they stay below 2^53, else in 64-bit
+integers; rows so wide that these could overflow are scored outright in Python's integers. A score among the
+k best that doesn't fit 64 bits is an error, as the result could not hold it.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,15 +36,16 @@ K = 5
 GROUP_ROWS = 4096
 QUERY_ROWS = 4096
 FIRST_STRIDE = 16
-LARGEST = 1 << 26
+DOUBLE, LONG = 1 << 53, 1 << 62
 
 
 def integer_rows(vectors: DataFrame) -> DataFrame:
-    """vec_id, row, v (array<bigint>) of the vectors that take part, written to the shared folder."""
-    scaled = F.transform(F.col("embedding"), lambda x: F.floor(x.cast("double") * 256))
+    """vec_id, row, v (array<double>, to be rounded down) of the vectors that take part, written to the
+    shared folder. 256 times a double is exact, and so is its floor as a double."""
+    scaled = F.transform(F.col("embedding"), lambda x: x.cast("double") * 256)
     bad = F.exists(
         F.col("embedding"),
-        lambda x: x.isNull() | F.isnan(x) | ~(F.abs(x.cast("double")) * 256 < LARGEST),
+        lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")),
     )
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad)
@@ -50,31 +56,53 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     lists = column.combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    out = np.zeros((len(sizes), width), dtype=np.int64)
+    out = np.zeros((len(sizes), width))
     flat = lists.flatten().to_numpy(zero_copy_only=False)
-    out[np.arange(width)[None, :] < sizes[:, None]] = flat
+    out[np.arange(width)[None, :] < sizes[:, None]] = np.floor(flat)
     return out
 
 
 class SortedLists:
-    """A group's rows with, per dimension, their order by that component."""
+    """A group's rows with, per dimension, their order by that component. ``matrix``: whole numbers as doubles."""
 
     def __init__(self, matrix: np.ndarray, ids: np.ndarray, rows: np.ndarray):
         by_id = np.lexsort((rows, ids))  # so that the earlier position wins a tie
         self.ids, self.rows = ids[by_id], rows[by_id]
-        values = matrix[by_id]
-        reach = int(np.abs(values).max(initial=0))
-        exact = reach * LARGEST * max(1, values.shape[1]) < 1 << 53
-        self.values = values.astype(np.float64) if exact else values
-        self.ascending = np.argsort(values, axis=0, kind="stable").T.copy()
+        self.values = matrix[by_id].astype(np.float64)
+        self.reach = np.abs(self.values).max(axis=1, initial=0)
+        self.ascending = np.argsort(self.values, axis=0, kind="stable").T.copy()
 
-    def top(self, query: np.ndarray, own: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    @functools.cached_property
+    def whole(self) -> np.ndarray:
+        """The rows that fit 64-bit integers; zeros for the others, which are never read here."""
+        return np.where(self.reach[:, None] < LONG, self.values, 0).astype(np.int64)
+
+    def top(self, query: np.ndarray, own: int, k: int = K) -> tuple[np.ndarray, list[int]]:
         """(positions, scores) of the k best rows, without the row numbered ``own``."""
+        query = query.astype(np.float64)
+        cost = max(1.0, float(np.abs(query).max(initial=0))) * max(1, len(query))
+        wide = self.reach * cost >= LONG
+        others = self.rows != own
+        place, score = self._search(query, others & ~wide, cost, k)
+        found = list(zip(score.tolist(), place.tolist()))
+        if (wide & others).any():
+            whole = [int(x) for x in query]
+            for i in np.flatnonzero(wide & others).tolist():
+                found.append((sum(a * int(b) for a, b in zip(whole, self.values[i].tolist())), i))
+        found = sorted(found, key=lambda f: (-f[0], f[1]))[:k]
+        for s, i in found:
+            if abs(s) >= 1 << 63:
+                raise OverflowError(f"a score with vec_id {self.ids[i]} does not fit 64 bits")
+        return np.array([i for _, i in found], dtype=np.int64), [int(s) for s, _ in found]
+
+    def _search(self, query: np.ndarray, wanted: np.ndarray, cost: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The threshold algorithm over the rows ``wanted``."""
         n = len(self.ids)
-        query = query.astype(self.values.dtype)
         used = np.flatnonzero(query)
-        seen = self.rows == own
-        place, score = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=query.dtype)
+        seen = ~wanted
+        exact = self.reach[wanted].max(initial=0) * cost < DOUBLE
+        values, weights = (self.values, query) if exact else (self.whole, query.astype(np.int64) if wanted.any() else query)
+        place, score = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=values.dtype)
         depth, stride = 0, FIRST_STRIDE
         while True:
             deeper = min(n, depth + stride)
@@ -84,19 +112,24 @@ class SortedLists:
                     order = self.ascending[d]
                     met[order[n - deeper : n - depth] if query[d] > 0 else order[depth:deeper]] = True
                 last = [self.ascending[d][n - deeper if query[d] > 0 else deeper - 1] for d in used]
-                bound = float(query[used] @ self.values[last, used])
+                parts = query[used] * self.values[last, used]
+                # lists may pass wide rows, and large sums round: the bound is raised by more than that
+                bound = float(parts.sum() + (0 if exact and not seen.all() and self._narrow(last, cost) else 1e-9 * np.abs(parts).sum()))
             else:  # every row is read; rows of an all-zero query score alike
                 met, bound = np.ones(n, dtype=bool), -np.inf
             new = np.flatnonzero(met & ~seen)
             seen |= met
             place = np.concatenate((place, new))
-            score = np.concatenate((score, self.values[new] @ query))
+            score = np.concatenate((score, values[new] @ weights))
             best = np.lexsort((place, -score))[:k]
             place, score = place[best], score[best]
-            if bound == -np.inf or len(score) == k and score[-1] > bound:
+            if bound == -np.inf or seen.all() or len(score) == k and score[-1] > bound:
                 return place, score.astype(np.int64)
             depth, stride = deeper, 2 * stride
 
+    def _narrow(self, rows: list[int], cost: float) -> bool:
+        return bool(self.reach[rows].max() * cost < DOUBLE)
+
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of every row for which ``is_query`` holds."""
@@ -125,7 +158,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
                 out["query_row"] += [qrow] * len(place)
                 out["vec_id"] += lists.ids[place].tolist()
                 out["row"] += lists.rows[place].tolist()
-                out["score"] += score.tolist()
+                out["score"] += score
         return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
     found = (

@@ -4,7 +4,9 @@ from collections import Counter, defaultdict
 import pytest
 from compare import difference, duck
 
-from docloom.llm import catalog, exact_dedup
+from pyspark.sql import functions as F
+
+from docloom.llm import catalog, common, exact_dedup
 
 from .helpers import HARD_TEXTS, as_tables, documents, empty
 
@@ -65,6 +67,37 @@ def test_hot_group_and_empty(spark):
     assert exact_dedup.membership(exact_dedup.refined(empty(spark))).collect() == []
 
 
+def test_filter_is_sized_by_its_keys(spark, monkeypatch):
+    keys = spark.range(40_000).withColumn("k", F.col("id") * 7)
+    other = spark.range(40_000).withColumn("k", -F.col("id") - 1)
+    found = common.hash_filter(keys, F.col("k"))
+    assert found.words == 10_000 and found.members.count() <= found.words
+    assert common.flag(keys, found, F.col("k"), "f").filter("f").count() == 40_000
+    assert common.flag(other, found, F.col("k"), "f").filter("f").count() < 0.04 * 40_000
+    monkeypatch.setattr(common, "MOST_FILTER_WORDS", 100)  # a bound that is reached loses nothing
+    full = common.hash_filter(keys, F.col("k"))
+    assert full.words == 100 and common.flag(keys, full, F.col("k"), "f").filter("f").count() == 40_000
+
+
+def test_clean_rows_stay_out_of_joins(spark, tmp_path):
+    """Many short copies: clean texts aren't shuffled, and rows without a full hash meet in no key."""
+    docs = spark.range(30_000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") < 20_000, F.concat(F.lit("copy "), F.expr("id div 2"))).otherwise(F.concat(F.lit("a clean text "), F.sha2(F.col("id").cast("string"), 256))).alias("text"),
+    )
+    docs.write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    rows = exact_dedup.refined(docs)
+    assert rows.filter("doc_id >= 20000 AND full IS NOT NULL").count() < 400
+    assert rows.filter("doc_id < 20000 AND full IS NULL").count() == 0
+    plan = exact_dedup.membership(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Filter isnotnull(full") >= 2 and "Filter isnull(full" in plan
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.count() == 20_000 and kept.filter("doc_id < 20000").agg(F.sum(F.col("doc_id") % 2)).first()[0] == 10_000
+    free = [line for line in kept._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Union" in line]
+    assert free
+
+
 def test_main_path_is_native(spark, sf):
     plan = catalog.op10_exact_dedup(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -12,6 +12,8 @@ from docloom.llm import catalog, packing
 from .helpers import HARD_TEXTS, as_tables, documents, empty
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+END = "<|endoftext|>"
 
 
 def first_fit(sizes, capacity):
@@ -56,9 +58,7 @@ def check(pieces, docs):
 
 
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 def ids_of(t, text):
@@ -90,6 +90,26 @@ def test_groups_share_no_sequence(spark):
 
 
 def test_empty_and_special_strings(spark):
-    assert packing.packed(empty(spark), PATH).collect() == []
-    [piece] = packing.packed(documents(spark, [(1, "<|endoftext|>")]), PATH).collect()
-    assert piece.length > 2
+    assert packing.packed(empty(spark), PATH, tokenizer_path=JSON).collect() == []
+    [piece] = packing.packed(documents(spark, [(1, END)]), PATH).collect()
+    assert piece.length > 2  # without the tokenizer file they are ordinary text
+    t = tokenizer()
+    assert ids_of(t, f"a {END} b") == [64, 220, 50256, 275, 1]
+    word = "word and " * 70_000  # beyond one chunk
+    texts = [END, f"a {END} b", END * 3, f"x{END}", f"{END}y ", f"{word}{END}{word}", "<|endoftext", f" {END}\n\n{END}  z", f"<|{END}|>", "", None]
+    got = packing.packed(documents(spark, list(enumerate(texts)), extra=True), PATH, tokenizer_path=JSON).collect()
+    check(got, {i: ids_of(t, x) for i, x in enumerate(texts)})
+    assert {p.doc_id for p in got} == set(range(len(texts)))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([END, "[A]", "[AB]", "a", " ", "<|", "é"]), max_size=6).map("".join), max_size=5))
+def test_stretches_put_ids_where_the_tokens_were(texts):
+    added = {END: 9, "[A]": 7, "[AB]": 8}
+    cut = packing.Stretches(texts, added)
+    sizes = [len(x) for x in cut.texts]
+    flat = np.array([ord(c) + 100 for x in cut.texts for c in x], dtype=np.int64)
+    got = [x.tolist() for x in cut.ids(flat, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64))]
+    names = {v: k for k, v in added.items()}
+    assert ["".join(names[i] if i < 100 else chr(i - 100) for i in ids) for ids in got] == texts
+    assert all(sum(i == n for i in ids) == t.count(k) for ids, t in zip(got, texts) for k, n in added.items())

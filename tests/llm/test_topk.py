@@ -1,6 +1,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from compare import difference, duck
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm import catalog, topk
 
+from .helpers import as_tables
+
 SCHEMA = "vec_id bigint, embedding array<float>, label int, row string, v string"
 
 
@@ -15,7 +18,7 @@ def brute(rows, k=5):
     vectors = [
         (d, [math.floor(256 * x) for x in e])
         for d, e in rows
-        if d is not None and e is not None and all(x is not None and math.isfinite(x) and abs(x) * 256 < 2**26 for x in e)
+        if d is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)
     ]
     out = []
     for i, (q, e) in enumerate(vectors):
@@ -59,12 +62,47 @@ def test_hard_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
         (0, [1.0, -1.0]), (50, None), (100, [nan, 1.0]), (150, [inf, 0.0]), (200, [None, 1.0]), (None, [1.0, 1.0]),
-        (3, [0.5]), (4, []), (5, [0.0, 0.0]), (6, [1.0, -1.0]), (250, [0.0, 0.0]), (-50, [2.0, 2.0]), (7, [1e30, 0.0]),
+        (3, [0.5]), (4, []), (5, [0.0, 0.0]), (6, [1.0, -1.0]), (250, [0.0, 0.0]), (-50, [2.0, 2.0]), (7, [300000.0, 0.0]),
         (8, [0.5, 0.25]), (8, [0.5, 0.25]),
     ]
     assert run(spark, rows) == brute(rows)
 
 
+def test_wide_and_mixed_vectors(spark, sf, tmp_path):
+    rng = random.Random(4)
+    size = lambda: rng.choice([1.0, 300.0, 300_000.0, 2.0**20])
+    rows = [(i, [exact(rng.uniform(-1, 1)) * size() for _ in range(5)]) for i in range(200)]
+    rows += [(1000, [0.0, 0.0, 0.0, 2.0**60, 0.0]), (1001, [2.0**90]), (1050, [0.0, 0.25]), (1101, [0.0, 2.0**12])]
+    rows = [(i, [float(np.float32(x)) for x in e]) for i, e in rows]
+    rows = [(i, [0.0, *e[1:3], 0.0, *e[4:]] if i % 50 == 0 else e) for i, e in rows]  # queries that meet no widest component
+    assert run(spark, rows) == brute(rows)
+    path = as_tables(spark, tmp_path, embeddings=frame(spark, [r for r in rows if r[0] < 1000]).coalesce(1))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet/*.parquet'")
+    assert difference(spark, con, "op1", catalog.op1_exact_top_k, catalog.ORACLES["op1_exact_top_k"], path) is None
+
+
+def test_a_score_beyond_64_bits_is_an_error(spark):
+    assert run(spark, [(0, [0.0, 1.0]), (1, [2.0**100, 1.0])]) == [(0, 1, 1, 65536)]
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        run(spark, [(0, [1.0]), (1, [2.0**60])])
+
+
+def test_bound_with_wide_rows_in_the_lists():
+    rng = np.random.default_rng(2)
+    values = rng.integers(-50, 50, (3000, 3)).astype(float)
+    values[:5] = [[2.0**80, -(2.0**80), 0], [-(2.0**80), 0, 1], [0, 0, 2.0**80], [2.0**30, 1, -3], [0, 0, 0]]
+    lists = topk.SortedLists(values, np.arange(3000), np.arange(3000))
+    for query in ([1, 0, 0], [0, 0, 5], [3, 3, 0], [-2, 7, 1]):
+        scores = sorted(((-sum(int(a) * int(b) for a, b in zip(query, v)), i) for i, v in enumerate(values.tolist())))
+        if abs(scores[0][0]) >= 1 << 63:
+            with pytest.raises(OverflowError):
+                lists.top(np.array(query), -1)
+        else:
+            place, score = lists.top(np.array(query), -1)
+            assert [(-s, p) for s, p in zip(score, place.tolist())] == scores[:5]
+
+
 def test_fewer_than_k_and_none(spark):
     assert run(spark, [(0, [1.0]), (1, [2.0])]) == [(0, 1, 1, 131072)]
     assert run(spark, [(0, [1.0])]) == [] and run(spark, []) == []
@@ -81,7 +119,7 @@ def test_bound_stops_early():
     assert (first < 20).all()
     place, score = lists.top(np.array([1, 1, 1, 1]), -1)
     assert set(place.tolist()) <= set(range(20))
-    assert score.tolist() == sorted(values[:20].sum(axis=1).tolist())[::-1][:5]
+    assert score == sorted(values[:20].sum(axis=1).tolist())[::-1][:5]
 
 
 def test_query_against_sql(spark, sf):
