@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.joins import salted_left_join
+
 _BODY = ["supplier_hint", "doc_type", "rules", "checks", "metadata", "version", "updated_at"]
 
 
@@ -60,7 +62,7 @@ def resolve_targets(templates: DataFrame, incoming: DataFrame) -> DataFrame:
     stored. replace: everything else.
     """
     stored = templates.select(F.col("template_id").alias("existing_template_id"), F.lit(True).alias("_stored"))
-    joined = incoming.join(stored, "existing_template_id", "left")
+    joined = salted_left_join(incoming, stored, ["existing_template_id"], ["response_seq"])
     merge = (
         F.col("existing_template_id").isNotNull()
         & F.coalesce("_stored", F.lit(False))
@@ -87,7 +89,10 @@ def fold_updates(templates: DataFrame, incoming: DataFrame, snapshot_id: int | N
             F.struct("created_at", "hit_count"), F.when(~F.col("is_merge"), F.col("response_seq"))
         ).alias("restart"),
     )
-    live = ops.join(newest.select("target_id", "restart_seq"), "target_id").filter(
+    # Only replaced templates have anything to leave out, and only three narrow columns meet their restart.
+    slim = ops.select("target_id", "response_seq", "keyword_quorum", "required_keywords")
+    restarts = newest.filter(F.col("restart_seq").isNotNull()).select("target_id", "restart_seq")
+    live = salted_left_join(slim, restarts, ["target_id"], ["response_seq"]).filter(
         F.col("restart_seq").isNull() | (F.col("response_seq") >= F.col("restart_seq"))
     )
     # A keyword enters with the first update that carries it, with all its copies in that update.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig
 from docloom.functions.exprs import let, materialise
+from docloom.operators.joins import salted_left_join
 
 # Words never mined as keywords.
 STOP_WORDS = [
@@ -70,15 +71,16 @@ def keyword_owners(templates: DataFrame) -> DataFrame:
 def with_collisions(freq: DataFrame, templates: DataFrame) -> DataFrame:
     """K5, J13. Number of other templates holding exactly this keyword.
 
-    Where ``freq`` has ``own_template_id``, that template does not count against itself.
+    Where ``freq`` has ``own_template_id``, that template does not count against itself. Tokens follow Zipf's law: a
+    common one is in a third of all documents, so its rows are dealt to several parts of each join.
     """
     owners = keyword_owners(templates)
     users = owners.groupBy("low").agg(F.count("*").alias("_users"))
-    out = freq.join(users, "low", "left")
+    out = salted_left_join(freq, users, ["low"], ["doc_id"])
     own = F.lit(0)
     if "own_template_id" in freq.columns:
         mine = owners.select(F.col("template_id").alias("own_template_id"), "low", F.lit(1).alias("_own"))
-        out = out.join(mine, ["own_template_id", "low"], "left")
+        out = salted_left_join(out, mine, ["own_template_id", "low"], ["doc_id"])
         own = F.coalesce("_own", F.lit(0))
     return out.withColumn("collisions", F.coalesce("_users", F.lit(0)) - own).drop("_users", "_own")
 
