@@ -37,7 +37,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all remaining documents, placed in sequences."""
-    return packing.packed(docs, vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.packed(
+        docs, vocabulary("byte_bpe_50k.tiktoken"), tokenizer_path=vocabulary("byte_bpe_50k.json")
+    )
 
 
 STAGES = [
