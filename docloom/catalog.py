@@ -30,6 +30,7 @@ from docloom.session import new_path, spread, through_table
 from docloom.sources import assembly, audit, responses, store
 from docloom.sources.files import discover, dispatch
 from docloom.streaming.folder import hit_deltas, run_folder
+from docloom.streaming.moving import commit_snapshot, current_hits, current_results, rematch_misses, run_moving_folder
 
 CFG = EngineConfig()
 
@@ -460,6 +461,29 @@ def s13_folder_stream(spark, sf):
     )
 
 
+def s13_rematch(spark, sf):
+    """A stream that starts with one template; the others are committed while half of the orders are out, and
+    what missed before is matched again."""
+    source, out, snapshots = new_path(spark, "inbox"), new_path(spark, "stream"), new_path(spark, "snapshots")
+    docs, stored = orders(spark, sf), order_store(spark)
+    early = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    commit_snapshot(stored.filter("seq = 0"), snapshots, 1)
+    docs.filter(early).write.parquet(source)
+    run = lambda: run_moving_folder(spark, source, snapshots, out, f"{out}/checkpoint", files_per_batch=4)
+    run().awaitTermination()
+    commit_snapshot(stored, snapshots, 2)
+    docs.filter(~early).write.mode("append").parquet(source)
+    run().awaitTermination()
+    rematch_misses(spark, snapshots, out)
+    hits = current_hits(spark, out)
+    counts = current_results(spark, out).groupBy(F.coalesce("template_id", F.lit("-")).alias("template_id"), "route").agg(
+        F.count("*").alias("documents")
+    )
+    return counts.join(hits, "template_id", "left").select(
+        "template_id", "route", "documents", F.coalesce("hits", F.lit(0)).alias("hits")
+    )
+
+
 # --- 2.2 scalar text ------------------------------------------------------------------------------
 
 
@@ -1145,7 +1169,7 @@ def full_run_texts(spark, sf):
 
 QUERIES = [
     s1_discover, s2_dispatch, s3_assemble_pages, s4_assemble_sheets, s5_s6_store_roundtrip, s5_s6_store_lines,
-    s6_snapshot, s7_s8_audit, s8_bad_lines, s8_extra, s9_results, s10_export, s11_decode, s12_requests, s13_folder_stream,
+    s6_snapshot, s7_s8_audit, s8_bad_lines, s8_extra, s9_results, s10_export, s11_decode, s12_requests, s13_folder_stream, s13_rematch,
     p1_normalise, p2_sheet_markers, p3_p4_fold_preview, p5_paths, p6_build, p7_listing, p8_lookup,
     p9_in_order, p10_import, p11_questions, p12_response_fields,
     j1_keyword_hits, j3_supplier_contained, j3_supplier_fuzzy, j5_best, j6_decision, j7_candidates,

@@ -482,4 +482,5 @@ ORACLES: dict[str, str] = {
 
 # The same questions on other plans.
 ORACLES["s5_s6_store_lines"] = ORACLES["s5_s6_store_roundtrip"]
+ORACLES["s13_rematch"] = ORACLES["s13_folder_stream"]
 ORACLES["j9_plan_inline"] = ORACLES["j9_plan_chunks"] = ORACLES["j9_match_orders"]
