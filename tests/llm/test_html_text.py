@@ -69,6 +69,74 @@ LINKS = {
 }
 
 
+RUSSIAN = "Это один из абзацев, ради которых читатель открыл страницу, и он достаточно длинный, чтобы его узнать. " * 3
+CHINESE = "这是读者打开这个页面时想要看到的段落之一，它的长度足以让人把它和菜单区分开来。" * 6
+ITALIAN = "Questo paragrafo racconta una storia abbastanza lunga perché chi legge possa riconoscerla subito. " * 3
+OTHER = {
+    "russian page": (page(f"<h1>Глава</h1><p>{RUSSIAN}</p><p>{RUSSIAN}</p>"), f"Глава {RUSSIAN}{RUSSIAN.strip()}"),
+    "chinese beside english": (page(f"<p>{LONG}</p><p>{CHINESE}</p>"), f"{TEXT} {CHINESE}"),
+    "other latin language": (page(f"<div><p>{ITALIAN}</p><p>Fine.</p></div>"), f"{ITALIAN.strip()} Fine."),
+    "russian menu": (page(f"<p>{RUSSIAN}</p><p><a href='#'>{RUSSIAN}</a></p>"), RUSSIAN.strip()),
+    "foreign comments": (page(f"<p>{RUSSIAN}</p><p>{RUSSIAN}</p><div class='reader-comments'><p>{RUSSIAN}</p></div>"), f"{RUSSIAN}{RUSSIAN.strip()}"),
+    "hidden parts": (page(f"<article><p>{LONG}</p><div hidden><p>{LONG}</p></div><p style='color:red; display: none'>x<p>{LONG}</p></article>"), f"{TEXT} {TEXT}"),
+    "hidden words": (page("<article><p>w<span hidden>x</span>ord <b style=\"display:none\">no</b>yes</p></article>"), "word yes"),
+    "not hidden": (page("<article><p class='a hidden b' data-x='hidden'>one</p><p style='overflow:hidden'>two</p></article>"), "one two"),
+    "hidden until scripts run": (f"<body style='visibility:hidden'>{NAV}<p>{LONG}</p></body>", TEXT),
+    "unclosed list items": (page(f"<article><p>{LONG}</p><ul><li class='ad-box'>no<li>yes</ul></article>"), f"{TEXT} yes"),
+    "mostly link": (page(f"<article><p>{LONG}</p><p>As told in <a href='x'>the report of the committee on pages</a>, he left.</p><p>{LONG}</p></article>"), f"{TEXT} As told in the report of the committee on pages, he left. {TEXT}"),
+    "links only": (page(f"<article><p>{LONG}</p><ul><li><a href='x'>One more</a> (3)</li></ul></article>"), TEXT),
+}
+NOTICES = "reader-comments user-comments post-comments article-comments comment-thread paywall-notice legal-notice cookie-policy discussion postComments".split()
+PLAIN = "no-comments comments-closed has-sidebar ad-free with-comments entry-header header-image commentary notification".split()
+
+
+@pytest.mark.parametrize("name", OTHER)
+def test_other_scripts_hidden_parts_and_linked_paragraphs(name):
+    html, want = OTHER[name]
+    assert html_text.main_text(html) == want
+
+
+@pytest.mark.parametrize("name", [*NOTICES, *PLAIN])
+def test_names_of_notices_and_comments(name):
+    part = f"<section class='{name}'><p>{LONG}</p></section>"
+    want = TEXT if name in NOTICES else f"{TEXT} {TEXT}"
+    assert html_text.main_text(page(f"<article><p>{LONG}</p></article>{part}")) == want
+    assert html_text.main_text(page(f"<article><p>{LONG}</p>{part}</article>")) == want
+
+
+def brute_second_pass(found, labels):
+    """For each open block a walk to both sides, as far as its stretch goes."""
+    out = []
+    for i, label in enumerate(labels):
+        votes = []
+        for step in (-1, 1):
+            j = i
+            while label == html_text.OPEN and 0 <= j + step < len(found) and not found[j].excluded:
+                j += step
+                if found[j].excluded or found[j].article != found[i].article:
+                    break
+                if labels[j] != html_text.OPEN:
+                    votes.append((abs(j - i), labels[j]))
+                    break
+        least = min((d for d, _ in votes), default=0)
+        lone = html_text.GOOD not in labels or found[i].article > 0
+        near = [v for d, v in votes if d == least] or [html_text.GOOD if lone else html_text.BAD]
+        out.append(max(near) if label == html_text.OPEN else label)
+    return out
+
+
+def test_second_pass_equals_a_walk_from_each_block():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(3_000):
+        excluded = [rng.random() < 0.15 for _ in range(rng.randrange(12))]
+        edges = [rng.randrange(3) for _ in excluded]
+        found = [html_text.Block("x", 0, e, 0, a // 2) for e, a in zip(excluded, sorted(edges))]
+        labels = [html_text.BAD if e else rng.choice([1, 0, -1, -1]) for e in excluded]
+        assert html_text.second_pass(found, list(labels)) == brute_second_pass(found, labels)
+
+
 @pytest.mark.parametrize("name", WHOLE)
 def test_names_and_forms_leave_the_page_whole(name):
     html, want = WHOLE[name]
