@@ -3,11 +3,13 @@
 Base spans, each kind leftmost and non-overlapping: ``assign`` (a secret's name and its value), ``access``
 (access identifiers with a known prefix), ``hex`` (long hexadecimal runs). They are reported as they are.
 
-Weak parts say little alone: an ``identifier`` (user, client or key id with its value), a ``secret`` (a
-mixed run of letters and digits of at least a key's length, also right after ``NAME=``, or a secret's name
-with a value of any length), an ``endpoint`` (URL or host). Parts are joined as
-intervals: each reaches ``reach`` code points to both sides, within its scope (the text between blank
-lines). A weak secret is reported when an identifier (weak or access) is in reach, a weak identifier when a
+Weak parts say little alone: an ``identifier`` (user, mail, client or key id with its value, or a temporary
+access key's id), a ``secret`` (a mixed run of letters and digits of at least a key's length, also right after
+``NAME=``, or a secret's name with a value of any length), an ``endpoint`` (URL or host). The user, the password
+and the host of a URL that holds all three are one part of each kind. A named value must look like one: after
+``=``, quoted, with a digit or a sign, or alone on its line; "password: must be long" in running text is none.
+Parts are joined as intervals: each reaches ``reach`` code points to both sides, within its scope. Scopes end
+at blank lines, but for those between two lines that assign a value to a name. A weak secret is reported when an identifier (weak or access) is in reach, a weak identifier when a
 secret (weak, assign or hex) is, an endpoint when both are. Weak parts that overlap a base span or a
 reported stronger part are left out.
 
@@ -21,6 +23,7 @@ import bisect
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 REACH = 200
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 MASK = "[secret]"
+LINE = 4_096  # code points of a line that assigns, at most; longer lines count as running text
 
 # Patterns of the contract and the least lengths of what they find.
 ASSIGN = re.compile(
@@ -40,9 +44,11 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_VALUE, ACCESS_WHOLE = 12, 18
 
 IDENTIFIER = re.compile(
-    r"""(?<![a-z])(?:user(?:_?name)?|login|account(?:_?name)?|client_?id|access_?key_?id|key_?id|tenant)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{3,})""",
+    r"""(?<![a-z])(?:user(?:_?name)?|uid|login|e?-?mail|account(?:_?name)?|client_?id|access_?key_?id|key_?id|tenant)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.+-]{3,})""",
     re.I | re.A,
 )
+TEMPORARY = re.compile(r"(?<![A-Za-z0-9])ASIA[A-Z0-9]{16}(?![A-Za-z0-9])")
+IN_URL = re.compile(r"""://([^\s:/@"'<>]+):([^\s/"'<>]+)@([^\s/@"'<>]+(?:[/?#][^\s"'<>]*)?)""")
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 LABELLED = re.compile(
     r"""(?:password|passwd|secret|token|api_?key|(?<![a-z])(?:pwd|pass(?:phrase)?))["']?\x20*[:=]\x20*"""
@@ -54,6 +60,10 @@ ENDPOINT = re.compile(
     re.I | re.A,
 )
 BLANK_LINES = re.compile(r"\n[\x20\t\r]*\n")
+# A line that assigns a value to a name: whole, and what may stand before the name on it.
+ASSIGNING = re.compile(r"""[\x20\t]*(?:export\x20+|-\x20+)?["']?[A-Za-z_][A-Za-z0-9_.-]*+["']?\x20*[:=]\x20*\S[^\n]*""", re.A)
+BEFORE_NAME = re.compile(r"""\n[\x20\t]*(?:export\x20+|-\x20+)?["']?[A-Za-z0-9_.-]*\Z""", re.A)
+PLAIN_VALUE = re.compile(r"[A-Za-z'\u2019-]*[.!?:]*")
 
 Span = tuple[int, int, str]  # start, end, kind
 
@@ -93,33 +103,85 @@ class _Intervals:
         return i > 0 and self.furthest[i - 1] > start
 
 
-def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
-    """Weak parts whose complementary parts are in reach within their scope."""
-    identifiers = [m.span() for m in IDENTIFIER.finditer(text)]
-    endpoints = [m.span() for m in ENDPOINT.finditer(text)]
-    if not identifiers and not any(kind == "access" for _, _, kind in base):
-        return []  # every link needs an identifier
-    labelled = [m.span() for m in LABELLED.finditer(text)]
-    runs = [m.span() for m in WEAK_SECRET.finditer(text) if _mixed(m[0])]
-    taken = _Intervals([(s, e) for s, e, _ in base])
+@dataclass(slots=True)
+class Parts:
+    """The parts of a text that linking looks at, none of a kind overlapping a stronger one."""
+
+    identifiers: list[tuple[int, int]]
+    secrets: list[tuple[int, int]]
+    endpoints: list[tuple[int, int]]
+
+
+def _told(text: str, start: int, end: int) -> bool:
+    """Whether a named value looks like a value, not like the next words of a sentence."""
+    piece = text[start:end]
+    at = min(i for i in (piece.find(":"), piece.find("=")) if i >= 0)
+    value = piece[at + 1 :].lstrip(" ")
+    if piece[at] == "=" or value[0] in "\"'" or not PLAIN_VALUE.fullmatch(value):
+        return True
+    after = text[end : end + 1]
+    before = text[start - 64 : start] if start > 64 else "\n" + text[:start]
+    return after in ("", "\n", "\r", ",") and BEFORE_NAME.search(before) is not None
+
+
+def weak_parts(text: str, base: list[Span]) -> Parts:
+    """Candidates for links. Spans of the base, then endpoints, identifiers, named secrets, runs come first."""
+    logins = list(IN_URL.finditer(text)) if "://" in text else []
+    identifiers = [m.span() for m in IDENTIFIER.finditer(text)] + [m.span() for m in TEMPORARY.finditer(text)]
+    if not identifiers and not logins and not any(kind == "access" for _, _, kind in base):
+        return Parts([], [], [])  # every link needs an identifier
     free = lambda spans, used: [x for x in spans if not used.meet(*x)]
-    endpoints = free(endpoints, taken)
+    named = _Intervals([(m.start(1), m.end(3)) for m in logins])
+    all_base = _Intervals([(s, e) for s, e, _ in base])
+    endpoints = free([m.span() for m in ENDPOINT.finditer(text)], named) + [m.span(3) for m in logins]
+    endpoints = free(endpoints, all_base)
+    users = free([m.span(1) for m in logins], all_base)
     identifiers = free(identifiers, _Intervals([(s, e) for s, e, k in base if k != "assign"]))
-    identifiers = free(identifiers, _Intervals(endpoints))
-    taken = _Intervals([*((s, e) for s, e, _ in base), *endpoints, *identifiers])
-    secrets = free(labelled, taken)
+    identifiers = free(free(identifiers, _Intervals(endpoints)), named) + users
+    identifiers = _apart(identifiers)
+    secrets = free([m.span(2) for m in logins], all_base)
+    taken = _Intervals([*((s, e) for s, e, _ in base), *endpoints, *identifiers, *secrets])
+    labelled = [m.span() for m in LABELLED.finditer(text)]
+    secrets += [x for x in free(labelled, taken) if _told(text, *x)]
+    runs = [m.span() for m in WEAK_SECRET.finditer(text) if _mixed(m[0])]
     secrets += free(free(runs, taken), _Intervals(secrets))
-    known = _Intervals([(s, e) for s, e, k in base if k == "access"] + identifiers)
-    hidden = _Intervals([(s, e) for s, e, k in base if k != "access"] + secrets)
-    edges = [0, *(m.end() for m in BLANK_LINES.finditer(text)), len(text) + 1]
+    return Parts(identifiers, secrets, endpoints)
+
+
+def _apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans by start without those that begin inside the one kept before."""
+    out: list[tuple[int, int]] = []
+    for span in sorted(spans):
+        if not out or span[0] >= out[-1][1]:
+            out.append(span)
+    return out
+
+
+def scope_edges(text: str) -> list[int]:
+    """Where scopes begin, and an edge past the end. Blank lines inside a block of assignments end none."""
+    edges = [0]
+    for m in BLANK_LINES.finditer(text):
+        before = text.rfind("\n", max(0, m.start() - LINE), m.start()) + 1
+        known = before > 0 or m.start() <= LINE
+        if not (known and ASSIGNING.fullmatch(text, before, m.start()) and ASSIGNING.match(text, m.end())):
+            edges.append(m.end())
+    return [*edges, len(text) + 1]
+
+
+def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
+    """Weak parts whose complementary parts are in reach within their scope."""
+    parts = weak_parts(text, base)
+    known = _Intervals([(s, e) for s, e, k in base if k == "access"] + parts.identifiers)
+    hidden = _Intervals([(s, e) for s, e, k in base if k != "access"] + parts.secrets)
+    edges = scope_edges(text) if parts.identifiers or parts.secrets or parts.endpoints else []
 
     def near(span: tuple[int, int]) -> tuple[int, int]:
         i = bisect.bisect_right(edges, span[0])
         return max(span[0] - reach, edges[i - 1]), min(span[1] + reach, edges[i])
 
-    out = [(*x, "secret") for x in secrets if known.meet(*near(x))]
-    out += [(*x, "identifier") for x in identifiers if hidden.meet(*near(x))]
-    out += [(*x, "endpoint") for x in endpoints if known.meet(*near(x)) and hidden.meet(*near(x))]
+    out = [(*x, "secret") for x in parts.secrets if known.meet(*near(x))]
+    out += [(*x, "identifier") for x in parts.identifiers if hidden.meet(*near(x))]
+    out += [(*x, "endpoint") for x in parts.endpoints if known.meet(*near(x)) and hidden.meet(*near(x))]
     return out
 
 
