@@ -6,8 +6,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.exprs import json_text, materialise
+from docloom.functions.exprs import materialise
 from docloom.schemas import CHECK, RULE, STORE_ENTRY_TEXT, TEMPLATES
+from docloom.sources import json_object
 
 _STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -99,26 +100,21 @@ def empty_store(spark: SparkSession) -> DataFrame:
 def load_store_json(spark: SparkSession, path: str, snapshot_id: int = 0) -> DataFrame:
     """S5. A JSON object id -> template; its key order becomes ``seq``. No file, no templates.
 
-    A malformed file, or an entry that is no template, is an error. The format is one JSON document, so one task parses it: meant for hand-kept stores. Large stores
-    live as parquet snapshots.
+    A malformed file, or an entry that is no template, is an error. The object is read by lines, in parallel
+    (``json_object.members``); one that is a single line is parsed by one task.
     """
     try:
-        raw = spark.read.text(path, wholetext=True)
+        raw = spark.read.text(path)
     except AnalysisException as exc:
         if exc.getCondition() == "PATH_NOT_FOUND":
             return empty_store(spark)
         raise
-    if raw.isEmpty():
+    if raw.filter(F.trim("value") != "").isEmpty():
         raise ValueError(f"malformed template store: {path} is empty")
-    m = F.from_json("value", f"map<string,{STORE_ENTRY_TEXT}>", {"mode": "FAILFAST"})
-    whole = F.when(
-        F.ltrim("value").startswith("{"), F.coalesce(m, F.raise_error(F.lit("malformed template store")))
-    ).otherwise(F.raise_error(F.lit("malformed template store: no JSON object")))
-    parsed = materialise(raw, m=F.map_entries(whole))
-    entries = parsed.select(F.posexplode("m").alias("pos", "kv"))
-    checked = materialise(entries.select("pos", "kv"), e=_checked(F.col("kv.value"), F.col("kv.key")))
+    entries = json_object.members(spark, path, STORE_ENTRY_TEXT, "template store")
+    checked = materialise(entries.select("pos", "key", "value"), e=_checked(F.col("value"), F.col("key")))
     return checked.select(
-        F.col("pos").cast("bigint").alias("seq"),
+        F.col("pos").alias("seq"),
         F.lit(snapshot_id).cast("bigint").alias("snapshot_id"),
         *entry_columns(F.col("e"), F.localtimestamp()),
     )
@@ -180,25 +176,10 @@ def load_store_lines(spark: SparkSession, path: str, snapshot_id: int = 0) -> Da
 
 
 def export_store_json(templates: DataFrame, path: str) -> None:
-    """S6. The whole store as one JSON object in insertion order, whatever its size.
+    """S6. The whole store as one JSON object in insertion order, a template a line, written in parallel.
 
-    One object means one task writes it: for hand-kept stores. ``export_store_lines`` and snapshots
-    take a store of any size; which form is written is the caller's choice alone.
+    The object is spread over the files of the folder in the order of their names.
     """
-    store_object(templates.select("seq", "template_id", template_json().alias("entry"))).write.text(path)
-
-
-def store_object(lines: DataFrame) -> DataFrame:
-    """(seq, template_id, entry) rows as one JSON object."""
-    return lines.agg(
-        F.array_sort(F.collect_list(F.struct("seq", "template_id", "entry"))).alias("all")
-    ).select(
-        F.concat(
-            F.lit("{"),
-            F.array_join(
-                F.transform("all", lambda e: F.concat(json_text(e["template_id"]), F.lit(": "), e["entry"])),
-                ",\n",
-            ),
-            F.lit("}"),
-        ).alias("value")
+    json_object.write_object(
+        templates.select("seq", F.col("template_id").alias("key"), template_json().alias("entry")), path
     )
