@@ -11,15 +11,27 @@ nothing.
 
 A match is reported as (licence, start, end, containment), start and end in code points of the whole text;
 overlapping matches of a licence are merged; of several licences that match one stretch, the one with the
-highest containment is reported (then the longest template). Windows that share too few shingles with all
-templates to hold any are not signed. Null text counts as empty. Templates are broadcast and may hold
+highest containment is reported (then the longest template), and a notice within a match of a template that
+holds the whole notice is not reported beside it. Windows that share too few shingles with all templates to
+hold any are not signed. Null text counts as empty.
+
+A licence can be interrupted (page furniture, comments, another notice in the middle) by any number of words.
+Templates of PIECES * LEAST_PIECE words and more are therefore also indexed by overlapping pieces of a
+quarter to an eighth of their length, with windows and bands of their own. A template retrieved by a piece is
+verified on all of the document's shingles outside its whole matches: the shortest stretch that holds enough of
+them, of whatever length, grown over neighbours that hold further ones.
+
+A licence id before ``/`` in a template's name groups wordings of one notice. Templates are broadcast and may hold
 MAX_TEMPLATE_WORDS words together (more is an error). Documents are independent: one map, no shuffle.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -34,6 +46,11 @@ HASHES = 128
 MISS = 1e-6
 MAX_TEMPLATE_WORDS = 200_000
 SEED = 11
+# A template has at least so many pieces, of a power of two of words each.
+PIECES = 4
+LEAST_PIECE = 8
+# One interruption spoils one piece of four; (0.8 - 1/4) / (3/4) of the others' shingles are left.
+PIECE_CONTAINMENT = 0.7
 
 # Notices by which public licences are applied to a work.
 NOTICES = {
@@ -151,6 +168,27 @@ OTHERS = {
         "SOFTWARE."
     ),
 }
+# How notices of one line begin, and what they call the licences.
+OPENINGS = ("licensed under", "released under", "distributed under", "available under")
+SPOKEN = {
+    "MIT": ("the MIT License", "an MIT license", "the terms of the MIT license"),
+    "Apache-2.0": ("the Apache License 2.0", "the Apache License, Version 2.0", "the Apache 2.0 license"),
+    "BSD-2-Clause": ("the BSD 2-Clause License", "the 2-clause BSD license"),
+    "BSD-3-Clause": ("the BSD 3-Clause License", "the 3-clause BSD license"),
+    "ISC": ("the ISC License",),
+    "MPL-2.0": ("the Mozilla Public License 2.0", "the Mozilla Public License, version 2.0"),
+    "GPL-2.0": ("the GNU General Public License v2", "the GNU GPL v2", "the GNU GPL version 2"),
+    "GPL-3.0": ("the GNU General Public License v3", "the GNU GPL v3", "the GNU GPL version 3"),
+    "LGPL-3.0": ("the GNU Lesser General Public License v3", "the GNU LGPL v3"),
+    "AGPL-3.0": ("the GNU Affero General Public License v3", "the GNU AGPL v3"),
+    "CC-BY-4.0": ("CC BY 4.0",),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0",),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0",),
+    "CC-BY-ND-4.0": ("CC BY-ND 4.0",),
+    "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0",),
+    "CC-BY-NC-ND-4.0": ("CC BY-NC-ND 4.0",),
+    "CC0-1.0": ("CC0 1.0 Universal",),
+}
 TEXTS = Path(__file__).parent / "licence_texts"
 WORD = re.compile(r"[^\W_]+")
 # ASCII bytes that end a word.
@@ -172,18 +210,39 @@ def window_of(length: int) -> tuple[int, int]:
     return -(-5 * length // 4) + stride, stride
 
 
-def least_similarity(length: int, containment: float = CONTAINMENT, words: int = WORDS_PER_SHINGLE) -> float:
+def piece_window_of(length: int) -> tuple[int, int]:
+    """(words in a window, stride) for pieces of ``length`` words; stretches of 1.125 lengths lie in a window."""
+    stride = max(1, length // 8)
+    return -(-9 * length // 8) + stride, stride
+
+
+def piece_length(length: int) -> int | None:
+    """Words in a piece of a template of ``length`` words; None if it is too short for pieces."""
+    words = length // PIECES
+    return None if words < LEAST_PIECE else 1 << (words.bit_length() - 1)
+
+
+def least_similarity(
+    length: int, containment: float = CONTAINMENT, words: int = WORDS_PER_SHINGLE, window: int | None = None
+) -> float:
     """Lower bound of the Jaccard similarity of a template and the window that holds a match of it."""
     own = max(1, length - words + 1)
-    inside = max(1, window_of(length)[0] - words + 1)
+    inside = max(1, (window or window_of(length)[0]) - words + 1)
     shared = max(1.0, np.ceil(containment * own - 1e-9))
     return float(shared / max(own, own + inside - shared))
 
 
 def registered() -> dict[str, str]:
-    """All templates: notices, headers, short texts and whole licences (``-text``)."""
+    """All templates: notices, headers, short texts, whole licences (``-text``) and wordings (``id/opening/name``)."""
     whole = {f"{p.stem}-text": p.read_text(encoding="utf-8") for p in sorted(TEXTS.glob("*.txt"))}
-    return NOTICES | OTHERS | whole | {"AGPL-3.0-text": _affero_terms(whole["GPL-3.0-text"])}
+    texts = NOTICES | OTHERS | whole | {"AGPL-3.0-text": _affero_terms(whole["GPL-3.0-text"])}
+    taken = {tuple(words_of(t)) for t in texts.values()}
+    for licence, names in SPOKEN.items():
+        for i, opening in enumerate(OPENINGS):
+            for j, name in enumerate(names):
+                if tuple(words_of(f"{opening} {name}")) not in taken:
+                    texts[f"{licence}/{i}/{j}"] = f"{opening} {name}"
+    return texts
 
 
 def _affero_terms(gpl: str) -> str:
@@ -221,73 +280,148 @@ def _shingle_hashes(hashed: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
+@dataclass
+class Group:
+    """Templates, or pieces of templates, of one word count: band settings and index."""
+
+    bands: int
+    rows: int
+    window: int
+    stride: int
+    least: int  # shingles that a window must share with some member
+    index: dict[tuple, list[str]] = field(default_factory=dict)
+    parts: list[np.ndarray] = field(default_factory=list)
+
+    @cached_property
+    def vocabulary(self) -> np.ndarray:
+        return np.unique(np.concatenate(self.parts))
+
+
 class Templates:
-    """The band index of the templates, by word count."""
+    """The band index of the templates and of their pieces, by word count."""
 
     def __init__(self, texts: dict[str, str], containment: float = CONTAINMENT, size: int = WORDS_PER_SHINGLE):
         self.containment, self.size, self.known = containment, size, {}
         words = {name: words_of(t) for name, t in texts.items()}
         self.shingles = {name: set(_shingles(w, size)) for name, w in words.items() if w}
+        self.length = {name: len(words[name]) for name in self.shingles}
         hashes = {name: self.numbers(words[name]) for name in self.shingles}
         self.vocabulary = np.unique(np.concatenate([*hashes.values(), np.zeros(0, dtype=np.uint64)]))
         draw = np.random.default_rng(SEED)
         self.factors = draw.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
         self.terms = draw.integers(0, 1 << 63, HASHES, dtype=np.uint64)
-        self.settings: dict[int, tuple[int, int]] = {}
-        self.bands: dict[int, dict[tuple, list[str]]] = {}
-        self.least: dict[int, int] = {}  # shingles that a window must share with some template
+        self.whole: dict[int, Group] = {}
+        self.pieces: dict[int, Group] = {}
         for name, own in hashes.items():
-            length = len(words[name])
-            self.settings[length] = band_settings(least_similarity(length, containment, size))
-            least = int(np.ceil(containment * len(self.shingles[name]) - 1e-9))
-            self.least[length] = min(least, self.least.get(length, least))
-            index = self.bands.setdefault(length, {})
-            for key in self._keys(own, length):
-                index.setdefault(key, []).append(name)
+            self._register(self.whole, name, own, self.length[name], window_of, containment)
+            if piece := piece_length(self.length[name]):
+                step, ends = piece - size + 1, self.length[name] - piece
+                for start in {*range(0, ends + 1, step), ends}:
+                    part = own[start : start + step]
+                    self._register(self.pieces, name, part, piece, piece_window_of, min(containment, PIECE_CONTAINMENT))
+
+    def _register(self, groups: dict[int, Group], name: str, own: np.ndarray, length: int, shape, share: float) -> None:
+        window, stride = shape(length)
+        least = int(np.ceil(share * len(np.unique(own)) - 1e-9))
+        if (group := groups.get(length)) is None:
+            settings = band_settings(least_similarity(length, share, self.size, window))
+            group = groups[length] = Group(*settings, window, stride, least)
+        group.least = min(least, group.least)
+        group.parts.append(own)
+        for key in self._keys(own, group):
+            group.index.setdefault(key, []).append(name)
 
     def numbers(self, words: list[str]) -> np.ndarray:
         return _shingle_hashes(_word_hashes(words, self.known), self.size)
 
-    def _keys(self, shingles: np.ndarray, length: int) -> list[tuple]:
+    def _keys(self, shingles: np.ndarray, group: Group) -> list[tuple]:
         mixed = np.unique(shingles)[None, :] * self.factors[:, None] + self.terms[:, None]
         signature = (mixed ^ (mixed >> np.uint64(29))).min(axis=1).tolist()
-        bands, rows = self.settings[length]
-        return [(i, *signature[i * rows : (i + 1) * rows]) for i in range(bands)]
-
-    def matches(self, text: str | None) -> list[tuple[str, int, int, float]]:
-        words = words_of(text)
+        return [(i, *signature[i * group.rows : (i + 1) * group.rows]) for i in range(group.bands)]
+
+    def _retrieved(self, group: Group, numbers: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, set[str]]]:
+        """(first word, names) of the windows that share a band with a member of the group."""
+        if len(hits) < group.least:
+            return
+        hits = hits[np.isin(numbers[hits], group.vocabulary)]
+        if len(hits) < group.least:
+            return
+        # windows [j * stride, j * stride + window) that hold the whole of a hit shingle
+        first = np.maximum(0, -(-(hits + self.size - group.window) // group.stride))
+        last = hits // group.stride
+        reached = {j for a, b in zip(first.tolist(), last.tolist()) for j in range(a, b + 1)}
+        for j in sorted(reached):
+            lo = j * group.stride
+            end = max(lo + 1, lo + group.window - self.size + 1)
+            if np.subtract(*np.searchsorted(hits, (end, lo))) >= group.least:
+                yield lo, {n for key in self._keys(numbers[lo:end], group) for n in group.index.get(key, ())}
+
+    def found(self, words: list[str]) -> dict[str, list[tuple[int, int, float]]]:
+        """Per template its matches (first word, end, containment), rivals included."""
         numbers = self.numbers(words)
         if not len(numbers) or not len(self.vocabulary):
-            return []
+            return {}
         at = np.minimum(np.searchsorted(self.vocabulary, numbers), len(self.vocabulary) - 1)
         hits = np.flatnonzero(self.vocabulary[at] == numbers)
         if not len(hits):
-            return []
-        found: dict[str, list[tuple[int, int, float]]] = {}
-        for length, index in self.bands.items():
-            if len(hits) < self.least[length]:
-                continue
-            window, stride = window_of(length)
-            # windows [j * stride, j * stride + window) that hold the whole of a hit shingle
-            first = np.maximum(0, -(-(hits + self.size - window) // stride))
-            last = hits // stride
-            reached = {j for a, b in zip(first.tolist(), last.tolist()) for j in range(a, b + 1)}
-            for j in sorted(reached):
-                lo = j * stride
-                end = max(lo + 1, lo + window - self.size + 1)
-                if np.subtract(*np.searchsorted(hits, (end, lo))) < self.least[length]:
-                    continue
-                inside = numbers[lo:end]
-                for name in {n for key in self._keys(inside, length) for n in index.get(key, ())}:
-                    if match := self._verified(words[lo : lo + window], name):
-                        found.setdefault(name, []).append((lo + match[0], lo + match[1], match[2]))
+            return {}
+        some: dict[str, list[tuple[int, int, float]]] = {}
+        for group in self.whole.values():
+            for lo, names in self._retrieved(group, numbers, hits):
+                for name in names:
+                    if match := self._verified(words[lo : lo + group.window], name):
+                        some.setdefault(name, []).append((lo + match[0], lo + match[1], match[2]))
+        matches = {name: _merged(spans) for name, spans in some.items()}
+        asked: set[str] = set()
+        for group in self.pieces.values():
+            for _, names in self._retrieved(group, numbers, hits):
+                asked |= names
+        if asked:
+            held = [(i, tuple(words[i : i + self.size])) for i in hits.tolist()]
+            for name in sorted(asked):
+                if more := self._interrupted(held, name, matches.get(name, [])):
+                    matches[name] = sorted([*matches.get(name, []), *more])
+        return matches
+
+    def matches(self, text: str | None) -> list[tuple[str, int, int, float]]:
+        found = self.found(words_of(text))
         if not found:
             return []
         spans = [m.span() for m in WORD.finditer(text or "")]
-        return [
-            (name, spans[a][0], spans[z - 1][1], share)
-            for name, a, z, share in self._best({n: _merged(some) for n, some in found.items()})
-        ]
+        return [(name, spans[a][0], spans[z - 1][1], share) for name, a, z, share in self._best(found)]
+
+    def _interrupted(
+        self, held: list[tuple[int, tuple]], name: str, known: list[tuple[int, int, float]]
+    ) -> list[tuple[int, int, float]]:
+        """Matches of any length outside the ``known`` ones, from the positions of all templates' shingles."""
+        wanted, length = self.shingles[name], self.length[name]
+        need = int(np.ceil(self.containment * len(wanted) - 1e-9))
+        rows = [(i, s) for i, s in held if s in wanted and not any(a <= i < z for a, z, _ in known)]
+        out: list[tuple[int, int, float]] = []
+        inside: Counter = Counter()
+        lo = at = 0
+        while at < len(rows):
+            inside[rows[at][1]] += 1
+            at += 1
+            if len(inside) < need:
+                continue
+            while len(inside) > need or inside[rows[lo][1]] > 1:  # the shortest that ends here
+                shingle = rows[lo][1]
+                inside[shingle] -= 1
+                if not inside[shingle]:
+                    del inside[shingle]
+                lo += 1
+            floor = out[-1][1] if out else -1
+            while lo and floor <= rows[lo - 1][0] >= rows[lo][0] - length and rows[lo - 1][1] not in inside:
+                lo -= 1
+                inside[rows[lo][1]] += 1
+            while at < len(rows) and rows[at][0] <= rows[at - 1][0] + length and rows[at][1] not in inside:
+                inside[rows[at][1]] += 1
+                at += 1
+            out.append((rows[lo][0], rows[at - 1][0] + self.size, len(inside) / len(wanted)))
+            inside.clear()
+            lo = at
+        return out
 
     def _best(self, found: dict[str, list[tuple[int, int, float]]]) -> list[tuple[str, int, int, float]]:
         """Of matches of one stretch (they share over half of the longer one) the one of highest containment."""
@@ -298,7 +432,11 @@ class Templates:
             rivals = (k for k in kept if k[0] != m[0])
             if not any(2 * (min(m[2], k[2]) - max(m[1], k[1])) > max(m[2] - m[1], k[2] - k[1]) for k in rivals):
                 kept.append(m)
-        return sorted(kept)
+        return sorted(m for m in kept if not any(self._part_of(m, k) for k in kept))
+
+    def _part_of(self, m: tuple[str, int, int, float], whole: tuple[str, int, int, float]) -> bool:
+        """A notice that its place's longer match consists of too."""
+        return whole[1] <= m[1] and m[2] <= whole[2] and self.shingles[m[0]] < self.shingles[whole[0]]
 
     def _verified(self, words: list[str], name: str) -> tuple[int, int, float] | None:
         wanted = self.shingles[name]

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from docloom.llm import catalog, licences
@@ -93,3 +95,89 @@ def test_registered_licences_keep_their_names():
     assert {f"{f}-text" for f in families} <= texts.keys()
     assert {"BSD-2-Clause", "BSD-3-Clause", "Unlicense", "CC-BY-SA-4.0"} <= texts.keys()
     assert [m[0] for m in every.matches(licences.OTHERS["GPL-2.0"])] == ["GPL-2.0"]
+
+
+@pytest.fixture(scope="module")
+def every():
+    return licences.Templates(licences.registered())
+
+
+def shares(text, index, reach):
+    """Licences of which the whole text holds 0.8 of the shingles; too short for pieces: ``reach`` words of it."""
+    shingles = licences._shingles(licences.words_of(text), 5)
+    own, out = set(shingles), set()
+    for name, wanted in index.shingles.items():
+        if len(own & wanted) / len(wanted) < 0.8:
+            continue
+        if licences.piece_length(index.length[name]) is None:
+            size = max(1, reach(index.length[name]) - 4)
+            stretches = (wanted.intersection(shingles[i : i + size]) for i in range(len(shingles)))
+            if max(map(len, stretches)) / len(wanted) < 0.8:
+                continue
+        out.add(name)
+    return out
+
+
+def test_interrupted_anywhere(every):
+    """One interruption of 700 words, at several places of each template that has pieces."""
+    for name, text in licences.registered().items():
+        words = licences.words_of(text)
+        if licences.piece_length(len(words)) is None:
+            continue
+        for k in range(1, 13) if len(words) < 300 else (5,) if len(words) < 2_000 else ():
+            cut = k * len(words) // 13
+            whole = [*words[:cut], *(f"w{i}" for i in range(700)), *words[cut:]]
+            if len(set(licences._shingles(whole, 5)) & every.shingles[name]) / len(every.shingles[name]) < 0.8:
+                continue
+            spans = every.found(whole)[name]
+            assert len(spans) == 1 and spans[0][2] >= 0.8, (name, k)
+
+
+def test_interrupted_spans_and_copies(every):
+    header = licences.NOTICES["Apache-2.0-header"]
+    words = header.split()
+    broken = " ".join([*words[:25], *["page"] * 300, *words[25:]])
+    text = "  and other words ".join([f"intro {broken}" + " far" * 100, header, "far " * 100 + f"{broken} outro"])
+    spans = [m for m in every.matches(text) if m[0] == "Apache-2.0-header"]
+    assert len(spans) == 3
+    assert [text[a:z].split()[0] for _, a, z, _ in spans] == ["Licensed"] * 3
+    assert [text[a:z].split()[-1] for _, a, z, _ in spans] == ["implied"] * 3
+    assert [s < 1 for *_, s in spans] == [True, False, True]
+
+
+def test_two_sided_brute_force_over_all_templates(spark, sf, every):
+    """Before rivals go, a text's licences are those of which enough is held, wherever it stands."""
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    registered = licences.registered()
+    rng = random.Random(5)
+    names = [n for n in registered if len(licences.words_of(registered[n])) < 400]
+    for _ in range(60):
+        parts = []
+        for name in rng.sample(names, 3):
+            words = registered[name].split()
+            cut = rng.randrange(len(words) + 1)
+            if licences.piece_length(len(licences.words_of(registered[name]))) is None:
+                cut = 0
+            parts += [*words[:cut], *(f"x{rng.randrange(50)}" for _ in range(rng.randrange(400))), *words[cut:]]
+        texts.append(" ".join(parts))
+    for t in texts:
+        got = set(every.found(licences.words_of(t)))
+        assert shares(t, every, lambda n: -(-5 * n // 4)) <= got <= shares(t, every, lambda n: licences.window_of(n)[0])
+
+
+def test_wordings(every):
+    said = {
+        "Licensed under the MIT license": "MIT",
+        "Released under the BSD 3-Clause License": "BSD-3-Clause",
+        "licensed under CC BY-SA 4.0": "CC-BY-SA-4.0",
+        "Distributed under the GNU GPL v3.": "GPL-3.0",
+        "This is available under the Apache License 2.0!": "Apache-2.0",
+    }
+    for text, licence in said.items():
+        assert {m[0].split("/")[0] for m in every.matches(f"some words. {text} more words")} == {licence}
+    for text in ("licensed under the", "the MIT License", "licensed under protest by the MIT"):
+        assert every.matches(text) == []
+
+
+def test_header_is_one_match(every):
+    assert [m[0] for m in every.matches(licences.NOTICES["Apache-2.0-header"])] == ["Apache-2.0-header"]
