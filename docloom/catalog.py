@@ -728,6 +728,27 @@ def j10_family(spark, sf):
     return matching.family_match(asked, stored).select("key", "family_id", F.round("ratio", 4).alias("ratio"))
 
 
+def _distorted_names(spark, sf) -> DataFrame:
+    """Supplier names asked backwards, cut, without zeros or within others; some of types that have no family."""
+    name, kind = F.col("s_name"), F.col("s_suppkey") % 4
+    return table(spark, sf, "supplier", "s_suppkey", "s_name", "s_nationkey").select(
+        F.col("s_suppkey").alias("key"),
+        F.when(F.col("s_suppkey") % 7 == 0, "type_none").otherwise(F.concat(F.lit("type_"), F.col("s_nationkey").cast("string"))).alias("doc_type"),
+        F.when(F.col("s_suppkey") % 8 == 1, F.concat(F.substring(name, 1, 8), F.lit(" qv")))
+        .when(kind == 0, F.reverse(name))
+        .when(kind == 1, F.concat(F.substring(name, 1, 8), F.lit(" xyz qv")))
+        .when(kind == 2, F.replace(name, F.lit("0"), F.lit("")))
+        .otherwise(F.concat(F.lit("The "), F.substring(name, 4, 30), F.lit(" AG")))
+        .alias("supplier_hint"),
+    )
+
+
+def j10_family_distorted(spark, sf):
+    """J10 on names that are contained in none: ratios on both sides of the threshold, ties, missing families."""
+    found = matching.family_match(_distorted_names(spark, sf), supplier_templates(spark, sf))
+    return found.select("key", F.coalesce("family_id", F.lit("-")).alias("family_id"), F.round(F.coalesce("ratio", F.lit(0.0)), 4).alias("ratio"))
+
+
 def j11_rules_of_document(spark, sf):
     dim = load(order_store(spark))
     matched = matching.match(orders(spark, sf), dim)
@@ -1174,7 +1195,7 @@ QUERIES = [
     p9_in_order, p10_import, p11_questions, p12_response_fields,
     j1_keyword_hits, j3_supplier_contained, j3_supplier_fuzzy, j5_best, j6_decision, j7_candidates,
     j8_near_miss, j9_match_orders, j9_plan_inline, j9_plan_chunks, j9_plan_automaton,
-    j9_match_by_grams, j10_family, j11_rules_of_document,
+    j9_match_by_grams, j10_family, j10_family_distorted, j11_rules_of_document,
     x1_values, x2_string, x3_date, x4_decimal, x5_integer, x6_list, x6_mails, x6_links,
     x7_x9_table_pages, x8_x9_table_text, x7_x8_python_tables, x10_type_dispatch,
     v1_v5_validate, v4_pattern_check, v4_python_checks, v6_critical,

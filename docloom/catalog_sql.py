@@ -325,6 +325,35 @@ ORACLES: dict[str, str] = {
         SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CASE WHEN hit THEN template_id ELSE '-' END AS template_id, round(score, 6) AS match_score,
             CASE WHEN hit THEN '-' ELSE template_id END AS near_miss_id FROM best""",
     "j10_family": "SELECT s_suppkey AS key, 'supplier_' || s_suppkey || '_v1' AS family_id, 100.0 AS ratio FROM supplier",
+    # Common subsequences of the shorter name and every window of the longer one, bit-parallel: bit i of s is 0
+    # once character i of the shorter name is matched. Both directions where the names are equally long.
+    "j10_family_distorted": """
+        WITH asked AS (
+            SELECT s_suppkey AS key, CASE WHEN s_suppkey % 7 = 0 THEN 'type_none' ELSE 'type_' || s_nationkey END AS doc_type,
+                lower(CASE WHEN s_suppkey % 8 = 1 THEN substr(s_name, 1, 8) || ' qv' WHEN s_suppkey % 4 = 0 THEN reverse(s_name)
+                    WHEN s_suppkey % 4 = 1 THEN substr(s_name, 1, 8) || ' xyz qv' WHEN s_suppkey % 4 = 2 THEN replace(s_name, '0', '') ELSE 'The ' || substr(s_name, 4) || ' AG' END) AS a
+            FROM supplier
+        ), pairs AS (
+            SELECT key, a, lower(s_name) AS b, s_suppkey AS stored FROM asked JOIN supplier ON doc_type = 'type_' || s_nationkey
+        ), sides AS (
+            SELECT key, stored, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS x, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS y FROM pairs
+            UNION ALL SELECT key, stored, b, a FROM pairs WHERE length(a) = length(b)
+        ), windows AS (
+            SELECT key, stored, x, length(x) AS m, substr(y, greatest(st, 1), least(st + length(x) - 1, length(y)) - greatest(st, 1) + 1) AS w
+            FROM (SELECT *, unnest(range(2 - length(x), length(y) + 1)) AS st FROM sides)
+        ), runs AS (
+            SELECT key, stored, m, length(w) AS width, list_reduce(
+                list_prepend(((1::BIGINT << m::INT) - 1)::BIGINT, list_transform(string_split(w, ''), lambda c:
+                    CAST(list_sum(list_transform(range(m), lambda i: CASE WHEN x[i + 1] = c THEN 1::BIGINT << i::INT ELSE 0 END)) AS BIGINT))),
+                lambda s, k: ((s + (s & k)) | (s - (s & k))) & ((1::BIGINT << m::INT) - 1)) AS state
+            FROM windows
+        ), rated AS (
+            SELECT key, stored, max(200.0::DOUBLE * (m - bit_count(state)) / (m + width)) AS ratio FROM runs GROUP BY key, stored
+        ), best AS (
+            SELECT key, arg_max(stored, ratio * 1e6 - stored * 1e-6) AS stored, max(ratio) AS ratio FROM rated WHERE ratio >= 70 GROUP BY key
+        )
+        SELECT key, CASE WHEN stored IS NULL THEN '-' ELSE 'supplier_' || stored || '_v1' END AS family_id, round(coalesce(ratio, 0.0), 4) AS ratio
+        FROM asked LEFT JOIN best USING (key)""",
     "j11_rules_of_document": on_orders("SELECT doc_id, CAST(CASE WHEN half OR cold THEN 0 ELSE 6 END AS BIGINT) AS n_rules, CAST(CASE WHEN half OR cold THEN 0 WHEN kind = 'confirmation_v1' THEN 4 ELSE 5 END AS BIGINT) AS n_checks FROM routed"),
     "x1_values": on_orders("""
         SELECT doc_id, kind AS template_id, f.rule_pos, f.field, f.kind, CASE f.field

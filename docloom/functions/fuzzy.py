@@ -92,3 +92,48 @@ def row_ratios(texts: pd.Series, needles: pd.Series) -> pd.Series:
         ],
         dtype=object,
     )
+
+
+_BUCKETS = 128
+
+
+def _counts(names: list[str]) -> np.ndarray:
+    """Characters of each name, counted in buckets of code points."""
+    out = np.zeros((len(names), _BUCKETS), dtype=np.int32)
+    for i, name in enumerate(names):
+        out[i] = np.bincount(_codes(name) % _BUCKETS, minlength=_BUCKETS)
+    return out
+
+
+def best_of(asked: list[str], names: list[str], least: float) -> list[tuple[int | None, float, int]]:
+    """For each asked text the first of the closest ``names`` with a ratio of at least ``least`` (0..100).
+
+    Returns (index or None, ratio, names rated). No name that could win is passed over: a window of the longer
+    text that has c characters in common with the shorter one (m characters) is at least c long, so its ratio
+    is at most 2c / (m + c), which grows with c; and c is at most what both texts hold of each character, counted
+    in buckets (a shared bucket only makes the bound larger). Names are rated in the order of their bounds until
+    the bound is below the best ratio found.
+    """
+    held = _counts(names)
+    sizes = held.sum(axis=1)
+    out: list[tuple[int | None, float, int]] = []
+    for text, own in zip(asked, _counts(asked)):
+        if not text:
+            out.append((None, 0.0, 0) if least > 0 or not names else (0, 0.0, 0))
+            continue
+        common = np.zeros(len(names), dtype=np.int64)
+        for bucket in np.flatnonzero(own):
+            common += np.minimum(held[:, bucket], own[bucket])
+        shorter = np.minimum(sizes, len(text))
+        bound = 200.0 * common / (shorter + common) + 1e-9
+        possible = np.flatnonzero(bound >= least)
+        best, ratio, rated = None, least, 0
+        for i in possible[np.argsort(-bound[possible], kind="stable")].tolist():
+            if bound[i] < ratio:
+                break
+            rated += 1
+            value = partial_ratio(text, names[i])
+            if value > ratio or (value == ratio and (best is None or i < best)):
+                best, ratio = i, value
+        out.append((best, ratio if best is not None else 0.0, rated))
+    return out

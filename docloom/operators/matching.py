@@ -11,6 +11,8 @@ import json
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from docloom.functions.exprs import let, materialise
 from docloom.functions.text import fold
 from docloom.operators import automaton
 from docloom.operators.dimension import Dimension, InlineStore, as_dimension, match_columns
+from docloom.operators.joins import salted_left_join
 from docloom.session import through_table
 
 CANDIDATE = "struct<seq:bigint,template_id:string,score:double,hit_rate:double,quorum:double,hits:int>"
@@ -415,8 +418,8 @@ def match_by_grams(docs: DataFrame, templates: DataFrame, cfg: EngineConfig) ->
     return decide(scored.drop("_hits", "_ratio", "_kws", "_found", "_tl"), cfg)
 
 
-FAMILY_PIECE = 1_000
-FAMILY_SALTS = 16
+# Names of one side that a task compares at once; both sides of a document type are dealt to blocks of them.
+FAMILY_BLOCK = 4_096
 
 
 def family_match(
@@ -424,49 +427,64 @@ def family_match(
 ) -> DataFrame:
     """J10. Closest stored template of the same document type by fuzzy supplier name.
 
-    ``incoming``: (key, doc_type, supplier_hint). Stored names meet the distinct asked names in
-    bounded lists per document type, rated inside the row: no pair of names becomes a row of its own.
-    Asked names of a type are dealt to FAMILY_SALTS parts, so a hot type is split. Keys without a family keep nulls; the first inserted wins a tie.
+    ``incoming``: (key, doc_type, supplier_hint). Keys without a family keep nulls; the first inserted wins a tie.
+    See ``family_ratings`` for how few pairs of names are rated.
+    """
+    asked = incoming.select("key", "doc_type", F.lower("supplier_hint").alias("asked"))
+    best = (
+        family_ratings(asked, templates, cfg)
+        .filter("family_id is not null")
+        .groupBy("doc_type", "asked")
+        .agg(F.max(F.struct("ratio", "order", "family_id")).alias("best"))
+    )
+    return salted_left_join(asked, best, ["doc_type", "asked"], ["key"]).select(
+        "key", F.col("best.family_id").alias("family_id"), F.col("best.ratio").alias("ratio")
+    )
+
+
+def family_ratings(asked: DataFrame, templates: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """(doc_type, asked, ratio, order, family_id, compared, rated): the best of each block of stored names.
+
+    Blocks of asked and of stored names of a type meet in one task each, a name a row; no pair becomes a row. Inside,
+    ``fuzzy.best_of`` rates only names whose character counts allow the wanted ratio and at least the best so far.
+    ``compared`` and ``rated`` count pairs. ``family_id`` is null where no name of the block reaches the ratio.
     """
     names = (
         templates.filter(F.coalesce("supplier_hint", F.lit("")) != "")
         .groupBy("doc_type", F.lower("supplier_hint").alias("name"))
         .agg(F.min(F.struct("seq", "template_id")).alias("first"))
     )
-    pieces = max(1, -(-names.count() // FAMILY_PIECE))
-    lists = names.groupBy("doc_type", F.pmod(F.xxhash64("name"), F.lit(pieces)).alias("piece")).agg(
-        F.collect_list(F.struct("name", "first")).alias("stored")
-    )
-    asked = incoming.select("key", "doc_type", F.lower("supplier_hint").alias("asked"))
-    rated = (
-        asked.select("doc_type", "asked")
-        .distinct()
-        .withColumn("salt", F.pmod(F.xxhash64("asked"), F.lit(FAMILY_SALTS)).cast("int"))
-        .join(lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(FAMILY_SALTS - 1)))), ["doc_type", "salt"])
-        .withColumn(
-            "ratios",
-            fuzzy.row_ratios(F.col("asked"), F.transform("stored", lambda s: s["name"])),
-        )
+    wanted = asked.select("doc_type", "asked").filter("asked is not null").distinct()
+    blocks = lambda df, n: df.groupBy("doc_type").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias(n))
+    sizes = blocks(names, "stored_blocks").join(blocks(wanted, "asked_blocks"), "doc_type")
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = wanted.join(sizes, "doc_type").select(
+        "doc_type", of("asked", "asked_blocks").alias("a"), every("stored_blocks").alias("s"), "asked"
     )
-    best = (
-        rated.select(
-            "doc_type",
-            "asked",
-            F.array_max(
-                F.transform(
-                    "stored",
-                    lambda s, i: F.struct(
-                        (F.get(F.col("ratios"), i) * 100).alias("ratio"),
-                        (-s["first"]["seq"]).alias("order"),
-                        s["first"]["template_id"].alias("family_id"),
-                    ),
-                )
-            ).alias("best"),
-        )
-        .groupBy("doc_type", "asked")
-        .agg(F.max("best").alias("best"))
-        .filter(F.col("best.ratio") >= cfg.family_ratio)
+    right = names.join(sizes, "doc_type").select(
+        "doc_type", every("asked_blocks").alias("a"), of("name", "stored_blocks").alias("s"), "name", "first.seq", "first.template_id"
     )
-    return asked.join(best, ["doc_type", "asked"], "left").select(
-        "key", F.col("best.family_id").alias("family_id"), F.col("best.ratio").alias("ratio")
+    least = float(cfg.family_ratio)
+
+    def cell(some: pa.Table, stored: pa.Table) -> pa.Table:
+        order = pc.sort_indices(stored["seq"])
+        stored = stored.take(order)
+        names, seq, ids = (stored[c].to_pylist() for c in ("name", "seq", "template_id"))
+        best = fuzzy.best_of(some["asked"].to_pylist(), names, least)
+        at = [b[0] for b in best]
+        return pa.table({
+            "doc_type": some["doc_type"],
+            "asked": some["asked"],
+            "ratio": pa.array([None if i is None else b[1] for i, b in zip(at, best)], pa.float64()),
+            "order": pa.array([None if i is None else -seq[i] for i in at], pa.int64()),
+            "family_id": pa.array([None if i is None else ids[i] for i in at], pa.string()),
+            "compared": pa.array([len(names)] * len(at), pa.int64()),
+            "rated": pa.array([b[2] for b in best], pa.int64()),
+        })
+
+    return (
+        left.groupBy("doc_type", "a", "s")
+        .cogroup(right.groupBy("doc_type", "a", "s"))
+        .applyInArrow(cell, "doc_type string, asked string, ratio double, order bigint, family_id string, compared bigint, rated bigint")
     )

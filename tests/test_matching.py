@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom import corpus
 from docloom.config import EngineConfig
+from docloom.functions import fuzzy
 from docloom.functions.fuzzy import partial_ratio
 from docloom.operators import automaton, matching
 from docloom.sources.store import empty_store
@@ -177,6 +178,42 @@ def test_family_match_against_brute_force(spark):
         assert got[key] == best
 
 
+def test_bound_passes_over_no_family():
+    """Random names against a plain loop; blocks of a few names in Spark give the same (below)."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcde ß\u4e2d\U0001f600") for _ in range(rng.randrange(1, 14)))
+    names, asked = [word() for _ in range(150)], [word() for _ in range(60)] + [""]
+    rated = 0
+    for least in (0.5, 55.0, 70.0, 95.0, 100.0):
+        for text, (at, ratio, n) in zip(asked, fuzzy.best_of(asked, names, least)):
+            plain = [partial_ratio(text, name) for name in names]
+            if max(plain) < least:
+                assert at is None
+            else:
+                assert (at, ratio) == (plain.index(max(plain)), max(plain))
+            rated += n
+    assert 0 < rated < 5 * len(asked) * len(names) / 3
+    assert fuzzy.best_of(["a"], [], 70.0) == [(None, 0.0, 0)] and fuzzy.best_of([], ["a"], 70.0) == []
+
+
+def test_family_blocks_and_rated_share(spark, monkeypatch):
+    rng = random.Random(8)
+    names = [f"{rng.choice(['Nord', 'Süd', 'West'])}{rng.choice(['wind', 'pol', 'licht'])} {i} GmbH" for i in range(60)]
+    store = [template(f"t{i}", [], n, doc_type="ab"[i % 2]) for i, n in enumerate(names + names[:5])]
+    asked = [(i, rng.choice(["a", "b", "c", None]), rng.choice(["Nordwynd 1 Gmb", "lichtpol", "Qxqx", "", None, "West 33"])) for i in range(50)]
+    df = spark.createDataFrame(asked, "key int, doc_type string, supplier_hint string")
+    stored = corpus.as_store(spark, store)
+    whole = sorted(map(tuple, matching.family_match(df, stored).collect()))
+    monkeypatch.setattr(matching, "FAMILY_BLOCK", 7)
+    assert sorted(map(tuple, matching.family_match(df, stored).collect())) == whole
+    assert len(whole) == 50 and {r[1] is None for r in whole} == {True, False}
+    ratings = matching.family_ratings(df.selectExpr("doc_type", "lower(supplier_hint) asked"), stored)
+    compared, rated = ratings.agg(F.sum("compared"), F.sum("rated")).first()
+    assert 0 < rated < compared / 2
+    empty = matching.family_match(df, empty_store(spark)).collect()
+    assert len(empty) == 50 and all(r["family_id"] is None for r in empty)
+
+
 def test_hint_ratio_boost(spark):
     docs = docs_of(spark, ["keyword nordwind handel gmb h", "keyword NORDWIND HANDEL GMBH"])
     store = [template("n_v1", ["keyword", "missing"], "Nordwind Handel GmbH")]
