@@ -466,12 +466,13 @@ def family_ratings(asked: DataFrame, templates: DataFrame, cfg: EngineConfig = E
         "doc_type", every("asked_blocks").alias("a"), of("name", "stored_blocks").alias("s"), "name", "first.seq", "first.template_id"
     )
     least = float(cfg.family_ratio)
+    best_of = fuzzy.best_of  # the function alone travels, not the module with its prepared UDFs
 
     def cell(some: pa.Table, stored: pa.Table) -> pa.Table:
         order = pc.sort_indices(stored["seq"])
         stored = stored.take(order)
         names, seq, ids = (stored[c].to_pylist() for c in ("name", "seq", "template_id"))
-        best = fuzzy.best_of(some["asked"].to_pylist(), names, least)
+        best = best_of(some["asked"].to_pylist(), names, least)
         at = [b[0] for b in best]
         return pa.table({
             "doc_type": some["doc_type"],
