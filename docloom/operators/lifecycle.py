@@ -92,7 +92,8 @@ def fold_updates(templates: DataFrame, incoming: DataFrame, snapshot_id: int | N
     # Only replaced templates have anything to leave out, and only three narrow columns meet their restart.
     slim = ops.select("target_id", "response_seq", "keyword_quorum", "required_keywords")
     restarts = newest.filter(F.col("restart_seq").isNotNull()).select("target_id", "restart_seq")
-    live = salted_left_join(slim, restarts, ["target_id"], ["response_seq"]).filter(
+    # As many rows as targets, times the salts: too much to be broadcast whatever Spark makes of its size.
+    live = salted_left_join(slim, restarts.hint("merge"), ["target_id"], ["response_seq"]).filter(
         F.col("restart_seq").isNull() | (F.col("response_seq") >= F.col("restart_seq"))
     )
     # A keyword enters with the first update that carries it, with all its copies in that update.
@@ -111,7 +112,7 @@ def fold_updates(templates: DataFrame, incoming: DataFrame, snapshot_id: int | N
         )
     )
     quorums = live.groupBy("target_id").agg(F.min("keyword_quorum").alias("quorum"))
-    changes = newest.join(quorums, "target_id").join(keywords, "target_id", "left")
+    changes = newest.join(quorums.hint("merge"), "target_id").join(keywords.hint("merge"), "target_id", "left")
     top = templates.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
 
     old = templates.alias("o")

@@ -92,6 +92,15 @@ def test_fold_ignores_the_order_of_rows(spark):
         assert {r["template_id"]: r["required_keywords"] for r in got.collect()} == {w[0]: w[1] for w in want}
 
 
+def test_upsert_broadcasts_no_salted_copies(spark):
+    rows = [(i, f"t{i}", None, ["k"], 0.5) for i in range(50)]
+    changed = incoming(spark, rows).drop("existing_template_id")
+    out = lifecycle.upsert(store(spark, ["t1", "t2"]), changed)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan and not any("_salt" in line and "BroadcastHashJoin" in line for line in plan.splitlines())
+    assert out.count() == 50
+
+
 def test_hits_delete_and_readd(spark):
     s = store(spark, ["a", "b"])
     results = spark.createDataFrame([("a", "HIT_PASS")] * 3 + [("a", "HIT_TOLERATED"), ("b", "HIT_REPAIR")], "template_id string, route string")
