@@ -53,6 +53,7 @@ class Piece:
     owners: np.ndarray  # templates by keyword, one entry per repeat
     owner_at: np.ndarray  # where each word's owners begin
     blank: int  # number of the empty keyword, -1 if there is none
+    by_hint: dict[int, np.ndarray]  # templates of each supplier (-1: without one), ascending
 
     @classmethod
     def of(cls, rows: list[Row]) -> Piece:
@@ -71,6 +72,8 @@ class Piece:
         pairs.sort()
         by_word = np.array([w for w, _ in pairs], dtype=np.int64)
         asked = set(hint.tolist())
+        by_hint = np.argsort(hint, kind="stable")
+        starts = np.flatnonzero(np.diff(hint[by_hint], prepend=-2))
         return cls(
             automaton if len(automaton) else None,
             np.array([r["seq"] for r in rows], dtype=np.int64),
@@ -82,6 +85,7 @@ class Piece:
             np.array([t for _, t in pairs], dtype=np.int64),
             np.searchsorted(by_word, np.arange(len(words) + 1)),
             words.get("", -1),
+            {int(hint[own[0]]): own for own in np.split(by_hint, starts[1:])} if rows else {},
         )
 
     def words_in(self, text: str | None) -> set[int]:
@@ -116,7 +120,8 @@ class Piece:
 
     def decide(self, text: str | None, weight: float) -> tuple[dict | None, dict]:
         """J5, J8. Best and near candidate. A template more than the supplier weight (and one rounding
-        step) behind the best hit rate can be neither, so its supplier is never compared."""
+        step) behind the best hit rate can be neither, so its supplier is never compared. Templates without a hit
+        differ by their supplier alone: the first of each stands for all."""
         words = self.words_in(text)
         own, n = self.hits(words)
         rate = n / np.maximum(self.count[own], 1)
@@ -125,9 +130,12 @@ class Piece:
             keep = rate >= least
             own, rate = own[keep], rate[keep]
         else:
-            dense = np.zeros(len(self.seq))
-            dense[own] = rate
-            own, rate = np.arange(len(self.seq)), dense
+            hit = set(own.tolist())
+            rest = [next((t for t in map(int, same) if t not in hit), None) for same in self.by_hint.values()]
+            rest = np.array([t for t in rest if t is not None], dtype=np.int64)
+            own, rate = np.concatenate([own, rest]), np.concatenate([rate, np.zeros(len(rest))])
+            order = np.argsort(own)
+            own, rate = own[order], rate[order]
         score = np.minimum(1.0, rate + self.boosts(own, words, text, weight))
         at = int(np.argmax(score))
         best = None
