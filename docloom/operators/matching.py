@@ -419,7 +419,7 @@ def match_by_grams(docs: DataFrame, templates: DataFrame, cfg: EngineConfig) ->
 
 
 # Names of one side that a task compares at once; both sides of a document type are dealt to blocks of them.
-FAMILY_BLOCK = 4_096
+FAMILY_BLOCK = 2_048
 
 
 def family_match(
@@ -484,8 +484,11 @@ def family_ratings(asked: DataFrame, templates: DataFrame, cfg: EngineConfig = E
             "rated": pa.array([b[2] for b in best], pa.int64()),
         })
 
+    # Names are few bytes and much work: a stated number of parts, which Spark doesn't join to fewer by their size.
+    cell_key = ["doc_type", "a", "s"]
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        left.groupBy("doc_type", "a", "s")
-        .cogroup(right.groupBy("doc_type", "a", "s"))
+        left.repartition(parts, *cell_key).groupBy(*cell_key)
+        .cogroup(right.repartition(parts, *cell_key).groupBy(*cell_key))
         .applyInArrow(cell, "doc_type string, asked string, ratio double, order bigint, family_id string, compared bigint, rated bigint")
     )

@@ -214,6 +214,46 @@ def test_family_blocks_and_rated_share(spark, monkeypatch):
     assert len(empty) == 50 and all(r["family_id"] is None for r in empty)
 
 
+def test_families_are_rated_in_many_tasks(spark):
+    df = spark.createDataFrame([(i, f"t{i % 40}", f"Name {i}") for i in range(200)], "key int, doc_type string, supplier_hint string")
+    stored = corpus.as_store(spark, [template(f"x{i}", [], f"Name {i}", doc_type=f"t{i % 40}") for i in range(200)])
+    ratings = matching.family_ratings(df.selectExpr("doc_type", "lower(supplier_hint) asked"), stored)
+    assert ratings.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 1
+
+
+def test_many_ratios_at_once_equal_single_ones(monkeypatch):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("ab#0 1\u4e2d") for _ in range(n))
+    names = [word(rng.choice([1, 5, 9, 9, 64, 65, 90])) for _ in range(300)]
+    single = []
+    monkeypatch.setattr(fuzzy, "partial_ratio", lambda a, b: single.append(1) or partial_ratio(a, b))
+    for text in [word(n) for n in (1, 4, 9, 9, 64, 70)]:
+        plain = [partial_ratio(text, name) for name in names]
+        at, ratio, rated = fuzzy.best_of([text], names, 1.0)[0]
+        assert (at, ratio) == (plain.index(max(plain)), max(plain))
+        single.clear()
+        short = [n for n in names if min(len(n), len(text)) <= 64]
+        fuzzy.best_of([text], short, 1.0)
+        assert len(single) <= 2  # the first is rated alone
+
+
+def test_unhit_templates_are_told_by_their_supplier_alone(spark):
+    rows = [(i, f"t{i}", [f"word{i}"] if i % 5 else [], f"Hint {i % 3}" if i % 4 else "", 0.6) for i in range(3000)]
+    store = spark.createDataFrame(rows, "seq bigint, template_id string, required_keywords array<string>, supplier_hint string, keyword_quorum double")
+    piece = automaton.Piece.of(automaton.match_columns(store).collect())
+    looked = []
+    boosts = piece.boosts
+    piece.boosts = lambda own, *rest: looked.append(len(own)) or boosts(own, *rest)
+    for text in ("", None, "nothing", "hint 1", "hint 2 word7;", "a " * 50):
+        hits, rate, score = piece.scores(text, 0.1)
+        best, near = piece.decide(text, 0.1)
+        at = int(score.argmax())
+        assert (best and (best["score"], -best["order"])) == ((score[at], at) if score[at] > 0 else None)
+        shown = [automaton.rounded_score(float(s)) for s in score]
+        assert (near["score"], -near["order"]) == (max(shown), shown.index(max(shown)))
+    assert max(n for n in looked if n != 3000) < 10 and looked.count(3000) == 6
+
+
 def test_hint_ratio_boost(spark):
     docs = docs_of(spark, ["keyword nordwind handel gmb h", "keyword NORDWIND HANDEL GMBH"])
     store = [template("n_v1", ["keyword", "missing"], "Nordwind Handel GmbH")]
