@@ -309,13 +309,22 @@ def _written(parts: list[DataFrame]) -> DataFrame:
 
 
 GRAM = 4
-# Bits of the set by which a document's grams are sifted in its own row: a fixed size, whatever the store.
-GRAM_BITS = 65_536
+# Lengths of the grams that keywords are filed under: each under one of the longest that it holds.
+GRAM_LENGTHS = (GRAM, 8, 16, 24)
+# Bits per anchor of the set by which a document's grams are sifted in its own row, and the bounds of that set.
+GRAM_BITS_EACH = 16
+GRAM_BITS = (1 << 16, 1 << 24)
+
+
+def _grams(text: Column, n: int) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1)) if n else F.array(F.lit(""))
 
 
 def _sieve(anchors: DataFrame) -> Callable[[Column], Column]:
-    """Whether a gram may be an anchor: false only where it certainly is none."""
-    place = lambda g: F.pmod(F.xxhash64(g), F.lit(GRAM_BITS)).cast("int")
+    """Whether a gram with such a hash may be an anchor: false only where it certainly is none."""
+    least, most = GRAM_BITS
+    size = min(most, max(least, 1 << (GRAM_BITS_EACH * anchors.count()).bit_length()))
+    place = lambda h: F.pmod(h, F.lit(size).cast("bigint")).cast("int")
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), h % 64)
     rows = (
         anchors.select(place(F.col("gram")).alias("h"))
@@ -323,7 +332,7 @@ def _sieve(anchors: DataFrame) -> Callable[[Column], Column]:
         .agg(F.bit_or(bit(F.col("h"))).alias("bits"))
         .collect()
     )
-    words = [0] * (GRAM_BITS // 64)
+    words = [0] * (size // 64)
     for r in rows:
         words[r["word"]] = r["bits"]
     held = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
@@ -331,9 +340,10 @@ def _sieve(anchors: DataFrame) -> Callable[[Column], Column]:
 
 
 def match_by_grams(docs: DataFrame, templates: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Keyword hits by equi-join: each keyword is filed under its least shared 4-gram; of a document's
-    grams only those that may be such anchors leave its row. Candidate keywords come back to the document
-    in one join, the only time its text moves, and are tested for real containment there.
+    """Keyword hits by equi-join: each keyword is filed under its least shared gram of the longest length in
+    ``GRAM_LENGTHS`` that it holds; of a document's grams only those that may be such anchors leave its row, as
+    hashes. Candidate keywords come back to the document in one join, the only time its text moves, and are
+    tested for real containment there.
 
     The candidate map lists the templates with at least one keyword hit; a template without any is
     not scored (it could reach at most the supplier weight).
@@ -351,35 +361,28 @@ def match_by_grams(docs: DataFrame, templates: DataFrame, cfg: EngineConfig) ->
         )
     )
     distinct_kw = keywords.select("kw").distinct()
-    kw_grams = distinct_kw.select(
-        "kw",
-        F.explode(
-            F.when(F.length("kw") <= GRAM, F.array("kw")).otherwise(
-                F.array_distinct(F.regexp_extract_all("kw", F.lit("(?s)(?=(.{%d}))" % GRAM), F.lit(1)))
-            )
-        ).alias("gram"),
-    )
+    by_length = F.array("kw")
+    for n in GRAM_LENGTHS:
+        by_length = F.when(F.length("kw") >= n, F.array_distinct(_grams(F.col("kw"), n))).otherwise(by_length)
+    kw_grams = distinct_kw.select("kw", F.explode(by_length).alias("gram"))
     shared = kw_grams.groupBy("gram").agg(F.count("*").alias("users"))
-    anchors = (
+    least = (
         kw_grams.join(shared, "gram")
         .groupBy("kw")
         .agg(F.min(F.struct("users", "gram"))["gram"].alias("gram"))
+        .select("kw", F.xxhash64("gram").alias("gram"), F.length("gram").alias("length"))
     )
-    anchors = through_table(anchors, "gram-anchors")
-    may_be_anchor = _sieve(anchors)
+    filed = through_table(least.join(keywords, "kw"), "gram-anchors")
+    may_be_anchor = _sieve(filed.select("gram").distinct())
     folded = docs.select("doc_id", fold(F.col("normalised_text")).alias("_tl"))
-    lengths = sorted(r[0] for r in anchors.select(F.length("gram")).distinct().collect())  # at most GRAM + 1
+    lengths = sorted(r[0] for r in filed.select("length").distinct().collect())  # at most GRAM + 4
     grams = F.concat(
-        F.array().cast("array<string>"),
-        *[
-            F.regexp_extract_all("_tl", F.lit("(?s)(?=(.{%d}))" % n), F.lit(1)) if n else F.array(F.lit(""))
-            for n in lengths
-        ],
+        F.array().cast("array<bigint>"),
+        *[F.transform(_grams(F.col("_tl"), n), lambda g: F.xxhash64(g)) for n in lengths],
     )
     doc_grams = folded.select("doc_id", F.explode(F.array_distinct(F.filter(grams, may_be_anchor))).alias("gram"))
     proposed = (
-        doc_grams.join(anchors, "gram")
-        .join(keywords, "kw")
+        doc_grams.join(filed, "gram")
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct("seq", "template_id", "kw", "times", "n", "hint", "quorum")).alias("_kws"))
     )

@@ -214,6 +214,18 @@ def test_family_blocks_and_rated_share(spark, monkeypatch):
     assert len(empty) == 50 and all(r["family_id"] is None for r in empty)
 
 
+def test_long_keywords_propose_no_others(spark, monkeypatch):
+    """Names that share every short gram with many others: only what a text holds is proposed for it."""
+    seen = []
+    through = matching.through_table
+    monkeypatch.setattr(matching, "through_table", lambda df, name: seen.append(through(df, name)) or seen[-1])
+    names = [f"Supplier#{i:09d}" for i in range(1200)]
+    store = [template(f"t{i}", [n, f"Note for {n}"]) for i, n in enumerate(names)]
+    rows = matching.match_by_grams(docs_of(spark, ["Note for Supplier#000000123, Supplier#000001111 end"]), corpus.as_store(spark, store), EngineConfig())
+    assert set(rows.first()["candidate_scores"]) == {"t123", "t1111"}
+    assert seen[0].groupBy("gram").count().agg(F.max("count")).first()[0] == 1
+
+
 def test_families_are_rated_in_many_tasks(spark):
     df = spark.createDataFrame([(i, f"t{i % 40}", f"Name {i}") for i in range(200)], "key int, doc_type string, supplier_hint string")
     stored = corpus.as_store(spark, [template(f"x{i}", [], f"Name {i}", doc_type=f"t{i % 40}") for i in range(200)])
