@@ -63,6 +63,15 @@ def strip_unicode(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_SPACE))
 
 
+# The same white space as a class of a pattern.
+WHITE_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def strip_edges(v: Column) -> Column:
+    """``strip_unicode`` of a lambda variable; trimming looks at every character, so only texts that need it pay."""
+    return F.when(v.rlike(rf"\A{WHITE_CLASS}|{WHITE_CLASS}\z"), strip_unicode(v)).otherwise(v)
+
+
 def json_text(c: Column) -> Column:
     """A string column as a JSON string literal (null stays the JSON word null)."""
     item = F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")

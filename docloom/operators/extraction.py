@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig
-from docloom.functions.exprs import built_once, let, materialise, strip_unicode
+from docloom.functions.exprs import WHITE_CLASS, built_once, let, materialise, strip_edges, strip_unicode
 from docloom.operators.dimension import PREPARED_RULE, Dimension, as_dimension, literals
 from docloom.schemas import VALUE
 from docloom.session import through_table
@@ -43,7 +43,7 @@ def first_capture(text: Column, regex: Column, groups: Column) -> Column:
 def clean(raw: Column, strip_chars: Column) -> Column:
     """X2. White space off, then the rule's own character set."""
     return let(
-        strip_unicode(raw),
+        let(raw, strip_edges),
         lambda v: F.when(strip_chars.isNotNull(), F.btrim(v, strip_chars)).otherwise(v),
     )
 
@@ -128,7 +128,7 @@ def _as_maps(rows: Column, r: Column) -> Column:
 def _line_cells(lines: Column) -> Column:
     """Lines cut at two or more spaces, those whose first part is empty left out."""
     return F.filter(
-        F.transform(lines, lambda line: F.split(strip_unicode(line), r"(?U)[\s\x1c-\x1f]{2,}", -1)),
+        F.transform(lines, lambda line: F.split(strip_edges(line), WHITE_CLASS + "{2,}", -1)),
         lambda p: F.get(p, F.lit(0)) != "",
     )
 
@@ -502,12 +502,20 @@ def latest_per_field(column: str) -> Column:
     return F.transform(names, pick)
 
 
+def _fields_once(prepared: str) -> bool:
+    """No template names a field twice (or none): then the latest value per field is the value."""
+    named = [[r["field"] for r in t["rules"]] for t in json.loads(prepared)]
+    return all(len(set(fields)) == len(fields) and None not in fields for fields in named)
+
+
 def extract(
     matched: DataFrame, store: DataFrame | Dimension, cfg: EngineConfig = EngineConfig()
 ) -> DataFrame:
     """Apply each document's matched template: adds ``values`` and ``data`` (latest per field)."""
     dim = as_dimension(store, cfg)
     applied = apply_rules(attach_rules(matched, dim), dim)
+    if dim.literal and _fields_once(dim.literal):
+        return applied.withColumn("data", F.col("values"))
     return materialise(applied, data=latest_per_field("values"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig
-from docloom.functions.exprs import materialise
 from docloom.operators.dimension import Dimension, as_dimension
 from docloom.operators.extraction import extract
 from docloom.operators.matching import match
@@ -51,10 +50,12 @@ def route_documents(extracted: DataFrame, carry: tuple[str, ...] = ()) -> DataFr
     waits for a response (``existing_template_id`` is the template to update).
     """
     settled = F.col("route").isin(HIT_PASS, HIT_TOLERATED)
-    out = materialise(
-        extracted,
-        data_json=F.when(settled, data_json("data")).otherwise(F.lit("{}")),
-        field_count=F.when(settled, field_count(F.col("data"))).otherwise(F.lit(0).cast("bigint")),
+    # Plain columns: the payload is written out only where somebody reads it.
+    out = extracted.withColumns(
+        {
+            "data_json": F.when(settled, data_json("data")).otherwise(F.lit("{}")),
+            "field_count": F.when(settled, field_count(F.col("data"))).otherwise(F.lit(0).cast("bigint")),
+        }
     )
     none = F.lit(None).cast("string")
     return out.select(

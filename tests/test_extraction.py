@@ -376,3 +376,28 @@ def test_rules_of_a_large_store_meet_hot_and_missing_templates_without_a_hot_shu
     monkey = EngineConfig(inline_max_templates=0, inline_max_bytes=10)  # nothing fits a broadcast
     cold = sorted(map(key, validate(extract(docs, dimension.load(store, monkey)), large).collect()))
     assert cold == results[0]
+
+
+def test_trimming_only_where_needed(spark):
+    from docloom.functions.exprs import WHITE_SPACE, let, strip_edges, strip_unicode
+
+    texts = [None, "", "a", "a b", *[f"{w}a {w}" for w in WHITE_SPACE], *[f"a{w}" for w in WHITE_SPACE], *WHITE_SPACE, "a​", "​b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select(strip_unicode(F.col("t")).alias("want"), let(F.col("t"), strip_edges).alias("got")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
+
+
+def test_a_payload_that_nobody_reads_is_not_written_out(spark, sf):
+    from docloom import catalog
+
+    results = catalog.order_results(spark, sf)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "data_json" in plan(results.select("data_json")) and "data_json" not in plan(results.select("doc_id", "route"))
+
+
+def test_data_are_the_values_where_no_field_repeats(spark, sf):
+    from docloom import catalog
+
+    hits = catalog._hits(spark, sf)
+    assert hits.filter(~F.to_json("values").eqNullSafe(F.to_json("data"))).count() == 0
+    assert "array_distinct" not in hits._jdf.queryExecution().optimizedPlan().toString()
