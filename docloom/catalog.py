@@ -273,7 +273,16 @@ def sheet_documents(spark, sf):
         spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
         "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
     )
-    order = Window.partitionBy("l_orderkey", "l_returnflag").orderBy(
+    flag = F.col("l_returnflag")
+    lines = lines.withColumns(
+        {
+            "doc_id": F.col("l_orderkey").cast("string"),
+            "sheet_idx": F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2),
+        }
+    ).drop("l_orderkey")
+    # Dealt by sheet once: numbering and, in the assembly, rows and sheets are then made where the lines lie.
+    lines = lines.repartition("doc_id", "sheet_idx")
+    order = Window.partitionBy("doc_id", "sheet_idx", "l_returnflag").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
     )
     cells = F.array(
@@ -283,9 +292,9 @@ def sheet_documents(spark, sf):
         F.when(F.col("l_tax") > 0, F.col("l_suppkey").cast("string")),
     )
     rows = lines.withColumn("row_idx", F.row_number().over(order)).select(
-        F.col("l_orderkey").cast("string").alias("doc_id"),
-        F.concat(F.lit("order-"), F.col("l_orderkey").cast("string"), F.lit(".xlsx")).alias("path"),
-        F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("sheet_idx"),
+        "doc_id",
+        F.concat(F.lit("order-"), "doc_id", F.lit(".xlsx")).alias("path"),
+        "sheet_idx",
         F.concat(F.lit("Flag"), "l_returnflag").alias("sheet_name"),
         "row_idx",
         F.posexplode(cells).alias("col_idx", "value"),
