@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.exprs import blank_to_null
+from docloom.functions.exprs import blank_to_null, materialise
 from docloom.functions.text import basename, extension
 from docloom.schemas import AUDIT
 
@@ -69,13 +69,14 @@ def parse_audit_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     Keys a writer added (``extra`` of audit_records) come back in the map ``extra``.
     """
     stripped = lines.select(blank_to_null(F.trim("value")).alias("line")).filter("line is not null")
-    parsed = stripped.select(
-        "line",
-        F.from_json(
+    # A step of its own: a filter on the record would otherwise parse the line again for each of its conditions.
+    parsed = materialise(
+        stripped,
+        r=F.from_json(
             "line",
             f"{AUDIT}, _corrupt string",
             {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
-        ).alias("r"),
+        ),
     )
     broken = F.col("r").isNull() | F.col("r._corrupt").isNotNull() | ~F.col("line").startswith("{")
     good = parsed.filter(~broken).select("r.*", _extra(F.col("line")).alias("_extra")).drop("_corrupt")
