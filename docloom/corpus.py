@@ -23,47 +23,51 @@ def german_number(c: Column, places: int = 2) -> Column:
 
 
 def _line_rows(lineitem: DataFrame) -> DataFrame:
-    """Per order: its lines in a total order, as structs of plain columns."""
-    return lineitem.groupBy("l_orderkey").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-            )
-        ).alias("lines")
+    """Per order: its lines in a total order, each with its cells and their text.
+
+    Plain columns meet by order key; cells and text are made after that, a line a row, as compiled expressions.
+    """
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    cells = (
+        F.col("l_linenumber").cast("string"),
+        F.concat(F.lit("Art-"), F.col("l_partkey").cast("string")),
+        F.col("l_quantity").cast("bigint").cast("string"),
+        german_number(F.col("l_extendedprice")),
+    )
+    names = [f"_cell{i}" for i in range(len(cells))]
+    # Steps of their own: cells are read by their list and their text, the aggregate reads a plain column.
+    lines = lineitem.repartition("l_orderkey").select("l_orderkey", *order, *[c.alias(n) for c, n in zip(cells, names)])
+    line = F.struct(*order, F.concat_ws("   ", *names).alias("text"), F.array(*names).alias("cells"))
+    return lines.select("l_orderkey", line.alias("line")).groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list("line")).alias("lines")
     )
 
 
+def _parts() -> dict[str, Column]:
+    """What several layouts of an order show: made in a step of its own, so that each is compiled once and no
+    method grows too large to be compiled to machine code."""
+    with_lines = F.col("o_orderstatus").isin("F", "O")
+    return {
+        "_key": F.col("o_orderkey").cast("string"),
+        "_total": german_number(F.col("o_totalprice")),
+        "_n_lines": F.coalesce(F.array_size("lines"), F.lit(0)).cast("string"),
+        "_lines": F.when(with_lines, F.concat_ws("\n", F.lit("Pos  Artikel  Menge  Preis"), F.col("lines.text"))),
+    }
+
+
 @built_once
 def _rendered() -> Column:
     """struct(full_text, _tables) of one order row."""
-    key = F.col("o_orderkey").cast("string")
+    key, total, n_lines, lines_text = (F.col(c) for c in ("_key", "_total", "_n_lines", "_lines"))
     status, family = F.col("o_orderstatus"), F.col("o_orderpriority")
     no_date = family.isin("2-HIGH", "3-MEDIUM")
     no_customer = family == "2-HIGH"
     half = family == "4-NOT SPECIFIED"
     cold = (family == "5-LOW") & (status == "P")
-    lines = F.coalesce(
-        "lines",
-        F.array().cast(
-            "array<struct<l_linenumber:int,l_partkey:bigint,l_suppkey:bigint,l_extendedprice:double,l_quantity:double>>"
-        ),
-    )
+    cells = "array<array<array<string>>>"
+    line_cells = F.coalesce(F.col("lines.cells"), F.array().cast("array<array<string>>"))
     german_day = F.date_format("o_orderdate", "dd.MM.yyyy")
 
-    def line_cells(x: Column, money) -> Column:
-        return F.array(
-            x["l_linenumber"].cast("string"),
-            F.concat(F.lit("Art-"), x["l_partkey"].cast("string")),
-            x["l_quantity"].cast("bigint").cast("string"),
-            money(x["l_extendedprice"]),
-        )
-
-    def text_lines(x: Column) -> Column:
-        return F.array_join(line_cells(x, german_number), "   ")
-
-    def lines_text(header: str) -> Column:
-        return F.concat_ws("\n", F.lit(header), F.transform(lines, text_lines))
-
     def when_kept(dropped: Column, text: Column) -> Column:
         return F.when(~dropped, text)
 
@@ -76,8 +80,8 @@ def _rendered() -> Column:
         when_kept(no_customer | half, F.concat(F.lit("Kunde: "), F.col("c_name"))),
         F.when(no_date | no_customer, F.lit("Bestelldatum fehlt, Kunde: offen")),
         when_kept(half, F.lit("Auftragsbestaetigung")),
-        lines_text("Pos  Artikel  Menge  Preis"),
-        F.concat(F.lit("Summe "), german_number(F.col("o_totalprice")), F.lit(" EUR")),
+        lines_text,
+        F.concat(F.lit("Summe "), total, F.lit(" EUR")),
     )
     delivery = F.concat_ws(
         "\n",
@@ -87,9 +91,9 @@ def _rendered() -> Column:
         when_kept(no_customer | half, F.concat(F.lit("Empfaenger "), F.col("c_name"))),
         F.when(no_date | no_customer, F.lit("Liefertag offen; Empfaenger; fehlt")),
         when_kept(half, F.lit("Spedition frei Haus")),
-        F.concat(F.lit("Packstuecke gesamt: "), F.size(lines).cast("string")),
-        lines_text("Pos  Artikel  Menge  Preis"),
-        F.concat(F.lit("Warenwert "), german_number(F.col("o_totalprice"))),
+        F.concat(F.lit("Packstuecke gesamt: "), n_lines),
+        lines_text,
+        F.concat(F.lit("Warenwert "), total),
         F.lit("Ende der Lieferung"),
     )
     invoice = F.concat_ws(
@@ -100,8 +104,8 @@ def _rendered() -> Column:
         when_kept(no_customer | half, F.concat(F.lit("Bill to: "), F.col("c_name"))),
         F.when(no_date | no_customer, F.lit("Invoice date pending; Bill to pending")),
         when_kept(half, F.lit("Payment terms: 30 days net")),
-        F.concat(F.lit("Amount due: "), german_number(F.col("o_totalprice"))),
-        F.concat(F.lit("Line count: "), F.size(lines).cast("string")),
+        F.concat(F.lit("Amount due: "), total),
+        F.concat(F.lit("Line count: "), n_lines),
     )
     memo = F.concat_ws(
         "\n", sender, F.lit("Interne Notiz ohne Formular"), F.concat(F.lit("Vorgang "), key)
@@ -109,14 +113,13 @@ def _rendered() -> Column:
     text = (
         F.when(cold, memo).when(status == "F", confirmation).when(status == "O", delivery).otherwise(invoice)
     )
-    cells = "array<array<array<string>>>"
     page_tables = F.when(
         (status == "P") & ~cold,
         F.array(
             F.concat(
                 F.array(F.array(F.lit("No"), F.lit("Item"), F.lit("Qty"), F.lit("Amount"))),
-                F.transform(lines, lambda x: line_cells(x, german_number)),
-                F.array(F.array(F.lit("Total"), F.lit(""), F.lit(""), german_number(F.col("o_totalprice")))),
+                line_cells,
+                F.array(F.array(F.lit("Total"), F.lit(""), F.lit(""), total)),
             )
         ),
     ).otherwise(F.array().cast(cells))
@@ -136,8 +139,8 @@ def render_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = orders.join(
         _line_rows(lineitem).hint("shuffle_hash"), F.col("o_orderkey") == F.col("l_orderkey"), "left"
     ).join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    key = F.col("o_orderkey").cast("string")
-    rendered = rows.select(
+    key = F.col("_key")
+    rendered = rows.withColumns(_parts()).select(
         key.alias("doc_id"),
         F.concat(
             F.lit("inbox/"), F.year("o_orderdate").cast("string"), F.lit("/order-"), key, F.lit(".pdf")
