@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime
 import json
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -107,11 +108,12 @@ def all_matches(text: Column, regex: Column, groups: Column) -> Column:
     return F.when(groups > 1, tuples).otherwise(single)
 
 
-def row_to_map(row: Column, columns: Column, col_idx: Column) -> Column:
+def row_to_map(row: Column, columns: Column, col_idx: Column | list[int]) -> Column:
     """X9. Cells by position: missing cells "", extra cells dropped."""
-    return F.map_from_arrays(
-        columns, F.transform(col_idx, lambda i: F.coalesce(F.get(row, i), F.lit("")))
-    )
+    cell = lambda i: F.coalesce(F.get(row, i), F.lit(""))
+    if isinstance(col_idx, list):
+        return F.map_from_arrays(columns, F.array(*[cell(F.lit(i)) for i in col_idx]).cast("array<string>"))
+    return F.map_from_arrays(columns, F.transform(col_idx, cell))
 
 
 _ROWS = "array<map<string,string>>"
@@ -122,7 +124,7 @@ def _with_cells(rows: Column) -> Column:
 
 
 def _as_maps(rows: Column, r: Column) -> Column:
-    return F.transform(rows, lambda row: row_to_map(row, r["columns"], r["col_idx"]))
+    return F.transform(rows, lambda row: row_to_map(row, r["columns"], r.get("places", r["col_idx"]) if isinstance(r, dict) else r["col_idx"]))
 
 
 def _line_cells(lines: Column) -> Column:
@@ -293,11 +295,13 @@ def _of_rule(found: Column, r: Column) -> Column:
     return F.get(F.filter(found, lambda p: p["rule_pos"] == r["rule_pos"]), F.lit(0))
 
 
-def _evaluate(r: Column, text: Column, tables: Column, python: Column | None, places: Column | None) -> Column:
-    """X1, X10. One prepared rule on one document."""
+def _evaluate(
+    r: Column, text: Column, tables: Column, python: Column | None, places: Column | None, captured: Column | None = None
+) -> Column:
+    """X1, X10. One prepared rule on one document; ``captured``: its cleaned capture, if made before."""
     kind = r["kind"]
     scalar = ~kind.isin("table", "list")
-    native = clean(first_capture(text, r["regex"], r["groups"]), r["strip_chars"])
+    native = clean(first_capture(text, r["regex"], r["groups"]), r["strip_chars"]) if captured is None else captured
     raw, listed = native, F.coalesce(all_matches(text, r["regex"], r["groups"]), F.array().cast("array<string>"))
     own_error = F.lit(None).cast("string")
     if python is not None:
@@ -433,10 +437,11 @@ def apply_rules(docs: DataFrame, dim: Dimension) -> DataFrame:
             ),
         )
     if dim.literal:
+        docs = _with_captures(docs, dim.literal)
         values = _literal_values(dim.literal, dim.needs_python, dim.python_tables, with_pages)
     else:
         values = _values(dim.needs_python, dim.python_tables, with_pages)
-    return materialise(docs, values=values).drop("_python", "_places")
+    return materialise(docs, values=values).drop("_python", "_places", *[c for c in docs.columns if c.startswith(CAPTURE)])
 
 
 def _tables(with_pages: bool) -> Column:
@@ -457,6 +462,49 @@ def _values(with_python: bool, with_places: bool, with_pages: bool) -> Column:
     ).cast(VALUES)
 
 
+CAPTURE = "_capture_"
+
+
+def _captures(prepared: str) -> dict[str, list[tuple[str, dict]]]:
+    """(template, rule) pairs with a capture that the JVM takes, by the column that holds it: one per place of a rule."""
+    out: dict[str, list[tuple[str, dict]]] = {}
+    for t in json.loads(prepared):
+        for i, r in enumerate(t["rules"]):
+            if r["kind"] not in ("table", "list") and r["regex"] and not r["python_only"] and not r["static_error"]:
+                out.setdefault(f"{CAPTURE}{i}", []).append((t["template_id"], r))
+    return out
+
+
+def _with_captures(docs: DataFrame, prepared: str) -> DataFrame:
+    """Adds the cleaned captures of each document's template. Each step is a projection that its successor reads more
+    than once, so Spark keeps the steps apart and compiles them; inside ``let`` they would be interpreted."""
+    found = _captures(prepared)
+
+    def of_template(name: str, value: Callable[[dict], Column | None], otherwise: Column) -> Column:
+        for template_id, r in reversed(found[name]):
+            own = value(r)
+            otherwise = otherwise if own is None else F.when(F.col("template_id") == template_id, own).otherwise(otherwise)
+        return otherwise
+
+    text, none = F.col("full_text"), F.lit(None).cast("string")
+    step = docs.withColumns(
+        {c: of_template(c, lambda r: F.regexp_extract(text, r["regex"], min(r["groups"], 1)), none) for c in found}
+    )
+    # no match and an empty one are told apart
+    step = step.withColumns(
+        {
+            c: F.when(F.col(c) != "", F.col(c)).when(of_template(c, lambda r: F.rlike(text, F.lit(r["regex"])), F.lit(False)), "")
+            for c in found
+        }
+    )
+    step = step.withColumns({c: strip_edges(F.col(c)) for c in found})
+    trimmed = {
+        c: of_template(c, lambda r: F.btrim(F.col(c), F.lit(r["strip_chars"])) if r["strip_chars"] else None, F.col(c))
+        for c in found
+    }
+    return materialise(step, **trimmed) if found else step
+
+
 @built_once
 def _literal_values(prepared: str, with_python: bool, with_places: bool, with_pages: bool) -> Column:
     """The same values with every pattern a literal: one branch per template, one expression per rule.
@@ -466,12 +514,15 @@ def _literal_values(prepared: str, with_python: bool, with_places: bool, with_pa
     python = F.col("_python") if with_python else None
     places = F.col("_places") if with_places else None
     tables = _tables(with_pages)
+    made = {(template_id, r["rule_pos"]): name for name, rules in _captures(prepared).items() for template_id, r in rules}
     branch = None
     for t in json.loads(prepared):
-        values = [
-            _evaluate(literals(r, PREPARED_RULE), F.col("full_text"), tables, python, places if r["python_only"] else None)
-            for r in t["rules"]
-        ]
+        values = []
+        for r in t["rules"]:
+            name = made.get((t["template_id"], r["rule_pos"]))
+            captured = F.col(name) if name else F.lit(None).cast("string")
+            fields = {**literals(r, PREPARED_RULE), "places": r["col_idx"]}
+            values.append(_evaluate(fields, F.col("full_text"), tables, python, places if r["python_only"] else None, captured))
         chosen = F.array(*values).cast(VALUES)
         asked = F.col("template_id") == t["template_id"]
         branch = F.when(asked, chosen) if branch is None else branch.when(asked, chosen)

@@ -106,20 +106,14 @@ def _check_errors(check: Column, data: Column, matched: Column | None) -> Column
             )
             .when(missing, none)
             .otherwise(
-                F.array_compact(
-                    F.concat(
-                        F.when(
-                            bounded,
-                            let(
-                                F.struct(value_text(v).alias("text"), value_number(v).alias("num")),
-                                lambda n: F.array(
-                                    _bound_error(field, n["text"], n["num"], check["gt"], "gt"),
-                                    _bound_error(field, n["text"], n["num"], check["lt"], "lt"),
-                                ),
-                            ),
-                        ).otherwise(none),
-                        F.array(pattern),
-                    )
+                let(
+                    F.when(bounded, F.struct(value_text(v).alias("text"), value_number(v).alias("num"))),
+                    lambda n: F.array_compact(
+                        F.array(
+                            *[F.when(bounded, _bound_error(field, n["text"], n["num"], check[b], b)) for b in ("gt", "lt")],
+                            pattern,
+                        )
+                    ),
                 )
             )
         )
