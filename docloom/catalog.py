@@ -669,7 +669,9 @@ def j9_plan_inline(spark, sf):
 def j9_plan_chunks(spark, sf):
     """The same question with the store in pieces of a template or two, each an automaton."""
     cfg = EngineConfig(inline_max_templates=1, automaton_max_templates=1)
-    return _decisions(matching.match(orders(spark, sf), order_store(spark), cfg))
+    # several pieces write their documents once: only what the decision reads goes along
+    docs = orders(spark, sf).select("doc_id", "normalised_text")
+    return _decisions(matching.match(docs, order_store(spark), cfg))
 
 
 def j9_plan_automaton(spark, sf):

@@ -6,6 +6,7 @@ import json
 from contextlib import redirect_stdout
 
 from docloom import catalog, corpus
+from docloom.operators import matching
 from docloom.sources import audit
 
 LINES = (
@@ -76,3 +77,12 @@ def test_orders_are_rendered_by_compiled_expressions(spark, tmp_path):
     assert tables["3"][0][1:] == [["1", "Art-7", "3", "4.321,50"], ["2", "Art-7", None, "9,00"], ["Total", "", "", "1.234,50"]]
     assert len(tables["5"][0]) == 2
     assert "lambdafunction" not in docs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pieces_of_a_store_meet_slim_documents(spark, tmp_path, monkeypatch):
+    orders(spark, tmp_path)
+    kept, written = matching.through_table, {}
+    monkeypatch.setattr(matching, "through_table", lambda df, name: written.update({name: df.columns}) or kept(df, name))
+    found = catalog.j9_plan_chunks(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in found} == {"1", "2", "3", "4", "5"}
+    assert set(written["numbered-docs"]) == {"doc_id", "normalised_text", "_row"}
