@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docloom.functions.exprs import built_once
 from docloom.functions.text import normalise_text
 from docloom.schemas import TEMPLATES
+from docloom.session import shares
 
 COMPANY = "Nordwind Handel KG"
 
@@ -22,8 +23,8 @@ def german_number(c: Column, places: int = 2) -> Column:
     return F.translate(F.format_number(c, places), ",.", ".,")
 
 
-def _line_rows(lineitem: DataFrame) -> DataFrame:
-    """Per order: its lines in a total order, each with its cells and their text.
+def _line_rows(lineitem: DataFrame, n: int) -> DataFrame:
+    """Per order: its lines in a total order, each with its cells and their text; in ``n`` shares by order key.
 
     Plain columns meet by order key; cells and text are made after that, a line a row, as compiled expressions.
     """
@@ -36,7 +37,7 @@ def _line_rows(lineitem: DataFrame) -> DataFrame:
     )
     names = [f"_cell{i}" for i in range(len(cells))]
     # Steps of their own: cells are read by their list and their text, the aggregate reads a plain column.
-    lines = lineitem.repartition("l_orderkey").select("l_orderkey", *order, *[c.alias(n) for c, n in zip(cells, names)])
+    lines = lineitem.repartition(n, "l_orderkey").select("l_orderkey", *order, *[c.alias(n) for c, n in zip(cells, names)])
     line = F.struct(*order, F.concat_ws("   ", *names).alias("text"), F.array(*names).alias("cells"))
     return lines.select("l_orderkey", line.alias("line")).groupBy("l_orderkey").agg(
         F.sort_array(F.collect_list("line")).alias("lines")
@@ -135,10 +136,12 @@ def render_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"
     )
-    # Both sides grow with the data: meet by hash of the order key, whatever their present size.
-    rows = orders.join(
-        _line_rows(lineitem).hint("shuffle_hash"), F.col("o_orderkey") == F.col("l_orderkey"), "left"
-    ).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    # Customers come first, so that no lines travel by customer. Then both sides grow with the data: they meet by hash
+    # of the order key, whatever their present size, in shares of a fixed number. All later steps run in these shares;
+    # merged to the number of cores they would leave most cores waiting for the last one.
+    n = shares(lineitem)
+    named = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).repartition(n, "o_orderkey")
+    rows = named.join(_line_rows(lineitem, n).hint("shuffle_hash"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     key = F.col("_key")
     rendered = rows.withColumns(_parts()).select(
         key.alias("doc_id"),

@@ -63,3 +63,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+# Enough for even work on all cores (a table of some size has a split a core or more), each a few ten MB of rows.
+SHARES_A_SPLIT = 8
+
+
+def shares(df: DataFrame) -> int:
+    """Into how many shares a costly step over the input ``df`` is dealt: by its splits, which grow with it."""
+    return SHARES_A_SPLIT * max(1, df.rdd.getNumPartitions())

@@ -7,6 +7,7 @@ from contextlib import redirect_stdout
 
 from docloom import catalog, corpus
 from docloom.operators import matching
+from docloom.session import SHARES_A_SPLIT, shares
 from docloom.sources import audit
 
 LINES = (
@@ -79,6 +80,23 @@ def test_orders_are_rendered_by_compiled_expressions(spark, tmp_path):
     assert "lambdafunction" not in docs._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_rendering_keeps_its_shares_and_no_lines_travel_by_customer(spark, tmp_path):
+    orders(spark, tmp_path)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    shown = corpus.render_orders(spark, str(tmp_path))
+    lines = spark.read.parquet(f"{tmp_path}/lineitem.parquet")
+    assert shown.rdd.getNumPartitions() == shares(lines) == SHARES_A_SPLIT * lines.rdd.getNumPartitions()
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        text = plan(corpus.render_orders(spark, str(tmp_path)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert text.index("hashpartitioning(o_orderkey") < text.index("hashpartitioning(o_custkey")
+
+
 def test_pieces_of_a_store_meet_slim_documents(spark, tmp_path, monkeypatch):
     orders(spark, tmp_path)
     kept, written = matching.through_table, {}
