@@ -68,13 +68,14 @@ WHITE_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u20
 
 
 def strip_edges(v: Column) -> Column:
-    """``strip_unicode`` of a lambda variable; trimming looks at every character, so only texts that need it pay."""
-    return F.when(v.rlike(rf"\A{WHITE_CLASS}|{WHITE_CLASS}\z"), strip_unicode(v)).otherwise(v)
+    """``strip_unicode``; trimming looks at every character, so only texts with an edge beyond ``!`` to ``~`` pay."""
+    plain = lambda c: F.ascii(c).between(0x21, 0x7E)
+    return F.when(plain(v) & plain(F.substring(v, -1, 1)), v).otherwise(strip_unicode(v))
 
 
 def json_text(c: Column) -> Column:
     """A string column as a JSON string literal (null stays the JSON word null)."""
-    item = F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    item = F.regexp_extract(F.to_json(F.array(c)), r"(?s)\A\[(.*)\]\z", 1)
     return F.when(c.isNull(), F.lit("null")).otherwise(item)
 
 

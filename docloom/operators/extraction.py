@@ -127,10 +127,14 @@ def _as_maps(rows: Column, r: Column) -> Column:
     return F.transform(rows, lambda row: row_to_map(row, r["columns"], r.get("places", r["col_idx"]) if isinstance(r, dict) else r["col_idx"]))
 
 
+# Most characters are visible ASCII: one range tells, before the parts of the class are tried one by one.
+_GAP = f"(?![!-~]){WHITE_CLASS}{{2,}}"
+
+
 def _line_cells(lines: Column) -> Column:
     """Lines cut at two or more spaces, those whose first part is empty left out."""
     return F.filter(
-        F.transform(lines, lambda line: F.split(strip_edges(line), WHITE_CLASS + "{2,}", -1)),
+        F.transform(lines, lambda line: F.split(strip_edges(line), _GAP, -1)),
         lambda p: F.get(p, F.lit(0)) != "",
     )
 

@@ -5,8 +5,11 @@ import io
 import json
 from contextlib import redirect_stdout
 
+from pyspark.sql import functions as F
+
 from docloom import catalog, corpus
-from docloom.operators import matching
+from docloom.functions.exprs import json_text, strip_edges
+from docloom.operators import extraction, matching
 from docloom.session import SHARES_A_SPLIT, shares
 from docloom.sources import audit
 
@@ -104,3 +107,14 @@ def test_pieces_of_a_store_meet_slim_documents(spark, tmp_path, monkeypatch):
     found = catalog.j9_plan_chunks(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in found} == {"1", "2", "3", "4", "5"}
     assert set(written["numbered-docs"]) == {"doc_id", "normalised_text", "_row"}
+
+
+def test_edges_gaps_and_json_texts(spark):
+    texts = ["", " ", "a", " a", "a ", "üb", "bü", "\x1ca\x85", "a\x00", "~!", "　a b ", 'q"]', "[\n]"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    shown = rows.select("t", strip_edges(F.col("t")).alias("s"), json_text(F.col("t")).alias("j")).collect()
+    for r in shown:
+        assert r["s"] == (None if r["t"] is None else r["t"].strip())
+        assert json.loads(r["j"]) == r["t"]
+    cut = rows.limit(1).select(extraction._line_cells(F.array(F.lit("  1  a b  c!  ~   "))).alias("c")).first()["c"]
+    assert cut == [["1", "a b", "c!", "~"]]
