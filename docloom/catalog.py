@@ -452,11 +452,17 @@ def s12_requests(spark, sf):
     )
 
 
+def _in_files(docs: DataFrame) -> DataFrame:
+    """Two files a core, whatever the shares of the rendering: the number of batches follows the files. By another hash
+    than the one that deals a batch to the cores."""
+    return docs.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, F.xxhash64("doc_id"))
+
+
 def s13_folder_stream(spark, sf):
     """Rendered orders arrive as files; the stream settles them and stops; its hits make a snapshot."""
     source, out = new_path(spark, "inbox"), new_path(spark, "stream")
     docs = orders(spark, sf)
-    docs.write.parquet(source)
+    _in_files(docs).write.parquet(source)
     run_folder(spark, source, order_store(spark), out, f"{out}/checkpoint", files_per_batch=4).awaitTermination()
     results = spark.read.parquet(f"{out}/results")
     counts = results.groupBy(F.coalesce("template_id", F.lit("-")).alias("template_id"), "route").agg(
@@ -477,11 +483,11 @@ def s13_rematch(spark, sf):
     docs, stored = orders(spark, sf), order_store(spark)
     early = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     commit_snapshot(stored.filter("seq = 0"), snapshots, 1)
-    docs.filter(early).write.parquet(source)
+    _in_files(docs.filter(early)).write.parquet(source)
     run = lambda: run_moving_folder(spark, source, snapshots, out, f"{out}/checkpoint", files_per_batch=4)
     run().awaitTermination()
     commit_snapshot(stored, snapshots, 2)
-    docs.filter(~early).write.mode("append").parquet(source)
+    _in_files(docs.filter(~early)).write.mode("append").parquet(source)
     run().awaitTermination()
     rematch_misses(spark, snapshots, out)
     hits = current_hits(spark, out)

@@ -10,6 +10,7 @@ from docloom.config import EngineConfig
 from docloom.operators.dimension import Dimension, as_dimension
 from docloom.plans.batch import run_batch
 from docloom.schemas import DOCS
+from docloom.session import spread
 from docloom.sources.audit import audit_records
 
 
@@ -25,7 +26,8 @@ def run_folder(
     """Process every parquet file of D2 rows not seen before, then stop.
 
     Each micro-batch writes results, audit and hit counts below its own ``batch_id=`` folder and
-    overwrites that folder when it is replayed, so a restart repeats nothing.
+    overwrites that folder when it is replayed, so a restart repeats nothing. A batch of fewer files than there are
+    cores is dealt to all of them.
     """
     dim = as_dimension(store, cfg)
     reader = spark.readStream.schema(DOCS)
@@ -35,7 +37,7 @@ def run_folder(
     def process(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         part = f"batch_id={batch_id}"
-        run_batch(batch, dim, cfg).write.mode("overwrite").parquet(f"{out}/results/{part}")
+        run_batch(spread(batch, "doc_id"), dim, cfg).write.mode("overwrite").parquet(f"{out}/results/{part}")
         results = session.read.parquet(f"{out}/results/{part}")
         audit_records(results).write.mode("overwrite").option("ignoreNullFields", "false").json(
             f"{out}/audit/{part}"

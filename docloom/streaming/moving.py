@@ -17,7 +17,7 @@ from docloom.config import EngineConfig
 from docloom.operators.dimension import Dimension, load
 from docloom.plans.batch import COLD_MISS, NEAR_MISS, extract_documents, route_documents
 from docloom.schemas import DOCS
-from docloom.session import through_table
+from docloom.session import spread, through_table
 from docloom.sources.audit import audit_records
 from docloom.sources.store import load_snapshot, save_snapshot
 
@@ -93,7 +93,7 @@ def run_moving_folder(
         if used not in known:
             known.clear()
             known[used] = load(load_snapshot(session, snapshots, used), cfg)
-        _settle(batch, known[used], used, out, f"part=batch-{batch_id}", cfg)
+        _settle(spread(batch, "doc_id"), known[used], used, out, f"part=batch-{batch_id}", cfg)
 
     return (
         reader.parquet(source)

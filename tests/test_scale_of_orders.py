@@ -12,6 +12,7 @@ from docloom.functions.exprs import json_text, strip_edges
 from docloom.operators import extraction, matching
 from docloom.session import SHARES_A_SPLIT, shares
 from docloom.sources import audit
+from docloom.streaming.folder import run_folder
 
 LINES = (
     "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
@@ -109,6 +110,19 @@ def test_pieces_of_a_store_meet_slim_documents(spark, tmp_path, monkeypatch):
     assert set(written["numbered-docs"]) == {"doc_id", "normalised_text", "_row"}
 
 
+def test_a_batch_of_one_file_is_dealt_to_all_cores(spark, tmp_path):
+    orders(spark, tmp_path)
+    source, out = f"{tmp_path}/inbox", f"{tmp_path}/out"
+    docs = corpus.render_orders(spark, str(tmp_path))
+    copies = docs.crossJoin(spark.range(20)).withColumn("doc_id", F.concat_ws("-", "doc_id", "id")).drop("id")
+    copies.coalesce(1).write.parquet(source)
+    run_folder(spark, source, catalog.order_store(spark), out, f"{out}/checkpoint").awaitTermination()
+    results = spark.read.parquet(f"{out}/results")
+    assert results.count() == 100
+    if spark.sparkContext.defaultParallelism > 1:
+        assert results.select(F.input_file_name()).distinct().count() > 1
+
+
 def test_edges_gaps_and_json_texts(spark):
     texts = ["", " ", "a", " a", "a ", "üb", "bü", "\x1ca\x85", "a\x00", "~!", "　a b ", 'q"]', "[\n]"]
     rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
