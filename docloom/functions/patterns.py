@@ -8,6 +8,7 @@ small template dimension and never on document text.
 from __future__ import annotations
 
 import re
+import string
 import warnings
 from dataclasses import dataclass
 
@@ -242,3 +243,64 @@ def date_pattern(fmt: str) -> tuple[str, str] | None:
         f"${position['d']}" if "d" in position else "1",
     ]
     return "(?iU)" + "".join(regex) + r"\z", "-".join(parts)
+
+
+def _group_one(tree):
+    """The part of a pattern that is its group 1, None without one."""
+    for op, arg in tree:
+        if op is _codes.SUBPATTERN and arg[0] == 1:
+            return arg[-1]
+        parts = arg if isinstance(arg, (list, tuple)) else (arg,)
+        nested = [p for a in parts for p in (a if isinstance(a, list) else [a]) if isinstance(p, _tree.SubPattern)]
+        found = next((g for g in map(_group_one, nested) if g is not None), None)
+        if found is not None:
+            return found
+    return None
+
+
+def never_empty(pattern: str) -> bool:
+    """Whether what a match captures (its group 1, or all of it without groups) has a character at least."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        tree = _tree.parse(pattern, re.IGNORECASE | re.MULTILINE)
+    part = _group_one(tree) if tree.state.groups > 1 else tree
+    return part is not None and part.getwidth()[0] > 0
+
+
+_PLAIN_CLASS = re.compile(r"\[(?:[A-Za-z0-9 .,:;/_#+-]|\\[dw.-])+\]")
+_COUNT = re.compile(r"\{\d+(,\d*)?\}")
+
+
+def within_line(java: str) -> str | None:
+    """The translated pattern so that in a whole text, under ``SEARCH``, it finds exactly what it finds in the single lines.
+
+    None unless that is certain: nothing in it may take a line feed, and only a leading ``^`` may look at its surroundings.
+    """
+    out, i = [], 0
+    if java.startswith("^"):
+        out, i = ["^"], 1
+    while i < len(java):
+        c, e = java[i], java[i + 1 : i + 2]
+        if c == "\\":
+            if e == "s":
+                out.append(r"[\s&&[^\n]]")
+            elif e in ("d", "w", "S") or (e and e in string.punctuation):
+                out.append(c + e)
+            else:
+                return None
+            i += 2
+            continue
+        taken = _PLAIN_CLASS.match(java, i) if c == "[" else _COUNT.match(java, i) if c == "{" else None
+        if taken:
+            out.append(taken[0])
+            i = taken.end()
+            continue
+        if c in "[{$^\n" or (c == "(" and e == "?" and not java.startswith("(?:", i)):
+            return None
+        if c == "(":
+            out.append("(?:")
+            i += 3 if e == "?" else 1
+            continue
+        out.append(c)
+        i += 1
+    return "".join(out)

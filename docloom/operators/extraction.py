@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import EngineConfig
 from docloom.functions.exprs import WHITE_CLASS, built_once, let, materialise, strip_edges, strip_unicode
+from docloom.functions.patterns import ANCHOR, SEARCH, never_empty, within_line
 from docloom.operators.dimension import PREPARED_RULE, Dimension, as_dimension, literals
 from docloom.schemas import VALUE
 from docloom.session import through_table
@@ -56,6 +57,12 @@ def _calendar_date(ymd: Column) -> Column:
     return F.replace(full, F.lit(" "), F.lit("")).try_cast("date").cast("string")
 
 
+def _date_parts(raw: Column, date_re: str | None, date_repl: str | None) -> Column:
+    """The y-m-d text that ``parse_date`` reads, null where no format fits; the default formats exclude each other."""
+    own = [(date_re, date_repl)] if date_re is not None else DEFAULT_DATES
+    return F.coalesce(*[F.when(raw.rlike(p), F.regexp_replace(raw, p, r)) for p, r in own])
+
+
 def parse_date(raw: Column, date_re: Column | None = None, date_repl: Column | None = None) -> Column:
     """X3. ISO date, or the raw text when nothing parses; empty is null."""
     defaults = [
@@ -70,15 +77,19 @@ def parse_date(raw: Column, date_re: Column | None = None, date_repl: Column | N
 
 def parse_decimal(raw: Column) -> Column:
     """X4. German number to double; null when it is none."""
-    plain = F.translate(F.translate(raw, "._", ""), ",", ".")
-    return let(
-        strip_unicode(plain),
-        lambda v: F.when(
-            v.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), v.try_cast("double")
-        )
+    return let(decimal_text(raw), _decimal)
+
+
+def decimal_text(raw: Column) -> Column:
+    return strip_unicode(F.translate(F.translate(raw, "._", ""), ",", "."))
+
+
+def _decimal(v: Column) -> Column:
+    return (
+        F.when(v.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), v.try_cast("double"))
         .when(v.rlike(r"(?i)^\+?inf(inity)?$"), F.lit(float("inf")))
         .when(v.rlike(r"(?i)^-inf(inity)?$"), F.lit(float("-inf")))
-        .when(v.rlike(r"(?i)^[+-]?nan[0-9]*$"), F.lit(float("nan"))),
+        .when(v.rlike(r"(?i)^[+-]?nan[0-9]*$"), F.lit(float("nan")))
     )
 
 
@@ -88,7 +99,10 @@ def integer_text(raw: Column) -> Column:
 
 def parse_integer(raw: Column) -> Column:
     """X5. Both separators removed; null when it is no 64-bit integer."""
-    v = strip_unicode(integer_text(raw))
+    return _integer(strip_unicode(integer_text(raw)))
+
+
+def _integer(v: Column) -> Column:
     return F.when(v.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.translate(v, "_", "").try_cast("bigint"))
 
 
@@ -205,6 +219,18 @@ def table_from_text(text: Column, r: Column) -> Column:
     return _as_maps(_line_cells(let(F.split(text, "\n", -1), between)), r)
 
 
+def region_pattern(r: dict) -> str | None:
+    """X8 as one pattern: its group 1 is what lies between the first anchor line and the next stop line. None where that
+    can't be told from the rule's patterns; then ``table_from_text`` looks at line after line."""
+    if r["kind"] != "table" or not r["anchor"] or not r["stop"]:
+        return None
+    anchor, stop = (within_line(r[side].removeprefix(ANCHOR)) for side in ("anchor", "stop"))
+    if anchor is None or stop is None:
+        return None
+    stop_line = stop if stop.startswith("^") and "|" not in stop else rf"^[^\n]*?(?:{stop})"
+    return rf"{SEARCH}(?:{anchor})[^\n]*(?:\n([\s\S]*?)(?:{stop_line}|\z)|\z)"
+
+
 def table_at(tables: Column, text: Column, r: Column, place: Column) -> Column:
     """X7, X8. The table that Python's patterns found: body rows of a page table, or lines of the text."""
     rows = _with_cells(F.slice(F.get(tables, place["at"]), F.lit(2), place["length"]))
@@ -445,7 +471,9 @@ def apply_rules(docs: DataFrame, dim: Dimension) -> DataFrame:
         values = _literal_values(dim.literal, dim.needs_python, dim.python_tables, with_pages)
     else:
         values = _values(dim.needs_python, dim.python_tables, with_pages)
-    return materialise(docs, values=values).drop("_python", "_places", *[c for c in docs.columns if c.startswith(CAPTURE)])
+    return materialise(docs, values=values).drop(
+        "_python", "_places", *[c for c in docs.columns if c.startswith((CAPTURE, PARSED, REGION))]
+    )
 
 
 def _tables(with_pages: bool) -> Column:
@@ -467,6 +495,17 @@ def _values(with_python: bool, with_places: bool, with_pages: bool) -> Column:
 
 
 CAPTURE = "_capture_"
+REGION = "_region_"
+
+
+def _regions(prepared: str) -> dict[str, list[tuple[str, dict]]]:
+    """(template, rule) pairs of tables whose lines one pattern finds in the text, by the column that holds those."""
+    out: dict[str, list[tuple[str, dict]]] = {}
+    for t in json.loads(prepared):
+        for i, r in enumerate(t["rules"]):
+            if not r["python_only"] and not r["static_error"] and region_pattern(r):
+                out.setdefault(f"{REGION}{i}", []).append((t["template_id"], r))
+    return out
 
 
 def _captures(prepared: str) -> dict[str, list[tuple[str, dict]]]:
@@ -482,10 +521,10 @@ def _captures(prepared: str) -> dict[str, list[tuple[str, dict]]]:
 def _with_captures(docs: DataFrame, prepared: str) -> DataFrame:
     """Adds the cleaned captures of each document's template. Each step is a projection that its successor reads more
     than once, so Spark keeps the steps apart and compiles them; inside ``let`` they would be interpreted."""
-    found = _captures(prepared)
+    found, regions = _captures(prepared), _regions(prepared)
 
     def of_template(name: str, value: Callable[[dict], Column | None], otherwise: Column) -> Column:
-        for template_id, r in reversed(found[name]):
+        for template_id, r in reversed((found | regions)[name]):
             own = value(r)
             otherwise = otherwise if own is None else F.when(F.col("template_id") == template_id, own).otherwise(otherwise)
         return otherwise
@@ -494,19 +533,89 @@ def _with_captures(docs: DataFrame, prepared: str) -> DataFrame:
     step = docs.withColumns(
         {c: of_template(c, lambda r: F.regexp_extract(text, r["regex"], min(r["groups"], 1)), none) for c in found}
     )
-    # no match and an empty one are told apart
+    # no match and an empty one are told apart; most captures can't be empty
+    matched = lambda r: F.lit(False) if never_empty(r["source_regex"]) else F.rlike(text, F.lit(r["regex"]))
     step = step.withColumns(
-        {
-            c: F.when(F.col(c) != "", F.col(c)).when(of_template(c, lambda r: F.rlike(text, F.lit(r["regex"])), F.lit(False)), "")
-            for c in found
-        }
+        {c: F.when(F.col(c) != "", F.col(c)).when(of_template(c, matched, F.lit(False)), "") for c in found}
     )
     step = step.withColumns({c: strip_edges(F.col(c)) for c in found})
     trimmed = {
         c: of_template(c, lambda r: F.btrim(F.col(c), F.lit(r["strip_chars"])) if r["strip_chars"] else None, F.col(c))
         for c in found
     }
-    return materialise(step, **trimmed) if found else step
+    trimmed |= {c: of_template(c, lambda r: F.regexp_extract(text, region_pattern(r), 1), none) for c in regions}
+    return _with_parsed(materialise(step, **trimmed), found) if trimmed else step
+
+
+PARSED = "_parsed_"
+
+
+def _with_parsed(docs: DataFrame, found: dict[str, list[tuple[str, dict]]]) -> DataFrame:
+    """Adds what the captures of dates, decimals and integers say, as ``_literal_values`` reads it: text, double, 64-bit
+    integer. Two steps of plain expressions, so that both are compiled and the text a value is read from is made once."""
+    texts = {
+        "date": lambda c, r: _date_parts(c, r["date_re"], r["date_repl"]),
+        "decimal": lambda c, r: decimal_text(c),
+        "integer": lambda c, r: strip_unicode(integer_text(c)),
+    }
+    values = {
+        "date": ("s", lambda c, v: F.when(c != "", F.coalesce(_calendar_date(v), c))),
+        "decimal": ("d", lambda c, v: F.when(c != "", _decimal(v))),
+        "integer": ("i", lambda c, v: F.when(c != "", _integer(v))),
+    }
+    read, said = {}, {}
+    for name, rules in found.items():
+        own = [(t, r) for t, r in rules if r["kind"] in texts]
+        text = f"{PARSED}{name}"
+        for template_id, r in own:
+            asked = F.col("template_id") == template_id
+            part = texts[r["kind"]](F.col(name), r)
+            read[text] = read[text].when(asked, part) if text in read else F.when(asked, part)
+        for kind in dict.fromkeys(r["kind"] for _, r in own):
+            suffix, value = values[kind]
+            asked = F.col("template_id").isin([t for t, r in own if r["kind"] == kind])
+            said[f"{text}_{suffix}"] = F.when(asked, value(F.col(name), F.col(text)))
+    if not read:
+        return docs
+    return docs.withColumns(read).withColumns(said).drop(*read)
+
+
+def _compiled_value(r: dict, name: str | None, tables: Column) -> Column:
+    """X1, X10. ``_evaluate`` for a rule that the JVM runs, known when the plan is made: only what its kind needs.
+
+    ``name``: the column of its cleaned capture or of its table's lines, if it has one."""
+    none = lambda kind: F.lit(None).cast(kind)
+    value = {"s": none("string"), "d": none("double"), "i": none("bigint"), "l": none("array<string>"), "t": none(_ROWS)}
+    error, kind, text = F.lit(r["static_error"]).cast("string"), r["kind"], F.col("full_text")
+    if r["static_error"] is None:
+        if kind == "list":
+            regex, groups = F.lit(r["regex"]).cast("string"), F.lit(r["groups"])
+            value["l"] = F.coalesce(all_matches(text, regex, groups), F.array().cast("array<string>"))
+        elif kind == "table":
+            known = {**literals(r, PREPARED_RULE), "places": r["col_idx"]}
+            both = r["anchor"] is not None and r["stop"] is not None
+            lines = _as_maps(_line_cells(F.split(F.col(name), "\n", -1)), known) if name else table_from_text(text, known)
+            read = [table_from_pages(tables, known), *([lines] if both else [])]
+            value["t"] = F.coalesce(*read, F.array().cast(_ROWS))
+        elif name and r["groups"] == 0:
+            error = F.when(F.col(name).isNotNull(), "no such group")
+        elif name and kind == "string":
+            value["s"] = F.col(name)
+        elif name:
+            part = {"date": "s", "decimal": "d", "integer": "i"}[kind]
+            value[part] = F.col(f"{PARSED}{name}_{part}")
+            if kind == "integer":
+                error = F.when(
+                    (F.col(name) != "") & value["i"].isNull(),
+                    F.concat(F.lit("invalid literal for int() with base 10: '"), integer_text(F.col(name)), F.lit("'")),
+                )
+    return F.struct(
+        F.lit(r["rule_pos"]).alias("rule_pos"),
+        F.lit(r["field"]).cast("string").alias("field"),
+        F.lit(kind).alias("kind"),
+        *[v.alias(k) for k, v in value.items()],
+        error.alias("error"),
+    )
 
 
 @built_once
@@ -518,15 +627,16 @@ def _literal_values(prepared: str, with_python: bool, with_places: bool, with_pa
     python = F.col("_python") if with_python else None
     places = F.col("_places") if with_places else None
     tables = _tables(with_pages)
-    made = {(template_id, r["rule_pos"]): name for name, rules in _captures(prepared).items() for template_id, r in rules}
+    made = {(template_id, r["rule_pos"]): name for name, rules in (_captures(prepared) | _regions(prepared)).items() for template_id, r in rules}
     branch = None
     for t in json.loads(prepared):
         values = []
         for r in t["rules"]:
-            name = made.get((t["template_id"], r["rule_pos"]))
-            captured = F.col(name) if name else F.lit(None).cast("string")
-            fields = {**literals(r, PREPARED_RULE), "places": r["col_idx"]}
-            values.append(_evaluate(fields, F.col("full_text"), tables, python, places if r["python_only"] else None, captured))
+            if not r["python_only"]:
+                values.append(_compiled_value(r, made.get((t["template_id"], r["rule_pos"])), tables))
+                continue
+            fields, none = {**literals(r, PREPARED_RULE), "places": r["col_idx"]}, F.lit(None).cast("string")
+            values.append(_evaluate(fields, F.col("full_text"), tables, python, places, none))
         chosen = F.array(*values).cast(VALUES)
         asked = F.col("template_id") == t["template_id"]
         branch = F.when(asked, chosen) if branch is None else branch.when(asked, chosen)
