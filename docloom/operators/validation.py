@@ -193,18 +193,59 @@ def all_errors(checks: str, data: str, matched: str = "") -> Column:
     return F.flatten(F.transform(checks, lambda c, i: _check_errors(c, F.col(data), answer(i))))
 
 
+def _compiled_messages(check: dict, v: Column, kind: str, matched: Column | None) -> list[Column]:
+    """V1-V4 for one check on the value ``v`` of known kind, both known when the plan is made: each message or null.
+
+    ``_check_errors`` without a lambda, so that Spark compiles it."""
+    part = {"decimal": "d", "integer": "i", "list": "l", "table": "t"}.get(kind, "s")
+    quoted = f"Field '{check['field']}'"
+    missing = v[part].isNull()
+    empty = (missing | (v["s"] == "")) if part == "s" else missing
+    text = {"s": v["s"], "d": float_text(v["d"]), "i": v["i"].cast("string")}.get(part, value_text(v))
+    number = {"s": python_float(v["s"]), "d": v["d"], "i": v["i"].cast("double")}.get(part, F.lit(None).cast("double"))
+    refused = empty if check["not_null"] else F.lit(False)
+    out = [F.when(empty, F.lit(f"Required field '{check['field']}' is {NULL_MARK}"))] if check["not_null"] else []
+    asked = ~missing & ~refused
+    for name in ("gt", "lt"):
+        if check[name] is not None:
+            out.append(F.when(asked, _bound_error(F.lit(check["field"]), text, number, F.lit(check[name]), name)))
+    if check["bad_pattern"]:
+        out.append(F.when(asked, F.lit(f"{quoted} check pattern is invalid: {check['regex_match']}")))
+    elif check["regex_match"]:
+        fits = F.rlike(text, F.lit(check["java"]).cast("string")) if matched is None else F.coalesce(matched, F.lit(True))
+        message = F.concat(F.lit(f"{quoted} value '"), text, F.lit(f"' does not match pattern '{check['regex_match']}'"))
+        out.append(F.when(asked & ~fits, message))
+    return out
+
+
+def _compiled_errors(t: dict, data: str, answers: list[Column | None], general: Column) -> Column:
+    """All messages of a template's checks where ``data`` has its rules' fields in their order, else ``general``."""
+    places = {r["field"]: (i, r["kind"]) for i, r in enumerate(t["rules"])}
+    if len(places) != len(t["rules"]) or None in places or any(c["field"] is None for c in t["checks"]):
+        return general
+    as_ruled = F.size(data) == len(t["rules"])
+    for field, (i, kind) in places.items():
+        v = F.get(data, F.lit(i))
+        as_ruled = as_ruled & (v["field"] == field) & (v["kind"] == kind)
+    messages = []
+    for c, answer in zip(t["checks"], answers):
+        if c["field"] in places:
+            i, kind = places[c["field"]]
+            messages += _compiled_messages(c, F.get(data, F.lit(i)), kind, answer)
+        elif c["not_null"]:
+            messages.append(F.lit(f"Required field '{c['field']}' is {NULL_MARK}"))
+    found = F.array_compact(F.array(*messages).cast("array<string>")) if messages else F.array().cast("array<string>")
+    return F.when(as_ruled, found).otherwise(general)
+
+
 @built_once
 def _literal_errors(prepared: str, data: str, matched: str) -> Column:
     """The same messages with every pattern a literal of the plan: one branch per template."""
     branch, text = None, "array<string>"
     for t in json.loads(prepared):
-        found = [
-            _check_errors(
-                literals(c, PREPARED_CHECK), F.col(data), F.get(F.col(matched), F.lit(i)) if c["python_only"] else None
-            )
-            for i, c in enumerate(t["checks"])
-        ]
-        chosen = F.concat(F.array().cast(text), *found)
+        answers = [F.get(F.col(matched), F.lit(i)) if c["python_only"] else None for i, c in enumerate(t["checks"])]
+        found = [_check_errors(literals(c, PREPARED_CHECK), F.col(data), a) for c, a in zip(t["checks"], answers)]
+        chosen = _compiled_errors(t, data, answers, F.concat(F.array().cast(text), *found))
         asked = F.col("template_id") == t["template_id"]
         branch = F.when(asked, chosen) if branch is None else branch.when(asked, chosen)
     return F.lit(None).cast(text) if branch is None else branch
