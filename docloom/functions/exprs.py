@@ -76,7 +76,9 @@ def strip_edges(v: Column) -> Column:
 def json_text(c: Column) -> Column:
     """A string column as a JSON string literal (null stays the JSON word null)."""
     item = F.regexp_extract(F.to_json(F.array(c)), r"(?s)\A\[(.*)\]\z", 1)
-    return F.when(c.isNull(), F.lit("null")).otherwise(item)
+    # Visible ASCII without quote and backslash needs no escape.
+    plain = F.rlike(c, F.lit(r"\A[ !#-\[\]-~]*\z"))
+    return F.when(c.isNull(), F.lit("null")).when(plain, F.concat(F.lit('"'), c, F.lit('"'))).otherwise(item)
 
 
 def float_text(c: Column) -> Column:

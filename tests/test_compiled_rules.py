@@ -132,3 +132,20 @@ def test_captures_that_are_never_empty(pattern, never):
     assert never_empty(pattern) == never
     if never:
         assert all(m.group(m.re.groups and 1) for m in re.finditer(pattern, "xya aab xb"))
+
+
+def test_json_text_writes_plain_texts_without_a_writer(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from docloom.functions.exprs import json_text
+
+    odd = ["", "plain ~!#[]", 'q"', "b\\", "\n", "a\nb\n", "\x00", "\x1f", "\x7f", "é", " ", "😀", "/", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "i int, v string")
+    rows = df.select("i", "v", json_text(F.col("v")).alias("json")).collect()
+    assert {r["i"]: json.loads(r["json"]) for r in rows} == dict(enumerate(odd))
+    before = F.when(F.col("v").isNull(), "null").otherwise(F.regexp_extract(F.to_json(F.array("v")), r"(?s)\A\[(.*)\]\z", 1))
+    assert df.filter(~json_text(F.col("v")).eqNullSafe(before)).count() == 0
+    plan = df.select(json_text(F.col("v")).alias("json"))._jdf.queryExecution().analyzed().toString()
+    assert r"RLIKE \A[ !#" in plan  # only other texts meet the JSON writer
