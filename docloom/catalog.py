@@ -682,7 +682,7 @@ def j9_plan_chunks(spark, sf):
 
 def j9_plan_automaton(spark, sf):
     """Delivery notes against a store that grows with the parts, five templates each (10,000 at sf0.01)."""
-    parts = table(spark, sf, "part", "p_partkey")
+    parts = spread(table(spark, sf, "part", "p_partkey"), "p_partkey")  # a small table of much work
     last = F.lit(parts.agg(F.max("p_partkey").cast("bigint")).first()[0])
     key, v = F.col("p_partkey").cast("bigint"), F.col("v")
     word = lambda k: F.concat(F.lit("TEIL "), k.cast("string"), F.lit(";"))

@@ -163,19 +163,27 @@ def rounded_score(score: float) -> float:
 def pieces(templates: DataFrame, cfg: EngineConfig) -> list[DataFrame]:
     """The store's matching columns in pieces within the configured bound (twice the bound for an unlucky
     hash; a single larger template is a piece by itself). Only sizes come to the driver here."""
+    sized = sized_store(templates)
+    piece, numbers = dealt(sized, cfg.automaton_max_templates, cfg.automaton_max_chars)
+    return [sized.filter(piece == p).drop("_chars") for p in numbers]
+
+
+def sized_store(templates: DataFrame) -> DataFrame:
+    """The store's matching columns and their characters, written once."""
     dim = match_columns(templates)
     size = F.aggregate("kws", F.lit(0), lambda n, k: n + F.coalesce(F.length(k), F.lit(0))) + F.length("hint")
-    sized = through_table(dim.select("*", size.cast("bigint").alias("_chars")), "store-columns")
+    return through_table(dim.select("*", size.cast("bigint").alias("_chars")), "store-columns")
+
+
+def dealt(sized: DataFrame, most: int, most_chars: int) -> tuple[Column, list[int]]:
+    """A row's piece, and the numbers of all pieces, within the bounds as ``pieces`` has them."""
     n, chars, largest = sized.agg(F.count(F.lit(1)), F.sum("_chars"), F.max("_chars")).first()
-    parts = max(1, -(-n // cfg.automaton_max_templates), -(-(chars or 0) // cfg.automaton_max_chars))
+    parts = max(1, -(-n // most), -(-(chars or 0) // most_chars))
     while True:
         piece = F.pmod(F.xxhash64("template_id"), F.lit(parts))
         rows = sized.groupBy(piece.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum("_chars").alias("c")).collect()
-        fits = all(
-            r["n"] <= 2 * cfg.automaton_max_templates and r["c"] <= max(2 * cfg.automaton_max_chars, largest) for r in rows
-        )
-        if fits:
-            return [sized.filter(piece == r["p"]).drop("_chars") for r in sorted(rows, key=lambda r: r["p"])]
+        if all(r["n"] <= 2 * most and r["c"] <= max(2 * most_chars, largest) for r in rows):
+            return piece, sorted(r["p"] for r in rows)
         parts *= 2
 
 

@@ -8,7 +8,7 @@ lies, and nothing is shuffled. Beyond the bound a keyword automaton reads each t
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 import pyarrow as pa
@@ -20,7 +20,7 @@ from docloom.config import EngineConfig
 from docloom.functions import fuzzy
 from docloom.functions.exprs import let, materialise
 from docloom.functions.text import fold
-from docloom.operators import automaton
+from docloom.operators import automaton, packed
 from docloom.operators.dimension import Dimension, InlineStore, as_dimension, match_columns
 from docloom.operators.joins import salted_left_join
 from docloom.session import through_table
@@ -278,32 +278,33 @@ def _with_candidates(docs: DataFrame, piece: DataFrame, cfg: EngineConfig) -> Da
 def match_by_automaton(docs: DataFrame, templates: DataFrame, cfg: EngineConfig, candidates: bool = True) -> DataFrame:
     """Exact decisions against a store of any size, each text read once per piece of the store.
 
-    With one piece nothing is shuffled. With several, documents are numbered (repeated doc_ids keep apart), each
-    piece reports what it found by that number, without text, and the decision meets its document once.
+    With one piece nothing is shuffled. With several, decisions alone are made by packed pieces, which hold more. For
+    candidates, documents are numbered (repeated doc_ids keep apart), each piece reports what it found by that
+    number, without text, and the decision meets its document once.
     """
-    parts = automaton.pieces(templates, cfg)
     none = F.lit(None).cast("map<string,double>")
+    sized = automaton.sized_store(templates)
+    piece, numbers = automaton.dealt(sized, cfg.automaton_max_templates, cfg.automaton_max_chars)
+    parts = [sized.filter(piece == p).drop("_chars") for p in numbers]
     asked = fold(F.col("normalised_text"))
     if len(parts) == 1:
         if candidates:
             return decide(_with_candidates(docs, parts[0], cfg), cfg)
         picked = materialise(docs, _m=automaton.best_and_near(asked, parts[0], cfg))
         return decision(picked, docs.columns, F.col("_m.best"), F.col("_m.near"), none, cfg)
+    if not candidates:
+        piece, numbers = automaton.dealt(sized, cfg.packed_max_templates, cfg.packed_max_chars)
+        picked = packed.best_and_near(docs, asked, sized, piece, numbers, cfg.supplier_weight)
+        return decision(picked, docs.columns, F.col("_best"), F.col("_near"), none, cfg)
     numbered = through_table(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-docs")
     slim = numbered.select("_row", "normalised_text")
-    if candidates:
-        found = [_with_candidates(slim, p, cfg).select("_row", "_cands") for p in parts]
-        # the candidates of a document are as many as the store has templates, as its map has entries
-        gathered = _written(found).groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("_cands"))).alias("_cands"))
-        decided = decide(gathered, cfg)
-    else:
-        found = [slim.select("_row", automaton.best_and_near(asked, p, cfg).alias("_m")) for p in parts]
-        picked = _written(found).groupBy("_row").agg(F.max("_m.best").alias("best"), F.max("_m.near").alias("near"))
-        decided = decision(picked, ["_row"], F.col("best"), F.col("near"), none, cfg)
-    return numbered.join(decided, "_row", "left").drop("_row")
+    found = (_with_candidates(slim, p, cfg).select("_row", "_cands") for p in parts)
+    # the candidates of a document are as many as the store has templates, as its map has entries
+    gathered = _written(found).groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("_cands"))).alias("_cands"))
+    return numbered.join(decide(gathered, cfg), "_row", "left").drop("_row")
 
 
-def _written(parts: list[DataFrame]) -> DataFrame:
+def _written(parts: Iterable[DataFrame]) -> DataFrame:
     """Each piece's findings are written before the next piece is built: the driver holds one at a time."""
     return reduce(DataFrame.unionByName, [through_table(p, "piece-scores") for p in parts])
 

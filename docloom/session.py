@@ -48,14 +48,22 @@ def discard_tables(spark: SparkSession) -> int:
     Returns how many paths were given up.
     """
     paths = _written.pop(spark.sparkContext.applicationId, [])
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    settings = spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
-        path = hadoop.Path(p)
-        path.getFileSystem(settings).delete(path, True)
+        _delete(spark, p)
     return len(paths)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete one table of ``new_path`` early: nothing reads it any more."""
+    _written.get(spark.sparkContext.applicationId, []).remove(path)
+    _delete(spark, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give a small input that arrives in fewer splits than there are cores some parallelism.
 

@@ -1,7 +1,9 @@
 """Matching: texts, templates and the decisions they must give, on every plan."""
 
+import pickle
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from docloom import corpus
 from docloom.config import EngineConfig
 from docloom.functions import fuzzy
 from docloom.functions.fuzzy import partial_ratio
-from docloom.operators import automaton, matching
+from docloom.operators import automaton, matching, packed
 from docloom.sources.store import empty_store
 
 
@@ -128,6 +130,66 @@ def test_automaton_equals_inline_to_the_last_digit(spark, plan):
     assert hits(PLANS[plan]) == hits(PLANS["inline"])
 
 
+PACKED = EngineConfig(inline_max_templates=3, automaton_max_templates=3, packed_max_templates=2)
+
+
+def test_packed_pieces_equal_inline_to_the_last_digit(spark):
+    rng = random.Random(11)
+    more = [template(f"long{n}_v1", ["ab" * n, "é" * n, "x" * 40, "b" * n + "ü"], "Hint Co" if n % 2 else "", 0.5) for n in range(1, 9)]
+    plain = corpus.as_store(spark, STORE + ODD + more)
+    # a keyword that is null counts, and is never found
+    store = plain.withColumn("required_keywords", F.when(F.col("template_id") == "case_v1", F.array(F.lit("x"), F.lit(None))).otherwise(F.col("required_keywords")))
+    words = [k for t in STORE + ODD + more for k in t["required_keywords"]] + ["Hint Co", "aaaa", "handel", "İstanbul", "x", "é", "hint"]
+    texts = ["", None, "a" * 5000, "ab" * 999] + ["".join(rng.choice([*words, " "]) for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    docs = docs_of(spark, texts).repartition(3)
+    key = lambda r: (int(r["doc_id"]), r["normalised_text"] and len(r["normalised_text"]), r["template_id"], r["match_score"], r["hit_rate"], r["near_miss_id"], r["best_template_id"])
+    found = lambda cfg: sorted(map(key, matching.match(docs, store, cfg, candidates=False).collect()), key=lambda x: x[0])
+    want = found(PLANS["automaton"])
+    assert found(PACKED) == want == found(PLANS["chunks"])
+    assert {r[0] for r in want} == set(range(len(texts))) and len({r[2] for r in want}) > 5
+
+
+def test_packed_words_are_found_across_steps(monkeypatch):
+    monkeypatch.setattr(packed, "STEP", 64)
+    monkeypatch.setattr(packed, "_powers", {})
+    words = ["a", "ab", "abc", "abcd", "abcde", "bcdefg", "é", "日本", "日本語テキスト", "zz"]
+    rows = pa.table({
+        "seq": pa.array(range(len(words)), pa.int64()), "template_id": words, "kws": [[w, w, None] for w in words],
+        "hint": [""] * len(words), "quorum": [0.6] * len(words),
+    })
+    p = packed.Packed(pickle.loads(pickle.dumps(packed.pack(rows)))).prepare()
+    rng = random.Random(2)
+    texts = [None, "", "abcdefg" * 50] + ["".join(rng.choice("abcdeé日本語テ z") for _ in range(rng.randint(0, 90))) for _ in range(300)]
+    whole = pa.array(texts, pa.string()).slice(1)
+    at, data = packed._bytes_of(whole)
+    assert len([*packed._steps(at)]) > 100
+    for a, b in packed._steps(at):
+        own_at, own = packed._bytes_of(whole[a:b])
+        found = p.words_in(own_at - own_at[0], own[own_at[0] : own_at[-1]])
+        got = [{p.word(int(w)) for w in found[found // p.n_words == i] % p.n_words} for i in range(b - a)]
+        assert got == [{w for w in words if w in t} for t in texts[1 + a : 1 + b]]
+
+
+def test_packed_pieces_are_held_one_at_a_time(spark, monkeypatch):
+    from pyspark import SparkContext
+    from pyspark.core.broadcast import Broadcast
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    done = []
+    for owner, name, mark in ((SparkContext, "broadcast", "held"), (DataFrameWriter, "parquet", "written"), (Broadcast, "destroy", "given up")):
+        plain = getattr(owner, name)
+        monkeypatch.setattr(owner, name, lambda self, *a, plain=plain, mark=mark, **b: done.append(mark) or plain(self, *a, **b))
+    docs, store = docs_of(spark, TEXTS), corpus.as_store(spark, STORE)
+    picked = matching.match(docs, store, PACKED, candidates=False)
+    assert done.count("held") > 3
+    steps = "".join(x[0] for x in done)
+    assert steps[steps.index("h") :] == "hwg" * (done.count("held") - 1) + "h"
+    text = picked._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Join" not in text and text.count("ArrowEvalPython") == 1
+    repeated = matching.match(docs.unionByName(docs), store, PACKED, candidates=False)
+    assert repeated.count() == 2 * len(TEXTS)
+
+
 def test_one_automaton_moves_nothing_and_reads_the_text_once(spark, tmp_path):
     docs_of(spark, TEXTS).write.parquet(f"{tmp_path}/docs")
     docs = spark.read.parquet(f"{tmp_path}/docs")
