@@ -26,7 +26,7 @@ from docloom.operators.validation import validate
 from docloom.plans.batch import extract_documents, route_documents, run_batch
 from docloom.plans.rounds import learn_round, routed_with_text, settle
 from docloom.schemas import CHECK, RULE
-from docloom.session import new_path, spread, through_table
+from docloom.session import new_path, shuffles_dropped, spread, through_table
 from docloom.sources import assembly, audit, responses, store
 from docloom.sources.files import discover, dispatch
 from docloom.streaming.folder import hit_deltas, run_folder
@@ -57,8 +57,8 @@ def free_texts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def orders(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.render_orders(spark, sf)
+def orders(spark: SparkSession, sf: str, files: int | None = None) -> DataFrame:
+    return corpus.render_orders(spark, sf, files)
 
 
 def order_store(spark: SparkSession) -> DataFrame:
@@ -452,17 +452,21 @@ def s12_requests(spark, sf):
     )
 
 
-def _in_files(docs: DataFrame) -> DataFrame:
-    """Two files a core, whatever the shares of the rendering: the number of batches follows the files. By another hash
-    than the one that deals a batch to the cores."""
-    return docs.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism, F.xxhash64("doc_id"))
+def _orders_in_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Two files a core, whatever the shares of the rendering: the number of batches follows the files."""
+    return orders(spark, sf, 2 * spark.sparkContext.defaultParallelism)
+
+
+def _write_files(docs: DataFrame, folder: str) -> None:
+    """Adds files to an inbox; what was shuffled for them goes when they are written."""
+    with shuffles_dropped(docs.sparkSession):
+        docs.write.mode("append").option("compression", "zstd").parquet(folder)
 
 
 def s13_folder_stream(spark, sf):
     """Rendered orders arrive as files; the stream settles them and stops; its hits make a snapshot."""
     source, out = new_path(spark, "inbox"), new_path(spark, "stream")
-    docs = orders(spark, sf)
-    _in_files(docs).write.parquet(source)
+    _write_files(_orders_in_files(spark, sf), source)
     run_folder(spark, source, order_store(spark), out, f"{out}/checkpoint", files_per_batch=4).awaitTermination()
     results = spark.read.parquet(f"{out}/results")
     counts = results.groupBy(F.coalesce("template_id", F.lit("-")).alias("template_id"), "route").agg(
@@ -480,14 +484,14 @@ def s13_rematch(spark, sf):
     """A stream that starts with one template; the others are committed while half of the orders are out, and
     what missed before is matched again."""
     source, out, snapshots = new_path(spark, "inbox"), new_path(spark, "stream"), new_path(spark, "snapshots")
-    docs, stored = orders(spark, sf), order_store(spark)
+    docs, stored = _orders_in_files(spark, sf), order_store(spark)
     early = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     commit_snapshot(stored.filter("seq = 0"), snapshots, 1)
-    _in_files(docs.filter(early)).write.parquet(source)
+    _write_files(docs.filter(early), source)
     run = lambda: run_moving_folder(spark, source, snapshots, out, f"{out}/checkpoint", files_per_batch=4)
     run().awaitTermination()
     commit_snapshot(stored, snapshots, 2)
-    _in_files(docs.filter(~early)).write.mode("append").parquet(source)
+    _write_files(docs.filter(~early), source)
     run().awaitTermination()
     rematch_misses(spark, snapshots, out)
     hits = current_hits(spark, out)

@@ -127,8 +127,11 @@ def _rendered() -> Column:
     return F.struct(text.alias("full_text"), page_tables.alias("_tables"))
 
 
-def render_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D2 rows. Invoices carry their lines as a page table, the other layouts as text columns."""
+def render_orders(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
+    """D2 rows. Invoices carry their lines as a page table, the other layouts as text columns.
+
+    ``files``: dealt to so many parts, by another hash than the one that deals a batch to the cores.
+    """
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
     )
@@ -151,6 +154,8 @@ def render_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("pdf").alias("file_type"),
         F.inline(F.array(_rendered())),
     )
+    if files:  # each text travels once, not as the three columns made of it below
+        rendered = rendered.repartition(files, F.xxhash64("doc_id"))
     return (
         rendered.select(
             "doc_id",

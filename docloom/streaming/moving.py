@@ -9,7 +9,7 @@ it takes is recorded first as well, so a run that was killed gives the same resu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,7 +17,7 @@ from docloom.config import EngineConfig
 from docloom.operators.dimension import Dimension, load
 from docloom.plans.batch import COLD_MISS, NEAR_MISS, extract_documents, route_documents
 from docloom.schemas import DOCS
-from docloom.session import spread, through_table
+from docloom.session import drop_path, new_path, spread
 from docloom.sources.audit import audit_records
 from docloom.sources.store import load_snapshot, save_snapshot
 
@@ -60,12 +60,24 @@ def _settle(docs: DataFrame, dim: Dimension, snapshot_id: int, out: str, part: s
     missed = F.col("route").isin(*MISSED)
     whole = F.when(missed, F.struct(*[c for c in docs.columns if c != "doc_id"]))
     found = extract_documents(docs, dim, cfg).withColumn("_doc", whole).withColumn("as_of", F.lit(snapshot_id).cast("bigint"))
-    routed = through_table(route_documents(found, carry=("as_of", "_doc")), "moving")
-    routed.drop("_doc").write.mode("overwrite").parquet(f"{out}/results/{part}")
-    results = session.read.parquet(f"{out}/results/{part}")
-    records = audit_records(results.drop("as_of"))
-    records.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{out}/audit/{part}")
-    routed.filter(missed).select("doc_id", "_doc.*").write.mode("overwrite").parquet(f"{out}/misses/{part}")
+    settled = route_documents(found, carry=("as_of", "_doc"))
+    both = new_path(session, "moving")
+    _packed(settled).parquet(both)
+    try:
+        routed = session.read.schema(settled.schema).parquet(both)
+        _packed(routed.drop("_doc")).parquet(f"{out}/results/{part}")
+        results = session.read.parquet(f"{out}/results/{part}")
+        records = audit_records(results.drop("as_of"))
+        # JSON text is by far the largest of the tables: Spark reads it compressed as well
+        records.write.mode("overwrite").options(ignoreNullFields="false", compression="gzip").json(f"{out}/audit/{part}")
+        _packed(routed.filter(missed).select("doc_id", "_doc.*")).parquet(f"{out}/misses/{part}")
+    finally:
+        drop_path(session, both)
+
+
+def _packed(rows: DataFrame) -> DataFrameWriter:
+    """Tables of a stream stay: they are kept small."""
+    return rows.write.mode("overwrite").option("compression", "zstd")
 
 
 def run_moving_folder(

@@ -1,9 +1,11 @@
 """A stream whose store moves on: snapshots, replays and re-matching."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from docloom import corpus
+from docloom import catalog, corpus
 from docloom.operators.dimension import load
 from docloom.plans.batch import run_batch
 from docloom.sources import audit
@@ -80,3 +82,35 @@ def test_no_committed_snapshot_is_an_error(spark, tmp_path):
     save_snapshot(corpus.as_store(spark, corpus.order_templates()), str(tmp_path), 1)
     with pytest.raises(Exception):
         moving.latest_snapshot(spark, str(tmp_path))
+
+
+def _files(folder):
+    return [f for f in Path(folder).rglob("*") if f.is_file() and not f.name.startswith((".", "_"))]
+
+
+def test_a_stream_keeps_its_tables_small_and_nothing_between(spark, setting, monkeypatch):
+    docs, stored, snapshots, out, run = setting
+    made = []
+    plain = moving.new_path
+    monkeypatch.setattr(moving, "new_path", lambda *a: made.append(plain(*a)) or made[-1])
+    run()
+    moving.commit_snapshot(stored, snapshots, 2)
+    moving.rematch_misses(spark, snapshots, out)
+    assert len(made) == 3 and not any(Path(m).exists() for m in made)
+    assert all(f.name.endswith(".json.gz") for f in _files(f"{out}/audit"))
+    assert all(f.name.endswith(".zstd.parquet") for t in ("results", "misses") for f in _files(f"{out}/{t}"))
+    assert seen(moving.current_results(spark, out)) == seen(run_batch(docs, load(stored)))
+
+
+def test_files_of_an_inbox_leave_no_shuffle_behind(spark, tmp_path, sf):
+    left = lambda: {b for b in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString("\n").split("\n") if b.startswith("shuffle")}
+    docs, name = catalog._orders_in_files(spark, sf), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, set_before = left(), spark.conf.get(name, None)
+    catalog._write_files(docs, f"{tmp_path}/inbox")
+    assert not left() - before and spark.conf.get(name, None) == set_before
+    files = _files(f"{tmp_path}/inbox")
+    assert len(files) == 2 * spark.sparkContext.defaultParallelism and all(".zstd." in f.name for f in files)
+    assert sorted(map(str, spark.read.parquet(f"{tmp_path}/inbox").collect())) == sorted(map(str, corpus.render_orders(spark, sf).collect()))
+    text = docs.filter("length(doc_id) > 2")._jdf.queryExecution().optimizedPlan().toString()
+    dealt = text.split("RepartitionByExpression")[0]
+    assert "normalised_text" in dealt and "Filter" not in dealt  # made of the text where it arrives; dropped rows don't travel
