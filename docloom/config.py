@@ -34,7 +34,7 @@ class EngineConfig:
     automaton_max_chars: int = 2_000_000
     # What one packed piece may hold, if a store of several automata is asked for decisions alone. A template takes
     # about 50 bytes and 4 a keyword, a distinct word 12 and its own bytes, of every Python worker.
-    packed_max_templates: int = 600_000
-    packed_max_chars: int = 30_000_000
+    packed_max_templates: int = 400_000
+    packed_max_chars: int = 20_000_000
     # Rules and checks whose patterns become literals of the plan, compiled once per task.
     compiled_max_rules: int = 128

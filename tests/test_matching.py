@@ -157,7 +157,7 @@ def test_packed_words_are_found_across_steps(monkeypatch):
         "seq": pa.array(range(len(words)), pa.int64()), "template_id": words, "kws": [[w, w, None] for w in words],
         "hint": [""] * len(words), "quorum": [0.6] * len(words),
     })
-    p = packed.Packed(pickle.loads(pickle.dumps(packed.pack(rows)))).prepare()
+    p = pickle.loads(pickle.dumps(packed.Packed(packed.pack(rows)))).prepare()
     rng = random.Random(2)
     texts = [None, "", "abcdefg" * 50] + ["".join(rng.choice("abcdeé日本語テ z") for _ in range(rng.randint(0, 90))) for _ in range(300)]
     whole = pa.array(texts, pa.string()).slice(1)
